@@ -42,11 +42,13 @@ def byte_grams(data: bytes) -> np.ndarray:
     return mix(low * _GOLD + mix(high + _GOLD))
 
 
-def pair_grams(symbols: np.ndarray) -> np.ndarray:
-    """Hashes of all pairs of neighbouring 64-bit symbols."""
-    if len(symbols) < 2:
-        return np.empty(0, np.uint64)
-    return mix(symbols[:-1] * _GOLD + mix(symbols[1:] + _GOLD))
+def symbol_grams(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k neighbouring 64-bit symbols."""
+    n = max(0, len(symbols) - k + 1)
+    out = symbols[:n]
+    for i in range(1, k):
+        out = mix(out * _GOLD + symbols[i : i + n])
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +83,8 @@ def segments(grams: np.ndarray, ends: np.ndarray, width: int, k: int):
         return _NONE
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     runs = np.diff(np.r_[first, len(starts)])
-    return text[first], starts[first], runs, grams[anchor[first]], anchor[first] - starts[first]
+    # Least hashes crowd near zero; mixed again, keys spread evenly over shards.
+    return text[first], starts[first], runs, mix(grams[anchor[first]] + _GOLD), anchor[first] - starts[first]
 
 
 class Prefix:

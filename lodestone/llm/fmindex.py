@@ -100,36 +100,42 @@ class FmIndex:
 
 
 def earliest(contents, key, anchor, runs, doc, start, width: int):
-    """Earliest (document, start) of every window of every content of a shard."""
+    """Earliest (document, start) of every window of every content of a shard.
+
+    A content alone under its key can match no other; the rest is indexed and searched.
+    """
+    owner, offset = repeats.window_places(runs)
+    first_doc, first_start = doc[owner], start[owner] + offset
+    indexed = repeats.meeting(key)
+    if not len(indexed):
+        return first_doc, first_start
     ids: dict[bytes, int] = {}
-    lists = [[ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")] for c in contents]
-    if not lists:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    lists = [[ids.setdefault(w, len(ids) + 1) for w in contents[i].split(b" ")] for i in indexed.tolist()]
     sizes = np.array([len(x) + 1 for x in lists])
     values = np.concatenate([np.array([*x, 0], np.int64) for x in lists])
     begin = np.r_[0, np.cumsum(sizes)[:-1]]
-    owner = np.repeat(np.arange(len(lists)), runs)
-    offset = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(runs)[:-1]], runs)
+    local = np.full(len(contents), -1)
+    local[indexed] = np.arange(len(indexed))
+    asked = np.flatnonzero(local[owner] >= 0)
     index = FmIndex(values, width)
-    low, high = index.windows(values, begin[owner] + offset + width, width)
-    first_doc, first_start = doc[owner].copy(), start[owner] + offset
+    low, high = index.windows(values, begin[local[owner[asked]]] + offset[asked] + width, width)
     many = np.flatnonzero(high - low > 1)
     if len(many):
         # Rank every indexed position by (document, start); an interval's least rank wins.
-        position_owner = np.repeat(np.arange(len(lists)), sizes)
-        position_start = start[position_owner] + np.arange(len(values)) - begin[position_owner]
-        by = np.lexsort((position_start, doc[position_owner]))
+        of = np.repeat(np.arange(len(lists)), sizes)
+        position_doc = doc[indexed][of]
+        position_start = start[indexed][of] + np.arange(len(values)) - begin[of]
+        by = np.lexsort((position_start, position_doc))
         rank = np.empty(len(values), np.int64)
         rank[by] = np.arange(len(values))
-        in_order = rank[index.order]
         lows, back = np.unique(low[many], return_inverse=True)
         highs = np.empty(len(lows), np.int64)
         highs[back] = high[many]
         edges = np.stack([lows, highs], axis=1).ravel()
-        least = np.minimum.reduceat(np.r_[in_order, len(values)], edges)[::2]
+        least = np.minimum.reduceat(np.r_[rank[index.order], len(values)], edges)[::2]
         best = by[least[back]]
-        first_doc[many] = doc[position_owner[best]]
-        first_start[many] = position_start[best]
+        first_doc[asked[many]] = position_doc[best]
+        first_start[asked[many]] = position_start[best]
     return first_doc, first_start
 
 

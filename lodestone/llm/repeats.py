@@ -56,7 +56,7 @@ class Bytes:
 class Words:
     """Windows of `width` words, which are joined by one space; a unit is a word."""
 
-    k = 2
+    k = 4
 
     def __init__(self, width: int = 13):
         self.width = width
@@ -67,7 +67,7 @@ class Words:
         return b" ".join(words), np.r_[0, stops], len(words)
 
     def grams(self, data: bytes, starts) -> np.ndarray:
-        return anchors.pair_grams(anchors.mix(anchors.Prefix(np.frombuffer(data, np.uint8)).hash(starts[:-1], starts[1:] - 1)))
+        return anchors.symbol_grams(anchors.mix(anchors.Prefix(np.frombuffer(data, np.uint8)).hash(starts[:-1], starts[1:] - 1)), self.k)
 
 
 class Segments:
@@ -310,6 +310,18 @@ def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, sc
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(mark, schema)
 
 
+def meeting(key: np.ndarray) -> np.ndarray:
+    """Contents whose key (ascending) has another content, so that windows can meet."""
+    same = key[1:] == key[:-1]
+    return np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(key) else np.empty(0, np.int64)
+
+
+def window_places(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(content, offset) of every window of every content."""
+    owner = np.repeat(np.arange(len(runs)), runs)
+    return owner, np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(runs)[:-1]].astype(np.int64), runs)
+
+
 def _earliest(number: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Row of the least (doc, start) of each number 0..; numbers ascend."""
     order = np.lexsort((start, doc, number))

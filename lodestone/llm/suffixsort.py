@@ -73,19 +73,15 @@ def merge_sort(positions: np.ndarray, first: np.ndarray, size: np.ndarray, compa
 
 def earliest(contents, key, anchor, runs, doc, start, width: int):
     """Earliest (document, start) of every window of every content of a shard."""
-    if not contents:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    begin = np.r_[0, np.cumsum([len(c) for c in contents])[:-1]].astype(np.int64)
-    owner = np.repeat(np.arange(len(contents)), runs)
-    offset = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(runs)[:-1]], runs)
-    first_doc, first_start = doc[owner].copy(), start[owner] + offset
-    # Only contents whose key has another content have anything to be sorted against.
-    shared = np.r_[False, key[1:] == key[:-1]] if len(key) else np.empty(0, bool)
-    shared[:-1] |= shared[1:]
+    owner, offset = repeats.window_places(runs)
+    first_doc, first_start = doc[owner], start[owner] + offset
+    shared = np.zeros(len(contents), bool)
+    shared[repeats.meeting(key)] = True  # a content alone under its key has nothing to be sorted against
     suffix = np.flatnonzero(shared[owner])
     if not len(suffix):
         return first_doc, first_start
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    begin = np.r_[0, np.cumsum([len(c) for c in contents])[:-1]].astype(np.int64)
     number = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
     shift = anchor[owner[suffix]] - offset[suffix]  # from the suffix to its anchor
     bucket = number[owner[suffix]] * (int(shift.max()) + 1) + shift
