@@ -2,5 +2,281 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import changes, graph, index, search, structure, timeline
+from lodestone.sources import intake
+from lodestone.sources.derived import DUCK_PAGES, table, wiki_pages
+
 QUERIES: dict = {}
 SQL: dict = {}
+QUESTIONS = [(1, "BUILDING order"), (2, "customer#000000007"), (3, "the and"), (4, "asia europe"), (5, "1-urgent")]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _with(*more: str, then: str) -> str:
+    return ", ".join([DUCK_PAGES.rstrip(), *more]) + " " + then
+
+
+LINKS = "links AS (SELECT path AS from_path, CAST(unnest(generate_series(0, len(t) - 1)) AS INTEGER) AS ordinal, unnest(t) AS to_path FROM (SELECT path, regexp_extract_all(content, '\\[\\[([^\\]|#]+)', 1) AS t FROM wiki))"
+RESOLVED = "resolved AS (SELECT l.* FROM links l WHERE to_path IN (SELECT path FROM wiki))"
+BACK = "back AS (SELECT to_path AS path, count(DISTINCT from_path) AS n FROM resolved WHERE from_path <> to_path GROUP BY 1)"
+TOKENS = "CAST(length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')) + ceil((length({0}) - length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4.0) AS BIGINT)"
+TLDR = "trim(regexp_replace(regexp_replace(tldr, '[*_`#>]', '', 'g'), '\\s+', ' ', 'g'))"
+CARDS = f"cards AS (SELECT w.path, type, title, {TLDR} AS tldr, coalesce(o.n, 0) AS n_outgoing, coalesce(b.n, 0) AS n_backlinks, {TOKENS.format(f'(w.path || chr(32) || title || chr(32) || {TLDR})')} AS tokens FROM wiki w LEFT JOIN (SELECT from_path, count(*) AS n FROM resolved GROUP BY 1) o ON w.path = o.from_path LEFT JOIN back b ON w.path = b.path)"
+
+
+@query("corpus_fingerprint", f"SELECT lang, CAST(sum(c) AS BIGINT) AS n_docs, count(*) AS n_distinct, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT lang, sha256(text), count(*) AS c, max({TOKENS.format('text')}) AS t FROM documents GROUP BY 1, 2) GROUP BY lang")
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return structure.fingerprint(table(spark, d, "documents"))
+
+
+@query("document_quality", r"""WITH m AS (SELECT doc_id, length(text) AS characters, length(regexp_replace(text, '[^\x{FFFD}]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS replacement_ratio,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 1200)) AS INTEGER) AS long_lines, CAST(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS INTEGER) AS longest_line,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*\|?[ :|-]*-{3,}[ :|-]*$'))) AS INTEGER) AS tables FROM documents)
+    SELECT *, CASE WHEN characters = 0 OR replacement_ratio > 0.01 OR longest_line > 2000 THEN 'fail' WHEN replacement_ratio > 0.001 OR long_lines > 0 THEN 'warn' ELSE 'pass' END AS overall FROM m""")
+def document_quality(spark, d):
+    return structure.quality(table(spark, d, "documents"))
+
+
+@query("document_sections", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
+    k AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN '## ' || x WHEN pos % 7 = 3 THEN '```' ELSE x END AS line FROM l),
+    f AS (SELECT *, sum(CAST(regexp_matches(line, '^\s{{0,3}}(```|~~~)') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM k),
+    h AS (SELECT *, fences % 2 = 0 AND regexp_matches(line, '^#{{1,6}}\s+\S') AS is_heading FROM f),
+    n AS (SELECT *, sum(CAST(is_heading AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM h)
+    SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, coalesce(max(CASE WHEN is_heading THEN regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(.*)$', 1), '\s+#*\s*$', '') END), 'Preamble') AS heading,
+    CAST(coalesce(max(CASE WHEN is_heading THEN length(regexp_extract(line, '^(#+)', 1)) END), 0) AS INTEGER) AS level, count(*) AS n_lines, CAST(sum({TOKENS.format('line')}) AS BIGINT) AS tokens FROM n GROUP BY doc_id, section_no""")
+def document_sections(spark, d):
+    return structure.sections(structure.as_markdown(table(spark, d, "documents")))
+
+
+@query("token_chunks")
+def token_chunks(spark, d):
+    return structure.token_chunks(table(spark, d, "documents"))
+
+
+@query("web_pages")
+def web_pages(spark, d):
+    return structure.web_pages(table(spark, d, "pages"))
+
+
+@query("page_links", _with(LINKS, then="SELECT * FROM links"))
+def page_links(spark, d):
+    return index.page_links(wiki_pages(spark, d))
+
+
+@query("backlinks", _with(LINKS, RESOLVED, then="SELECT DISTINCT to_path AS path, from_path FROM resolved WHERE from_path <> to_path"))
+def backlinks(spark, d):
+    pages = wiki_pages(spark, d)
+    return index.backlinks(index.page_links(pages), pages)
+
+
+@query("nav_cards", _with(LINKS, RESOLVED, BACK, CARDS, then="SELECT * FROM cards"))
+def nav_cards(spark, d):
+    pages = wiki_pages(spark, d)
+    return index.nav_cards(pages, index.page_links(pages))
+
+
+@query("index_page_budget", _with(LINKS, RESOLVED, BACK, CARDS, then="""SELECT type, path, CAST(r AS INTEGER) AS rank, CAST(spent AS BIGINT) AS spent FROM (SELECT *, sum(tokens) OVER (PARTITION BY type ORDER BY path) AS spent
+    FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY path) AS r FROM cards) WHERE r <= 100) WHERE spent <= 8000 OR r = 1"""))
+def index_page_budget(spark, d):
+    pages = wiki_pages(spark, d)
+    return index.budget_page(index.nav_cards(pages, index.page_links(pages)))
+
+
+@query("type_counts", _with(then="SELECT t.type, count(path) AS n FROM (SELECT unnest(['source', 'entity', 'concept', 'synthesis', 'output']) AS type) t LEFT JOIN wiki w ON w.type = t.type GROUP BY 1"))
+def type_counts(spark, d):
+    return index.type_counts(wiki_pages(spark, d))
+
+
+@query("tag_counts", _with(then="SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM wiki) GROUP BY 1"))
+def tag_counts(spark, d):
+    return index.tag_counts(wiki_pages(spark, d))
+
+
+IDENTITY = r"regexp_replace(lower(title), '[\s[:punct:]]', '', 'g')"
+
+
+@query("lint", _with(LINKS, f"known AS (SELECT path, type, lower(trim(title)) AS key, {IDENTITY} AS ident FROM wiki)", then=r"""
+    SELECT 'invalid-filename' AS code, 'warning' AS severity, path FROM wiki WHERE NOT regexp_matches(string_split(path, '/')[-1], '^[a-z0-9]+(-[a-z0-9]+)*$')
+    UNION ALL SELECT 'missing-field', 'error', path FROM wiki WHERE title IS NULL OR title = ''
+    UNION ALL SELECT 'dangling-link', 'error', from_path FROM links WHERE to_path NOT IN (SELECT path FROM wiki)
+    UNION ALL SELECT 'orphan-page', 'warning', path FROM wiki WHERE path NOT IN (SELECT from_path FROM links) AND path NOT IN (SELECT to_path FROM links)
+    UNION ALL SELECT 'missing-raw-file', 'warning', path FROM wiki WHERE raw_path IS NOT NULL AND CAST(regexp_extract(raw_path, '(\d+)', 1) AS BIGINT) % 10 = 0
+    UNION ALL SELECT 'duplicate-title', 'warning', path FROM known WHERE key IN (SELECT key FROM known WHERE key <> '' GROUP BY key HAVING count(*) > 1)
+    UNION ALL SELECT 'cross-type-duplicate', 'warning', path FROM known WHERE type IN ('entity', 'concept', 'synthesis') AND length(ident) >= 2
+        AND ident IN (SELECT ident FROM known WHERE type IN ('entity', 'concept', 'synthesis') GROUP BY ident HAVING count(DISTINCT type) > 1)"""))
+def lint(spark, d):
+    pages = wiki_pages(spark, d)
+    raw = table(spark, d, "documents").where("doc_id % 10 <> 0").select(F.concat(F.lit("raw/articles/doc-"), "doc_id", F.lit(".md")).alias("raw_path"))
+    return index.lint(pages, raw)
+
+
+def _questions(spark):
+    return spark.createDataFrame(QUESTIONS, "query_id int, query string")
+
+
+QUESTIONS_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, lower('{t}'))" for i, t in QUESTIONS) + ") AS v(query_id, query)), terms AS (SELECT query_id, query, list_distinct(regexp_extract_all(query, '[a-z0-9][a-z0-9.+#/-]*')) AS terms FROM q)"
+SCORED = """texts AS (SELECT path, lower(title) AS t, lower(array_to_string(tags, ' ')) AS g, lower(tldr) AS s, lower(body) AS b, lower(title || ' ' || tldr || ' ' || body) AS x FROM wiki),
+    scored AS (SELECT query_id, path, sum(CASE WHEN contains(t, term) THEN 12 ELSE 0 END + CASE WHEN contains(g, term) THEN 6 ELSE 0 END + CASE WHEN contains(s, term) THEN 4 ELSE 0 END
+        + least((length(b) - length(replace(b, term, ''))) // length(term), 5)) AS score FROM texts, (SELECT query_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+    hits AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS r FROM scored WHERE score > 0) WHERE r <= 8),
+    hop AS (SELECT query_id, to_path AS path, max(greatest(1.0, score * 0.25)) AS score FROM (SELECT query_id, score, unnest(links) AS to_path FROM hits JOIN wiki USING (path)) e
+        WHERE to_path IN (SELECT path FROM wiki) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = e.query_id AND h.path = e.to_path) GROUP BY 1, 2),
+    both_ AS (SELECT query_id, path, CAST(score AS DOUBLE) AS score FROM hits UNION ALL SELECT query_id, path, CAST(score AS DOUBLE) FROM hop)"""
+
+
+@query("ranked_search", _with(QUESTIONS_SQL, SCORED, then="SELECT query_id, CAST(rank AS INTEGER) AS rank, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM both_) WHERE rank <= 12"))
+def ranked_search(spark, d):
+    return search.ranked_search(_questions(spark), wiki_pages(spark, d))
+
+
+@query("search_modes", _with(QUESTIONS_SQL, SCORED, then="""SELECT query_id, mode, hits FROM (SELECT query_id, count(*) FILTER (contains(x, query)) AS exact, count(*) FILTER (len(list_filter(terms, lambda t: contains(x, t))) = len(terms)) AS all_terms,
+    count(*) FILTER (len(list_filter(terms, lambda t: contains(x, t))) > 0) AS any_terms FROM texts, terms GROUP BY 1) UNPIVOT (hits FOR mode IN (exact, all_terms, any_terms))"""))
+def search_modes(spark, d):
+    return search.search_modes(_questions(spark), wiki_pages(spark, d))
+
+
+@query("candidate_matches", _with(f"known AS (SELECT path, type, {IDENTITY} AS ident FROM wiki)", then=r"""SELECT candidate_id, CAST(r AS INTEGER) AS rank, path, CAST(score AS INTEGER) AS score FROM (SELECT n_nationkey AS candidate_id, path, 100 + CASE WHEN type = 'entity' THEN 5 ELSE 0 END AS score,
+    row_number() OVER (PARTITION BY n_nationkey ORDER BY CASE WHEN type = 'entity' THEN 5 ELSE 0 END DESC, path) AS r FROM nation JOIN known ON ident = regexp_replace(lower(n_name), '[\s[:punct:]]', '', 'g')) WHERE r <= 3"""))
+def candidate_matches(spark, d):
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").alias("candidate_id"), F.lit("entity").alias("type"), F.col("n_name").alias("title"))
+    return search.candidate_matches(wanted, wiki_pages(spark, d))
+
+
+def _proposals(spark, d):
+    r = F.array(*map(F.lit, [*graph.RELATIONS, "mentions"]))
+    key = lambda kind, c: F.concat(F.lit(f"wiki/{kind}-"), F.col(c))
+    confidence = F.round(1 - F.col("l_discount") - 4 * F.col("l_tax"), 4)
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), key("outputs/order", "l_orderkey").alias("from_path"), key("concepts/part", "l_partkey").alias("to_path"), F.element_at(r, F.col("l_linenumber")).alias("relation"), confidence.alias("confidence"))
+
+
+JUDGED = """p AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'wiki/outputs/order-' || l_orderkey AS from_path, 'wiki/concepts/part-' || l_partkey AS to_path, l_linenumber AS priority, round(1 - l_discount - 4 * l_tax, 4) AS confidence FROM lineitem),
+    a AS (SELECT *, CASE WHEN priority > 6 THEN 'invalid_relation' WHEN confidence < 0.7 OR confidence > 1 THEN 'low_confidence' WHEN to_path NOT IN (SELECT path FROM wiki) THEN 'unknown_target' END AS r1 FROM p),
+    b AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY r1, from_path, to_path ORDER BY confidence DESC, priority, ord) > 1 THEN 'duplicate' ELSE r1 END AS r2 FROM a),
+    c AS (SELECT *, CASE WHEN r2 IS NULL AND row_number() OVER (PARTITION BY r2, from_path ORDER BY confidence DESC, priority, to_path, ord) > 5 THEN 'outgoing_limit' ELSE r2 END AS reason FROM b)"""
+
+
+@query("link_plan", _with(JUDGED, then="SELECT ord, from_path, to_path FROM c WHERE reason IS NULL"))
+def link_plan(spark, d):
+    return graph.judge_proposals(_proposals(spark, d), wiki_pages(spark, d)).where("reason IS NULL").select("ord", "from_path", "to_path")
+
+
+@query("link_drops", _with(JUDGED, then="SELECT reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY 1"))
+def link_drops(spark, d):
+    return graph.drop_counts(graph.judge_proposals(_proposals(spark, d), wiki_pages(spark, d)))
+
+
+TWO = """e AS (SELECT DISTINCT from_path, to_path FROM resolved), s AS (SELECT path FROM wiki WHERE type = 'output'),
+    one AS (SELECT s.path AS start, to_path AS path, 1 AS hop FROM s JOIN e ON s.path = from_path WHERE to_path <> s.path),
+    two AS (SELECT start, to_path AS path, 2 AS hop FROM one JOIN e ON one.path = from_path WHERE to_path <> start),
+    near AS (SELECT start, path, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1, 2)"""
+
+
+@query("two_hop_neighbors", _with(LINKS, RESOLVED, TWO, then="SELECT * FROM near"))
+def two_hop_neighbors(spark, d):
+    pages = wiki_pages(spark, d)
+    links = index.resolved_links(index.page_links(pages), pages)
+    return graph.neighbours(pages.where("type = 'output'").select("path"), links)
+
+
+def _ops(spark, d):
+    """Every third customer page updated (some against a stale hash), new pages created."""
+    pages = changes.with_hash(wiki_pages(spark, d))
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("wiki/entities/customer-"), k)
+    ops = table(spark, d, "customer").where("c_custkey % 3 = 0").select(
+        k.alias("ord"), F.when(k % 4 == 0, "create").otherwise("update").alias("action"), F.when(k % 8 == 0, F.concat(path, F.lit("-new"))).otherwise(path).alias("path"),
+        F.concat(F.lit("Revised "), "c_name").alias("content"), (k % 5 == 0).alias("stale"),
+    )
+    ops = ops.join(pages.select("path", "hash"), "path", "left")
+    return pages, ops.select("ord", "action", "path", F.when(F.col("stale"), "stale").otherwise(F.col("hash")).alias("expected_hash"), "content")
+
+
+PLAN = """o AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 4 = 0 THEN 'create' ELSE 'update' END AS action, 'wiki/entities/customer-' || c_custkey || CASE WHEN c_custkey % 8 = 0 THEN '-new' ELSE '' END AS path, c_custkey % 5 = 0 AS stale FROM customer WHERE c_custkey % 3 = 0),
+    j AS (SELECT o.*, w.path IS NOT NULL AS there FROM o LEFT JOIN wiki w ON o.path = w.path)"""
+
+
+@query("plan_checks", _with(PLAN, then="""SELECT ord, path, 'already_exists' AS code FROM j WHERE action = 'create' AND there UNION ALL SELECT ord, path, 'missing_page' FROM j WHERE action = 'update' AND NOT there
+    UNION ALL SELECT ord, path, 'stale_hash' FROM j WHERE action = 'update' AND there AND stale"""))
+def plan_checks(spark, d):
+    pages, ops = _ops(spark, d)
+    return changes.plan_checks(ops, pages)
+
+
+@query("apply_plan", _with(PLAN, then="""SELECT coalesce(w.path, g.path) AS path, CASE WHEN g.path IS NULL THEN sha256(content) ELSE sha256('Revised ' || c_name) END AS hash FROM wiki w
+    FULL JOIN (SELECT j.path, c_name FROM j JOIN customer ON ord = c_custkey WHERE (action = 'create' AND NOT there) OR (action = 'update' AND there AND NOT stale)) g ON w.path = g.path"""))
+def apply_plan(spark, d):
+    pages, ops = _ops(spark, d)
+    good = ops.join(changes.plan_checks(ops, pages).select("ord"), "ord", "left_anti")
+    return changes.apply_plan(good, pages)[0].select("path", "hash")
+
+
+@query("rollback_conflicts", _with(PLAN, then="SELECT path, CASE WHEN ord % 7 = 0 THEN 'missing' ELSE 'changed' END AS code FROM j WHERE ((action = 'create' AND NOT there) OR (action = 'update' AND there AND NOT stale)) AND (ord % 7 = 0 OR ord % 11 = 0)"))
+def rollback_conflicts(spark, d):
+    pages, ops = _ops(spark, d)
+    good = ops.join(changes.plan_checks(ops, pages).select("ord"), "ord", "left_anti")
+    after, receipt = changes.apply_plan(good, pages)
+    marks = ops.select("path", "ord")
+    later = after.join(marks, "path", "left").where("ord IS NULL OR ord % 7 <> 0")
+    later = later.withColumn("content", F.when(F.col("ord") % 11 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return changes.rollback_conflicts(receipt, changes.with_hash(later))
+
+
+@query("intake_dedup", "SELECT doc_id AS source_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY text) AS original_id, min(doc_id) OVER (PARTITION BY text) <> doc_id AS duplicate FROM documents")
+def intake_dedup(spark, d):
+    docs = table(spark, d, "documents")
+    return intake.intake(docs, spark.createDataFrame([], "hash string, source_id long"))
+
+
+@query("url_hygiene", r"""SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://[^/?#]+') THEN regexp_replace(regexp_replace(url, '^(?i)(https?://)[^/?#@]*@', '\1'), '(?i)([?&](?:access_token|api_key|apikey|auth|key|password|secret|sig|signature|token)=)[^&#]*', '\1[REDACTED]', 'g') END AS url,
+    regexp_matches(url, '^(?i)https?://[^/?#@\s]+([/?#]|$)') AS acceptable, CASE WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#@\s]+([/?#]|$)') THEN 'rejected' ELSE 'web' END AS route FROM pages""")
+def url_hygiene(spark, d):
+    return intake.url_hygiene(table(spark, d, "pages"))
+
+
+@query("conversation_tail", "SELECT conv_id, turn, role, CASE WHEN length(text) > 4000 THEN substring(text, 1, 3999) || '…' ELSE text END AS text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS from_end FROM conversations QUALIFY from_end <= 8")
+def conversation_tail(spark, d):
+    return timeline.conversation_tail(table(spark, d, "conversations"))
+
+
+@query("context_usage", f"SELECT role, count(*) AS turns, CAST(sum({TOKENS.format('text')}) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def context_usage(spark, d):
+    return timeline.context_usage(table(spark, d, "conversations"))
+
+
+@query("gap_sessions", """WITH s AS (SELECT conv_id AS media_id, turn, turn * 4000 AS a, turn * 4000 + 1500 AS b FROM conversations WHERE turn % 3 <> 1), m AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY media_id ORDER BY a) > 3000 THEN 1 ELSE 0 END AS n FROM s),
+    g AS (SELECT *, sum(n) OVER (PARTITION BY media_id ORDER BY a) AS session FROM m) SELECT media_id, CAST(session AS BIGINT) AS session, min(a) AS first_ms, max(b) AS last_ms, count(*) AS n_segments FROM g GROUP BY 1, 2""")
+def gap_sessions(spark, d):
+    return timeline.gap_sessions(timeline.segments_of(table(spark, d, "conversations").where("turn % 3 <> 1")))
+
+
+@query("paragraphs")
+def paragraphs(spark, d):
+    return timeline.paragraphs(timeline.segments_of(table(spark, d, "conversations")))
+
+
+@query("chunk_plan", "SELECT o_orderkey AS media_id, i AS index, greatest(0, CAST(i AS BIGINT) * 900000 - CASE WHEN i > 0 THEN 2000 ELSE 0 END) AS start_ms, least(ms, (CAST(i AS BIGINT) + 1) * 900000) AS end_ms FROM (SELECT o_orderkey, ms, CAST(unnest(generate_series(0, greatest(1, CAST(ceil(ms / 900000.0) AS INT)) - 1)) AS INTEGER) AS i FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 50) AS BIGINT) AS ms FROM orders))")
+def chunk_plan(spark, d):
+    return timeline.chunk_plan(table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.floor(F.col("o_totalprice") * 50).alias("duration_ms")))
+
+
+@query("progress_percent", """WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 10 WHEN 'purchase' THEN 80 WHEN 'signup' THEN 95 ELSE 0 END AS a, CASE event_type WHEN 'click' THEN 10 WHEN 'view' THEN 70 WHEN 'purchase' THEN 15 WHEN 'signup' THEN 5 ELSE 0 END AS w,
+    TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT user_id AS source_id, event_id AS seq, CAST(max(least(100.0, floor(a + w * CASE WHEN k >= 0 THEN least(1.0, k / 100.0) ELSE 0.0 END + 0.5))) OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS percent FROM r""")
+def progress_percent(spark, d):
+    return timeline.progress_percent(timeline.progress_events(table(spark, d, "events")))
+
+
+@query("latest_events", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_events(spark, d):
+    return timeline.latest_events(table(spark, d, "events"))
