@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodestone.llm.arrowtools import groups
-from lodestone.llm.pieces import Memo, pieces
+from lodestone.llm.pieces import pieces
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -70,7 +70,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """
 
     def run(batches):
-        encode = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         context = TaskContext.get()
         serial = (context.partitionId() if context else 0) << 33
         end = np.array([end_id], "<u4").tobytes()
@@ -97,8 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
         for batch in batches:
             for rows in groups(batch, 1):
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     start = 0
                     while start < n:
@@ -127,16 +127,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
 
-_ENCODERS: dict = {}
-
+class PieceEncoder:
+    """Texts to little-endian ids; pieces not seen yet are encoded in one batch."""
 
-def _encoder(path: str):
-    """text -> little-endian ids; one tokenizer and memo per worker process."""
-    if path not in _ENCODERS:
+    def __init__(self, path: str, bound: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        memo = Memo(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), bound=400_000)
-        _ENCODERS[path] = lambda text: b"".join(map(memo.__getitem__, pieces(text)))
+        self.tokenizer, self.memo, self.bound = Tokenizer.from_file(path), {}, bound
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [pieces(t or "") for t in texts]
+        memo = self.memo
+        new = {p for c in cut for p in c if p not in memo}
+        if len(memo) + len(new) > self.bound:
+            memo.clear()
+            new = {p for c in cut for p in c}
+        fresh = list(new)
+        for piece, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            memo[piece] = np.array(encoding.ids, "<u4").tobytes()
+        return [b"".join(map(memo.__getitem__, c)) for c in cut]
+
+
+_ENCODERS: dict = {}
+
+
+def _encoder(path: str) -> PieceEncoder:
+    """One tokenizer and memo per worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
