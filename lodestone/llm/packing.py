@@ -61,7 +61,7 @@ def pack_parts(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, part: int = 512, group: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, part: int = 512, group: int = 256) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     `part` bounds a piece of a document's last, partial window; smaller parts balance
