@@ -128,13 +128,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class PieceEncoder:
-    """Texts to little-endian ids; pieces not seen yet are encoded in one batch."""
+    """Texts to little-endian ids; pieces not seen yet are encoded together.
+
+    A piece that is one space and then text without spaces can be encoded in a row with
+    others: its first token is then the only one that begins with a space, which tells
+    where each piece's ids begin. Other pieces are encoded one by one.
+    """
 
     def __init__(self, path: str, bound: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.bound = Tokenizer.from_file(path), {}, bound
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how files write a space
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str], row: int = 4000) -> None:
+        plain, odd = [], []
+        for p in fresh:
+            (odd if p[0] != " " or p.find(" ", 1) > 0 or p[1:2].isspace() or p[-1].isspace() else plain).append(p)
+        self.memo.update(zip(odd, (i.tobytes() for i in self._ids(odd)), strict=True))
+        for at in range(0, len(plain), row):
+            part = plain[at : at + row]
+            (ids,) = self._ids(["".join(part)])
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                raise ValueError("pieces and tokens do not line up")
+            data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.memo.update(zip(part, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [pieces(t or "") for t in texts]
@@ -143,9 +168,7 @@ class PieceEncoder:
         if len(memo) + len(new) > self.bound:
             memo.clear()
             new = {p for c in cut for p in c}
-        fresh = list(new)
-        for piece, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            memo[piece] = np.array(encoding.ids, "<u4").tobytes()
+        self.learn(list(new))
         return [b"".join(map(memo.__getitem__, c)) for c in cut]
 
 
