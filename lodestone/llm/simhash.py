@@ -20,11 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import anchors
 from lodestone.llm.arrowtools import map_texts, stored
 from lodestone.llm.components import components
 
 SEED = 42
 BLOCK = 512
+NO_ID = -(1 << 63)
+#: Bits of a wide fingerprint; its bands, and the bits of each; rows that a byte can count.
+WIDE, BANDS, BAND, SLAB = 512, 36, 14, 255
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -54,6 +58,34 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_texts(docs, ["doc_id", "text"], "doc_id long, bits long", make)
 
 
+class Sets:
+    """Disjoint sets over 0..n-1, united many pairs at a time; a set's root is its least member."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, x):
+        while True:
+            up = self.parent[x]
+            if (up == self.parent[up]).all():
+                return up
+            self.parent[x] = self.parent[up]
+
+    def unite(self, x, y):
+        while len(x):
+            rx, ry = self.root(x), self.root(y)
+            differ = rx != ry
+            x, y, rx, ry = x[differ], y[differ], rx[differ], ry[differ]
+            np.minimum.at(self.parent, np.maximum(rx, ry), np.minimum(rx, ry))
+
+    def star(self) -> tuple[np.ndarray, np.ndarray]:
+        """(members other than roots, their roots)."""
+        every = np.arange(len(self.parent))
+        top = self.root(every)
+        member = np.flatnonzero(top != every)
+        return member, top[member]
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star (member, least member) of the links within `a`, or of those
     between `a` and `b` where `b` is given."""
@@ -63,22 +95,7 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     count = np.bitwise_count(nodes)
     order = np.argsort(count, kind="stable")
     nodes, count, side = nodes[order], count[order].astype(np.int64), side[order]
-    parent = np.arange(len(nodes))
-
-    def root(x):
-        while True:
-            up = parent[x]
-            if (up == parent[up]).all():
-                return up
-            parent[x] = parent[up]
-
-    def unite(x, y):
-        while len(x):
-            rx, ry = root(x), root(y)
-            differ = rx != ry
-            x, y, rx, ry = x[differ], y[differ], rx[differ], ry[differ]
-            np.minimum.at(parent, np.maximum(rx, ry), np.minimum(rx, ry))
-
+    sets = Sets(len(nodes))
     for i in range(0, len(nodes), BLOCK):
         rows = slice(i, i + BLOCK)
         for j in range(i, len(nodes), BLOCK):
@@ -89,10 +106,9 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
             if b is not None:
                 near &= side[rows, None] != side[None, columns]
             x, y = np.nonzero(near)
-            unite(x + i, y + j)
-    top = root(np.arange(len(nodes)))
-    member = np.flatnonzero(top != np.arange(len(nodes)))
-    return nodes[member], nodes[top[member]]
+            sets.unite(x + i, y + j)
+    member, top = sets.star()
+    return nodes[member], nodes[top]
 
 
 def _cell(bits: Column, radius: int, lead: int) -> Column:
@@ -134,9 +150,107 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile: int
     return found.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """512-bit fingerprint over the distinct shingles of `width` words; zero without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    joined = b" ".join(words)
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.r_[0, stops[:-1] + 1]
+    n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops[-n:].tolist(), strict=True)], np.uint64))
+    total = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), SLAB * 64):
+        part = hashes[i : i + SLAB * 64, None]
+        derived = anchors.mix(part + np.arange(WIDE // 64, dtype=np.uint64) * anchors._GOLD)
+        bits = np.unpackbits(derived.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), SLAB):  # no more rows than a byte can count
+            total += bits[j : j + SLAB].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
+def radius_of(similarity: float) -> int:
+    """Bits in which the wide fingerprints of two sets of this Jaccard similarity differ:
+    the mean and one standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * p + np.sqrt(WIDE * p * (1 - p)))
+
+
+def wide_links(value: np.ndarray, fp: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, least member; as rows) of the links among rows of equal `value`, or
+    of those between rows of unequal `side` where it is given.
+
+    Rows of a value are sorted by population count, and each is compared with the row d
+    behind it for growing d; pairs whose counts differ beyond the radius are skipped.
+    """
+    count = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((count, value))
+    value, fp, count = value[order], fp[order], count[order]
+    sets, live, d = Sets(len(value)), np.arange(len(value)), 1
+    while len(live):
+        live = live[live + d < len(value)]
+        live = live[(value[live] == value[live + d]) & (count[live + d] - count[live] <= radius)]
+        pick = live if side is None else live[side[order[live]] != side[order[live + d]]]
+        pick = pick[np.bitwise_count(fp[pick] ^ fp[pick + d]).sum(axis=1, dtype=np.int64) <= radius]
+        sets.unite(pick, pick + d)
+        d += 1
+    member, top = sets.star()
+    return order[member], order[top]
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
+    """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
+    of those connected to it by a similarity of about `similarity` or more.
+
+    Fingerprints have 512 bits, so that their distance tells the Jaccard similarity of
+    the shingle sets to about 0.04. Pairs are compared that agree in one of 36 bands of
+    14 bits, which finds 97.8% of pairs at 0.8 and 99.9% at 0.9. Rows of a band are dealt
+    by the band's leading bits, and what exceeds `tile` rows in pairs of tiles.
+    Null doc_ids count as the smallest id.
+    """
+
+    def make():
+        return lambda doc_ids, texts: {"id": pa.array(doc_ids, pa.int64()), "fp": pa.array([wide_fingerprint(t, width) for t in texts], pa.binary())}
+
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    found = map_texts(ids, ["doc_id", "text"], "id long, fp binary", make)
+    classes = stored(found.groupBy("fp").agg(F.min("id").alias("id")))
+    lead = int(min(BAND, max(0, np.ceil(np.log2(max(1, classes.count()) / tile)))))
+
+    def bands(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                n, bits = part.num_rows, np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+                value = bits[:, : BAND * BANDS].reshape(n, BANDS, BAND) @ (1 << np.arange(BAND)[::-1])
+                value = (value + (np.arange(BANDS) << BAND)).ravel().astype(np.int32)
+                again = pa.array(np.repeat(np.arange(n), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(value), part.column(0).take(again), part.column(1).take(again)], names=["value", "id", "fp"])
+
+    rows = classes.select("id", "fp").mapInArrow(bands, "value int, id long, fp binary").withColumn("cell", F.shiftrightunsigned("value", BAND - lead))
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
+    # At most 36 * 2^14 rows whatever the input.
+    dealt = rows.join(F.broadcast(sizes), "cell", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "id", "fp")
+    radius = radius_of(similarity)
+
+    def compare(key, group):
+        _, i, j = (k.as_py() for k in key)
+        ids, value = group.column("id").to_numpy(), group.column("value").to_numpy()
+        fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), "<u8").reshape(-1, WIDE // 64)
+        member, top = wide_links(value, fp, None if i == j else group.column("own").to_numpy(), radius)
+        return pa.table({"u": ids[member], "v": ids[top]})
+
+    edges = pairs.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    roots = components(edges).withColumnRenamed("u", "id")
+    return classes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id names their component. Rows that share a doc_id stay or go
-    together."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
+    """One document of each group of `similar` documents, the one of the least doc_id.
+    Rows that share a doc_id stay or go together; null and empty texts are one group."""
+    keep = similar(docs, **options).where("id = root").select(F.col("id").alias("kept_id"))
+    return docs.join(keep, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept_id"), "left_semi")

@@ -178,6 +178,48 @@ def test_simhash(spark, docs, rows, empty):
     assert len({root.get(int(b.view(np.int64)), int(b.view(np.int64))) for b in bits}) == 40
 
 
+
+def shingle_set(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_similar_documents(spark, docs, empty):
+    """Near copies at a similarity well above 0.8 share a root; what shares half or less does not."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    texts = {}
+    for g in range(40):
+        base = [word() for _ in range(r.choice([30, 200, 900]))]
+        edited = list(base)
+        for at in r.sample(range(len(base)), len(base) // 100):
+            edited[at] = word()
+        far = list(base)
+        for at in range(0, len(base), 9):
+            far[at] = word()
+        for k, w in enumerate((base, edited, [*base, word()], far)):
+            texts[g * 10 + k] = " ".join(w)
+    root = {x.id: x.root for x in simhash.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tile=8).collect()}
+    hub = {hashlib.md5(repr(sorted(shingle_set(t))).encode()).hexdigest(): i for i, t in sorted(texts.items(), reverse=True)}
+    of = {i: root[hub[hashlib.md5(repr(sorted(shingle_set(t))).encode()).hexdigest()]] for i, t in texts.items()}
+    missed = 0
+    for g in range(40):
+        base = shingle_set(texts[g * 10])
+        for k in (1, 2, 3):
+            other = shingle_set(texts[g * 10 + k])
+            j = len(base & other) / len(base | other)
+            if j >= 0.87:
+                missed += of[g * 10 + k] != of[g * 10]
+            if j <= 0.6:
+                assert of[g * 10 + k] != of[g * 10]
+    assert missed <= 2
+    assert len({v // 10 for v in of.values()}) == 40  # unrelated texts stay apart
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert len([x for x in kept.collect() if not words(x.text)]) == len({x.doc_id for x in kept.collect() if not words(x.text)}) == 1
+    assert simhash.one_of_each(empty).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 0), 101: 100}
