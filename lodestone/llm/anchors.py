@@ -96,19 +96,29 @@ class Prefix:
 
     _base = 0x9E3779B97F4A7C15
     _table = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-    _power = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
+    #: The power of a position is that of its multiple of 4,096 times that of the rest, so
+    #: the tables stay small however long the data are.
+    _bits = 12
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        if len(Prefix._power) <= n:
-            size = 1 << int(n).bit_length()
-            for name, x in (("_power", self._base), ("_inverse", pow(self._base, -1, 1 << 64))):
-                factors = np.full(size, x, np.uint64)
-                factors[0] = 1
-                setattr(Prefix, name, np.cumprod(factors, dtype=np.uint64))
+        n, size = len(data), 1 << self._bits
+        inverse = pow(self._base, -1, 1 << 64)
+        blocks = n // size + 1
+        self.low = self._powers(inverse, size)
+        self.high = self._powers(pow(inverse, size, 1 << 64), blocks)
+        low, high = self._powers(self._base, size), self._powers(pow(self._base, size, 1 << 64), blocks)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._table[data] * Prefix._power[:n], out=self.sums[1:])
+        for i in range(blocks):
+            part = self._table[data[i * size : (i + 1) * size]]
+            self.sums[i * size + 1 : i * size + 1 + len(part)] = part * (low[: len(part)] * high[i])
+        np.cumsum(self.sums, out=self.sums)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * Prefix._inverse[start]
+        power = self.low[start & ((1 << self._bits) - 1)] * self.high[start >> self._bits]
+        return (self.sums[end] - self.sums[start]) * power

@@ -71,17 +71,32 @@ def merge_sort(positions: np.ndarray, first: np.ndarray, size: np.ndarray, compa
     return positions
 
 
+def sort_buckets(positions: np.ndarray, heads: np.ndarray, sizes: np.ndarray, compare, limit: int = 1 << 18) -> np.ndarray:
+    """Sorts whole buckets, about `limit` suffixes at a time, so that the sort's memory is
+    small and only the neighbours of a large bucket go through its levels."""
+    out = np.empty_like(positions)
+    slab = heads // limit
+    cuts = np.flatnonzero(np.r_[True, slab[1:] != slab[:-1], True])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low, size = int(heads[a]), sizes[a:b]
+        high = int(heads[b - 1] + size[-1])
+        out[low:high] = merge_sort(positions[low:high], np.repeat(heads[a:b] - low, size), np.repeat(size, size), compare)
+    return out
+
+
 def earliest(contents, key, anchor, runs, doc, start, width: int):
     """Earliest (document, start) of every window of every content of a shard."""
     owner, offset = repeats.window_places(runs)
     first_doc, first_start = doc[owner], start[owner] + offset
     shared = np.zeros(len(contents), bool)
-    shared[repeats.meeting(key)] = True  # a content alone under its key has nothing to be sorted against
+    meet = repeats.meeting(key)  # a content alone under its key has nothing to be sorted against
+    shared[meet] = True
     suffix = np.flatnonzero(shared[owner])
     if not len(suffix):
         return first_doc, first_start
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    begin = np.r_[0, np.cumsum([len(c) for c in contents])[:-1]].astype(np.int64)
+    data = np.frombuffer(b"".join([contents[i] for i in meet.tolist()]), np.uint8)
+    begin = np.zeros(len(contents), np.int64)
+    begin[meet[1:]] = np.cumsum([len(contents[i]) for i in meet[:-1].tolist()])
     number = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
     shift = anchor[owner[suffix]] - offset[suffix]  # from the suffix to its anchor
     bucket = number[owner[suffix]] * (int(shift.max()) + 1) + shift
@@ -101,7 +116,7 @@ def earliest(contents, key, anchor, runs, doc, start, width: int):
     group = np.cumsum(new) - 1
     place = begin[owner[suffix]] + offset[suffix]
     comparer = Comparer(data, width)
-    at = merge_sort(place, heads[group], sizes[group], comparer.compare)
+    at = sort_buckets(place, heads, sizes, comparer.compare)
     by_place = np.argsort(place, kind="stable")
     suffix = suffix[by_place[np.searchsorted(place[by_place], at)]]
     same = np.zeros(len(at), bool)
