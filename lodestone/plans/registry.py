@@ -6,24 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import changes, graph, index, search, structure, timeline
+from lodestone.plans import reports  # noqa: F401  registers its queries
+from lodestone.plans.register import QUERIES, SQL, query  # noqa: F401
 from lodestone.sources import intake
 from lodestone.sources.derived import DUCK_PAGES, table, wiki_pages
 
-QUERIES: dict = {}
-SQL: dict = {}
 QUESTIONS = [(1, "BUILDING order"), (2, "customer#000000007"), (3, "the and"), (4, "asia europe"), (5, "1-urgent")]
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def _with(*more: str, then: str) -> str:
     return ", ".join([DUCK_PAGES.rstrip(), *more]) + " " + then
 
