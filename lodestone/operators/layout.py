@@ -1,13 +1,14 @@
 """Reading order from positioned text: lines, repeated margins, columns, headings.
 
 Items are doc_id, page, text, x, y, width, font_size; y grows upwards. A page is the
-unit of grouping and is bounded by its medium, a document is not: nothing below needs
-the pages of a document in one task.
+unit of work. Windows over a document's lines spill, and import limits bound them: at
+most 1,000 pages a document.
 """
 
 from __future__ import annotations
 
 import re
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,41 +35,56 @@ def items_of(documents: DataFrame) -> DataFrame:
     return body.unionByName(head)
 
 
-def lines_of_page(page: pd.DataFrame) -> pd.DataFrame:
-    """text, x, y, max_x, font_size of the lines of one page's items, top to bottom."""
-    tolerance = max(1.5, 0.35 * float(page.font_size.median()))
-    heights: list[float] = []
-    homes = []
-    ordered = page.sort_values(["y", "x"], ascending=[False, True], kind="stable")
-    for y in ordered.y:
-        home = next((i for i, top in enumerate(heights) if abs(top - y) <= tolerance), len(heights))
-        if home == len(heights):
-            heights.append(y)
-        homes.append(home)
-    rows = []
-    for _, items in ordered.assign(home=homes).groupby("home"):
-        items = items.sort_values("x", kind="stable")
-        text, end, before = "", None, ""
-        for item in items.itertuples():
-            if before:
-                wide = item.x - end > max(1.5, 0.65 * width / len(before))
-                text += " " * bool(wide and (SPACED_AFTER.search(before) or SPACED_BEFORE.search(item.text)))
-            text, before, width, end = text + item.text, item.text, item.width, item.x + item.width
-        rows.append((" ".join(text.split()), items.x.iloc[0], items.y.median(), end, items.font_size.median()))
-    return pd.DataFrame(rows, columns=["text", "x", "y", "max_x", "font_size"])
+def line_of(items: list[tuple]) -> tuple:
+    """(text, x, y, max_x, font_size) of the items of a line, from the left."""
+    text, end, width, before = "", 0.0, 0.0, ""
+    for word, x, _, wide, _ in items:
+        if before and x - end > max(1.5, 0.65 * width / len(before)) and (SPACED_AFTER.search(before) or SPACED_BEFORE.search(word)):
+            text += " "
+        text, before, width, end = text + word, word, wide, x + wide
+    return " ".join(text.split()), items[0][1], median(i[2] for i in items), end, median(i[4] for i in items)
+
+
+def lines_of_page(items: list[tuple]) -> list[tuple]:
+    """The lines of one page's items (text, x, y, width, font_size), given top to bottom.
+    An item belongs to the highest line whose first item is within the tolerance."""
+    tolerance = max(1.5, 0.35 * median(i[4] for i in items))
+    open_from, found = 0, []
+    for item in items:
+        # Lines too high for this item are too high for all that follow.
+        while open_from < len(found) and found[open_from][0][2] - item[2] > tolerance:
+            open_from += 1
+        if open_from == len(found):
+            found.append([])
+        found[open_from].append(item)
+    return [line_of(sorted(line, key=lambda i: i[1])) for line in found]
 
 
 def lines(items: DataFrame) -> DataFrame:
-    """doc_id, page, text, x, y, max_x, font_size; blank and null items are left out."""
-    kinds = dict(items.dtypes)
+    """doc_id, page, text, x, y, max_x, font_size; blank and null items are left out.
 
-    def fold(key, page):
-        out = lines_of_page(page)
-        return out.assign(doc_id=key[0], page=key[1])[[*PAGE, *out.columns]]
+    Pages are dealt and sorted by Spark; a task holds the items of one page at a time."""
+    kinds = dict(items.dtypes)
+    columns = [*PAGE, "text", "x", "y", "max_x", "font_size"]
+
+    def run(batches):
+        page, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*[batch[c].tolist() for c in [*PAGE, "text", "x", "y", "width", "font_size"]], strict=True):
+                if held and row[:2] != page:
+                    out += [page + line for line in lines_of_page(held)]
+                    held = []
+                page = row[:2]
+                held.append(row[2:])
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([page + line for line in lines_of_page(held)], columns=columns)
 
     some = items.where("trim(text) <> ''").select(*PAGE, "text", "x", "y", "width", "font_size")
     schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, text string, x double, y double, max_x double, font_size double"
-    return some.groupBy(*PAGE).applyInPandas(fold, schema).where("text <> ''")
+    ordered = some.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("y"), "x")
+    return ordered.mapInPandas(run, schema).where("text <> ''")
 
 
 def without_margins(found: DataFrame, ratio: float = 0.6) -> DataFrame:
@@ -76,12 +92,13 @@ def without_margins(found: DataFrame, ratio: float = 0.6) -> DataFrame:
     document of three pages or more."""
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\d+", "#"), r"\s+", " "))
     page = Window.partitionBy(*PAGE)
-    # A page's top and bottom are its extreme heights, so each page is read once.
-    marked = found.select("*", key.alias("key"), (F.col("y") == F.max("y").over(page)).alias("top"), (F.col("y") == F.min("y").over(page)).alias("bottom"))
-    edges = marked.where("(top OR bottom) AND length(key) BETWEEN 1 AND 120").groupBy("doc_id", "key").agg(F.sum(F.col("top").cast("int") + F.col("bottom").cast("int")).alias("n"))
-    pages = found.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    repeated = edges.join(pages, "doc_id").where((F.col("pages") >= 3) & (F.col("n") / F.col("pages") >= ratio)).select("doc_id", "key", F.lit(True).alias("again"))
-    return marked.join(repeated, ["doc_id", "key"], "left").where("again IS NULL OR NOT (top OR bottom)").select(found.columns)
+    # Dealt by document once, which serves all windows here and those of `reading_order`.
+    marked = found.repartition("doc_id").select("*", key.alias("key"), (F.col("y") == F.max("y").over(page)).alias("top"), (F.col("y") == F.min("y").over(page)).alias("bottom"))
+    edges = F.sum(F.col("top").cast("int") + F.col("bottom").cast("int")).over(Window.partitionBy("doc_id", "key"))
+    pages = F.sum(F.col("top").cast("int")).over(Window.partitionBy("doc_id"))
+    judged = marked.select("*", edges.alias("edges"), pages.alias("pages"))
+    repeated = (F.col("pages") >= 3) & (F.col("edges") / F.col("pages") >= ratio) & F.length("key").between(1, 120)
+    return judged.where(~(repeated & (F.col("top") | F.col("bottom")))).select(found.columns)
 
 
 def reading_order(found: DataFrame, page_width: float) -> DataFrame:
