@@ -14,6 +14,8 @@ part but never name a component unless nothing else does. Repeated rows are copi
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,8 +29,13 @@ from lodestone.llm.components import components
 SEED = 42
 BLOCK = 512
 NO_ID = -(1 << 63)
-#: Bits of a wide fingerprint; its bands, and the bits of each; rows that a byte can count.
-WIDE, BANDS, BAND, SLAB = 512, 36, 14, 255
+#: Parts (by leading bits) in which the shingles of a set are counted; pairs compared at
+#: once; what rounding may add to a bound.
+PARTS, SLAB, SLACK = 64, 1 << 14, 1e-9
+#: Pairs whose sets seem to differ by no more than this share of what is allowed are near.
+NEAR = 0.5
+#: Ids and bytes of sets that are broadcast at most.
+FEW_IDS, FEW_BYTES = 500_000, 32 << 20
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -150,102 +157,204 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile: int
     return found.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """512-bit fingerprint over the distinct shingles of `width` words; zero without words."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of `width` words, in order; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, stops[:-1] + 1]
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops[-n:].tolist(), strict=True)], np.uint64))
-    total = np.zeros(WIDE, np.int64)
-    for i in range(0, len(hashes), SLAB * 64):
-        part = hashes[i : i + SLAB * 64, None]
-        derived = anchors.mix(part + np.arange(WIDE // 64, dtype=np.uint64) * anchors._GOLD)
-        bits = np.unpackbits(derived.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        for j in range(0, len(bits), SLAB):  # no more rows than a byte can count
-            total += bits[j : j + SLAB].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
-
-
-def radius_of(similarity: float) -> int:
-    """Bits in which the wide fingerprints of two sets of this Jaccard similarity differ:
-    the mean and one standard deviation."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * p + np.sqrt(WIDE * p * (1 - p)))
-
-
-def wide_links(value: np.ndarray, fp: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (member, least member; as rows) of the links among rows of equal `value`, or
-    of those between rows of unequal `side` where it is given.
-
-    Rows of a value are sorted by population count, and each is compared with the row d
-    behind it for growing d; pairs whose counts differ beyond the radius are skipped.
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops[-n:].tolist(), strict=True)], np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Names a set of shingles, as a signed integer."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes of a set in the order (count among the common, hash): so many that
+    two sets of at least this Jaccard similarity have one of them in common."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    listed, count = common
+    rank = np.zeros(n, np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        rank = np.where(listed[at] == hashes, count[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
+
+
+def candidates(value, node, size, counts, side, similarity: float, forest: bool):
+    """x, y: pairs of rows of equal `value` (of unequal `side` where it is given) and unequal
+    `node` whose sets can have this similarity.
+
+    The counts by part of two sets differ by no more than the sets do, so no pair is lost.
+    With `forest`, only pairs that span what all pairs connect, the likeliest first: those
+    that seem to differ by at most NEAR of what is allowed as they are met, then the best
+    of each tree.
     """
-    count = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-    order = np.lexsort((count, value))
-    value, fp, count = value[order], fp[order], count[order]
-    sets, live, d = Sets(len(value)), np.arange(len(value)), 1
+    order = np.lexsort((node, size, value))
+    value, node, size, counts = value[order], node[order], size[order], counts[order]
+    side = None if side is None else side[order]
+    sets, live, d, out = Sets(int(node.max(initial=-1)) + 1), np.arange(len(value)), 1, []
+    room = (1 - similarity) / (1 + similarity)
     while len(live):
         live = live[live + d < len(value)]
-        live = live[(value[live] == value[live + d]) & (count[live + d] - count[live] <= radius)]
-        pick = live if side is None else live[side[order[live]] != side[order[live + d]]]
-        pick = pick[np.bitwise_count(fp[pick] ^ fp[pick + d]).sum(axis=1, dtype=np.int64) <= radius]
-        sets.unite(pick, pick + d)
+        live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
+        pick = live if side is None else live[side[live] != side[live + d]]
+        pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
+        for i in range(0, len(pick), SLAB):
+            x = pick[i : i + SLAB]
+            apart, limit = counts[x].astype(np.int16) - counts[x + d], room * (size[x] + size[x + d])
+            fits = np.abs(apart).sum(axis=1, dtype=np.int64) <= limit + SLACK
+            x, apart, limit = x[fits], apart[fits].astype(np.int32), limit[fits]
+            far = (apart * apart).sum(axis=1) / np.maximum(limit, SLACK)
+            out.append((x, x + d, far))
+            if forest:
+                near = far <= NEAR
+                sets.unite(node[x[near]], node[x[near] + d])
         d += 1
-    member, top = sets.star()
-    return order[member], order[top]
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+    if forest:
+        chosen, best = [np.flatnonzero(far <= NEAR)], np.argsort(far, kind="stable")
+        while len(best):
+            a, b = sets.root(node[x[best]]), sets.root(node[y[best]])
+            best, a, b = best[a != b], a[a != b], b[a != b]
+            first = np.unique(np.concatenate([np.unique(c, return_index=True)[1] for c in (a, b)]))
+            chosen.append(best[first])
+            sets.unite(a[first], b[first])
+        x, y = (c[np.concatenate(chosen)] for c in (x, y))
+    return order[x], order[y]
+
+
+def common_shingles(docs: DataFrame, width: int, documents: int = 8192, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the documents, in order, and how often they do.
+
+    They only order the shingles of a set; any choice gives the same result."""
+    share = max(1, docs.count() // documents)
 
+    def make():
+        return lambda texts: {"h": pa.array(np.concatenate([np.empty(0, np.uint64), *(shingles(t, width) for t in texts)]).view(np.int64))}
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
-    """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
-    of those connected to it by a similarity of about `similarity` or more.
-
-    Fingerprints have 512 bits, so that their distance tells the Jaccard similarity of
-    the shingle sets to about 0.04. Pairs are compared that agree in one of 36 bands of
-    14 bits, which finds 97.8% of pairs at 0.8 and 99.9% at 0.9. Rows of a band are dealt
-    by the band's leading bits, and what exceeds `tile` rows in pairs of tiles.
-    Null doc_ids count as the smallest id.
-    """
+    sample = map_texts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), ["text"], "h long", make)
+    rows = sample.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).collect()
+    listed, count = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(listed)
+    return listed[order], count[order]
 
-    def make():
-        return lambda doc_ids, texts: {"id": pa.array(doc_ids, pa.int64()), "fp": pa.array([wide_fingerprint(t, width) for t in texts], pa.binary())}
 
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    found = map_texts(ids, ["doc_id", "text"], "id long, fp binary", make)
-    classes = stored(found.groupBy("fp").agg(F.min("id").alias("id")))
-    lead = int(min(BAND, max(0, np.ceil(np.log2(max(1, classes.count()) / tile)))))
+def pairs_of(classes: DataFrame, similarity: float, tile: int, forest: bool) -> DataFrame:
+    """u, v (keys), ui, vi (ids): the candidate pairs of sets of unequal `node`, each once."""
+    total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    # Mean cells stay well below a tile, so that only common shingles are dealt in tiles.
+    lead = int(max(0, np.ceil(np.log2(max(1, total / 8) * 4 / tile))))
 
-    def bands(batches):
+    def explode(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                n, bits = part.num_rows, np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-                value = bits[:, : BAND * BANDS].reshape(n, BANDS, BAND) @ (1 << np.arange(BAND)[::-1])
-                value = (value + (np.arange(BANDS) << BAND)).ravel().astype(np.int32)
-                again = pa.array(np.repeat(np.arange(n), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(value), part.column(0).take(again), part.column(1).take(again)], names=["value", "id", "fp"])
-
-    rows = classes.select("id", "fp").mapInArrow(bands, "value int, id long, fp binary").withColumn("cell", F.shiftrightunsigned("value", BAND - lead))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                column = part.column(4).to_pylist()
+                value = np.frombuffer(b"".join(column), "<i8")
+                again = pa.array(np.repeat(np.arange(part.num_rows), [len(p) // 8 for p in column]))
+                cell = (anchors.mix(value.view(np.uint64)) & np.uint64((1 << lead) - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(value), *(part.column(c).take(again) for c in (0, 1, 2, 3, 5))], names=["cell", "value", "k", "id", "size", "counts", "node"])
+
+    rows = classes.select("k", "id", "size", "counts", "prefix", "node").mapInArrow(explode, "cell long, value long, k long, id long, size int, counts binary, node long")
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
-    # At most 36 * 2^14 rows whatever the input.
-    dealt = rows.join(F.broadcast(sizes), "cell", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    dealt = rows.join(F.broadcast(sizes), "cell", "left").withColumn("own", F.pmod(F.xxhash64("k"), F.coalesce("tiles", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "id", "fp")
-    radius = radius_of(similarity)
+    tiles = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "k", "id", "size", "counts", "node")
 
     def compare(key, group):
         _, i, j = (k.as_py() for k in key)
-        ids, value = group.column("id").to_numpy(), group.column("value").to_numpy()
-        fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), "<u8").reshape(-1, WIDE // 64)
-        member, top = wide_links(value, fp, None if i == j else group.column("own").to_numpy(), radius)
-        return pa.table({"u": ids[member], "v": ids[top]})
+        k, ids = group.column("k").to_numpy(), group.column("id").to_numpy()
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, PARTS)
+        node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
+        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), counts, None if i == j else group.column("own").to_numpy(), similarity, forest)
+        x, y = np.where(k[x] < k[y], x, y), np.where(k[x] < k[y], y, x)
+        return pa.table({"u": k[x], "v": k[y], "ui": ids[x], "vi": ids[y]})
+
+    return tiles.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, ui long, vi long").distinct()
 
-    edges = pairs.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long").distinct()
-    roots = components(edges).withColumnRenamed("u", "id")
+
+def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
+    """`pairs` with a column `same`: whether the Jaccard similarity, counted over the two
+    sets of shingles, is at least `similarity`."""
+    need = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("k"), F.col("ui").alias("id")), F.struct(F.col("v").alias("k"), F.col("vi").alias("id")))).alias("x")).select("x.*").distinct()
+
+    def make():
+        def f(doc_ids, texts):
+            found = [shingles(t, width) for t in texts]
+            return {"k": pa.array([set_key(h) for h in found], pa.int64()), "hashes": pa.array([h.tobytes() for h in found], pa.binary())}
+
+        return f
+
+    wanted = stored(need.select(F.col("id").alias("doc_id")).distinct())
+    # Small sides are broadcast, up to a fixed size, so that texts and sets are not shuffled.
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
+    again = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, hashes binary", make)
+    sets = stored(again.dropDuplicates(["k"]))
+    small = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) <= FEW_BYTES
+
+    def judge(batches):
+        for batch in batches:
+            same = []
+            for a, b in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = (np.frombuffer(c.as_buffer(), "<u8") for c in (a, b))
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                same.append(both >= similarity * (len(a) + len(b) - both) - SLACK)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["u", "v", "ui", "vi", "same"])
+
+    left, right = sets.select(F.col("k").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("k").alias("v"), F.col("hashes").alias("b"))
+    left, right = (F.broadcast(left), F.broadcast(right)) if small else (left, right)
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "ui", "vi", "a", "b")
+    return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
+    """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
+    of those connected to it by Jaccard similarities of `similarity` or more.
+
+    Two such sets share one of the first fifth of their shingles in any fixed order (rare
+    ones first here). Sets meet by these, and pairs that sizes and counts by part do not
+    rule out are verified on the sets themselves, so links are exact up to 64-bit hashes.
+    Pairs that span all others are verified first; where one of them proves false, so are
+    all pairs of what it spanned that true ones leave apart. Null doc_ids count as the smallest id.
+    """
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    common = ids.sparkSession.sparkContext.broadcast(common_shingles(ids, width))
+
+    def make():
+        def f(doc_ids, texts):
+            found = [shingles(t, width) for t in texts]
+            counts = [np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for h in found]
+            return {"id": pa.array(doc_ids, pa.int64()), "k": pa.array([set_key(h) for h in found], pa.int64()), "size": pa.array([len(h) for h in found], pa.int32()),
+                    "counts": pa.array(counts, pa.binary()), "prefix": pa.array([prefix(h, common.value, similarity).tobytes() for h in found], pa.binary())}
+
+        return f
+
+    found = map_texts(ids, ["doc_id", "text"], "id long, k long, size int, counts binary, prefix binary", make)
+    # Rows of one key are alike in all but the id.
+    classes = stored(found.groupBy("k").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")))
+    judged = verified(stored(pairs_of(classes.withColumn("node", F.col("k")), similarity, tile, True)), ids, width, similarity)
+    edges, false = judged.where("same"), judged.where("NOT same")
+    if not false.isEmpty():
+        # What a false pair connected is paired again: all pairs of sets not yet connected.
+        trees = components(judged.select("u", "v"))
+        tops = trees.join(false.select("u").unionByName(false.select(F.col("v").alias("u"))), "u", "left_semi").select("root").distinct()
+        again = trees.join(tops, "root", "left_semi").select("u").unionByName(tops.withColumnRenamed("root", "u"))
+        known = components(edges.select("u", "v")).select("u", F.col("root").alias("node"))
+        members = classes.join(again.join(known, "u", "left"), F.col("k") == F.col("u")).withColumn("node", F.coalesce("node", "k"))
+        rest = pairs_of(stored(members), similarity, tile, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
+        edges = edges.unionByName(verified(stored(rest), ids, width, similarity).where("same"))
+    roots = components(edges.select(F.col("ui").alias("u"), F.col("vi").alias("v"))).withColumnRenamed("u", "id")
     return classes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 

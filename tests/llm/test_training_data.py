@@ -220,6 +220,48 @@ def test_similar_documents(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def brute_components(texts, n=5):
+    """id -> least id connected by Jaccard similarities of 0.8 or more; also the pairs at 0.78 to 0.82."""
+    sets = {i: shingle_set(t, n) for i, t in texts.items()}
+    root, close, ids = {i: i for i in texts}, [], sorted(texts)
+    for at, i in enumerate(ids):
+        for k in ids[at + 1 :]:
+            both = len(sets[i] & sets[k])
+            union = len(sets[i]) + len(sets[k]) - both
+            if abs(both / max(1, union) - 0.8) < 0.02:
+                close.append((i, k))
+            if not union or 5 * both >= 4 * union:
+                a, b = sorted((root[i], root[k]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    return root, close
+
+
+def test_similar_at_the_threshold(spark, monkeypatch):
+    """Pairs just above and below 0.8 are linked and kept apart as brute force tells."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    texts = {}
+    for g in range(50):
+        base = [word() for _ in range(r.choice([5, 9, 24, 120, 400]))]
+        for k in range(5):
+            edited = list(base)
+            for at in r.sample(range(len(base)), r.choice([0, 1, max(1, len(base) // 46), max(1, len(base) // 44), max(1, len(base) // 40)])):
+                edited[at] = word()
+            texts[g * 10 + k] = " ".join(edited + [word() for _ in range(r.choice([0, 0, len(base) // 9, len(base) // 4]))])
+    texts |= {600: " ".join("abcd"), 601: " ".join("abcde"), 602: "", 603: " "}
+    wanted, close = brute_components(texts)
+    assert len(close) > 10
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = sorted(i for i, top in wanted.items() if i == top)
+    assert sorted(x.doc_id for x in simhash.one_of_each(frame).collect()) == left
+    assert sorted(x.doc_id for x in simhash.one_of_each(frame, tile=4).collect()) == left
+    monkeypatch.setattr(simhash, "FEW_IDS", 0)
+    monkeypatch.setattr(simhash, "FEW_BYTES", 0)
+    # Where every pair that may be near is taken for one, the false ones are found and made good.
+    monkeypatch.setattr(simhash, "NEAR", 100.0)
+    assert sorted(x.doc_id for x in simhash.one_of_each(frame).collect()) == left
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 0), 101: 100}
