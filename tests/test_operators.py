@@ -52,6 +52,15 @@ def test_two_hops(spark):
     assert {r.target: r.reachable for r in graph.reachable_within_two(pairs, links).collect()} == {"a": True, "c": True, "z": False}
 
 
+def test_routes_in_each_direction(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a"), ("c", "a"), ("b", "b")], "from_path string, to_path string")
+    start = spark.createDataFrame([("a",)], "path string")
+    found = {d: {r.path: (r.hop, ["".join(x) for x in r.routes]) for r in graph.routes(start, links, d).collect()} for d in ("outgoing", "backlinks", "both")}
+    assert found["outgoing"] == {"b": (1, ["ab"]), "c": (1, ["abc", "ac"])}
+    assert found["backlinks"] == {"b": (2, ["acb"]), "c": (1, ["ac"]), "d": (1, ["ad"])}
+    assert found["both"] == {"b": (1, ["ab", "acb"]), "c": (1, ["abc", "ac"]), "d": (1, ["ad"])}
+
+
 def test_apply_then_rollback_is_identity(spark):
     pages = changes.with_hash(spark.createDataFrame([("wiki/a", "one"), ("wiki/b", "two")], "path string, content string"))
     digest = {r.path: r.hash for r in pages.collect()}
