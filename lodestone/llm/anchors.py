@@ -32,14 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_grams(data: bytes) -> np.ndarray:
-    """Hashes of all 16-byte grams of `data` (little-endian loads at each offset)."""
-    n = len(data) - 15
+def byte_grams(data: bytes, k: int = 24) -> np.ndarray:
+    """Hashes of all k-byte grams of `data`, k a multiple of 8 (little-endian loads)."""
+    n = len(data) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    low = np.ndarray((n,), "<u8", data, strides=(1,)).astype(np.uint64)
-    high = np.ndarray((n,), "<u8", data, 8, strides=(1,)).astype(np.uint64)
-    return mix(low * _GOLD + mix(high + _GOLD))
+    out = np.zeros(n, np.uint64)
+    for at in range(0, k, 8):
+        out = mix(out * _GOLD + np.ndarray((n,), "<u8", data, at, strides=(1,)))
+    return out
 
 
 def symbol_grams(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -99,6 +100,7 @@ class Prefix:
     #: The power of a position is that of its multiple of 4,096 times that of the rest, so
     #: the tables stay small however long the data are.
     _bits = 12
+    _low = None
 
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
@@ -106,13 +108,19 @@ class Prefix:
         factors[0] = 1
         return np.cumprod(factors, dtype=np.uint64)
 
+    @classmethod
+    def _fixed(cls):
+        if cls._low is None:
+            size, inverse = 1 << cls._bits, pow(cls._base, -1, 1 << 64)
+            cls._low = cls._powers(cls._base, size), cls._powers(inverse, size)
+        return cls._low
+
     def __init__(self, data: np.ndarray):
         n, size = len(data), 1 << self._bits
-        inverse = pow(self._base, -1, 1 << 64)
         blocks = n // size + 1
-        self.low = self._powers(inverse, size)
-        self.high = self._powers(pow(inverse, size, 1 << 64), blocks)
-        low, high = self._powers(self._base, size), self._powers(pow(self._base, size, 1 << 64), blocks)
+        low, self.low = self._fixed()
+        high = self._powers(pow(self._base, size, 1 << 64), blocks)
+        self.high = self._powers(pow(self._base, -size, 1 << 64), blocks)
         self.sums = np.zeros(n + 1, np.uint64)
         for i in range(blocks):
             part = self._table[data[i * size : (i + 1) * size]]

@@ -139,11 +139,11 @@ def earliest(contents, key, anchor, runs, doc, start, width: int):
     return first_doc, first_start
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, carry: tuple[str, ...] = (), part_bytes: int = repeats.PART_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, carry: tuple[str, ...] = (), part_bytes: int = repeats.PART_BYTES, **hot_options) -> DataFrame:
     """doc_id, n_units (words), n_removed, n_spans, kept (words joined by a space).
 
     Removes words inside windows of `width` words whose sequence also starts in a
     document of smaller id.
     """
     schema = ", ".join([repeats.SPAN_SCHEMA, *(f"{c} {dict(docs.dtypes)[c]}" for c in carry)])
-    return repeats.covered_spans(docs, repeats.Words(width), earliest, repeats.finish_documents, schema, False, carry, part_bytes)
+    return repeats.covered_spans(docs, repeats.Words(width), earliest, repeats.finish_documents, schema, False, carry, part_bytes, **hot_options)

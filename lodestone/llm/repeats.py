@@ -3,6 +3,11 @@
 Two operators share it: one over 13-word windows with an FM-index per shard, one over
 100-byte windows with a suffix sort per shard. The steps, all on grouped Arrow tables:
 
+0. Anchors with very many distinct contents (a line that a third of the documents have)
+   are found by counting a share of all contents, by their digests. Segments under such
+   an anchor are split by the distance of the window to the anchor and by the bytes that
+   all windows of that distance have in common; equal windows still meet, and contents
+   that keep a key differ in three bytes (one word) before and behind those at most.
 1. Documents are dealt into parts by a hash; this is the only shuffle of texts, and the
    same exchange serves steps 1, 3 and 5. A part lists its distinct segments (see
    `anchors`): key, content hash, earliest (document, start). Lists go to shards by key.
@@ -13,8 +18,10 @@ Two operators share it: one over 13-word windows with an FM-index per shard, one
    earliest place where it starts. Copies count once however many there are.
 5. The answers go back to the parts, which mark the covered units of each document.
 
-Nothing is collected to the driver. The number of parts and of shards grows with the
-bytes of the texts, so that a part or a shard stays small. Null texts are empty. Null
+Nothing but the hot anchors (at most HOT_MOST) is collected to the driver. The number of
+parts and of shards grows with the bytes of the texts, so that a part or a shard stays
+small; a list from a part to a shard has one segment at least, so their number is never
+above that of the segments. Null texts are empty. Null
 doc_ids sort before all others and count as one document, as do rows that share a
 doc_id. Empty tables give no rows.
 """
@@ -25,21 +32,25 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import anchors
+from lodestone.llm.arrowtools import map_texts
 
 PACK = 1 << 16
 PART_BYTES = 4 << 20
+#: An anchor with this many distinct contents is hot; one in HOT_SHARE of all contents is
+#: counted (by digest), and at most HOT_MOST anchors, the hottest, are sent to the tasks.
+HOT_CONTENTS, HOT_SHARE, HOT_MOST = 4096, 16, 100_000
 NO_ID = -(1 << 63)
 
 
 class Bytes:
     """Windows of `width` bytes; a unit is a byte."""
 
-    k = 16
+    #: Bytes of a gram; distances to a hot anchor that stay together.
+    k, near = 24, 4
 
     def __init__(self, width: int = 100):
         self.width = width
@@ -49,14 +60,14 @@ class Bytes:
         data = (text or "").encode()
         return data, None, len(data)
 
-    def grams(self, data: bytes, starts) -> np.ndarray:
-        return anchors.byte_grams(data)
+    def grams(self, data: bytes, prefix: anchors.Prefix, starts) -> np.ndarray:
+        return anchors.byte_grams(data, self.k)
 
 
 class Words:
     """Windows of `width` words, which are joined by one space; a unit is a word."""
 
-    k = 4
+    k, near = 4, 2
 
     def __init__(self, width: int = 13):
         self.width = width
@@ -64,17 +75,19 @@ class Words:
     def units(self, text: str | None):
         words = (text or "").encode().split()
         stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        return b" ".join(words), np.r_[0, stops], len(words)
+        return b" ".join(words), np.concatenate([[0], stops]), len(words)
 
-    def grams(self, data: bytes, starts) -> np.ndarray:
-        return anchors.symbol_grams(anchors.mix(anchors.Prefix(np.frombuffer(data, np.uint8)).hash(starts[:-1], starts[1:] - 1)), self.k)
+    def grams(self, data: bytes, prefix: anchors.Prefix, starts) -> np.ndarray:
+        return anchors.symbol_grams(anchors.mix(prefix.hash(starts[:-1], starts[1:] - 1)), self.k)
 
 
 class Segments:
-    """All segments of some texts, as arrays: text, start, runs, key, anchor, digest."""
+    """All segments of some texts, as arrays: text, start, runs, key, anchor, digest.
 
-    def __init__(self, scheme, texts: list[str | None]):
-        self.scheme = scheme
+    Those under one of the `hot` keys (ascending) are split, see `_split`."""
+
+    def __init__(self, scheme, texts: list[str | None], hot: np.ndarray | None = None):
+        self.scheme, self.hot = scheme, np.empty(0, np.uint64) if hot is None else hot
         self.sources = [scheme.units(t) for t in texts]
         found, waiting, held = [], [], 0
         for i, (_, _, n) in enumerate(self.sources):
@@ -90,12 +103,12 @@ class Segments:
                 waiting.append((i, 0, n))
                 held += n
         found.append(self._scan(waiting))
-        self.text, self.start, self.runs, self.key, self.anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-        digest = xxhash.xxh64_intdigest
-        self.digest = np.fromiter((digest(self.content(i)) for i in range(len(self.text))), np.uint64, len(self.text))
+        self.text, self.start, self.runs, self.key, self.anchor, self.digest = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def _scan(self, slices):
         scheme, parts, marks, at = self.scheme, [], [], 0
+        if not slices:
+            return *anchors._NONE, np.empty(0, np.uint64)
         for i, a, b in slices:
             data, starts, _ = self.sources[i]
             if starts is None:
@@ -104,15 +117,42 @@ class Segments:
                 parts.append(data[starts[a] : starts[b] - 1])
                 marks.append(starts[a:b] - starts[a] + at)
                 at += int(starts[b] - starts[a])
-        if not slices:
-            return anchors._NONE
-        glue = b"" if not marks else b" "
-        grams = scheme.grams(glue.join(parts), np.r_[np.concatenate(marks), at] if marks else None)
+        data = (b" " if marks else b"").join(parts)
+        starts = np.concatenate([*marks, [at]]) if marks else None
+        prefix = anchors.Prefix(np.frombuffer(data, np.uint8))
         sizes = np.array([b - a for _, a, b in slices])
         ends = np.cumsum(sizes)
-        text, start, runs, key, anchor = anchors.segments(grams, ends, scheme.width, scheme.k)
+        text, start, runs, key, anchor = anchors.segments(scheme.grams(data, prefix, starts), ends, scheme.width, scheme.k)
+
+        def digest(a, b):
+            """Of the units a to b, both arrays."""
+            h = prefix.hash(a, b) if starts is None else prefix.hash(starts[a], starts[b] - 1)
+            return anchors.mix(h + (b - a).astype(np.uint64) * anchors._GOLD)
+
+        if len(self.hot) and len(key):
+            text, start, runs, key, anchor = self._split(text, start, runs, key, anchor, digest)
+        own = digest(start, start + runs + scheme.width - 1)
         number, first = np.array([i for i, _, _ in slices]), np.array([a for _, a, _ in slices])
-        return number[text], start - (ends - sizes)[text] + first[text], runs, key, anchor
+        return number[text], start - (ends - sizes)[text] + first[text], runs, key, anchor, own
+
+    def _split(self, text, start, runs, key, anchor, digest):
+        """Cuts the segments under hot keys into runs of windows with nearly one distance to
+        the anchor. The new key is made of the old one, the range of the distance and the
+        units which all windows of the range have in common, so equal windows share it."""
+        near, width = self.scheme.near, self.scheme.width
+        is_hot = self.hot[np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)] == key
+        cold, of = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        if not len(of):
+            return text, start, runs, key, anchor
+        owner, offset = window_places(runs[of])
+        owner = of[owner]
+        reach = (anchor[owner] - offset) // near
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (reach[1:] != reach[:-1])]))
+        owner, offset, reach, count = owner[new], offset[new], reach[new], np.diff(np.append(new, len(owner)))
+        core = start[owner] + anchor[owner] - reach * near
+        again = anchors.mix(key[owner] + anchors.mix(digest(core, core + width - near + 1) + reach.astype(np.uint64) * anchors._GOLD))
+        pieces = text[owner], start[owner] + offset, count, again, anchor[owner] - offset
+        return tuple(np.concatenate([whole[cold], piece]) for whole, piece in zip((text, start, runs, key, anchor), pieces, strict=True))
 
     def content(self, i: int) -> bytes:
         data, starts, _ = self.sources[self.text[i]]
@@ -164,14 +204,37 @@ def _rows(table: pa.Table):
     return zip(*(table.column(c).to_pylist() for c in ("block", "part", "n", "blob")), strict=True)
 
 
-def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, schema: str, same_document: bool, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES) -> DataFrame:
+def hot_keys(docs: DataFrame, scheme, contents: int = HOT_CONTENTS, share: int = HOT_SHARE, most: int = HOT_MOST) -> np.ndarray:
+    """Keys, ascending, that at least about `contents` distinct contents have.
+
+    All texts are read; of their contents one in `share`, by digest, is counted. What is
+    found only moves work between tasks: results are the same for any list of keys.
+    """
+
+    def make():
+        def run(texts):
+            s = Segments(scheme, texts)
+            pick = np.flatnonzero(s.digest % np.uint64(share) == 0)
+            pair = np.unique(np.stack([s.key[pick], s.digest[pick]], axis=1), axis=0)
+            return {"key": pa.array(pair[:, 0].view(np.int64)), "digest": pa.array(pair[:, 1].view(np.int64))}
+
+        return run
+
+    seen = map_texts(docs, ["text"], "key long, digest long", make).distinct()
+    counted = seen.groupBy("key").count().where(F.col("count") * share >= contents)
+    rows = counted.orderBy(F.desc("count"), "key").limit(most).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, schema: str, same_document: bool, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, **hot_options) -> DataFrame:
     """Runs the plan; `finish(units, spans)` makes the output columns of a document.
 
     `index(contents, key, anchor, runs, doc, start, width)` answers for a shard with, per
     content, the earliest document and start of each window (two arrays per content).
     With `same_document`, an earlier start in the same document counts as earlier.
-    `carry` columns are copied to the output.
+    `carry` columns are copied to the output. `hot_options` go to `hot_keys`.
     """
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(docs, scheme, **hot_options))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // part_bytes))
     blocks = int(parts)
@@ -181,7 +244,7 @@ def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, sc
     def list_segments(key, rows):
         part = key[0].as_py()
         doc, texts = _documents(rows)
-        s = Segments(scheme, texts)
+        s = Segments(scheme, texts, hot.value)
         order, new, first, owner, cut = s.distinct(doc, blocks)
         many = np.diff(np.r_[first, len(order)]) > 1
         lead = order[first]
@@ -217,7 +280,7 @@ def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, sc
             return _table([])
         part = key[0].as_py()
         doc, texts = _documents(rows)
-        s = Segments(scheme, texts)
+        s = Segments(scheme, texts, hot.value)
         order, _, first, _, cut = s.distinct(doc, blocks)
         out = []
         for block, _, n, blob in _rows(asked):
@@ -275,7 +338,7 @@ def covered_spans(docs: DataFrame, scheme, index: Callable, finish: Callable, sc
         doc, texts = _documents(rows)
         if not rows.num_rows:
             return finish([], [], rows, carry)
-        s = Segments(scheme, texts)
+        s = Segments(scheme, texts, hot.value)
         order, new, first, owner, cut = s.distinct(doc, blocks)
         number = np.cumsum(new) - 1
         last = np.r_[first[1:], len(order)] if len(first) else first

@@ -1,7 +1,8 @@
 """Suffix-array dedup by a hash-compared suffix sort.
 
 Equal windows share their anchor at the same offset, so a shard's suffixes fall into
-buckets by (anchor key, offset) and only suffixes of a bucket are sorted. The sort is a
+buckets by (anchor key, offset) and only suffixes of a bucket are sorted. Suffixes whose
+head has the hash of no other in the bucket are in no repeat and left out. The sort is a
 bottom-up mergesort over all buckets at once. Two suffixes are compared by the length
 of their common extension, found by binary search over prefix polynomial hashes, and
 the byte behind it: a logarithmic number of hash comparisons. Neighbours that compare
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lodestone.llm import repeats
-from lodestone.llm.anchors import Prefix
+from lodestone.llm.anchors import _GOLD, Prefix, mix
 
 
 class Comparer:
@@ -100,22 +101,21 @@ def earliest(contents, key, anchor, runs, doc, start, width: int):
     number = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
     shift = anchor[owner[suffix]] - offset[suffix]  # from the suffix to its anchor
     bucket = number[owner[suffix]] * (int(shift.max()) + 1) + shift
-    order = np.argsort(bucket, kind="stable")
-    suffix, bucket = suffix[order], bucket[order]
-    new = np.r_[True, bucket[1:] != bucket[:-1]]
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.r_[heads, len(bucket)])
-    group = np.cumsum(new) - 1
-    kept = sizes[group] > 1
-    suffix, group = suffix[kept], group[kept]
+    comparer = Comparer(data, width)
+    place = begin[owner[suffix]] + offset[suffix]
+    # A suffix whose head has a hash of its own in its bucket equals no other: the rest is sorted.
+    heads_hash = mix(comparer.prefix.hash(place, place + width) + bucket.astype(np.uint64) * _GOLD)
+    order = np.argsort(heads_hash)
+    twin = heads_hash[order][1:] == heads_hash[order][:-1]
+    order = order[np.r_[False, twin] | np.r_[twin, False]]
+    order = order[np.argsort(bucket[order], kind="stable")]
+    suffix, bucket, place = suffix[order], bucket[order], place[order]
     if not len(suffix):
         return first_doc, first_start
-    new = np.r_[True, group[1:] != group[:-1]]
+    new = np.r_[True, bucket[1:] != bucket[:-1]]
     heads = np.flatnonzero(new)
-    sizes = np.diff(np.r_[heads, len(group)])
+    sizes = np.diff(np.r_[heads, len(bucket)])
     group = np.cumsum(new) - 1
-    place = begin[owner[suffix]] + offset[suffix]
-    comparer = Comparer(data, width)
     at = sort_buckets(place, heads, sizes, comparer.compare)
     by_place = np.argsort(place, kind="stable")
     suffix = suffix[by_place[np.searchsorted(place[by_place], at)]]
@@ -139,7 +139,7 @@ def earliest(contents, key, anchor, runs, doc, start, width: int):
     return first_doc, first_start
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = (), as_text: bool = False, part_bytes: int = repeats.PART_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = (), as_text: bool = False, part_bytes: int = repeats.PART_BYTES, **hot_options) -> DataFrame:
     """doc_id, n_units (bytes), n_removed, n_spans, kept (the remaining bytes).
 
     Removes bytes covered by a string of `width` bytes that also starts earlier. With
@@ -148,4 +148,4 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = (),
     finish = repeats.finish_texts if as_text else repeats.finish_documents
     kind = repeats.SPAN_SCHEMA.replace("binary", "string") if as_text else repeats.SPAN_SCHEMA
     schema = ", ".join([kind, *(f"{c} {dict(docs.dtypes)[c]}" for c in carry)])
-    return repeats.covered_spans(docs, repeats.Bytes(width), earliest, finish, schema, True, carry, part_bytes)
+    return repeats.covered_spans(docs, repeats.Bytes(width), earliest, finish, schema, True, carry, part_bytes, **hot_options)

@@ -105,8 +105,9 @@ def test_fm_index_dedup(docs, rows, empty):
             if first[tuple(w[k : k + 13])] < (-1 if i is None else i):
                 gone[k : k + 13] = [1] * 13
         wanted.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    found = fmindex.substring_dedup(docs, part_bytes=2000, carry=("lang", "source")).collect()
-    assert sorted((str(r.doc_id), r.n_units, r.n_removed, bytes(r.kept).decode()) for r in found) == sorted(wanted)
+    for options in ({}, {"contents": 2, "share": 1}):
+        found = fmindex.substring_dedup(docs, part_bytes=2000, carry=("lang", "source"), **options).collect()
+        assert sorted((str(r.doc_id), r.n_units, r.n_removed, bytes(r.kept).decode()) for r in found) == sorted(wanted)
     assert sum(w[2] for w in wanted) > 0 and fmindex.substring_dedup(empty).count() == 0
 
 
@@ -126,8 +127,9 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[k : k + 100] = b"\1" * 100
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         wanted.append((str(i), len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
-    found = suffixsort.suffix_dedup(docs, part_bytes=3000).collect()
-    assert sorted((str(r.doc_id), r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(wanted)
+    for options in ({}, {"contents": 2, "share": 1}):  # the latter: nearly all anchors are hot
+        found = suffixsort.suffix_dedup(docs, part_bytes=3000, **options).collect()
+        assert sorted((str(r.doc_id), r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(wanted)
     assert suffixsort.suffix_dedup(empty, as_text=True).count() == 0
 
 
@@ -150,6 +152,28 @@ def test_wavelet_and_segments():
     assert s.runs[s.text == 2].sum() == len(texts[2]) - 99
 
 
+def test_hot_anchors_are_split(spark):
+    """One line in all documents with differing surroundings: results hold, and no key of the
+    split segments keeps the contents of all documents."""
+    r = random.Random(8)
+    line = " ".join(f"common{i:02d}" for i in range(30))
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(25))
+    rows = [(i, f"{text()} {line} {text()}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup, scheme in ((suffixsort.suffix_dedup, repeats.Bytes()), (fmindex.substring_dedup, repeats.Words())):
+        found = {x.doc_id: bytes(x.kept) for x in dedup(docs, part_bytes=20_000, contents=50, share=1).collect()}
+        assert found[0].decode() == rows[0][1]
+        assert all(line.encode() not in found[i] and abs(len(found[i]) - 300) < 14 for i in range(1, 300))
+        hot = repeats.hot_keys(docs, scheme, contents=50, share=1)
+        scheme.near = 1  # three bytes or one word of such texts would still tell all apart
+        most = []
+        for keys in (None, hot):
+            s = repeats.Segments(scheme, [t for _, t in rows], keys)
+            pair = np.unique(np.stack([s.key, s.digest]), axis=1)
+            most.append(np.unique(pair[0], return_counts=True)[1].max())
+        assert len(hot) and most[0] >= 250 and most[1] < 25
+
+
 def slow_fingerprint(t):
     w = words("".join(c.lower() if c < "\x7f" else c for c in t or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -269,20 +293,25 @@ def test_components_of_a_chain(spark):
 
 def test_top_k(spark):
     r = np.random.default_rng(2)
-    vectors = [(i, r.normal(size=8).astype("f4").tolist()) for i in range(400)] + [(400, [1.0] * 8), (401, [1.0] * 8), (50, [0.5] * 8), (402, None), (403, []), (404, [1.0, None]), (405, [float("nan")] * 8), (406, [2.0]), (None, [9.0] * 8)]
-    table = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int")
-    found = sorted(map(tuple, mtree.top_k(table, shard_rows=150, query_rows=3).select("query_id", "rank", "vec_id", "score").collect()))
-    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    wanted, seen = [], set()
-    for q, x in usable:
-        if q % 50 == 0 and q not in seen:
-            seen.add(q)
-            if q == 50:
-                continue  # repeated query id: either row may ask
-            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in usable if i != q)[:5]
-            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert [f for f in found if f[0] != 50] == sorted(wanted)
+    vectors = [(i, r.normal(size=8).astype("f4").tolist()) for i in range(400)] + [(i, [0.25] * 8) for i in range(500, 750)]
+    vectors += [(400, [1.0] * 8), (401, [1.0] * 8), (50, [0.5] * 8), (402, None), (403, []), (404, [1.0, None]), (405, [float("nan")] * 8), (406, [2.0]), (450, []), (None, [9.0] * 8)]
+    table = spark.createDataFrame([(i, v, 0, 1, 2.0, 3) for i, v in vectors], "vec_id long, embedding array<float>, label int, cell long, score double, block int")
+    usable = [(i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    floors = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in usable]
+    asking = {q: min(v for i, v in usable if i == q) for q, _ in usable if q % 50 == 0}  # the least vector of an id asks
+    wanted = []
+    for q, v in asking.items():
+        x = [int(np.floor(256 * float(c))) for c in v]
+        scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in floors if i != q)[:5]
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for options in ({"shard_rows": 100, "query_rows": 3}, {"shard_rows": 40, "most_pivots": 3}, {}):
+        found = mtree.top_k(table, **options).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, found)) == sorted(wanted)
     assert mtree.top_k(table.where("false")).count() == 0
+    few = table.where("vec_id IN (100, 101, 102)")
+    assert mtree.top_k(few).count() == 2
+    big = spark.createDataFrame([(i, [float(1 << 20), float(i)]) for i in range(9)], "vec_id long, embedding array<float>")
+    assert [(x.vec_id, x.score) for x in mtree.top_k(big).orderBy("rank").collect()] == [(i, 1 << 56) for i in range(1, 6)]
 
 
 def test_quality(spark, docs, rows, empty):
