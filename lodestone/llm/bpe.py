@@ -90,6 +90,7 @@ class ByteBpe:
         self.slot_ids = [ranks.get(k, 0) for k in self.table.slots]
         self.tokens = {i: token for token, i in ranks.items()}
         self._memo = Memo(self._piece)
+        self._written = Memo(self._write)
         self._pretokens = Memo(self._pretoken)
 
     def merge(self, data: bytes) -> list[int]:
@@ -128,6 +129,16 @@ class ByteBpe:
             ids += self._pretokens[pretoken]
         return np.array(ids, "<u4").tobytes()
 
+    def _write(self, piece: str) -> tuple[int, bytes, bytes]:
+        """Count of a piece's ids, the ids as decimals each behind a comma, and what they decode to."""
+        ids = np.frombuffer(self._piece(piece), "<u4").tolist()
+        return len(ids), b"".join(b",%d" % i for i in ids), self.decode(ids)
+
+    def written(self, text: str | None) -> tuple[int, bytes, bytes]:
+        """Count of a text's ids, the ids as decimals joined by commas, and what they decode to."""
+        counts, ids, decoded = zip(*map(self._written.__getitem__, pieces(text)), strict=True) if text else ((), (), ())
+        return sum(counts), b"".join(ids)[1:], b"".join(decoded)
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._memo.__getitem__, pieces(text or ""))), "<u4")
 
@@ -158,21 +169,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes decoded from them.
 
-    The digests are taken where the ids are made, so ids are never shuffled or stored.
+    The digests are taken where the ids are made, so ids are never shuffled or stored. What
+    a piece's ids are in decimals and what they decode to is kept with the encoded piece.
     """
     sent = _send(docs, ranks_path)
 
     def make():
         bpe = _codec(sent, ranks_path, pattern)
-        names = [str(i) for i in range(max(bpe.tokens, default=0) + 1)]
 
         def run(doc_ids, texts):
             counts, hashes, decoded = [], [], []
             for text in texts:
-                ids = bpe.encode(text).tolist()
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                count, ids, back = bpe.written(text)
+                counts.append(count)
+                hashes.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
             return {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
         return run

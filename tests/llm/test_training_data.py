@@ -60,6 +60,11 @@ def test_bpe(docs, rows, empty):
     found = bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), r.ids) for r in found) == sorted((str(i), wanted.encode_ordinary(t or "")) for i, t in rows)
     assert sorted(bytes(r.decoded) for r in found) == sorted((t or "").encode() for _, t in rows)
+    digests = bpe.digest_documents(docs, path, public_tokenizers.PATTERN).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests) == sorted(
+        (str(i), len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for i, t in rows for ids in [wanted.encode_ordinary(t or "")]
+    )
     assert bpe.digest_documents(empty, path, public_tokenizers.PATTERN).count() == 0
     table = bpe.PerfectHash(list(ranks)[:5000])
     assert sorted(table.slot(k) for k in list(ranks)[:5000]) == list(range(5000)) and table.slot(b"\x00no key") == -1
