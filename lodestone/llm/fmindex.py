@@ -1,12 +1,17 @@
 """Substring dedup by a compressed FM-index per shard.
 
-A shard's distinct contents are concatenated, each behind a separator, and indexed:
-suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet tree whose
-levels are bit vectors with popcount ranks. Documents' contents are streamed against
-it: a backward search, one word a step, for every window at once, gives the match
-lengths; those that reach the threshold of `width` words report their suffix interval,
-and the earliest document in the interval answers. A search stops as soon as only the
-window itself is left.
+A shard's distinct contents are joined, each behind a separator, and indexed: the
+Burrows-Wheeler transform in a wavelet tree (a few packed bits a word, with counts per 64
+bits) and the lengths of common prefixes of neighbouring suffixes in a byte or two each.
+The suffix array that these are made from is dropped.
+
+Contents are then streamed against the index, each once from right to left: a backward
+search step extends the match by the word before it; where fewer than two places are left
+the match is shortened to the next length at which more places share it, and the step is
+tried again. This gives at each word its matching statistic: how many words from here also
+stand elsewhere in the shard, with the suffix interval of those places. Where it reaches
+the threshold of `width` words the interval is reported, widened to all suffixes that share
+`width` words; the earliest document that reports an interval answers for all of it.
 """
 
 from __future__ import annotations
@@ -73,36 +78,81 @@ def suffix_array(values: np.ndarray, depth: int) -> np.ndarray:
 class FmIndex:
     """FM-index over contents (lists of symbols >= 1), each closed by the separator 0.
 
-    Suffixes are ordered by at least `depth` symbols; searches of up to that many
-    symbols are exact.
+    Suffixes are ordered by more symbols than the longest content has, so the interval of
+    any string without a separator is exact.
     """
 
-    def __init__(self, values: np.ndarray, depth: int):
-        self.order = suffix_array(values, depth + 1)
-        self.size = int(values.max()) + 1
+    def __init__(self, values: np.ndarray, longest: int):
+        order = suffix_array(values, longest + 1)
+        self.n, self.size = len(values), int(values.max()) + 1
         self.first = np.r_[0, np.cumsum(np.bincount(values, minlength=self.size))]
-        self.tree = WaveletTree(values[self.order - 1], max(1, int(self.size - 1).bit_length()))
-
-    def windows(self, values: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the windows of `depth` symbols before `ends`, searched
-        backwards; an interval of one suffix is the window itself and is not narrowed."""
-        symbol = values[ends - 1]
-        low, high = self.first[symbol], self.first[symbol + 1]
-        live = np.arange(len(ends))
-        for step in range(2, depth + 1):
-            live = live[high[live] - low[live] > 1]
-            if not len(live):
+        self.tree = WaveletTree(values[order - 1], max(1, int(self.size - 1).bit_length()))
+        # common[i]: how many symbols suffixes i - 1 and i share before a separator; 0 at both ends.
+        kind = np.uint8 if longest < 256 else np.uint32
+        common = np.zeros(self.n + 1, kind)
+        same, a, b = np.arange(1, self.n), order[:-1], order[1:]
+        for d in range(longest):
+            x, y = values[a + d], values[b + d]
+            on = (x == y) & (x > 0)
+            same, a, b = same[on], a[on], b[on]
+            if not len(same):
                 break
-            symbol = values[ends[live] - step]
-            a, b = self.tree.rank(symbol, high[live], low[live])
-            low[live], high[live] = self.first[symbol] + a, self.first[symbol] + b
+            common[same] += 1
+        self.common = common
+        # least[j][i]: the least of common[i .. i + 2^j - 1]
+        self.least = [common]
+        while 2 << (len(self.least) - 1) <= self.n + 1:
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of the matches with a symbol put before them."""
+        a, b = self.tree.rank(symbol, high, low)
+        return self.first[symbol] + a, self.first[symbol] + b
+
+    def widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all suffixes that share `length` symbols with these."""
+        low, high = low.copy(), high.copy()
+        for j in range(len(self.least) - 1, -1, -1):
+            step, table = 1 << j, self.least[j]
+            down = low - step + 1
+            down_on = (down >= 0) & (table[np.maximum(down, 0)] >= length)
+            low = np.where(down_on, low - step, low)
+            up_on = (high < len(table)) & (table[np.minimum(high, len(table) - 1)] >= length)
+            high = np.where(up_on, high + step, high)
         return low, high
 
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next wider intervals, with the lengths of their matches."""
+        length = np.maximum(self.common[low], self.common[high]).astype(np.int64)
+        low, high = self.widen(low, high, length)
+        return np.where(length > 0, low, 0), np.where(length > 0, high, self.n), length
+
+    def statistics(self, values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per position of the streamed contents: the greatest length that occurs twice or
+        more in the index, and the lower end of its suffix interval."""
+        longest, lower = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        low, high, length = np.zeros(len(begin), np.int64), np.full(len(begin), self.n), np.zeros(len(begin), np.int64)
+        at, live = begin + sizes, np.flatnonzero(sizes > 0)
+        while len(live):
+            a, b = self.extend(values[at[live] - 1], low[live], high[live])
+            on = b - a >= 2
+            go, stay = live[on], live[~on]
+            low[go], high[go] = a[on], b[on]
+            length[go] += 1
+            at[go] -= 1
+            longest[at[go]], lower[at[go]] = length[go], low[go]
+            lost, short = stay[length[stay] == 0], stay[length[stay] > 0]
+            at[lost] -= 1  # not even the word alone occurs twice
+            low[short], high[short], length[short] = self.shorten(low[short], high[short])
+            live = live[at[live] > begin[live]]
+        return longest, lower
+
 
 def earliest(contents, key, anchor, runs, doc, start, width: int):
     """Earliest (document, start) of every window of every content of a shard.
 
-    A content alone under its key can match no other; the rest is indexed and searched.
+    A content alone under its key can match no other; the rest is indexed and streamed.
     """
     owner, offset = repeats.window_places(runs)
     first_doc, first_start = doc[owner], start[owner] + offset
@@ -111,31 +161,24 @@ def earliest(contents, key, anchor, runs, doc, start, width: int):
         return first_doc, first_start
     ids: dict[bytes, int] = {}
     lists = [[ids.setdefault(w, len(ids) + 1) for w in contents[i].split(b" ")] for i in indexed.tolist()]
-    sizes = np.array([len(x) + 1 for x in lists])
+    sizes = np.array([len(x) for x in lists])
     values = np.concatenate([np.array([*x, 0], np.int64) for x in lists])
-    begin = np.r_[0, np.cumsum(sizes)[:-1]]
+    begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     local = np.full(len(contents), -1)
     local[indexed] = np.arange(len(indexed))
     asked = np.flatnonzero(local[owner] >= 0)
-    index = FmIndex(values, width)
-    low, high = index.windows(values, begin[local[owner[asked]]] + offset[asked] + width, width)
-    many = np.flatnonzero(high - low > 1)
-    if len(many):
-        # Rank every indexed position by (document, start); an interval's least rank wins.
-        of = np.repeat(np.arange(len(lists)), sizes)
-        position_doc = doc[indexed][of]
-        position_start = start[indexed][of] + np.arange(len(values)) - begin[of]
-        by = np.lexsort((position_start, position_doc))
-        rank = np.empty(len(values), np.int64)
-        rank[by] = np.arange(len(values))
-        lows, back = np.unique(low[many], return_inverse=True)
-        highs = np.empty(len(lows), np.int64)
-        highs[back] = high[many]
-        edges = np.stack([lows, highs], axis=1).ravel()
-        least = np.minimum.reduceat(np.r_[rank[index.order], len(values)], edges)[::2]
-        best = by[least[back]]
-        first_doc[asked[many]] = position_doc[best]
-        first_start[asked[many]] = position_start[best]
+    index = FmIndex(values, int(sizes.max()))
+    longest, lower = index.statistics(values, begin, sizes)
+    place = begin[local[owner[asked]]] + offset[asked]
+    hit = np.flatnonzero(longest[place] >= width)
+    if len(hit):
+        low, _ = index.widen(lower[place[hit]], lower[place[hit]] + 1, np.full(len(hit), width))
+        window = asked[hit]
+        group = np.unique(low, return_inverse=True)[1]
+        by = np.argsort(group, kind="stable")
+        window, group = window[by], group[by]
+        best = repeats._earliest(group, first_doc[window], first_start[window])[group]
+        first_doc[window], first_start[window] = first_doc[window[best]], first_start[window[best]]
     return first_doc, first_start
 
 

@@ -152,6 +152,21 @@ def test_wavelet_and_segments():
     symbol, low, high = np.arange(13), np.full(13, 77), np.full(13, 421)
     a, b = tree.rank(symbol, high, low)
     assert list(a) == [(values[:77] == s).sum() for s in symbol] and list(b) == [(values[:421] == s).sum() for s in symbol]
+    lists = [list(np.random.default_rng(i).integers(1, 4, size=i % 9 + 1)) for i in range(80)]
+    lists = [list(x) for x in sorted({tuple(map(int, x)) for x in lists})]
+    joined = np.concatenate([[*x, 0] for x in lists]).astype(np.int64)
+    sizes = np.array([len(x) for x in lists])
+    begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    longest, lower = fmindex.FmIndex(joined, int(sizes.max())).statistics(joined, begin, sizes)
+    every = [tuple(x[i:j]) for x in lists for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+    groups = defaultdict(set)
+    for b, x in zip(begin, lists, strict=True):
+        for i in range(len(x)):
+            most = max((n for n in range(1, len(x) - i + 1) if every.count(tuple(x[i : i + n])) > 1), default=0)
+            assert longest[b + i] == most
+            if most:
+                groups[tuple(x[i : i + most])].add(int(lower[b + i]))
+    assert all(len(g) == 1 for g in groups.values())
     texts = ["q" * 50, None, "lorem ipsum " * 9000]  # longer than one slice
     s = repeats.Segments(repeats.Bytes(100), texts)
     assert s.runs[s.text == 2].sum() == len(texts[2]) - 99
