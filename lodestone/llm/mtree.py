@@ -262,8 +262,8 @@ def _search(data: DataFrame, visits: DataFrame, known, k: int, query_rows: int)
     """The k best of every visited shard for every visit."""
     # Visitors of a shard are dealt into blocks of about query_rows; its data go to each block.
     blocks = visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("blocks"))
-    queries = visits.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    shards = data.join(blocks, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    queries = visits.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
+    shards = data.join(blocks, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
 
     def search(own: pa.Table, asking: pa.Table) -> pa.Table:
         space, out = known.value, []
