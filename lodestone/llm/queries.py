@@ -86,4 +86,53 @@ SQL: dict[str, str] = {
             CAST(sum(17 + length(replace(replace(role, '\\', '\\\\'), '<', '\\l')) + length(replace(replace(text, '\\', '\\\\'), '<', '\\l'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id
     """,
+    "op4_quality_rules": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+        g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+        again AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+        covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
+        counts AS (
+            SELECT rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM w LEFT JOIN covered USING (rid)
+        ),
+        judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+        hosts AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS DOUBLE) AS failed FROM judged GROUP BY source),
+        rated AS (SELECT *, failed / n AS rate FROM hosts),
+        fit AS (
+            SELECT *, count(*) OVER () - 1 AS others, (sum(failed) OVER () - failed + 0.5e0) / (sum(n) OVER () - n + 1) AS m,
+                sum(rate) OVER () - rate AS rates, sum(rate * rate) OVER () - rate * rate AS squares, sum(1e0 / n) OVER () - 1e0 / n AS inverse FROM rated
+        ),
+        spread AS (SELECT *, m * (1 - m) AS spread, CASE WHEN others > 0 THEN (squares - 2 * m * rates) / others + m * m - m * (1 - m) * inverse / others END AS excess FROM fit),
+        prior AS (SELECT *, CASE WHEN excess > 0 THEN greatest(1e0, least(200e0, spread / excess - 1)) ELSE 200e0 END AS k FROM spread),
+        verdict AS (SELECT source, others, round((failed + m * k) / (n + k), 6) AS host_rate, round(greatest(0.05e0, m + 3 * sqrt(spread / (k + 1))), 6) AS host_bar FROM prior)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT (others > 0 AND host_rate > host_bar) AS kept, host_rate, host_bar
+        FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
+    """,
+    "op5_fm_dedup": """
+        WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        g AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        hit AS (SELECT rid, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+        gone AS (SELECT DISTINCT rid, i + k AS pos FROM hit, (SELECT unnest(range(0, 13)) AS k)),
+        words AS (SELECT rid, i AS pos, ws[i] AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+        kept AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) USING (rid) LEFT JOIN kept USING (rid)
+    """,
+    "op7_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+        hit AS (SELECT rid, i FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+        runs AS (SELECT *, i > lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) + 100 AS new, least(100, lead(i, 1, 1000000000) OVER (PARTITION BY rid ORDER BY i) - i) AS own FROM hit),
+        spans AS (SELECT rid, i, own, sum(CAST(new AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS span FROM runs),
+        cuts AS (SELECT rid, span, min(i) AS a, max(i) + 100 AS b FROM spans GROUP BY rid, span),
+        edges AS (SELECT rid, b, lead(a, 1, 1000000000) OVER (PARTITION BY rid ORDER BY a) AS a FROM (SELECT * FROM cuts UNION ALL SELECT rid, 0, -1, 0 FROM d)),
+        kept AS (SELECT rid, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY b) AS kept FROM edges JOIN d USING (rid) GROUP BY rid),
+        counts AS (SELECT rid, sum(own) AS n FROM spans GROUP BY rid)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN kept USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM cuts GROUP BY rid) c USING (rid)
+    """,
 }
