@@ -1,19 +1,24 @@
 """Toxicity scores from a counterfactual-regularised classifier.
 
-A logistic model over the presence of words is fitted to labelled documents. For each
-labelled sentence that names a group, a counterfactual with the identity term swapped
-for another of its class is made, and the squared change of the score is penalised, so
-that a neutral mention of a group does not carry weight by itself.
-
-The fit takes a bounded sample of labelled rows (`sample_rows`, whole texts, chosen by
-a hash of the id); the scores cover every row and whole texts. Null and empty texts get
-the score of a text without known words. Repeated labels count as they stand; labels or
-texts that are null are left out of the fit. With no usable labels every score is 0.
+A logistic model over the presence of words is fitted to labelled documents. In every
+sentence of theirs that names a group, the term is swapped for each other term of its
+class, and the squared change of the sentence's score is penalised, so that a neutral
+mention of a group does not carry weight by itself.
+
+The fit takes a bounded sample of labelled rows (`sample_rows`, whole texts, chosen by a
+hash of the id). Words are counted and swaps are added up by Spark; the driver gets at
+most `features` words, the sample's rows cut down to those, and one row a pair of terms.
+The scores cover every row and whole texts. Null and empty texts get the score of a text
+without known words. Repeated labels count as they stand, equal word sets of one label
+once; labels or texts that are null are left out of the fit. Without usable labels of both
+kinds every score is about 2e-9. Null or repeated doc_ids are scored one by one. Columns
+other than doc_id and text, or doc_id and toxic, are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrowtools import held_out, map_texts
+from lodestone.llm.arrowtools import held_out, map_texts, stored
 
 #: Words that name groups, by class; a term is swapped for the next ones of its class.
 IDENTITY_TERMS = (
@@ -54,38 +59,63 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def examples(text: str | None, swaps: int = 2) -> list[tuple[list[int], list[int], list[int]]]:
-    """(words of the text, words gone, words new), first with no swap, then per swap.
+def swaps(text: str | None) -> list[tuple[str, str | None]]:
+    """(term, other) for each sentence, term in it and other term of the class.
 
-    Only the sentences with a term change; a word stays if another sentence has it.
+    Other is None where the sentence has it already: the swap then only takes the term away.
     """
-    low = (text or "").lower()
-    sentences = [set(_WORD.findall(s)) for s in _SENTENCE.split(low)]
-    whole = set().union(*sentences)
-    out = [([word_id(w) for w in sorted(whole)], [], [])]
-    for term in sorted(whole & _SWAP.keys()):
-        for other in _SWAP[term][:swaps]:
-            out.append(([], [word_id(term)], [word_id(other)] if other not in whole else []))
+    out = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = set(_WORD.findall(sentence))
+        out += [(term, None if other in words else other) for term in sorted(words & _SWAP.keys()) for other in _SWAP[term]]
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """kind, toxic, words, gone, new for a bounded hash sample of labelled documents."""
+def training_texts(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """doc_id, text, toxic for a bounded hash sample of labelled documents."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)  # at most sample_rows thin rows
-    joined = docs.where(F.col("text").isNotNull() & ~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.where(F.col("text").isNotNull() & ~held_out()).select("doc_id", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") != 0).cast("int").alias("toxic"))
+
+
+def word_rows(texts: DataFrame) -> DataFrame:
+    """toxic, words: the distinct word sets of each label, as sorted word ids."""
 
     def make():
-        def run(_, texts, toxic):
-            rows = [(y, *e) for t, y in zip(texts, toxic, strict=True) for e in examples(t)]
-            y, words, gone, new = zip(*rows, strict=True) if rows else ((), (), (), ())
-            ints = pa.list_(pa.int32())
-            return {"toxic": pa.array(y, pa.int32()), "words": pa.array(words, ints), "gone": pa.array(gone, ints), "new": pa.array(new, ints)}
+        def run(toxic, rows):
+            return {"toxic": pa.array(toxic, pa.int32()), "words": pa.array([sorted(map(word_id, text_words(t))) for t in rows], pa.list_(pa.int32()))}
 
         return run
 
-    thin = joined.withColumn("toxic", F.col("toxic").cast("int"))
-    return map_texts(thin, ["doc_id", "text", "toxic"], "toxic int, words array<int>, gone array<int>, new array<int>", make)
+    return map_texts(texts, ["toxic", "text"], "toxic int, words array<int>", make).distinct()
+
+
+def swap_counts(texts: DataFrame) -> DataFrame:
+    """gone, new (word ids, new may be null), n: how many labelled sentences give each swap."""
+
+    def make():
+        def run(rows):
+            counts = Counter(x for t in rows for x in swaps(t))
+            gone, new = zip(*counts, strict=True) if counts else ((), ())
+            ids = [None if x is None else word_id(x) for x in new]
+            return {"gone": pa.array(map(word_id, gone), pa.int32()), "new": pa.array(ids, pa.int32()), "n": pa.array(counts.values(), pa.int64())}
+
+        return run
+
+    return map_texts(texts, ["text"], "gone int, new int, n long", make).groupBy("gone", "new").agg(F.sum("n").alias("n"))
+
+
+def telling_words(rows: DataFrame, good: int, bad: int, features: int = 5_000, min_rows: int = 4, least_z: float = 4.0) -> DataFrame:
+    """word: those whose rates under both labels (`good` and `bad` rows) differ by `least_z`
+    standard errors or more, most certain first, at most `features`."""
+    n = good + bad
+    hits = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("hits"), F.sum("toxic").alias("toxic"))
+    share = F.col("hits") / n
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / bad + 1 / good))
+    certainty = F.abs(F.col("toxic") / bad - (F.col("hits") - F.col("toxic")) / good) / error
+    told = hits.where(F.col("hits") >= min(min_rows, max(1, n // 50))).withColumn("certainty", certainty)
+    return told.where(F.col("certainty") >= min(least_z, n**0.5 / 2)).orderBy(F.desc("certainty"), "word").limit(features).select("word")
 
 
 class Model(dict):
@@ -94,64 +124,68 @@ class Model(dict):
     bias = 0.0
 
 
-def fit(rows, features: int = 5_000, min_rows: int = 4, least_z: float = 4.0, penalty: float = 20.0, ridge: float = 2e-4, steps: int = 300) -> Model:
+def fit(rows: list[tuple[int, list[int]]], vocabulary: list[int], swapped: list[tuple[int, int | None, int]], penalty: float = 20.0, ridge: float = 2e-4, steps: int = 300) -> Model:
     """Fits the model by gradient steps with momentum.
 
-    Loss: mean logistic loss (both labels weigh alike) + ridge |w|^2 + penalty x mean
-    squared score change over the counterfactuals. Features are the words whose rates
-    under both labels differ by `least_z` standard errors or more, most certain first.
+    `rows` are (toxic, word ids), `swapped` (gone, new, count). Loss: mean logistic loss
+    (both labels weigh alike) + ridge |w|^2 + penalty x mean squared score change over the
+    swaps of all sentences.
     """
     model = Model()
     model.bias = -20.0
-    real = list({(int(r.toxic), tuple(r.words)) for r in rows if r.words or not r.gone})
-    real.sort()
-    y = np.array([a for a, _ in real], float)
+    y = np.array([t for t, _ in rows], float)
     if not len(y) or y.min() == y.max():
         return model
-    lengths = np.array([len(w) for _, w in real])
-    ids = np.concatenate([np.array(w, np.int64) for _, w in real])
-    owner = np.repeat(np.arange(len(real)), lengths)
-    vocabulary, column = np.unique(ids, return_inverse=True)
-    hits = np.bincount(column, minlength=len(vocabulary))
-    toxic = np.bincount(column, weights=y[owner], minlength=len(vocabulary))
-    share = hits / len(y)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    certainty = np.abs(toxic / y.sum() - (hits - toxic) / (len(y) - y.sum())) / error
-    certainty[hits < min(min_rows, max(1, len(y) // 50))] = 0
-    kept = np.sort(np.argsort(-certainty, kind="stable")[:features])
-    kept = kept[certainty[kept] >= min(least_z, len(y) ** 0.5 / 2)]
-    place = np.full(len(vocabulary), -1)
-    place[kept] = np.arange(len(kept))
-    at = place[column]
-    owner, at = owner[at >= 0], at[at >= 0]
-    index = dict(zip(vocabulary[kept].tolist(), range(len(kept)), strict=True))
-    changes = [(k, index[w], sign) for k, r in enumerate(r for r in rows if r.gone) for sign, part in ((-1.0, r.gone), (1.0, r.new)) for w in part if w in index]
-    c_row, c_at, c_sign = (np.array(x) for x in zip(*changes, strict=True)) if changes else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    c_rows = int(c_row.max()) + 1 if changes else 1
+    index = {w: i for i, w in enumerate(sorted(vocabulary))}
+    pairs = [(r, index[w]) for r, (_, words) in enumerate(rows) for w in words if w in index]
+    owner, at = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    total = sum(n for _, _, n in swapped)
+    gone, new, count = (np.array(x, np.int64) for x in zip(*[(index.get(g, -1), index.get(o, -1), n) for g, o, n in swapped], strict=True)) if swapped else (np.zeros(0, np.int64),) * 3
+    part = 2 * penalty * count / max(1, total)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias, fast, fast_b = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
-    second, second_b = np.zeros(len(kept)), 0.0
+    w, bias, fast, fast_b = np.zeros(len(index) + 1), 0.0, np.zeros(len(index) + 1), 0.0  # the last weight stays 0
+    second, second_b = np.zeros(len(w)), 0.0
     for step in range(1, steps + 1):
         z = np.bincount(owner, weights=w[at], minlength=len(y)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.bincount(at, weights=error[owner], minlength=len(w)) + 2 * ridge * w
-        if changes:
-            change = np.bincount(c_row, weights=c_sign * w[c_at], minlength=c_rows)
-            grad += 2 * penalty / c_rows * np.bincount(c_at, weights=c_sign * change[c_row], minlength=len(w))
+        change = part * (w[new] - w[gone])
+        np.add.at(grad, new, change)
+        np.add.at(grad, gone, -change)
+        grad[-1] = 0.0
         grad_b = error.sum()
         fast, fast_b = 0.9 * fast + 0.1 * grad, 0.9 * fast_b + 0.1 * grad_b
         second, second_b = 0.99 * second + 0.01 * grad**2, 0.99 * second_b + 0.01 * grad_b**2
         scale, scale2 = 1 - 0.9**step, 1 - 0.99**step
         w = w - 0.05 * (fast / scale) / (np.sqrt(second / scale2) + 1e-8)
         bias -= 0.05 * (fast_b / scale) / (np.sqrt(second_b / scale2) + 1e-8)
-    model.update({int(vocabulary[k]): float(w[i]) for i, k in enumerate(kept) if abs(w[i]) > 1e-4})
+    model.update({word: float(w[i]) for word, i in index.items() if abs(w[i]) > 1e-4})
     model.bias = float(bias)
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, features: int = 5_000, **options) -> Model:
+    """The model of a bounded sample of labelled rows; `options` go to `fit`."""
+    texts = training_texts(docs, labels, sample_rows)
+    rows = stored(word_rows(texts))
+    sizes = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return fit([], [], [])
+    vocabulary = [r["word"] for r in telling_words(rows, sizes[False], sizes[True], features).collect()]
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))  # at most `features` words
+
+    def cut(batches):
+        for batch in batches:
+            words = [[w for w in ws if w in known.value] for ws in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int32()))], names=["toxic", "words"])
+
+    examples = [(r["toxic"], r["words"]) for r in rows.mapInArrow(cut, "toxic int, words array<int>").collect()]  # at most sample_rows
+    return fit(sorted(examples), vocabulary, [tuple(r) for r in swap_counts(texts).collect()], **options)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for every document, then `carry`."""
-    model = fit(training_rows(docs, labels, sample_rows).collect())  # bounded by sample_rows
+    model = learn(docs, labels, sample_rows)
     sent, bias = docs.sparkSession.sparkContext.broadcast(dict(model)), model.bias
 
     def make():
