@@ -63,11 +63,14 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable, te
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the cluster's shared folder.
 
-    The folder is read from the session; only where none is set, as in tests, is a
-    temporary one taken.
+    The folder is read from the session. Where none is set, a temporary one is taken by a
+    local session, as in tests, and a cluster gets an error: its executors could not see it.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))

@@ -348,11 +348,33 @@ def test_quality(spark, docs, rows, empty):
     for r in found:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     assert quality.quality_rules(empty).count() == 0
+
+
+def test_host_verdicts_against_brute_force(spark):
+    """Rates, bars and verdicts of hosts as plain Python tells; the bad host's good documents go."""
     good = " ".join(f"w{i}" for i in range(30))
-    hosts = [(i, good if h == "good" or i % 10 == 0 else "bad", h) for h, a in (("good", 0), ("bad", 1000)) for i in range(a, a + 200)]
-    judged = quality.quality_rules(spark.createDataFrame([*hosts, (5000, good, None), (5001, good, "tiny")], "doc_id long, text string, source string"))
-    kept = {r.doc_id: r.kept for r in judged.collect()}
-    assert kept[1] and not kept[1000] and kept[5001] is True and 5000 in kept
+    failing = {"a": 3, "b": 0, "c": 5, "bad": 160, "d": 2, None: 1, "one": 1}
+    size = dict.fromkeys(failing, 200) | {"d": 900, "one": 1}
+    rows = [(h, "few words" if i < failing[h] else good) for h in failing for i in range(size[h])]
+    table = spark.createDataFrame([(i, t, h, 1.0, "x") for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string, host_rate double, host string")
+    rate = {h: failing[h] / size[h] for h in failing}
+    bars = {}
+    for h in failing:
+        others = [o for o in failing if o != h]
+        m = (sum(failing[o] for o in others) + 0.5) / (sum(size[o] for o in others) + 1)
+        excess = sum((rate[o] - m) ** 2 for o in others) / len(others) - m * (1 - m) * sum(1 / size[o] for o in others) / len(others)
+        k = max(1.0, min(200.0, m * (1 - m) / excess - 1)) if excess > 0 else 200.0
+        bars[h] = round((failing[h] + m * k) / (size[h] + k), 6), round(max(0.05, m + 3 * (m * (1 - m) / (k + 1)) ** 0.5), 6)
+    found = quality.quality_rules(table).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        h, t = rows[r.doc_id]
+        assert abs(r.host_rate - bars[h][0]) < 2e-6 and abs(r.host_bar - bars[h][1]) < 2e-6
+        assert r.kept == (t == good and bars[h][0] <= bars[h][1])
+    dropped = {rows[r.doc_id][0] for r in found if not r.base_failed and not r.kept}
+    assert dropped == {"bad"}
+    alone = quality.quality_rules(table.where("source = 'bad'")).collect()
+    assert all(r.kept == (not r.base_failed) for r in alone)
 
 
 def test_chat(spark):
@@ -385,7 +407,39 @@ def test_language(spark, empty):
     table = langid.MaskFilter(["a", "b"])
     table.add(0, ["abc", "bcd"])
     table.add(1, ["abc"])
-    assert list(table.masks(["abc", "bcd"])) == [3, 1]
+    assert table.hits(["abc", "bcd"]).tolist() == [[1, 1], [1, 0]]
+
+
+def test_language_masks_against_counting(spark):
+    """More than 64 languages: the filter holds exactly the n-grams that brute force tells, and
+    predictions follow from them."""
+    r = random.Random(4)
+    texts = [(i, " ".join("".join(chr(0x4E00 + 40 * (i % 70) + r.randrange(20)) for _ in range(6)) + r.choice(["shared", ""]) for _ in range(30)), f"l{i % 70:02d}") for i in range(700)]
+    texts += [(1000, None, "l00"), (1001, "", "l01"), (1002, "12", "l02"), (None, texts[0][1], "l00"), (1003, "zzz qqq", None), texts[5], texts[5]]
+    docs = spark.createDataFrame([(i, t, lang, 0.5, "x", True) for i, t, lang in texts], "doc_id long, text string, lang string, score double, gram string, held_out boolean").cache()
+    counts = defaultdict(lambda: defaultdict(int))
+    train = [(i, t, lang) for i, t, lang in texts if t is not None and lang and i is not None and zlib.crc32(str(i).encode()) % 5]
+    for _, t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for g in langid.grams(w):
+                counts[lang][g] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    best = defaultdict(float)
+    for lang, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best[g], n / total[lang])
+    wanted = {(lang, g) for lang, c in counts.items() for g, n in c.items() if n >= 5 and n / total[lang] >= 0.3 * best[g]}
+    table = langid.fit(docs, 4000)
+    grams = sorted(best)
+    hits = table.hits(grams)
+    found = {(table.languages[k], g) for g, row in zip(grams, hits, strict=True) for k in np.flatnonzero(row)}
+    assert len(table.languages) == 70 and wanted <= found and len(found - wanted) < 0.02 * len(grams)
+    out = langid.identify(docs).collect()
+    assert len(out) == len(texts)
+    right = {i: lang for i, t, lang in texts if t and lang and i is not None and i < 1000}
+    assert all(x.lang_pred == right[x.doc_id] for x in out if x.doc_id in right)
+    assert {x.lang_pred for x in out if x.doc_id in (1000, 1001, 1002)} == {"und"}
+    assert [(x.lang_pred, x.score) for x in out if x.doc_id == 1003] == [("l00", 0.0)]
 
 
 def test_toxicity(spark, empty):
@@ -395,20 +449,67 @@ def test_toxicity(spark, empty):
     toxic, clean = found[found.toxic == 1], found[found.toxic == 0]
     assert (clean.predicted == 0).mean() > 0.99 and (toxic.predicted == 1).mean() > 0.55
     assert toxicity.toxicity(empty, labels.where("false")).count() == 0
-    nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert {r.predicted for r in toxicity.toxicity(nulls, labels.where("false")).collect()} == {0}
-
-
-def test_counterfactual_penalty_shrinks_identity_terms():
-    class Row:
-        def __init__(self, toxic, example):
-            self.toxic, (self.words, self.gone, self.new) = toxic, example
-
+    odd = spark.createDataFrame([(1, None, 0.5, 1), (2, "", 0.5, 1), (3, "a b " * 200_000, 0.5, 1), (3, "a", 0.5, 1), (None, "a", 0.5, 1)], "doc_id long, text string, score double, predicted int")
+    scored = toxicity.toxicity(odd, labels.where("false")).collect()
+    assert len(scored) == 5 and {r.predicted for r in scored} == {0}
+
+
+def labelled(spark, rows):
+    docs = spark.createDataFrame([(i, t, 0.5, 7) for i, (_, t) in enumerate(rows)], "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame([(i, y, "clash") for i, (y, _) in enumerate(rows)], "doc_id long, toxic int, text string")
+    return docs, labels
+
+
+def test_toxicity_counts_against_brute_force(spark):
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"] + ["muslim", "muslims", "women", "men"]
+    rows = [(y, ". ".join(" ".join(r.choice(words[y * 20 :]) for _ in range(6)) for _ in range(4))) for y in (0, 1) for _ in range(150)]
+    rows += [(0, None), (1, ""), (None, "women"), rows[3], rows[3]]
+    docs, labels = labelled(spark, rows)
+    train = [(y, t) for i, (y, t) in enumerate(rows) if y is not None and t is not None and zlib.crc32(str(i).encode()) % 5]
+    swapped = defaultdict(int)
+    for _, t in train:
+        for sentence in re.split(r"[.!?\n]+", t):
+            present = set(sentence.split())
+            for group in toxicity.IDENTITY_TERMS:
+                for term in set(group) & present:
+                    for other in set(group) - {term}:
+                        swapped[toxicity.word_id(term), None if other in present else toxicity.word_id(other)] += 1
+    texts = toxicity.training_texts(docs, labels, 6000)
+    assert {(x.gone, x.new): x.n for x in toxicity.swap_counts(texts).collect()} == dict(swapped)
+    sets = {(y, frozenset(re.findall("[a-z]+", t))) for y, t in train}
+    good, bad = (sum(y == k for y, _ in sets) for k in (0, 1))
+    wanted = set()
+    for w in set().union(*(s for _, s in sets)):
+        of = [sum(w in s for y, s in sets if y == k) for k in (0, 1)]
+        share = sum(of) / (good + bad)
+        z = abs(of[1] / bad - of[0] / good) / (max(share * (1 - share), 1e-9) * (1 / bad + 1 / good)) ** 0.5
+        if sum(of) >= 4 and z >= 4:
+            wanted.add(toxicity.word_id(w))
+    told = toxicity.telling_words(toxicity.word_rows(texts), good, bad).collect()
+    assert wanted and {x.word for x in told} == wanted
+
+
+def test_counterfactual_penalty_spares_neutral_mentions(spark):
+    """With the penalty, unseen neutral mentions of groups, of one never seen in training too,
+    are no longer taken for toxic."""
     r = random.Random(1)
-    texts = [(1, f"the {r.choice(['muslim', 'muslim', 'poor'])} people are scum {i}") for i in range(200)] + [(0, f"the {r.choice(['poor', 'rich'])} people went home {i}") for i in range(200)]
-    rows = [Row(y, e) for y, t in texts for e in toxicity.examples(t)]
-    weight = lambda m: abs(m.get(toxicity.word_id("muslim"), 0.0))
-    assert weight(toxicity.fit(rows, penalty=20.0)) < 0.5 * weight(toxicity.fit(rows, penalty=0.0))
+    groups = ["muslim", "jewish", "hindu"]
+    insults, plain = ["scum", "vermin", "filth"], ["kind", "busy", "late"]
+    own = lambda: "".join(r.choice("abcdefghij") for _ in range(9))  # noqa: E731  keeps word sets apart
+    toxic = [(1, f"The {r.choice(groups)} neighbours {own()} are {r.choice(insults)}. Gone {own()}!") for i in range(250)]
+    clean = [(0, f"The {r.choice(['tall', 'new', 'quiet', *groups[:1] * (i % 12 == 0)])} neighbours {own()} are {r.choice(plain)}. Gone {own()}!") for i in range(250)]
+    clean += [(0, f"The neighbours {own()} came by. Gone {own()}!") for _ in range(200)]
+    docs, labels = labelled(spark, toxic + clean)
+    rate, weight = {}, {}
+    neutral = [f"The {g} neighbours {verb} home." for g in groups for verb in ("went", "drove", "walked")]
+    for penalty in (0.0, 20.0):
+        model = toxicity.learn(docs, labels, penalty=penalty)
+        score = lambda t, m=model: m.bias + sum(m.get(toxicity.word_id(w), 0.0) for w in toxicity.text_words(t))
+        rate[penalty] = sum(score(t) > 0 for t in neutral) / len(neutral)
+        weight[penalty] = max(abs(model.get(toxicity.word_id(g), 0.0)) for g in groups)
+        assert all(score(f"The quiet neighbours are {x}.") > 0 for x in insults)
+    assert rate[0.0] > 0.5 and rate[20.0] == 0.0 and weight[20.0] < 0.3 * weight[0.0]
 
 
 def test_pipeline(spark, tmp_path):
