@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,30 +90,44 @@ class ByteBpe:
         self.table = table or PerfectHash(list(ranks))
         self.slot_ids = [ranks.get(k, 0) for k in self.table.slots]
         self.tokens = {i: token for token, i in ranks.items()}
-        self._memo = Memo(self._piece)
-        self._written = Memo(self._write)
+        self._memo = Memo(lambda piece: np.array(self._piece(piece), "<u4").tobytes())
+        self._decimals, self._bytes = None, None
         self._pretokens = Memo(self._pretoken)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a pre-token outside the vocabulary."""
-        n, ranks = len(data), self.ranks
+        """Ids of a pre-token outside the vocabulary.
+
+        The heap holds rank and start of each pair as one number; `live` has the rank of
+        the pair that starts at a symbol now, so older entries are told from it.
+        """
+        n, get = len(data), self.ranks.get
         stop = list(range(1, n + 1))  # end of the symbol that starts here
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        live = [get(data[i : i + 2], -1) for i in range(n - 1)]
+        live.append(-1)
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(live) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
-            middle = stop[i]
-            if middle <= i or middle >= n or stop[middle] != end:
+            x = pop(heap)
+            i = x & low
+            if live[i] != x >> shift:
                 continue  # one side has been merged since
-            stop[i], stop[middle] = end, -1
+            middle = stop[i]
+            end = stop[i] = stop[middle]
+            live[middle] = live[i] = -1
             if end < n:
                 before[end] = i
-                if (r := ranks.get(data[i : stop[end]])) is not None:
-                    heapq.heappush(heap, (r, i, stop[end]))
-            if (left := before[i]) >= 0 and (r := ranks.get(data[left:end])) is not None:
-                heapq.heappush(heap, (r, left, end))
-        ids, i = [], 0
+                if (r := get(data[i : stop[end]])) is not None:
+                    live[i] = r
+                    push(heap, r << shift | i)
+            if (left := before[i]) >= 0:
+                live[left] = r = get(data[left:end], -1)
+                if r >= 0:
+                    push(heap, r << shift | left)
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[data[i : stop[i]]])
             i = stop[i]
@@ -123,21 +138,11 @@ class ByteBpe:
         at = self.table.slot(data)
         return [self.slot_ids[at]] if at >= 0 else self.merge(data)
 
-    def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for pretoken in self.find(piece):
-            ids += self._pretokens[pretoken]
-        return np.array(ids, "<u4").tobytes()
-
-    def _write(self, piece: str) -> tuple[int, bytes, bytes]:
-        """Count of a piece's ids, the ids as decimals each behind a comma, and what they decode to."""
-        ids = np.frombuffer(self._piece(piece), "<u4").tolist()
-        return len(ids), b"".join(b",%d" % i for i in ids), self.decode(ids)
-
-    def written(self, text: str | None) -> tuple[int, bytes, bytes]:
-        """Count of a text's ids, the ids as decimals joined by commas, and what they decode to."""
-        counts, ids, decoded = zip(*map(self._written.__getitem__, pieces(text)), strict=True) if text else ((), (), ())
-        return sum(counts), b"".join(ids)[1:], b"".join(decoded)
+    def _piece(self, piece: str) -> list[int]:
+        found = self.find(piece)
+        if len(found) == 1:
+            return self._pretokens[found[0]]
+        return [i for pretoken in found for i in self._pretokens[pretoken]]
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._memo.__getitem__, pieces(text or ""))), "<u4")
@@ -145,6 +150,39 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def written(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Per text: count of its ids, the ids as decimals joined by commas, and the bytes
+        decoded from them. Decimals and bytes are spelled for all texts at once."""
+        if self._decimals is None:
+            n = max(self.tokens, default=-1) + 1
+            self._decimals = Spelling([b",%d" % i for i in range(n)])
+            self._bytes = Spelling([self.tokens.get(i, b"") for i in range(n)])
+        parts = [b"".join(map(self._memo.__getitem__, pieces(t or ""))) for t in texts]
+        cuts = np.cumsum([0, *(len(p) // 4 for p in parts)])
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        (a, a_cuts), (b, b_cuts) = self._decimals.spell(ids, cuts), self._bytes.spell(ids, cuts)
+        for i in range(len(texts)):
+            yield int(cuts[i + 1] - cuts[i]), a[a_cuts[i] + 1 : a_cuts[i + 1]], b[b_cuts[i] : b_cuts[i + 1]]
+
+
+class Spelling:
+    """Byte strings by number, laid end to end, so that many are joined by one gather."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def spell(self, ids: np.ndarray, cuts: np.ndarray, slab: int = 1 << 18) -> tuple[bytes, list[int]]:
+        """The strings of all ids, and where those of ids[cuts[i]] begin."""
+        out, ends = [], np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        for i in range(0, len(ids), slab):
+            part = ids[i : i + slab]
+            sizes = self.sizes[part]
+            shift = self.starts[part] - (np.cumsum(sizes) - sizes)
+            out.append(self.data[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)].tobytes())
+        return b"".join(out), ends[cuts].tolist()
+
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) and the bytes decoded from them, one row per document."""
@@ -169,8 +207,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes decoded from them.
 
-    The digests are taken where the ids are made, so ids are never shuffled or stored. What
-    a piece's ids are in decimals and what they decode to is kept with the encoded piece.
+    The digests are taken where the ids are made, so ids are never shuffled or stored.
     """
     sent = _send(docs, ranks_path)
 
@@ -179,8 +216,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
         def run(doc_ids, texts):
             counts, hashes, decoded = [], [], []
-            for text in texts:
-                count, ids, back = bpe.written(text)
+            for count, ids, back in bpe.written(texts):
                 counts.append(count)
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())

@@ -33,15 +33,22 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """piece -> encoding, filled on a miss; emptied when it holds `bound` pieces."""
+    """piece -> encoding, filled on a miss; pieces longer than `longest` are not kept.
+
+    When it holds `bound` pieces they become the old ones and those of before are dropped.
+    An old piece that is met again is kept, so rare pieces never push common ones out.
+    """
 
     def __init__(self, encode: Callable, bound: int = 300_000, longest: int = 200):
-        self.encode, self.bound, self.longest = encode, bound, longest
+        self.encode, self.bound, self.longest, self.old = encode, bound, longest, {}
 
     def __missing__(self, piece):
-        value = self.encode(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.encode(piece)
         if len(piece) <= self.longest:
+            self[piece] = value
             if len(self) >= self.bound:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = value
         return value
