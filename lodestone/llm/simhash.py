@@ -29,13 +29,13 @@ from lodestone.llm.components import components
 SEED = 42
 BLOCK = 512
 NO_ID = -(1 << 63)
-#: Parts (by leading bits) in which the shingles of a set are counted; pairs compared at
-#: once; what rounding may add to a bound.
-PARTS, SLAB, SLACK = 64, 1 << 14, 1e-9
-#: Pairs whose sets seem to differ by no more than this share of what is allowed are near.
-NEAR = 0.5
-#: Ids and bytes of sets that are broadcast at most.
-FEW_IDS, FEW_BYTES = 500_000, 32 << 20
+#: Words of 64 bits in a document's fingerprint where near copies are looked for; pairs
+#: compared at once; what rounding may add to a bound.
+WIDE, SLAB, SLACK = 4, 1 << 14, 1e-9
+#: Sets of fewer shingles are always verified: their bits are too few votes to trust.
+SMALL = 32
+#: Ids that are broadcast at most; bytes of tokens packed at once; tokens a cell.
+FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -162,12 +162,28 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    stops = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.r_[0, stops[:-1] + 1]
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], stops[:-1]])
     n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops[-n:].tolist(), strict=True)], np.uint64))
+    prefix_hash = anchors.Prefix(np.frombuffer(b" ".join(words), np.uint8)).hash
+    return np.unique(anchors.mix(prefix_hash(starts[:n], stops[-n:] - 1)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A fingerprint of 64 * WIDE bits: a bit is 1 if set in over half the shingles' hashes."""
+    total = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        more = np.stack([part, *(anchors.mix(part + np.uint64(j) * anchors._GOLD) for j in range(1, WIDE))], axis=1)
+        total += np.unpackbits(more.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
+def wide_radius(similarity: float, deviations: float) -> int:
+    """Differing bits of two wide fingerprints at this Jaccard similarity, that many standard
+    deviations above the mean (equal sizes, where the mean is greatest)."""
+    apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * WIDE * apart + deviations * np.sqrt(64 * WIDE * apart * (1 - apart)))
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -189,20 +205,18 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
 
 
-def candidates(value, node, size, counts, side, similarity: float, forest: bool):
+def candidates(value, node, size, bits, side, similarity: float, radius: int, near: int, forest: bool):
     """x, y: pairs of rows of equal `value` (of unequal `side` where it is given) and unequal
-    `node` whose sets can have this similarity.
+    `node` whose sets can have this similarity by their sizes and fingerprints.
 
-    The counts by part of two sets differ by no more than the sets do, so no pair is lost.
-    With `forest`, only pairs that span what all pairs connect, the likeliest first: those
-    that seem to differ by at most NEAR of what is allowed as they are met, then the best
-    of each tree.
+    Rows of a value are sorted by size and compared with those behind them, many at once, by
+    exclusive-or and bit counts. With `forest`, only pairs that span what all pairs connect,
+    the nearest first: those within `near` bits as they are met, then the best of each tree.
     """
     order = np.lexsort((node, size, value))
-    value, node, size, counts = value[order], node[order], size[order], counts[order]
+    value, node, size, bits = value[order], node[order], size[order], bits[order]
     side = None if side is None else side[order]
     sets, live, d, out = Sets(int(node.max(initial=-1)) + 1), np.arange(len(value)), 1, []
-    room = (1 - similarity) / (1 + similarity)
     while len(live):
         live = live[live + d < len(value)]
         live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
@@ -210,20 +224,18 @@ def candidates(value, node, size, counts, side, similarity: float, forest: bool)
         pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
         for i in range(0, len(pick), SLAB):
             x = pick[i : i + SLAB]
-            apart, limit = counts[x].astype(np.int16) - counts[x + d], room * (size[x] + size[x + d])
-            fits = np.abs(apart).sum(axis=1, dtype=np.int64) <= limit + SLACK
-            x, apart, limit = x[fits], apart[fits].astype(np.int32), limit[fits]
-            far = (apart * apart).sum(axis=1) / np.maximum(limit, SLACK)
+            far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1, dtype=np.int64)
+            fits = (far <= radius) | (size[x] < SMALL)
+            x, far = x[fits], far[fits]
             out.append((x, x + d, far))
             if forest:
-                near = far <= NEAR
-                sets.unite(node[x[near]], node[x[near] + d])
+                sets.unite(node[x[far <= near]], node[x[far <= near] + d])
         d += 1
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
     if forest:
-        chosen, best = [np.flatnonzero(far <= NEAR)], np.argsort(far, kind="stable")
+        chosen, best = [np.flatnonzero(far <= near)], np.argsort(far, kind="stable")
         while len(best):
             a, b = sets.root(node[x[best]]), sets.root(node[y[best]])
             best, a, b = best[a != b], a[a != b], b[a != b]
@@ -250,34 +262,69 @@ def common_shingles(docs: DataFrame, width: int, documents: int = 8192, most: in
     return listed[order], count[order]
 
 
-def pairs_of(classes: DataFrame, similarity: float, tile: int, forest: bool) -> DataFrame:
-    """u, v (keys), ui, vi (ids): the candidate pairs of sets of unequal `node`, each once."""
+def recurring(classes: DataFrame) -> DataFrame:
+    """value, k: the prefix shingles that more than one set has, with each set that has them.
+
+    Tokens travel packed, a row for each batch and cell of values. A batch sends one token of
+    a value to the value's cell and those it sees again, which are known to recur, anywhere;
+    so a value that a third of all sets have does not fill its cell.
+    """
     total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    # Mean cells stay well below a tile, so that only common shingles are dealt in tiles.
-    lead = int(max(0, np.ceil(np.log2(max(1, total / 8) * 4 / tile))))
+    cells = max(1, total // 8 // CELL_TOKENS)
 
-    def explode(batches):
+    def pack(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                column = part.column(4).to_pylist()
-                value = np.frombuffer(b"".join(column), "<i8")
-                again = pa.array(np.repeat(np.arange(part.num_rows), [len(p) // 8 for p in column]))
-                cell = (anchors.mix(value.view(np.uint64)) & np.uint64((1 << lead) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(value), *(part.column(c).take(again) for c in (0, 1, 2, 3, 5))], names=["cell", "value", "k", "id", "size", "counts", "node"])
-
-    rows = classes.select("k", "id", "size", "counts", "prefix", "node").mapInArrow(explode, "cell long, value long, k long, id long, size int, counts binary, node long")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = rows.join(F.broadcast(sizes), "cell", "left").withColumn("own", F.pmod(F.xxhash64("k"), F.coalesce("tiles", F.lit(1))).cast("int"))
+            sizes = np.array([len(p) // 8 for p in batch.column(1).to_pylist()], np.int64)
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(sizes) * 8 // PACK_BYTES)) + 1):
+                if not len(rows):
+                    continue
+                part = batch.slice(int(rows[0]), len(rows))
+                value = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8")
+                k = np.repeat(part.column(0).to_numpy(), sizes[rows])
+                order = np.argsort(value, kind="stable")
+                value, k = value[order], k[order]
+                same = value[1:] == value[:-1] if len(value) else np.empty(0, bool)
+                again, first = np.append(False, same)[: len(value)], np.append(same, False)[: len(value)] & ~np.append(False, same)[: len(value)]
+                known = (again | first).astype(np.uint8)
+                spread = np.where(again, anchors.mix(k.view(np.uint64)), anchors.mix(value))
+                cell = ((spread >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(cell, kind="stable")
+                cuts = np.searchsorted(cell[by], np.arange(cells + 1)) if cells <= len(value) else np.append(np.flatnonzero(np.append(True, np.diff(cell[by]) != 0)[: len(by)]), len(by))
+                out = [(int(cell[by[a]]), int(b - a), np.ascontiguousarray(value[by[a:b]]).tobytes() + k[by[a:b]].tobytes() + known[by[a:b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+                c, n, blob = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["cell", "n", "blob"])
+
+    def find(rows: pa.Table) -> pa.Table:
+        got = list(zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist(), strict=True))
+        value, k, known = (np.concatenate([np.frombuffer(blob, t, n, at * n) for n, blob in got]) for t, at in (("<u8", 0), ("<i8", 8), ("u1", 16)))
+        order = np.argsort(value, kind="stable")
+        value, k, known = value[order], k[order], known[order].astype(bool)
+        same = value[1:] == value[:-1]
+        kept = known | np.append(False, same) | np.append(same, False)
+        # A token that is known to recur stands for its value; others of the value are here or known.
+        return pa.table({"value": value[kept].view(np.int64), "k": k[kept]})
+
+    return classes.select("k", "prefix").mapInArrow(pack, "cell long, n int, blob binary").groupBy("cell").applyInArrow(find, "value long, k long")
+
+
+def pairs_of(classes: DataFrame, similarity: float, tile: int, radius: int, near: int, forest: bool) -> DataFrame:
+    """u, v (keys), ui, vi (ids): the candidate pairs of sets of unequal `node`, each once."""
+    tokens = stored(recurring(classes))
+    # Mean cells stay well below a tile, so that only common shingles are dealt in tiles.
+    lead = int(max(0, np.ceil(np.log2(max(1, tokens.count()) * 4 / tile))))
+    cell = F.xxhash64("value").bitwiseAND(F.lit((1 << lead) - 1))
+    rows = tokens.join(classes.select("k", "id", "size", "bits", "node"), "k").withColumn("cell", cell)
+    sizes = tokens.select(cell.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = rows.join(sizes, "cell", "left").withColumn("own", F.pmod(F.xxhash64("k"), F.coalesce("tiles", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    tiles = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "k", "id", "size", "counts", "node")
+    tiles = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "k", "id", "size", "bits", "node")
 
     def compare(key, group):
         _, i, j = (k.as_py() for k in key)
         k, ids = group.column("k").to_numpy(), group.column("id").to_numpy()
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, PARTS)
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, WIDE)
         node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
-        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), counts, None if i == j else group.column("own").to_numpy(), similarity, forest)
+        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, None if i == j else group.column("own").to_numpy(), similarity, radius, near, forest)
         x, y = np.where(k[x] < k[y], x, y), np.where(k[x] < k[y], y, x)
         return pa.table({"u": k[x], "v": k[y], "ui": ids[x], "vi": ids[y]})
 
@@ -286,64 +333,59 @@ def pairs_of(classes: DataFrame, similarity: float, tile: int, forest: bool) ->
 
 def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
     """`pairs` with a column `same`: whether the Jaccard similarity, counted over the two
-    sets of shingles, is at least `similarity`."""
-    need = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("k"), F.col("ui").alias("id")), F.struct(F.col("v").alias("k"), F.col("vi").alias("id")))).alias("x")).select("x.*").distinct()
+    sets of shingles, is at least `similarity`. Texts come to the pairs that need them."""
+    wanted = stored(pairs.select(F.explode(F.array("ui", "vi")).alias("doc_id")).distinct())
+    # A small list of ids is broadcast, up to a fixed size, so that only texts in question move.
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
 
     def make():
-        def f(doc_ids, texts):
-            found = [shingles(t, width) for t in texts]
-            return {"k": pa.array([set_key(h) for h in found], pa.int64()), "hashes": pa.array([h.tobytes() for h in found], pa.binary())}
+        return lambda doc_ids, texts: {"k": pa.array([set_key(shingles(t, width)) for t in texts], pa.int64()), "text": pa.array([t or "" for t in texts], pa.string())}
 
-        return f
-
-    wanted = stored(need.select(F.col("id").alias("doc_id")).distinct())
-    # Small sides are broadcast, up to a fixed size, so that texts and sets are not shuffled.
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
-    again = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, hashes binary", make)
-    sets = stored(again.dropDuplicates(["k"]))
-    small = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) <= FEW_BYTES
+    texts = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, text string", make).dropDuplicates(["k"])
 
     def judge(batches):
         for batch in batches:
             same = []
-            for a, b in zip(batch.column(4), batch.column(5), strict=True):
-                a, b = (np.frombuffer(c.as_buffer(), "<u8") for c in (a, b))
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                a, b = shingles(a, width), shingles(b, width)
                 both = len(a) + len(b) - len(np.union1d(a, b))
                 same.append(both >= similarity * (len(a) + len(b) - both) - SLACK)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["u", "v", "ui", "vi", "same"])
 
-    left, right = sets.select(F.col("k").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("k").alias("v"), F.col("hashes").alias("b"))
-    left, right = (F.broadcast(left), F.broadcast(right)) if small else (left, right)
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "ui", "vi", "a", "b")
+    both = pairs.join(texts.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
+    both = both.join(texts.select(F.col("k").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "ui", "vi", "a", "b")
     return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096, radius: int | None = None, near: int | None = None) -> DataFrame:
     """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
     of those connected to it by Jaccard similarities of `similarity` or more.
 
     Two such sets share one of the first fifth of their shingles in any fixed order (rare
-    ones first here). Sets meet by these, and pairs that sizes and counts by part do not
-    rule out are verified on the sets themselves, so links are exact up to 64-bit hashes.
+    ones first here). Sets meet by these, and their wide fingerprints are compared in tiles;
+    pairs within `radius` bits are verified on the sets themselves, so no false link is made.
+    A pair is missed where its fingerprints differ by five standard deviations more than
+    the mean at this similarity; sets of fewer than SMALL shingles are always verified.
     Pairs that span all others are verified first; where one of them proves false, so are
     all pairs of what it spanned that true ones leave apart. Null doc_ids count as the smallest id.
     """
+    radius = wide_radius(similarity, 5.0) if radius is None else radius
+    near = wide_radius(similarity, 0.0) if near is None else near
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     common = ids.sparkSession.sparkContext.broadcast(common_shingles(ids, width))
 
     def make():
         def f(doc_ids, texts):
             found = [shingles(t, width) for t in texts]
-            counts = [np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for h in found]
             return {"id": pa.array(doc_ids, pa.int64()), "k": pa.array([set_key(h) for h in found], pa.int64()), "size": pa.array([len(h) for h in found], pa.int32()),
-                    "counts": pa.array(counts, pa.binary()), "prefix": pa.array([prefix(h, common.value, similarity).tobytes() for h in found], pa.binary())}
+                    "bits": pa.array(map(wide_fingerprint, found), pa.binary()), "prefix": pa.array([prefix(h, common.value, similarity).tobytes() for h in found], pa.binary())}
 
         return f
 
-    found = map_texts(ids, ["doc_id", "text"], "id long, k long, size int, counts binary, prefix binary", make)
+    found = map_texts(ids, ["doc_id", "text"], "id long, k long, size int, bits binary, prefix binary", make)
     # Rows of one key are alike in all but the id.
-    classes = stored(found.groupBy("k").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")))
-    judged = verified(stored(pairs_of(classes.withColumn("node", F.col("k")), similarity, tile, True)), ids, width, similarity)
+    classes = stored(found.groupBy("k").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    judged = verified(stored(pairs_of(classes.withColumn("node", F.col("k")), similarity, tile, radius, near, True)), ids, width, similarity)
     edges, false = judged.where("same"), judged.where("NOT same")
     if not false.isEmpty():
         # What a false pair connected is paired again: all pairs of sets not yet connected.
@@ -352,7 +394,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
         again = trees.join(tops, "root", "left_semi").select("u").unionByName(tops.withColumnRenamed("root", "u"))
         known = components(edges.select("u", "v")).select("u", F.col("root").alias("node"))
         members = classes.join(again.join(known, "u", "left"), F.col("k") == F.col("u")).withColumn("node", F.coalesce("node", "k"))
-        rest = pairs_of(stored(members), similarity, tile, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
+        rest = pairs_of(stored(members), similarity, tile, radius, near, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
         edges = edges.unionByName(verified(stored(rest), ids, width, similarity).where("same"))
     roots = components(edges.select(F.col("ui").alias("u"), F.col("vi").alias("v"))).withColumnRenamed("u", "id")
     return classes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
