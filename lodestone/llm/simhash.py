@@ -216,21 +216,37 @@ def candidates(value, node, size, bits, side, similarity: float, radius: int, ne
     order = np.lexsort((node, size, value))
     value, node, size, bits = value[order], node[order], size[order], bits[order]
     side = None if side is None else side[order]
-    sets, live, d, out = Sets(int(node.max(initial=-1)) + 1), np.arange(len(value)), 1, []
-    while len(live):
-        live = live[live + d < len(value)]
-        live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
-        pick = live if side is None else live[side[live] != side[live + d]]
-        pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
-        for i in range(0, len(pick), SLAB):
-            x = pick[i : i + SLAB]
-            far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1, dtype=np.int64)
-            fits = (far <= radius) | (size[x] < SMALL)
-            x, far = x[fits], far[fits]
-            out.append((x, x + d, far))
-            if forest:
-                sets.unite(node[x[far <= near]], node[x[far <= near] + d])
-        d += 1
+    sets, out = Sets(int(node.max(initial=-1)) + 1), []
+    heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(value))))
+
+    def scan(wanted, take):
+        """Offers the pairs that fit, of equal or unequal side, by their distance in the order."""
+        live, d = np.arange(len(value)), 1
+        while len(live):
+            live = live[live + d < len(value)]
+            live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
+            if d % 64 == 0 and len(live):  # values whose sets are all connected are done
+                top = sets.root(node)
+                done = np.minimum.reduceat(top, heads) == np.maximum.reduceat(top, heads)
+                live = live[~done[group[live]]]
+            pick = live if side is None else live[(side[live] == side[live + d]) == wanted]
+            pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
+            for i in range(0, len(pick), SLAB):
+                x = pick[i : i + SLAB]
+                far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1, dtype=np.int64)
+                fits = (far <= radius) | (size[x] < SMALL)
+                take(x[fits], x[fits] + d, far[fits])
+            d += 1
+
+    def found(x, y, far):
+        out.append((x, y, far))
+        if forest:
+            sets.unite(node[x[far <= near]], node[y[far <= near]])
+
+    if forest and side is not None:  # what a tile's own group connects need not be connected again
+        scan(True, lambda x, y, far: sets.unite(node[x], node[y]))
+    scan(False, found)
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -357,7 +373,7 @@ def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) ->
     return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 4096, radius: int | None = None, near: int | None = None) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 16_384, radius: int | None = None, near: int | None = None) -> DataFrame:
     """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
     of those connected to it by Jaccard similarities of `similarity` or more.
 
