@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\v\f\r"
@@ -60,6 +61,18 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable, te
     return df.select(*read).mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most `rows` rows of long texts to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the cluster's shared folder.
 

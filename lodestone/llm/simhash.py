@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import anchors
-from lodestone.llm.arrowtools import map_texts, stored
+from lodestone.llm.arrowtools import map_texts, small_batches, stored
 from lodestone.llm.components import components
 
 SEED = 42
@@ -362,15 +362,16 @@ def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) ->
     def judge(batches):
         for batch in batches:
             same = []
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                a, b = shingles(a, width), shingles(b, width)
+            for a, b in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = shingles(a.as_py(), width), shingles(b.as_py(), width)
                 both = len(a) + len(b) - len(np.union1d(a, b))
                 same.append(both >= similarity * (len(a) + len(b) - both) - SLACK)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["u", "v", "ui", "vi", "same"])
 
     both = pairs.join(texts.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
     both = both.join(texts.select(F.col("k").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "ui", "vi", "a", "b")
-    return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
+    with small_batches(ids.sparkSession, 256):  # two whole texts a row
+        return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 16_384, radius: int | None = None, near: int | None = None) -> DataFrame:
