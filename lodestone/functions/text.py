@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of URL query parameters that hold secrets.
-SECRET_PARAMETERS = "access_token|api_key|apikey|auth|key|password|secret|sig|signature|token"
+#: Parts of names of URL query parameters that hold secrets.
+SECRET_PARTS = "token|key|signature|authorization|auth|credential|secret"
+#: White space as text engines see it: ASCII, no-break and the Unicode space separators.
+SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
 def token_estimate(text: Column) -> Column:
@@ -36,29 +38,54 @@ def page_key(path: Column) -> Column:
 
 def wiki_links(content: Column) -> Column:
     """Distinct link targets in order, without alias, heading and suffix."""
-    found = F.regexp_extract_all(content, F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: page_key(F.trim(x))))
+    found = F.regexp_extract_all(content, F.lit(r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(found, lambda x: F.trim(x) != ""), lambda x: page_key(F.trim(x))))
 
 
 def writable_path(path: Column) -> Column:
-    """Under wiki/ after normalization, without a step up."""
+    """Under wiki/ after normalization, without a step up, and no configuration."""
     low = F.lower(vault_path(path))
-    return low.startswith("wiki/") & ~low.contains("../") & low.endswith(".md")
+    return low.startswith("wiki/") & ~low.contains("../") & (low != "llm-wiki.config.json")
+
+
+def staged_path(path: Column, index_path: str = "wiki/index.md", log_path: str = "wiki/log.md") -> Column:
+    """Writable, and neither the index nor the log page."""
+    return writable_path(path) & ~F.lower(vault_path(path)).isin(index_path, log_path)
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space become one blank; none at the ends."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def compact_tldr(text: Column, limit: int = 180) -> Column:
-    plain = F.regexp_replace(text, r"\[\[([^\]|]*\|)?([^\]]*)\]\]", "$2")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_`#>]", ""), r"\s+", " "))
-    return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 1), F.lit("…"))).otherwise(plain)
+    """Table rows go, links become their targets, marks become blanks; at most `limit`."""
+    plain = F.regexp_replace(text, r"\|[^\n]*\|", " ")
+    plain = F.regexp_replace(plain, r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1")
+    plain = collapse(F.regexp_replace(plain, r"[`*_>#-]", " "))
+    return F.when(F.length(plain) > limit, F.concat(F.rtrim(F.substring(plain, 1, limit - 1)), F.lit("…"))).otherwise(plain)
 
 
-def clean_url(url: Column) -> Column:
-    """http(s) only, without credentials, secret query values redacted; else null."""
+def inferred_tldr(body: Column, limit: int = 120) -> Column:
+    """The first words of a body without headings, comments and marks."""
+    plain = F.regexp_replace(F.regexp_replace(body, r"(?m)^#.*$", ""), r"(?s)<!--.*?-->", "")
+    return F.substring(collapse(F.regexp_replace(plain, r"[*_`>#-]", "")), 1, limit)
+
+
+def clean_url(url: Column, secret: str = SECRET_PARTS) -> Column:
+    """http(s) only, without credentials, values of parameters whose name has a secret part
+    redacted; else null. A parameter that repeats is redacted each time."""
     bare = F.regexp_replace(url, r"^(?i)(https?://)[^/?#@]*@", "$1")
-    redacted = F.regexp_replace(bare, f"(?i)([?&](?:{SECRET_PARAMETERS})=)[^&#]*", "$1[REDACTED]")
+    bare = F.regexp_replace(bare, r"^([A-Za-z]+://[^/?#]+)([?#]|$)", "$1/$2")
+    redacted = F.regexp_replace(bare, f"(?i)([?&][^=&#]*(?:{secret})[^=&#]*)(=[^&#]*)?", "$1=%5BREDACTED%5D")
     return F.when(url.rlike(r"^(?i)https?://[^/?#]+"), redacted)
 
 
+def page_url(url: Column) -> Column:
+    """As clean_url with more secret names; empty where the address is refused."""
+    return F.coalesce(clean_url(url, SECRET_PARTS + "|sig|password"), F.lit(""))
+
+
 def url_acceptable(url: Column) -> Column:
     """http or https, a host, and no credentials."""
     return F.coalesce(url.rlike(r"^(?i)https?://[^/?#@\s]+([/?#]|$)"), F.lit(False))
@@ -81,3 +108,28 @@ def query_terms(query: Column) -> Column:
     runs = F.regexp_extract_all(low, F.lit(r"\p{IsHan}{2,}"), F.lit(0))
     grams = F.transform(runs, lambda r: F.when(F.length(r) <= 4, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.array_distinct(F.concat(latin, F.flatten(grams)))
+
+
+def search_terms(query: Column) -> Column:
+    """Distinct words of two characters or more in a lowered query."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_.+#/-]{2,}"), F.lit(0)))
+
+
+def search_score(text: Column, query: Column, terms: Column, mode: str) -> Column:
+    """Score of a lowered text: occurrences of the phrase ("exact"), or of the terms, five of
+    each at most; with "all_terms" only where every term occurs."""
+    capped = lambda t: F.least(occurrences(text, t), F.lit(5).cast("long"))
+    zero = F.lit(0).cast("long")
+    if mode == "exact":
+        phrase = F.trim(F.lower(query))
+        return F.when(phrase == "", zero).otherwise(capped(phrase))
+    total = F.aggregate(terms, zero, lambda acc, t: acc + capped(t))
+    return F.when(F.forall(terms, lambda t: text.contains(t)), total).otherwise(zero) if mode == "all_terms" else total
+
+
+def ingest_query(content: Column) -> Column:
+    """What a new document is looked up by: its first heading or line, and inline code terms."""
+    line = F.trim(F.element_at(F.concat(F.filter(F.split(content, r"\r?\n"), lambda x: F.trim(x) != ""), F.array(F.lit(""))), 1))
+    title = F.coalesce(F.nullif(F.trim(F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1)), F.lit("")), line)
+    code = F.slice(F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"`([^`\n]{2,80})`"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""), 1, 12)
+    return F.array_join(F.filter(F.array_distinct(F.concat(F.array(F.substring(title, 1, 240)), code)), lambda x: x != ""), " ")

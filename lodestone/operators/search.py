@@ -1,57 +1,190 @@
-"""Ranked retrieval, match modes and candidate matching."""
+"""Ranked retrieval, match modes, card and section search, candidates, citations.
+
+Queries are a stated set: they meet all pages as one row, and only pages with a score become
+rows, so no all-pairs table is made.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import index
+from lodestone.operators.structure import nfkc
+
+#: Queries or candidates that may be asked at once; more are asked in blocks by the caller.
+MAX_QUERIES = 10_000
+
+
+def _asked(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """The stated rows as one array in one row."""
+    if rows.count() > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} are asked at once")
+    return F.broadcast(rows.agg(F.collect_list(F.struct(*columns)).alias("asked")))  # at most MAX_QUERIES short texts
+
+
+def _texts(pages: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    title = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("aliases", none), " ")))
+    tldr, body = (F.lower(F.coalesce(c, F.lit(""))) for c in ("tldr", "body"))
+    return pages.select("path", "type", "tags", title.alias("t"), F.lower(F.array_join(F.coalesce("tags", none), " ")).alias("g"), tldr.alias("s"), body.alias("b"))
 
 
 def score_pages(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """query_id, path, score: per term 12 in the title, 6 in a tag, 4 in the tldr, and up
-    to 5 occurrences in the body. `queries` is a stated query set (query_id, query)."""
-    asked = F.broadcast(queries.select("query_id", T.query_terms(F.col("query")).alias("terms")))
-    title, tldr, body = (F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "tldr", "body"))
-    texts = pages.select("path", title.alias("t"), F.lower(F.array_join("tags", " ")).alias("g"), tldr.alias("s"), body.alias("b"))
-    one = lambda acc, x: acc + F.when(F.col("t").contains(x), 12).otherwise(0) + F.when(F.col("g").contains(x), 6).otherwise(0) + F.when(F.col("s").contains(x), 4).otherwise(0) + F.least(T.occurrences(F.col("b"), x), F.lit(5))
-    scored = texts.crossJoin(asked).select("query_id", "path", F.aggregate("terms", F.lit(0).cast("long"), one).alias("score"))
-    return scored.where("score > 0")
+    """query_id, path, score, strong: per term 12 in title or alias, 6 in a tag, 4 in the
+    tldr, and up to 5 occurrences in the body. `queries` is a stated query set (query_id,
+    query); strong tells of a hit in title, alias or tag."""
+    asked = _asked(queries, "query_id", T.query_terms(F.col("query")).alias("terms"))
+    hit = lambda c, x, n: F.when(F.col(c).contains(x), n).otherwise(0)
+    one = lambda acc, x: acc + hit("t", x, 12) + hit("g", x, 6) + hit("s", x, 4) + F.least(T.occurrences(F.col("b"), x), F.lit(5))
+    named = lambda terms: F.exists(terms, lambda x: F.col("t").contains(x) | F.col("g").contains(x))
+    scored = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.aggregate(q["terms"], F.lit(0).cast("long"), one).alias("score"), named(q["terms"]).alias("strong")))
+    rows = _texts(pages).crossJoin(asked).select("path", "type", "tags", F.explode(F.filter(scored, lambda x: x["score"] > 0)).alias("x"))
+    return rows.select("x.query_id", "path", "x.score", "x.strong", "type", "tags")
 
 
 def ranked_search(queries: DataFrame, pages: DataFrame, top_k: int = 8, max_pages: int = 12) -> DataFrame:
-    """query_id, rank, path, score: the best pages, widened by one hop of links.
+    """query_id, rank, path, score: the best pages, then pages they link to.
 
-    A linked page that is no hit itself enters at a quarter of its best parent's score
-    (at least 1). The order is by score, then path.
+    Linked pages that are no hits come in the order of their hit and of its links until
+    there are `max_pages`, each at a quarter of that hit's score (1 at least). All are
+    ranked by score, then path.
     """
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    hits = score_pages(queries, pages).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= top_k).drop("r")
-    linked = hits.join(pages.select("path", F.explode("links").alias("to_path")), "path").select("query_id", F.col("to_path").alias("path"), F.greatest(F.lit(1.0), F.col("score") * 0.25).alias("score"))
+    hits = score_pages(queries, pages).select("query_id", "path", "score").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= top_k)
+    ends = hits.join(pages.select("path", F.posexplode("links").alias("ordinal", "to_path")), "path")
+    linked = ends.select("query_id", F.col("to_path").alias("path"), F.struct("r", "ordinal", F.greatest(F.lit(1.0), F.col("score") * 0.25).alias("score")).alias("by"))
     linked = linked.join(pages.select("path"), "path", "left_semi").join(hits.select("query_id", "path"), ["query_id", "path"], "left_anti")
-    linked = linked.groupBy("query_id", "path").agg(F.max("score").alias("score"))
-    both = hits.withColumn("score", F.col("score").cast("double")).unionByName(linked)
+    linked = linked.groupBy("query_id", "path").agg(F.min("by").alias("by"))
+    room = hits.groupBy("query_id").agg((F.lit(max_pages) - F.count(F.lit(1))).alias("room"))
+    linked = linked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("by.r", "by.ordinal"))).join(room, "query_id").where("n <= room")
+    both = hits.select("query_id", "path", F.col("score").cast("double").alias("score")).unionByName(linked.select("query_id", "path", F.col("by.score").alias("score")))
     return both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= max_pages).select("query_id", "rank", "path", "score")
 
 
+def strong_matches(queries: DataFrame, pages: DataFrame, least: int = 12, most: int = 4) -> DataFrame:
+    """query_id, rank, path, score: hits of `least` or more with a title, alias or tag hit."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    found = score_pages(queries, pages).where((F.col("score") >= least) & F.col("strong"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "path", "score")
+
+
+def _scored(texts: DataFrame, text: Column, queries: DataFrame, mode: str, *keep: str) -> DataFrame:
+    asked = _asked(queries, "query_id", F.coalesce("query", F.lit("")).alias("query"), T.search_terms(F.col("query")).alias("terms"))
+    scored = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), T.search_score(F.col("x"), q["query"], q["terms"], mode).alias("score")))
+    rows = texts.withColumn("x", text).crossJoin(asked).select(*keep, F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("s"))
+    return rows.select(*keep, "s.query_id", "s.score")
+
+
 def search_modes(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """query_id, mode, hits: pages that match by exact phrase, all terms or any term."""
-    asked = F.broadcast(queries.select("query_id", F.lower("query").alias("phrase"), T.query_terms(F.col("query")).alias("terms")))
-    texts = pages.select(F.lower(F.concat_ws(" ", "title", "tldr", "body")).alias("x"))
-    counts = texts.crossJoin(asked).groupBy("query_id").agg(
-        F.count_if(F.col("x").contains(F.col("phrase"))).alias("exact"),
-        F.count_if(F.forall("terms", lambda t: F.col("x").contains(t))).alias("all_terms"),
-        F.count_if(F.exists("terms", lambda t: F.col("x").contains(t))).alias("any_terms"),
-    )
-    return counts.select("query_id", F.expr("stack(3, 'exact', exact, 'all_terms', all_terms, 'any_terms', any_terms) AS (mode, hits)"))
+    """query_id, mode, path, score: pages whose title, tldr and body match by each mode."""
+    texts = pages.select("path", F.lower(F.concat_ws(" ", "title", "tldr", "body")).alias("text"))
+    rows = [_scored(texts, F.col("text"), queries, mode, "path").select("query_id", F.lit(mode).alias("mode"), "path", "score") for mode in ("exact", "all_terms", "any_terms")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def card_search(queries: DataFrame, cards: DataFrame, pages: DataFrame, mode: str = "lexical", types: list[str] | None = None, tags: list[str] | None = None, limit: int = 8) -> DataFrame:
+    """query_id, rank, path, score, source: cards that match; a query that no card matches is
+    answered by `ranked_search` over bodies. Types and tags (any of them) filter after that
+    choice, then the best `limit` (1 to 20) stay. `cards` have path, type, tags and the texts
+    of a card; links count as text."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce("title", F.lit("")), *(F.array_join(F.coalesce(c, none), " ") for c in ("aliases",)), F.coalesce("tldr", F.lit("")), *(F.array_join(F.coalesce(c, none), " ") for c in ("tags", "headings", "links"))]
+    hits = _scored(cards, F.lower(F.concat_ws("\n", *parts)), queries, mode, "path").withColumn("source", F.lit("card")).withColumn("score", F.col("score").cast("double"))
+    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    bodies = ranked_search(rest, pages).select("path", "query_id", "score", F.lit("body").alias("source"))
+    found = hits.unionByName(bodies).join(cards.select("path", "type", "tags"), "path")
+    if types:
+        found = found.where(F.col("type").isin(types))
+    if tags:
+        found = found.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(20, limit))).select("query_id", "rank", "path", "score", "source")
+
+
+def section_search(queries: DataFrame, sections: DataFrame, mode: str = "lexical", limit: int = 8, width: int = 800) -> DataFrame:
+    """query_id, rank, doc_id, section_id, score, excerpt: the best sections (of `sections`,
+    in the scope the caller chose), with collapsed text of at most `width`."""
+    hits = _scored(sections, F.lower("content"), queries, mode, "doc_id", "section_id", "content")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "section_id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(20, limit)))
+    return best.select("query_id", "rank", "doc_id", "section_id", "score", F.substring(F.regexp_replace("content", f"[{T.SPACE}]+", " "), 1, width).alias("excerpt"))
+
+
+def candidate_terms(text: Column) -> Column:
+    """Distinct parts of a text in compatibility form, of two characters or more; the first 20."""
+    parts = F.split(F.lower(nfkc(text)), "[" + T.SPACE + r",，.。:：;；/|()（）\[\]【】_-]+")
+    return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 2)), 1, 20)
 
 
 def candidate_matches(candidates: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
-    """candidate_id, rank, path, score: pages whose identity equals the candidate's title
-    (100, plus 5 for the same type), joined by the identity key."""
-    named = candidates.select("candidate_id", F.col("type").alias("wanted"), index.identity(F.col("title")).alias("identity"))
-    known = pages.select("path", "type", index.identity(F.col("title")).alias("identity"))
-    scored = named.join(known, "identity").withColumn("score", F.lit(100) + F.when(F.col("wanted") == F.col("type"), 5).otherwise(0))
-    order = Window.partitionBy("candidate_id").orderBy(F.desc("score"), "path")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("candidate_id", "rank", "path", "score")
+    """candidate_id, rank, path, score, exact: knowledge pages for candidates (candidate_id,
+    type, title).
+
+    100 where an identity of the page equals the candidate's, 5 for the same type, and per
+    term 12 in title, alias or file name, 6 in a tag, 4 in the tldr. Exact ones are kept, and others
+    with more than the type's points. Exact first, then by score, same type and path.
+    Exact pairs meet by a join on the identity, terms as a stated set.
+    """
+    wanted = candidates.select("candidate_id", F.col("type").alias("wanted"), index.concept_identity(F.col("title")).alias("identity"), candidate_terms(F.col("title")).alias("terms"))
+    pages = pages.where(F.col("type").isin(index.KNOWLEDGE))
+    base = F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.md$", "")
+    exact = wanted.select("candidate_id", "identity").join(index.identities(pages), "identity").select("candidate_id", "path").distinct()
+    asked = _asked(wanted, "candidate_id", "terms")
+    hit = lambda c, x, n: F.when(F.col(c).contains(x), n).otherwise(0)
+    one = lambda acc, x: acc + hit("t", x, 12) + hit("g", x, 6) + hit("s", x, 4)
+    scored = F.transform("asked", lambda q: F.struct(q["candidate_id"].alias("candidate_id"), F.aggregate(q["terms"], F.lit(0).cast("long"), one).alias("terms")))
+    hits = _texts(pages).withColumn("t", F.concat_ws(" ", "t", F.lower(base))).crossJoin(asked).select("path", F.explode(F.filter(scored, lambda x: x["terms"] > 0)).alias("x")).select("path", "x.candidate_id", F.col("x.terms").alias("points"))
+    both = hits.join(exact.withColumn("exact", F.lit(True)), ["candidate_id", "path"], "full").join(pages.select("path", "type"), "path").join(candidates.select("candidate_id", F.col("type").alias("wanted")), "candidate_id")
+    same = F.col("wanted").eqNullSafe(F.col("type"))
+    both = both.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("same", same)
+    score = F.coalesce("points", F.lit(0)) + F.when(F.col("exact"), 100).otherwise(0) + F.when(F.col("same"), 5).otherwise(0)
+    kept = both.withColumn("score", score.cast("long")).where(F.col("exact") | (F.col("score") > F.when(F.col("same"), 5).otherwise(0)))
+    order = Window.partitionBy("candidate_id").orderBy(F.desc("exact"), F.desc("score"), F.desc("same"), "path")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("candidate_id", "rank", "path", "score", "exact")
+
+
+def candidate_evidence(matches: DataFrame, pages: DataFrame) -> DataFrame:
+    """path, hash, best, any_exact, n_candidates, reads: matched pages, each read once; reads
+    that other candidates would repeat are counted."""
+    found = matches.groupBy("path").agg(F.max("score").alias("best"), F.max("exact").alias("any_exact"), F.count_distinct("candidate_id").alias("n_candidates"), (F.count(F.lit(1)) - 1).alias("repeated_reads"))
+    return found.join(pages.select("path", F.sha2("content", 256).alias("hash")), "path").select("path", "hash", "best", "any_exact", "n_candidates", "repeated_reads")
+
+
+def distinct_reads(reads: DataFrame) -> DataFrame:
+    """run_id, path, hash, mode, section, ord, evidence_id: the first read of each page part
+    in a run; later ones are skipped. Evidence is numbered in the order of first reads."""
+    key = ["run_id", "path", "hash", "mode", "section"]
+    first = reads.groupBy(*key).agg(F.min("ord").alias("ord"))
+    number = F.row_number().over(Window.partitionBy("run_id").orderBy("ord"))
+    return first.withColumn("evidence_id", F.concat(F.lit("w"), F.lpad(number.cast("string"), 4, "0")))
+
+
+def citation_issues(answers: DataFrame, reads: DataFrame, pages: DataFrame) -> DataFrame:
+    """answer_id, path, code: what is wrong with the pages an answer (answer_id, text) cites:
+    outside wiki/, not read for it, gone, or changed since it was read (reads: answer_id,
+    path, hash). An answer without citations has the code no_citation."""
+    cited = answers.select("answer_id", F.explode_outer(T.wiki_links(F.col("text"))).alias("path"))
+    seen = reads.groupBy("answer_id", "path").agg(F.max_by("hash", "hash").alias("read_hash"))
+    now = pages.select("path", F.sha2("content", 256).alias("hash"))
+    joined = cited.join(seen, ["answer_id", "path"], "left").join(now, "path", "left")
+    code = (
+        F.when(F.col("path").isNull(), "no_citation").when(~F.col("path").startswith("wiki/"), "outside_wiki").when(F.col("read_hash").isNull(), "not_read")
+        .when(F.col("hash").isNull(), "missing_page").when(F.col("hash") != F.col("read_hash"), "changed_page")
+    )
+    return joined.select("answer_id", "path", code.alias("code")).where("code IS NOT NULL")
+
+
+def answer_status(answers: DataFrame, issues: DataFrame) -> DataFrame:
+    """answer_id, status: verified, or degraded where a citation has an issue."""
+    bad = issues.select("answer_id").distinct().withColumn("bad", F.lit(True))
+    return answers.select("answer_id").join(bad, "answer_id", "left").select("answer_id", F.when(F.col("bad"), "degraded").otherwise("verified").alias("status"))
+
+
+def context_blocks(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """query_id, rank, block: what is put before a question, a page each under a header with
+    score and hash."""
+    joined = hits.join(pages.select("path", "content"), "path")
+    header = F.format_string("## %s (score %.2f, %s)", F.col("path"), F.col("score").cast("double"), F.sha2("content", 256))
+    return joined.select("query_id", "rank", F.concat_ws("\n", header, "content").alias("block"))

@@ -14,21 +14,39 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, metrics and overall verdict (pass, warn or fail) per document."""
-    lines = F.split("text", "\n")
-    n = F.length("text")
-    bad = F.length(F.regexp_replace("text", "[^�]", ""))
+def fences_open(lines: Column) -> Column:
+    """Whether a code fence is left open. The marker that opened a fence closes it; other
+    markers inside it are text."""
+    marks = F.filter(F.transform(lines, lambda x: F.substring(F.regexp_extract(x, r"^\s*(```|~~~)", 1), 1, 1)), lambda m: m != "")
+    return F.aggregate(marks, F.lit(""), lambda active, m: F.when(active == "", m).when(active == m, "").otherwise(active)) != ""
+
+
+#: Fixed value: what a parsed document may have in bytes.
+MAX_OUTPUT_BYTES = 20 << 20
+
+
+def quality(docs: DataFrame, max_bytes: int = MAX_OUTPUT_BYTES) -> DataFrame:
+    """doc_id, metrics, errors (codes, in order) and overall (pass, warning or fail).
+
+    Optional columns: page_count, parsed_page_count and n_warnings of the parser. A null
+    text is empty.
+    """
+    optional = {"page_count": "double", "parsed_page_count": "double", "n_warnings": "int"}
+    docs = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in optional.items() if c not in docs.columns}).withColumn("text", F.coalesce("text", F.lit("")))
+    lines, n = F.split("text", "\n"), F.length("text")
+    bad = F.length(F.regexp_replace("text", "[^\uFFFD]", ""))
+    empty = F.greatest(F.lit(0.0), F.col("page_count") - F.coalesce("parsed_page_count", "page_count")) / F.col("page_count")
     measured = docs.select(
-        "doc_id", n.cast("long").alias("characters"),
-        (bad / F.greatest(n, F.lit(1))).alias("replacement_ratio"),
-        F.size(F.filter(lines, lambda x: F.length(x) > 1200)).alias("long_lines"),
-        F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)).alias("longest_line"),
-        F.size(F.filter(lines, lambda x: x.rlike(r"^\s*\|?[ :|-]*-{3,}[ :|-]*$"))).alias("tables"),
+        "doc_id", n.cast("long").alias("characters"), (bad / F.greatest(n, F.lit(1))).alias("replacement_ratio"),
+        F.size(F.filter(lines, lambda x: F.length(x) > 2000)).alias("long_lines"), F.when(F.col("page_count") > 0, empty).alias("empty_page_ratio"),
+        F.array_compact(F.array(
+            F.when(T.collapse(F.col("text")) == "", "EMPTY"), F.when(bad / F.greatest(n, F.lit(1)) > 0.01, "REPLACEMENT_RATIO"),
+            F.when(F.size(F.filter(lines, lambda x: F.length(x) > 2000)) > 0, "LONG_LINE"), F.when((F.col("page_count") > 0) & (empty > 0.3), "EMPTY_PAGES"),
+            F.when(F.octet_length("text") > max_bytes, "TOO_LARGE"), F.when(fences_open(lines), "OPEN_FENCE"),
+        )).alias("errors"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"),
     )
-    fail = (F.coalesce("characters", F.lit(0)) == 0) | (F.col("replacement_ratio") > 0.01) | (F.col("longest_line") > 2000)
-    warn = (F.col("replacement_ratio") > 0.001) | (F.col("long_lines") > 0)
-    return measured.withColumn("overall", F.when(fail, "fail").when(warn, "warn").otherwise("pass"))
+    warn = (F.col("replacement_ratio") > 0.001) | F.coalesce(F.col("empty_page_ratio") > 0.1, F.lit(False)) | (F.col("n_warnings") > 0)
+    return measured.withColumn("overall", F.when(F.size("errors") > 0, "fail").when(warn, "warning").otherwise("pass"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -39,30 +57,36 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, section_no, heading, level, n_lines, tokens of Markdown texts.
+    """doc_id, section_id, heading, level, start_line, end_line, tokens, page, content.
 
-    A heading inside a code fence is text: the parity of fence lines before it decides.
-    Windows run within one document.
+    A heading inside a code fence is text: the parity of fence lines up to it decides. Lines
+    before the first heading are a `Preamble`, a text without one is a `Document`. A page
+    marker holds for the headings behind it. Windows run within one document; null texts
+    are empty, and doc_ids are taken for unique.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     by = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)").cast("int")
-    marked = lines.withColumn("fences", F.sum(fence).over(by))
-    heading = (F.col("fences") % 2 == 0) & F.col("line").rlike(r"^#{1,6}\s+\S")
-    numbered = marked.withColumn("is_heading", heading).withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(by))
-    title = F.regexp_replace(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), r"\s+#*\s*$", "")
-    return numbered.groupBy("doc_id", "section_no").agg(
-        F.coalesce(F.max(F.when(F.col("is_heading"), title)), F.lit("Preamble")).alias("heading"),
-        F.coalesce(F.max(F.when(F.col("is_heading"), F.length(F.regexp_extract("line", "^(#+)", 1)))), F.lit(0)).alias("level"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(T.token_estimate(F.col("line"))).alias("tokens"),
-    )
-
-
-def as_markdown(docs: DataFrame, every: int = 5) -> DataFrame:
-    """Plain documents with every fifth line made a heading and every seventh a fence."""
-    line = lambda x, i: F.when(i % every == 0, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.lit("```")).otherwise(x)
-    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    fence = F.col("line").rlike(r"^\s*(```|~~~)").cast("int")
+    marked = lines.withColumn("open", F.sum(fence).over(by) % 2 == 1)
+    page = F.when(~F.col("open"), F.regexp_extract("line", r"^<!--\s*llm-wiki:page=(\d+)\s*-->$", 1))
+    heading = ~F.col("open") & F.col("line").rlike(r"^#{1,6}\s+.")
+    numbered = marked.withColumn("is_heading", heading).withColumn("page", F.last(F.nullif(page, F.lit("")), ignorenulls=True).over(by).cast("int"))
+    numbered = numbered.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(by))
+    title = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))
+    first = F.when(F.col("is_heading"), F.struct(title.alias("heading"), F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), "page"))
+    found = numbered.groupBy("doc_id", "section").agg(
+        F.max(first).alias("first"), (F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line"),
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"),
+    )
+    each = Window.partitionBy("doc_id")
+    content = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), f"[{T.SPACE}]+$", "")
+    number = F.col("section") + F.when(F.min("section").over(each) == 0, 1).otherwise(0)
+    none = F.when(F.max("section").over(each) == 0, "Document").otherwise("Preamble")
+    return found.withColumn("content", content).select(
+        "doc_id", F.concat(F.lit("s"), F.lpad(number.cast("string"), 4, "0")).alias("section_id"), F.coalesce("first.heading", none).alias("heading"),
+        F.coalesce("first.level", F.lit(0)).alias("level"), "start_line", "end_line", T.token_estimate(F.col("content")).alias("tokens"), F.col("first.page").alias("page"), "content",
+    )
 
 
 def _cost(ch: str) -> float:
@@ -125,7 +149,12 @@ def nfkc(text: Column) -> Column:
 
 
 def concept_identity(title: Column) -> Column:
-    return F.regexp_replace(F.lower(nfkc(title)), r"[\s\p{Punct}]", "")
+    """Compatibility form, lower case, without blanks and the marks that names differ in."""
+    return F.regexp_replace(F.lower(nfkc(title)), "[" + T.SPACE + r"·・,，.。:：;；'\"“”‘’()（）\[\]【】/_-]", "")
+
+
+#: Fixed value: what a page says instead of its text when it keeps readers out.
+ACCESS_GATE = r"(?i)(?:enable\s+javascript|javascript\s+(?:is\s+)?required|access\s+denied|captcha|cloudflare|checking\s+your\s+browser|verify\s+you\s+are\s+human|请启用\s*javascript|访问被拒绝|人机验证|安全验证)"
 
 
 class _Reader(HTMLParser):
@@ -178,5 +207,5 @@ def web_pages(pages: DataFrame) -> DataFrame:
     read = pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, markdown string")
     words = F.size(F.filter(F.split("markdown", r"\s+"), lambda w: w != ""))
     read = read.withColumn("n_words", words)
-    gate = F.substring("markdown", 1, 4000).rlike("(?i)log ?in|sign ?in|subscribe|captcha|access denied|enable javascript")
+    gate = F.substring("markdown", 1, 4000).rlike(ACCESS_GATE)
     return read.withColumn("status", F.when(F.col("n_words") == 0, "WEB_BROWSER_REQUIRED").when((F.col("n_words") < 200) & gate, "WEB_ACCESS_BLOCKED").when(F.col("n_words") < 50, "WEB_CONTENT_SPARSE").otherwise("OK"))

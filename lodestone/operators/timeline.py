@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 
-#: Phase -> (percent at its start, percent it spans).
-PHASES = {"click": (0, 10), "view": (10, 70), "purchase": (80, 15), "signup": (95, 5)}
-
-
-def segments_of(conversations: DataFrame) -> DataFrame:
-    """Conversations as timed segments: a turn every four seconds, of one and a half."""
-    start = F.col("turn") * 4000
-    return conversations.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("ord"), start.alias("start_ms"), (start + 1500).alias("end_ms"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-
-
 def gap_sessions(segments: DataFrame, gap_ms: int = 3000) -> DataFrame:
     """media_id, session, first and last ms, segments: a new one after a longer gap."""
     order = Window.partitionBy("media_id").orderBy("start_ms", "ord")
@@ -27,66 +19,96 @@ def gap_sessions(segments: DataFrame, gap_ms: int = 3000) -> DataFrame:
 
 
 def timeline_issues(segments: DataFrame) -> DataFrame:
-    """media_id, ord, code: broken times and damaged text."""
+    """media_id, ord, code: broken times and damaged text. An optional duration_ms column
+    bounds the times, with a second of grace."""
     order = Window.partitionBy("media_id").orderBy("ord")
     before = F.max("start_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.col("duration_ms") + 1000 if "duration_ms" in segments.columns else F.lit(None).cast("long")
     codes = F.array(
+        F.when(F.col("text").contains("\uFFFD"), "replacement_character"),
         F.when(F.col("start_ms") < before, "not_monotonic"),
         F.when(F.col("end_ms") < F.col("start_ms"), "ends_before_start"),
-        F.when(F.col("text").contains("�"), "replacement_character"),
+        F.when(F.coalesce(F.col("start_ms") > last, F.lit(False)) | F.coalesce(F.col("end_ms") > last, F.lit(False)), "out_of_range"),
     )
     return segments.select("media_id", "ord", F.explode(F.array_compact(codes)).alias("code"))
 
 
-def join_segments(rows: list[tuple]) -> list[tuple]:
-    """(start_ms, end_ms, text) paragraphs of one medium's (start, end, speaker, text)."""
-    out: list[list] = []
-    speaker = None
-    for start, end, who, text in rows:
-        text = " ".join(text.split())
-        if not text:
-            continue
-        last = out[-1] if out else None
-        close = last is not None and (
-            start - last[1] > 3000 or last[1] - last[0] > 45_000 or len(last[2]) > 600 or (len(last[2]) >= 160 and last[2][-1] in ".!?…。！？") or who != speaker
-        )
-        if last is None or close:
-            out.append([start, end, f"{who}: {text}" if who and who != speaker else text])
-        else:
-            last[1], last[2] = max(last[1], end), f"{last[2]} {text}"
-        speaker = who
-    return [tuple(x) for x in out]
+_ENDING = re.compile(r"[。！？.!?][”’」』】)]?$")
+_WORD_END, _WORD_START = re.compile(r"[A-Za-z0-9]$"), re.compile(r"[A-Za-z0-9]")
+
+
+def join_text(left: str, right: str) -> str:
+    """Two texts with a blank between them only where Latin words meet."""
+    return f"{left} {right}" if _WORD_END.search(left) and _WORD_START.match(right) else left + right
+
+
+class Paragraph:
+    """The paragraph that a fold over ordered segments is at."""
+
+    def __init__(self, start, end, speaker, text: str):
+        self.start, self.end, self.speaker, self.text = start, end, speaker, text
+
+    def takes(self, start, end, speaker, text: str) -> bool:
+        """Whether the next segment belongs to it: no long pause, not too long with it in time
+        or text, no finished sentence in a paragraph of some length, and the same speaker."""
+        pause = start - self.end if self.end is not None and start is not None else 0
+        lasts = end - self.start if self.start is not None and end is not None else 0
+        return not (
+            pause > 3000 or lasts > 45_000 or len(self.text) + len(text) > 600
+            or (len(self.text) >= 160 and _ENDING.search(self.text))
+            or (self.speaker and speaker and self.speaker != speaker)
+        )
+
+    def add(self, end, text: str) -> None:
+        self.text = join_text(self.text, text)
+        self.end = self.end if end is None else end
+
+    def row(self) -> tuple:
+        return self.start, self.end, f"**{self.speaker}：** {self.text}" if self.speaker else self.text
 
 
 def paragraphs(segments: DataFrame) -> DataFrame:
     """media_id, paragraph_no, start_ms, end_ms, text. Whether a paragraph closes depends
-    on what it holds, so rows stream in order through one fold per medium; a medium is
-    never held whole."""
+    on what it holds, so rows stream in order through one fold per medium; only the open
+    paragraph is held. Segments without text are skipped; times may be null."""
     columns = ["media_id", "paragraph_no", "start_ms", "end_ms", "text"]
 
     def run(batches):
-        media, held, number, begun = None, [], 0, False
+        media, number, open_ = None, 0, None
         for b in batches:
             out = []
-            for row in b.itertuples(index=False):
-                if begun and row.media_id != media:
-                    out += [(media, number + i, *p) for i, p in enumerate(join_segments(held))]
-                    held, number = [], 0
-                elif len(held) >= 10_000 and row.start_ms - held[-1][1] > 3000:
-                    done = join_segments(held)
-                    out += [(media, number + i, *p) for i, p in enumerate(done)]
-                    held, number = [], number + len(done)
-                media, begun = row.media_id, True
-                held.append((row.start_ms, row.end_ms, row.speaker, row.text))
-            yield pd.DataFrame(out, columns=columns)
-        if begun:
-            yield pd.DataFrame([(media, number + i, *p) for i, p in enumerate(join_segments(held))], columns=columns)
-
-    ordered = segments.select("media_id", "ord", "start_ms", "end_ms", "speaker", "text").repartition("media_id").sortWithinPartitions("media_id", "start_ms", "ord")
+            clean = lambda x: None if x is None or x != x else int(x)
+            for now, start, end, speaker, text in zip(b.media_id, b.start_ms, b.end_ms, b.speaker, b.text, strict=True):
+                text = " ".join((text or "").split())
+                start, end = clean(start), clean(end)
+                if open_ is not None and now != media:
+                    out.append((media, number, *open_.row()))
+                    number, open_ = 0, None
+                if now != media:
+                    media, number = now, 0
+                if not text:
+                    continue
+                if open_ is not None and open_.takes(start, end, speaker, text):
+                    open_.add(end, text)
+                    continue
+                if open_ is not None:
+                    out.append((media, number, *open_.row()))
+                    number += 1
+                open_ = Paragraph(start, end, speaker, text)
+            yield _frame(out, columns)
+        if open_ is not None:
+            yield _frame([(media, number, *open_.row())], columns)
+
+    ordered = segments.select("media_id", "ord", "start_ms", "end_ms", "speaker", "text").repartition("media_id").sortWithinPartitions("media_id", "ord")
     kind = dict(segments.dtypes)["media_id"]
     return ordered.mapInPandas(run, f"media_id {kind}, paragraph_no int, start_ms long, end_ms long, text string")
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    return out.astype({"start_ms": "Int64", "end_ms": "Int64"})
+
+
 def chunk_plan(media: DataFrame, chunk_ms: int = 900_000, overlap_ms: int = 2000) -> DataFrame:
     """media_id, index, start_ms, end_ms: chunks of a duration, overlapping but the first."""
     count = F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / chunk_ms)).cast("int")
@@ -112,25 +134,28 @@ def context_usage(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
 
 
-def progress_events(events: DataFrame) -> DataFrame:
-    """The events table as progress: source_id, seq, phase, completed, total."""
-    done = F.get_json_object("props", "$.k").try_cast("double")
-    return events.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("phase"), done.alias("completed"), F.lit(100.0).alias("total"))
-
-
-def raw_percent(phase, completed, total):
-    """Percent of one event: its phase's start plus the share done, 0 to 100."""
-    table = F.create_map(*[F.lit(x) for k, (a, b) in PHASES.items() for x in (k, a * 1000 + b)])
-    code = F.coalesce(F.element_at(table, phase), F.lit(0))
+def raw_percent(phases: dict[str, tuple[int, int]], phase, completed, total):
+    """Percent of one event: its phase's start plus the share done, 0 to 100. `phases` has
+    the percent at the start of each phase and the percent it spans; others start at 0."""
+    table = F.create_map(*[F.lit(x) for k, (a, b) in phases.items() for x in (k, a * 1000 + b)])
+    code = F.coalesce(F.try_element_at(table, phase), F.lit(0))
     share = F.when((completed >= 0) & (total > 0), F.least(F.lit(1.0), completed / total)).otherwise(0.0)
     return F.least(F.lit(100.0), F.floor(F.floor(code / 1000) + (code % 1000) * share + 0.5))
 
 
-def progress_percent(progress: DataFrame) -> DataFrame:
-    """source_id, seq, percent: never falling within a source (batch form)."""
-    order = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw_percent(F.col("phase"), F.col("completed"), F.col("total"))
-    return progress.select("source_id", "seq", F.max(raw).over(order).cast("int").alias("percent"))
+def progress_percent(progress: DataFrame, phases: dict[str, tuple[int, int]], slice_rows: int = 100_000) -> DataFrame:
+    """source_id, seq, percent: never falling within a source (batch form).
+
+    The running maximum is taken within slices of `seq` and the greatest value of the slices
+    before is carried in, so that a source with most events is not one task.
+    """
+    raw = raw_percent(phases, F.col("phase"), F.col("completed"), F.col("total"))
+    rows = progress.select("source_id", "seq", raw.alias("raw"), F.floor(F.col("seq") / slice_rows).alias("slice"))
+    before = Window.partitionBy("source_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("source_id", "slice").agg(F.max("raw").alias("most")).withColumn("carry", F.max("most").over(before)).drop("most")
+    within = Window.partitionBy("source_id", "slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("best", F.max("raw").over(within)).join(carried, ["source_id", "slice"])
+    return running.select("source_id", "seq", F.greatest("best", F.coalesce("carry", F.lit(0.0))).cast("int").alias("percent"))
 
 
 def latest_events(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import coverage, layout, media, structure
 from lodestone.plans.register import query
-from lodestone.sources.derived import DUCK_PAGES, table, wiki_pages
+from lodestone.sources.derived import as_markdown, DUCK_PAGES, table, wiki_pages
 
 LAYOUT = r"""WITH w AS (SELECT doc_id, unnest(t) AS word, unnest(generate_series(0, len(t) - 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS t FROM documents)),
     i AS (SELECT doc_id, pos // 240 AS page, (pos % 240) // 8 AS k, pos % 8 AS col, word, lag(word) OVER (PARTITION BY doc_id, pos // 8 ORDER BY pos) AS before FROM w),
@@ -136,6 +136,6 @@ def staged_decisions(spark, d):
     SELECT doc_id, 'hash_mismatch' AS code FROM r WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, 'replacement_character' FROM r WHERE bad
     UNION ALL SELECT doc_id, 'open_fence' FROM r WHERE len(list_filter(generate_series(0, n - 1), lambda i: i % 7 = 3 AND i % 5 <> 0)) % 2 = 1""")
 def raw_verification(spark, d):
-    raw = structure.as_markdown(table(spark, d, "documents"))
+    raw = as_markdown(table(spark, d, "documents"))
     stamp = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
     return coverage.raw_issues(raw.withColumn("recorded_hash", F.sha2(stamp, 256)))

@@ -10,17 +10,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.operators import timeline
 
 
-def progress_stream(progress: DataFrame) -> DataFrame:
-    """source_id, seq, percent with a running maximum kept per source (see the batch form)."""
-    raw = timeline.raw_percent(F.col("phase"), F.col("completed"), F.col("total"))
+def progress_stream(progress: DataFrame, phases: dict[str, tuple[int, int]]) -> DataFrame:
+    """source_id, seq, percent with a running maximum kept per source (see the batch form).
+    Chunks of a key's batch are taken one by one, as they come; sorted by seq within each."""
+    raw = timeline.raw_percent(phases, F.col("phase"), F.col("completed"), F.col("total"))
     rows = progress.select("source_id", "seq", raw.alias("raw"))
 
     def step(key, batches, state: GroupState):
         (best,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        percent = rows["raw"].cummax().clip(lower=best).astype("int32")
-        state.update((int(percent.iloc[-1]),))
-        yield pd.DataFrame({"source_id": key[0], "seq": rows["seq"], "percent": percent})
+        for rows in batches:
+            rows = rows.sort_values("seq")
+            percent = rows["raw"].cummax().clip(lower=best).astype("int32")
+            best = int(percent.iloc[-1])
+            yield pd.DataFrame({"source_id": key[0], "seq": rows["seq"], "percent": percent})
+        state.update((best,))
 
     return rows.groupBy("source_id").applyInPandasWithState(step, "source_id long, seq long, percent int", "best int", "append", GroupStateTimeout.NoTimeout)
 
@@ -39,16 +42,21 @@ def new_contents(documents: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def intake_batches(documents: DataFrame, table_path: str, checkpoint: str):
-    """Writes the documents whose content the table does not hold yet, batch by batch."""
+    """Writes the documents whose content the table does not hold yet, batch by batch.
 
-    def write(batch: DataFrame, _):
+    A batch writes its own folder and compares with the folders of other batches only, so a
+    batch that is replayed after a failure replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int):
         spark = batch.sparkSession
         fresh = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["hash"])
-        try:
-            fresh = fresh.join(spark.read.parquet(table_path).select("hash"), "hash", "left_anti")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(table_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            seen = spark.read.parquet(table_path)
+            if "batch" in seen.columns:
+                fresh = fresh.join(seen.where(F.col("batch") != number).select("hash"), "hash", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
