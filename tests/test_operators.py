@@ -1,10 +1,13 @@
 """Small cases with known results."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import changes, graph, index, structure, timeline
+from lodestone.operators import changes, graph, index, pages, search, structure, timeline
 from lodestone.sources import intake
+from lodestone.sources.derived import EVENT_PHASES
 from lodestone.streaming import streams
 
 
@@ -29,19 +32,35 @@ def test_split_is_lossless():
 def test_links_and_paths(spark):
     assert value(spark, T.wiki_links(F.col("c")), c="[[wiki/a|A]] [[wiki/b#h]] [[wiki/c.md]] [[wiki/a]]") == ["wiki/a", "wiki/b", "wiki/c"]
     paths = ["wiki/a.md", "raw/a.md", "wiki/../x.md", "wiki/a.txt", "config.md"]
-    assert [value(spark, T.writable_path(F.col("p")), p=p) for p in paths] == [True, False, False, False, False]
-    assert value(spark, T.clean_url(F.col("u")), u="https://me:pw@x.org/a?token=1&b=2") == "https://x.org/a?token=[REDACTED]&b=2"
+    assert [value(spark, T.writable_path(F.col("p")), p=p) for p in paths] == [True, False, False, True, False]
+    urls = {
+        "https://me:pw@x.org/a?token=1&b=2": "https://x.org/a?token=%5BREDACTED%5D&b=2", "https://x.org?X-Amz-Credential=a&lang=zh": "https://x.org/?X-Amz-Credential=%5BREDACTED%5D&lang=zh",
+        "https://x.org/p?authorization=Bearer%20x#f": "https://x.org/p?authorization=%5BREDACTED%5D#f", "ftp://x.org/a": None, "no url": None,
+    }
+    assert {u: value(spark, T.clean_url(F.col("u")), u=u) for u in urls} == urls
+    assert value(spark, T.page_url(F.col("u")), u="https://x.org/?sig=1&password=2") == "https://x.org/?sig=%5BREDACTED%5D&password=%5BREDACTED%5D"
+    assert value(spark, T.compact_tldr(F.col("t")), t="| a | b |\nSee [[wiki/x|the X]] - *now*") == "See wiki/x now"
+    assert [value(spark, structure.concept_identity(F.col("t")), t=t) for t in ("C++", "C#", "C", "深度·学习")] == ["c++", "c#", "c", "深度学习"]
     assert value(spark, T.query_terms(F.col("q")), q="Spark 知识图谱库 spark") == ["spark", "知识", "识图", "图谱", "谱库"]
     assert value(spark, structure.concept_identity(F.col("t")), t="Ｇraph - Store") == "graphstore"
     assert value(spark, T.clock(F.col("m")), m=3_723_000) == "01:02:03"
 
 
 def test_planner(spark):
-    pages = spark.createDataFrame([(f"p{i}",) for i in range(8)], "path string")
-    rows = [(i, "p0", f"p{i + 1}", "supports", 0.9 - i / 100) for i in range(6)] + [(6, "p0", "p0", "supports", 0.9), (7, "p0", "p1", "supports", 0.5), (8, "p0", "p1", "causes", 0.8)]
-    judged = graph.judge_proposals(spark.createDataFrame(rows, "ord int, from_path string, to_path string, relation string, confidence double"), pages)
-    assert judged.where("reason IS NULL").count() == 5
-    assert {r.reason: r.n for r in graph.drop_counts(judged).collect()} == {"self_link": 1, "low_confidence": 1, "outgoing_limit": 1, "duplicate": 1}
+    pages = spark.createDataFrame([(f"wiki/p{i}",) for i in range(9)], "path string")
+    candidates = spark.createDataFrame([("a", "created", "wiki/p0.md"), ("b", "source_only", "wiki/p9.md"), ("c", "already_covered", "wiki/p8.md")], "candidate_id string, decision string, target_path string")
+    rows = [(i, "a", None, f"[[wiki/p{i + 1}]]", "component", 0.9 - i / 100) for i in range(6)]
+    rows += [
+        (6, "a", None, "wiki/p0", "component", 0.9), (7, "a", None, "wiki/p1", "component", 0.5), (8, "a", None, "wiki/p1", "prerequisite", 0.8), (9, "a", None, "wiki/p6", "component", 0.95),
+        (10, "b", None, "wiki/p1", "component", 0.9), (11, "a", "c", "wiki/p1", "component", 0.9), (12, "a", None, None, "component", 0.9), (13, "a", None, "wiki/none", "component", 0.9), (14, "a", None, "wiki/p2", "mentions", 0.9), (15, "a", "b", None, "component", 0.9),
+    ]
+    made = spark.createDataFrame(rows, "ord int, from_candidate string, to_candidate string, to_path string, relation string, confidence double")
+    judged = graph.judge_proposals(graph.resolve_proposals(made, candidates, pages))
+    edges = graph.link_plan(judged)
+    # A better proposal replaces the one for p6 without a drop; p8 of the same pair comes too late.
+    assert [(r.to_path, r["rank"]) for r in edges.orderBy("rank").collect()] == [("wiki/p6", 1), ("wiki/p1", 2), ("wiki/p2", 3), ("wiki/p3", 4), ("wiki/p4", 5)]
+    assert {r.reason: r.n for r in graph.drop_counts(judged).collect()} == {"self_link": 1, "low_confidence": 1, "outgoing_limit": 1, "duplicate": 1, "invalid_from": 1, "invalid_target_shape": 2, "unknown_target": 2, "invalid_relation": 1}
+    assert graph.unlinked_pages(candidates, edges).count() == 0
 
 
 def test_two_hops(spark):
@@ -55,39 +74,159 @@ def test_two_hops(spark):
 def test_routes_in_each_direction(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a"), ("c", "a"), ("b", "b")], "from_path string, to_path string")
     start = spark.createDataFrame([("a",)], "path string")
-    found = {d: {r.path: (r.hop, ["".join(x) for x in r.routes]) for r in graph.routes(start, links, d).collect()} for d in ("outgoing", "backlinks", "both")}
-    assert found["outgoing"] == {"b": (1, ["ab"]), "c": (1, ["abc", "ac"])}
-    assert found["backlinks"] == {"b": (2, ["acb"]), "c": (1, ["ac"]), "d": (1, ["ad"])}
-    assert found["both"] == {"b": (1, ["ab", "acb"]), "c": (1, ["abc", "ac"]), "d": (1, ["ad"])}
+    found = {d: {r.path: (r.hop, r.routes) for r in graph.routes(start, links, d).collect()} for d in ("outgoing", "backlinks", "both")}
+    assert found["outgoing"] == {"b": (1, ["outgoing: a > b"]), "c": (1, ["outgoing: a > b > c", "outgoing: a > c"])}
+    assert found["backlinks"] == {"b": (2, ["backlink: a > c > b"]), "c": (1, ["backlink: a > c"]), "d": (1, ["backlink: a > d"])}
+    assert found["both"]["c"] == (1, ["backlink: a > c", "outgoing: a > b > c", "outgoing: a > c"])
+    hub = spark.createDataFrame([(f"p{i:03d}", "hub") for i in range(100)] + [("hub", "p007")], "from_path string, to_path string")
+    near = graph.neighbours(spark.createDataFrame([("p003",), ("hub",)], "path string"), hub, "both", limit=5).orderBy("start", "hop", "path").collect()
+    assert [(r.start, r.path, r.hop) for r in near] == [("hub", f"p{i:03d}", 1) for i in range(5)] + [("p003", "hub", 1)] + [("p003", f"p{i:03d}", 2) for i in (0, 1, 2, 4)]
+
+
+def page(kind="entity", title="T", links="", **more):
+    fields = {"schema_version": "1", "type": kind, "title": title, "tldr": "x", "status": "draft", "created": "2024-01-01", "updated": "2024-01-01", "tags": "[a, b]", "related": "[]"} | more
+    return "---\n" + "\n".join(f"{k}: {v}" for k, v in fields.items() if v is not None) + f"\n---\n\n# {title}\n\nBody {links}\n"
+
+
+def test_pages_parse_and_canonical_form(spark):
+    files = {
+        "wiki/a.md": page(title='"Say \\"hi\\""', links="[[wiki/b|B]] [[wiki/c#x]]", related='["[[wiki/d]]", other, wiki/../x]', aliases="\n  - one\n  -two"),
+        "wiki/b.md": page(kind="thing"), "wiki/c.md": "no front matter", "wiki/d.md": "---\ntype: entity\nnested:\n  key: value\n---\nx",
+        "wiki/sources/e.md": "---\ntitle: Old\ndate_created: 2020-02-02\nraw_note: raw/x.md\ncustom: kept\n---\n\nText [[wiki/a]] here\n",
+    }
+    frame = spark.createDataFrame(list(files.items()), "path string, content string")
+    found = {r.path: r for r in pages.parse_pages(frame).collect()}
+    assert set(found) == {"wiki/a.md"}
+    a = found["wiki/a.md"]
+    assert (a.title, a.tags, a.aliases, a.links, a.basename) == ('Say "hi"', ["a", "b"], ["one", "two"], ["wiki/b", "wiki/c", "wiki/d"], "a")
+    canonical = pages.canonical_pages(frame, "2024-05-05")
+    rows = {r.path: r for r in canonical.collect()}
+    assert rows["wiki/c.md"].warnings == ["NO_FRONT_MATTER"] and rows["wiki/d.md"].warnings == ["FRONT_MATTER_INVALID"] and rows["wiki/a.md"].warnings == ["FRONT_MATTER_REPAIRED"]
+    e = rows["wiki/sources/e.md"].content
+    assert "type: source" in e and "raw_path: raw/x.md" in e and "custom: kept" in e and "date_created" not in e and "  - wiki/a" in e and e.endswith("Text [[wiki/a]] here\n")
+    again = {r.path: r for r in pages.canonical_pages(canonical.select("path", "content"), "2025-01-01").collect()}
+    assert not any(again[p].changed for p in ("wiki/a.md", "wiki/sources/e.md"))
+    template = spark.range(1).select(F.lit("wiki/t.md").alias("path"), pages.page_template(F.lit("synthesis"), F.lit("T: 1"), F.lit("sum"), F.lit("B"), "2024-01-01").alias("content"))
+    t = pages.parse_pages(template).first()
+    assert (t.title, t.type) == ("T: 1", "synthesis") and index.missing_fields(pages.parse_pages(template), extra=True).count() == 0
+
+
+def test_related_blocks(spark):
+    frame = spark.createDataFrame([("wiki/a.md", page(links="[[wiki/gone|Gone]] [[wiki/b]] [[wiki/also-gone.md]]", related="[wiki/b, wiki/gone]"))], "path string, content string")
+    edges = spark.createDataFrame([("wiki/a", "wiki/c", 2), ("wiki/a", "wiki/a", 1)], "from_path string, to_path string, rank int")
+    once = pages.enrich_pages(pages.parse_pages(frame), edges)
+    body = pages.parse_pages(once).first()
+    assert body.related == ["wiki/b", "wiki/gone", "wiki/c"] and spark.createDataFrame([(body.body,)], "b string").select(pages.managed_targets(F.col("b"))).first()[0] == body.related
+    assert not pages.enrich_pages(pages.parse_pages(once), edges).first().changed
+    valid = spark.createDataFrame([("wiki/a",), ("wiki/b",), ("wiki/c",)], "key string")
+    clean = pages.strip_dangling(pages.parse_pages(once), valid).first()
+    assert clean.removed == ["wiki/also-gone", "wiki/gone"] and "Body Gone [[wiki/b]] also gone" in clean.content
+    left = pages.parse_pages(spark.createDataFrame([("wiki/a.md", clean.content)], "path string, content string"))
+    assert left.first().links == ["wiki/b", "wiki/c"]
+    reach = spark.createDataFrame([("wiki/s.md", "wiki/a.md")], "source_path string, path string")
+    other = pages.parse_pages(spark.createDataFrame([(f"wiki/{x}.md", page(links=l)) for x, l in (("b", ""), ("c", ""), ("s", "[[wiki/b]]"))], "path string, content string"))
+    assert {(r.code, r.target) for r in graph.graph_issues(left, other, reach).collect()} == {("unreachable", "wiki/s")}
+    flawed = pages.parse_pages(spark.createDataFrame([("wiki/a.md", page(links="[[wiki/a]] [[wiki/x]]", related="[wiki/b, wiki/b, nonsense]"))], "path string, content string"))
+    assert {r.code for r in graph.graph_issues(flawed, other, reach).collect()} == {"self_link", "dangling_link", "related_invalid", "managed_missing", "unreachable"}
 
 
 def test_apply_then_rollback_is_identity(spark):
-    pages = changes.with_hash(spark.createDataFrame([("wiki/a", "one"), ("wiki/b", "two")], "path string, content string"))
+    pages = changes.with_hash(spark.createDataFrame([("wiki/a.md", "one"), ("wiki/b.md", "two")], "path string, content string"))
     digest = {r.path: r.hash for r in pages.collect()}
-    ops = spark.createDataFrame([(1, "update", "wiki/a", digest["wiki/a"], "uno"), (2, "create", "wiki/c", None, "tres")], "ord int, action string, path string, expected_hash string, content string")
+    ops = spark.createDataFrame([(1, "update", "wiki/a.md", digest["wiki/a.md"], page(title="uno")), (2, "create", "wiki/c.md", None, page(title="tres"))], "ord int, action string, path string, expected_hash string, content string")
     after, receipt = changes.apply_plan(ops, pages)
-    assert {r.path: r.content for r in after.collect()} == {"wiki/a": "uno", "wiki/b": "two", "wiki/c": "tres"}
-    assert {(r.path, r.content) for r in changes.rollback(receipt, after).collect()} == {("wiki/a", "one"), ("wiki/b", "two")}
+    assert {r.path: r.content for r in after.collect()} == {"wiki/a.md": page(title="uno"), "wiki/b.md": "two", "wiki/c.md": page(title="tres")}
+    assert {(r.path, r.content) for r in changes.rollback(receipt, after).collect()} == {("wiki/a.md", "one"), ("wiki/b.md", "two")}
     assert {r.code for r in changes.plan_checks(ops, after).collect()} == {"stale_hash", "already_exists"}
+    more = [(1, "update", "wiki/b.md", None, page(links="[[wiki/new]] [[wiki/none]]")), (2, "create", "wiki/new.md", None, page(kind="source")), (3, "create", "wiki/new.md", None, page()), (4, "create", "raw/x.txt", None, "x"), (5, None, "wiki/y.md", None, None)]
+    found = changes.plan_checks(spark.createDataFrame(more, ops.schema), pages).collect()
+    assert sorted((r.ord, r.code) for r in found) == [(1, "dangling_link"), (2, "missing_field"), (3, "repeated_path"), (4, "invalid_page"), (4, "not_markdown"), (4, "path_not_writable"), (5, "blank_content"), (5, "invalid_action")]
+    plan = spark.createDataFrame([(1, "update", "wiki/b.md", None, page(links="[[wiki/none|None]]"), "why")], "ord int, action string, path string, expected_hash string, content string, reason string")
+    clean = changes.sanitize_plan(plan, pages).first()
+    assert clean.reason == "why; dangling links removed: wiki/none" and "Body None" in clean.content
+
+
+def test_receipts_chain_and_deletion(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    receipts = spark.createDataFrame([("r1", 1, "a", None, sha("a1")), ("r2", 2, "a", "a1", sha("a2")), ("r1", 1, "b", "b0", sha("b1")), ("r2", 2, "b", "bx", sha("b2")), ("r2", 2, "c", None, sha("c1"))], "receipt_id string, ord int, path string, before string, after_hash string")
+    current = changes.with_hash(spark.createDataFrame([("a", "a2"), ("b", "b2")], "path string, content string"))
+    assert {(r.path, r.receipt_id, r.code) for r in changes.receipt_chain(receipts, current).collect()} == {("b", "r1", "changed"), ("c", "r2", "missing")}
+    sources = spark.createDataFrame([("s", "parsed"), ("t", "parsing"), ("u", "parsed")], "source_id string, status string")
+    attempts = spark.createDataFrame([("s", "o1", "ingested"), ("t", "o2", "ingested"), ("u", "o3", "ingested")], "source_id string, operation_id string, status string")
+    done = spark.createDataFrame([("o1", "applied", 1), ("o3", "applied", 2)], "operation_id string, status string, n_sources int")
+    made = spark.createDataFrame([("o1", 1, "wiki/a.md", None, sha("a1"))], "operation_id string, ord int, path string, before string, after_hash string")
+    now = spark.createDataFrame([("wiki/a.md", "a1", []), ("wiki/b.md", "b", ["wiki/x", "wiki/a"])], "path string, content string, links array<string>")
+    blockers = changes.deletion_blockers(sources, attempts, done, made, now).collect()
+    assert {(r.source_id, r.path, r.code) for r in blockers} == {("s", "wiki/b.md", "referenced"), ("t", None, "parsing"), ("t", None, "missing_receipt"), ("u", None, "shared_batch")}
+
+
+def test_edits_and_line_changes(spark):
+    staged = changes.with_hash(spark.createDataFrame([("a", "x one x"), ("b", "l1\nl2\nl3")], "path string, content string"))
+    h = {r.path: r.hash for r in staged.collect()}
+    rows = [(1, "a", h["a"], "one", "two"), (2, "a", h["a"], "x", "y"), (3, "a", "old", "one", ""), (4, "a", h["a"], "zzz", ""), (5, "q", "", "a", ""), (6, "a", h["a"], "", "")]
+    found = {r.ord: (r.content, r.code) for r in changes.edits(spark.createDataFrame(rows, "ord int, path string, base_hash string, old_text string, new_text string"), staged).collect()}
+    assert found == {1: ("x two x", None), 2: (None, "not_unique"), 3: (None, "stale_hash"), 4: (None, "not_found"), 5: (None, "missing_page"), 6: (None, "empty_old_text")}
+    later = spark.createDataFrame([("b", "l1\nnew\nnewer\nl3"), ("c", "one")], "path string, content string")
+    assert {r.path: (r.added, r.removed) for r in changes.line_changes(staged, later).collect()} == {"a": (0, 1), "b": (2, 1), "c": (1, 0)}
 
 
 def test_paragraphs(spark):
     rows = [("m", 0, 0, 1000, "a", "Hello"), ("m", 1, 1500, 2000, "a", "there."), ("m", 2, 9000, 9500, "a", "Later."), ("m", 3, 9600, 9900, "b", "Reply.")]
     found = timeline.paragraphs(spark.createDataFrame(rows, "media_id string, ord int, start_ms long, end_ms long, speaker string, text string"))
-    assert [r.text for r in found.orderBy("paragraph_no").collect()] == ["a: Hello there.", "Later.", "b: Reply."]
+    assert [r.text for r in found.orderBy("paragraph_no").collect()] == ["**a：** Hello there.", "**a：** Later.", "**b：** Reply."]
 
 
 def test_kinds(spark):
-    rows = [("a.pdf", b"%PDF-1"), ("b.pdf", b"x"), ("c.md", b"x"), ("d.mp3", b"ID3x"), ("e.mp4", b"nope"), ("f.wav", b"RIFF0000WAVE")]
+    rows = [("v.m4a", b"0000ftypM4A 0000"), ("w.mp4", b"0000ftypisom0000"), ("x.oga", b"OggS"), ("y.m4a", b"nope"), ("z.bin", b"x"), ("a.pdf", b"%PDF-1"), ("b.pdf", b"x"), ("c.md", b"x"), ("d.mp3", b"ID3x"), ("e.mp4", b"nope"), ("f.wav", b"RIFF0000WAVE")]
     found = spark.createDataFrame(rows, "n string, c binary").select(intake.detect_kind(F.col("n"), F.col("c")).alias("k"))
-    assert [r.k for r in found.collect()] == ["pdf", "UNSUPPORTED_FORMAT", "markdown", "audio", "MEDIA_MAGIC_MISMATCH", "audio"]
+    assert [r.k for r in found.collect()] == ["audio", "video", "audio", "MEDIA_MAGIC_MISMATCH", "unknown", "pdf", "UNSUPPORTED_FORMAT", "markdown", "audio", "MEDIA_MAGIC_MISMATCH", "audio"]
 
 
 def test_lint_cross_type(spark):
     rows = [("wiki/entities/deep-net", "entity", "Deep Net"), ("wiki/concepts/deepnet", "concept", "deep net"), ("wiki/concepts/Bad_Name", "concept", "x")]
-    pages = spark.createDataFrame([(*r, "", None) for r in rows], "path string, type string, title string, content string, raw_path string")
-    codes = [r.code for r in index.lint(pages, spark.createDataFrame([], "raw_path string")).collect()]
-    assert codes.count("cross-type-duplicate") == 2 and codes.count("invalid-filename") == 1 and codes.count("orphan-page") == 3
+    made = [(p, k, t, ["Net, deep"] if k == "entity" else None, {"type": k, "title": t, "tldr": "", "tags": "[]"}, [], None) for p, k, t in rows]
+    made.append(("wiki/sources/s", "source", "S", None, {}, ["wiki/index", "wiki/nope"], "[[raw/s.md]]"))
+    found = spark.createDataFrame(made, "path string, type string, title string, aliases array<string>, fields map<string,string>, links array<string>, raw_path string")
+    issues = index.lint(found, spark.createDataFrame([("wiki/index.md",), ("raw/s",)], "raw_path string"))
+    codes = [r.code for r in issues.collect()]
+    assert codes.count("cross-type-duplicate") == 2 and codes.count("invalid-filename") == 1 and codes.count("orphan-page") == 3 and codes.count("dangling-link") == 1
+    assert codes.count("missing-field") == 3 * 6 + 9 and "missing-raw-file" not in codes and "missing-index" not in codes
+    assert {r.severity: r.n for r in index.lint_counts(issues).collect()} == {"error": 28, "warning": 8}
+    assert index.lint_mode(issues, "quick").count() == 28 and index.lint_mode(issues, "queue").count() == 0 and index.lint_mode(issues, "frontmatter").count() == 27
+
+
+def test_search(spark):
+    rows = [(f"wiki/p{i}", "entity", f"Title {i}", [], ["t"], "", "spark " * i, [f"wiki/p{j}" for j in (8, 7, 6, 5)]) for i in range(9)]
+    rows.append(("wiki/q", "concept", "Other", ["Spark engine"], [], "", "", []))
+    made = spark.createDataFrame(rows, "path string, type string, title string, aliases array<string>, tags array<string>, tldr string, body string, links array<string>")
+    asked = spark.createDataFrame([(1, "SPARK")], "query_id int, query string")
+    found = [(r.path, r.score) for r in search.ranked_search(asked, made, top_k=2, max_pages=4).orderBy("rank").collect()]
+    assert found == [("wiki/q", 12.0), ("wiki/p5", 5.0), ("wiki/p7", 1.25), ("wiki/p8", 1.25)]  # links in order, p8 first
+    assert [r.path for r in search.strong_matches(asked, made).collect()] == ["wiki/q"]
+    answers = spark.createDataFrame([(1, "see [[wiki/q]] [[raw/x]]"), (2, "none"), (3, "[[wiki/q|Q]]")], "answer_id int, text string")
+    reads = spark.createDataFrame([(1, "wiki/q", "old"), (3, "wiki/q", hashlib.sha256(b"c").hexdigest())], "answer_id int, path string, hash string")
+    issues = search.citation_issues(answers, reads, spark.createDataFrame([("wiki/q", "c")], "path string, content string"))
+    assert {(r.answer_id, r.code) for r in issues.collect()} == {(1, "changed_page"), (1, "outside_wiki"), (2, "no_citation")}
+    assert {r.answer_id: r.status for r in search.answer_status(answers, issues).collect()} == {1: "degraded", 2: "degraded", 3: "verified"}
+    assert value(spark, T.ingest_query(F.col("c")), c="intro\n# Head\nuse `foo bar` and `x` and `foo bar`") == "Head foo bar and"
+    assert value(spark, T.search_terms(F.col("c")), c="A bc C++ 深度 bc") == ["bc", "c++", "深度"]
+
+
+def test_quality_and_sections(spark):
+    docs = spark.createDataFrame([(1, " \n\u00a0"), (2, "ok"), (3, "x" * 2001), (4, "```\ncode\n~~~"), (5, None), (6, "\ufffd" + "a" * 500)], "doc_id int, text string")
+    assert {r.doc_id: (r.overall, r.errors) for r in structure.quality(docs).collect()} == {1: ("fail", ["EMPTY"]), 2: ("pass", []), 3: ("fail", ["LONG_LINE"]), 4: ("fail", ["OPEN_FENCE"]), 5: ("fail", ["EMPTY"]), 6: ("warning", [])}
+    text = "pre\n## A ##\n    ```\n# not\n    ```\n<!-- llm-wiki:page=4 -->\n# B\nend\n"
+    found = structure.sections(spark.createDataFrame([(1, text), (2, "plain")], "doc_id int, text string")).orderBy("doc_id", "section_id").collect()
+    assert [(r.section_id, r.heading, r.level, r.start_line, r.end_line, r.page) for r in found] == [("s0001", "Preamble", 0, 1, 1, None), ("s0002", "A ##", 2, 2, 6, None), ("s0003", "B", 1, 7, 9, 4), ("s0001", "Document", 0, 1, 1, None)]
+
+
+def test_intake(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "doc_id int, text string")
+    known = spark.createDataFrame([(hashlib.sha256(b"b").hexdigest(), 90), (hashlib.sha256(b"b").hexdigest(), 80)], "hash string, source_id int")
+    assert {r.source_id: (r.original_id, r.duplicate) for r in intake.intake(rows, known).collect()} == {1: (1, False), 2: (2, False), 3: (1, True), 4: (80, True)}
+    old = spark.createDataFrame([("h", None, "me"), ("i", "", None)], "hash string, url string, author string")
+    new = spark.createDataFrame([("h", 2, "u2", "x"), ("h", 1, "u1", "y")], "hash string, source_id int, url string, author string")
+    assert sorted(map(tuple, intake.backfill(old, new, ["url", "author"]).collect())) == [("h", "u1", "me"), ("i", None, None)]
 
 
 def test_progress_stream_equals_batch(spark, tmp_path):
@@ -96,8 +235,8 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(rows, schema)
     for i in range(2):
         batch.where(F.col("seq") <= 2 if i == 0 else F.col("seq") > 2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.progress_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream = streams.progress_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), EVENT_PHASES)
     q = stream.writeStream.format("memory").queryName("progress").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.sql("SELECT * FROM progress").collect())) == sorted(map(tuple, timeline.progress_percent(batch).collect()))
+    assert sorted(map(tuple, spark.sql("SELECT * FROM progress").collect())) == sorted(map(tuple, timeline.progress_percent(batch, EVENT_PHASES, slice_rows=2).collect()))
