@@ -26,11 +26,11 @@ def timeline_issues(segments: DataFrame) -> DataFrame:
     last = F.col("duration_ms") + 1000 if "duration_ms" in segments.columns else F.lit(None).cast("long")
     codes = F.array(
         F.when(F.col("text").contains("\uFFFD"), "replacement_character"),
-        F.when(F.col("start_ms") < before, "not_monotonic"),
+        F.when(F.col("start_ms") < F.col("before"), "not_monotonic"),
         F.when(F.col("end_ms") < F.col("start_ms"), "ends_before_start"),
         F.when(F.coalesce(F.col("start_ms") > last, F.lit(False)) | F.coalesce(F.col("end_ms") > last, F.lit(False)), "out_of_range"),
     )
-    return segments.select("media_id", "ord", F.explode(F.array_compact(codes)).alias("code"))
+    return segments.withColumn("before", before).select("media_id", "ord", F.explode(F.array_compact(codes)).alias("code"))
 
 
 _ENDING = re.compile(r"[。！？.!?][”’」』】)]?$")

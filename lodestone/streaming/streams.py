@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.operators import timeline
+from lodestone.functions import text as T
+from lodestone.operators import index, media, timeline
 
 
 def progress_stream(progress: DataFrame, phases: dict[str, tuple[int, int]]) -> DataFrame:
@@ -60,3 +61,68 @@ def intake_batches(documents: DataFrame, table_path: str, checkpoint: str):
         fresh.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def settled_files(listings: DataFrame) -> DataFrame:
+    """path, size, mtime of files whose size and mtime were the same in two polls in a row.
+    `listings` streams (poll, path, size, mtime); a file is told again only after a change."""
+
+    def step(key, batches, state: GroupState):
+        seen = state.get if state.exists else (None, None, False)
+        out = []
+        for rows in batches:
+            for row in rows.sort_values("poll").itertuples(index=False):
+                same = seen[:2] == (row.size, row.mtime)
+                if same and not seen[2]:
+                    out.append((key[0], row.size, row.mtime))
+                seen = (int(row.size), int(row.mtime), same)
+        state.update(seen)
+        yield pd.DataFrame(out, columns=["path", "size", "mtime"])
+
+    rows = listings.select("poll", "path", "size", "mtime")
+    return rows.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime long", "size long, mtime long, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def index_updates(events: DataFrame, cards_path: str, checkpoint: str):
+    """Keeps a table of page links (from_path, to_path) up to date with a stream of file
+    events (seq, path, content; null content: deleted).
+
+    Each batch takes the last event of a path and replaces that page's links. Backlink counts
+    follow from the table, so no other page is touched. A batch that is replayed gives the
+    same table, since it starts from the version that the batch before left.
+    """
+
+    def write(batch: DataFrame, number: int):
+        spark = batch.sparkSession
+        last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "seq").alias("e")).select("path", F.col("e.content").alias("content"))
+        fresh = index.page_links(last.where("content IS NOT NULL")).select("from_path", "to_path")
+        if number > 0:
+            old = spark.read.parquet(f"{cards_path}/version={number - 1}")
+            fresh = old.join(last.select(T.page_key(F.col("path")).alias("from_path")), "from_path", "left_anti").unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(f"{cards_path}/version={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def run_stream(events: DataFrame, keep: int = 50) -> DataFrame:
+    """run_id, state, iterations, n_activities: snapshots of runs (run_id, seq, type,
+    iteration, tool_call_id) as they go on; text events change nothing and the first event
+    that ends a run closes it. The last `keep` activities are held."""
+
+    def step(key, batches, state: GroupState):
+        status, iterations, activities = state.get if state.exists else ("running", 0, "")
+        held = activities.split(",") if activities else []
+        for rows in batches:
+            for row in rows.sort_values("seq").itertuples(index=False):
+                if row.type == "text" or status in media.ENDS.values():
+                    continue
+                status = media.ENDS.get(row.type, "waiting" if row.type == "plan_ready" else status)
+                iterations = max(iterations, int(row.iteration or 0))
+                if row.type.startswith("tool_"):
+                    held = [*held, str(row.tool_call_id)][-keep:]
+        state.update((status, iterations, ",".join(held)))
+        yield pd.DataFrame({"run_id": [key[0]], "state": [status], "iterations": [iterations], "n_activities": [len(held)]})
+
+    rows = events.select("run_id", "seq", "type", "iteration", "tool_call_id")
+    kind = dict(events.dtypes)["run_id"]
+    return rows.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, state string, iterations int, n_activities int", "state string, iterations int, activities string", "update", GroupStateTimeout.NoTimeout)
