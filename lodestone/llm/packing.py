@@ -157,7 +157,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         encode = load_encoding(path).encode
-        self.memo = Memo(lambda piece: np.array(encode(piece, allowed_special="all"), "<u4").tobytes(), bound=500_000)
+        self.memo = Memo(lambda piece: np.array(encode(piece, allowed_special="all"), "<u4").tobytes(), bound=150_000)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [b"".join(map(self.memo.__getitem__, pieces(t or ""))) for t in texts]

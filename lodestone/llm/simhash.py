@@ -36,6 +36,8 @@ WIDE, SLAB, SLACK = 4, 1 << 14, 1e-9
 SMALL = 32
 #: Ids that are broadcast at most; bytes of tokens packed at once; tokens a cell.
 FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
+#: Pairs held before those that span them are chosen; rows of a tile where all pairs are wanted.
+HELD, SMALL_TILE = 1 << 18, 2048
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -210,8 +212,8 @@ def candidates(value, node, size, bits, side, similarity: float, radius: int, ne
     `node` whose sets can have this similarity by their sizes and fingerprints.
 
     Rows of a value are sorted by size and compared with those behind them, many at once, by
-    exclusive-or and bit counts. With `forest`, only pairs that span what all pairs connect,
-    the nearest first: those within `near` bits as they are met, then the best of each tree.
+    exclusive-or and bit counts. With `forest`, only pairs that span what all pairs connect:
+    those within `near` bits as they are met, then the nearest of each tree, HELD at a time.
     """
     order = np.lexsort((node, size, value))
     value, node, size, bits = value[order], node[order], size[order], bits[order]
@@ -239,26 +241,37 @@ def candidates(value, node, size, bits, side, similarity: float, radius: int, ne
                 take(x[fits], x[fits] + d, far[fits])
             d += 1
 
-    def found(x, y, far):
-        out.append((x, y, far))
-        if forest:
-            sets.unite(node[x[far <= near]], node[y[far <= near]])
-
-    if forest and side is not None:  # what a tile's own group connects need not be connected again
-        scan(True, lambda x, y, far: sets.unite(node[x], node[y]))
-    scan(False, found)
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
-    if forest:
-        chosen, best = [np.flatnonzero(far <= near)], np.argsort(far, kind="stable")
+    def spanned():
+        """Of the pairs held those that span what they connect, the nearest first; others go."""
+        x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+        out.clear()
+        best = np.argsort(far, kind="stable")
         while len(best):
             a, b = sets.root(node[x[best]]), sets.root(node[y[best]])
             best, a, b = best[a != b], a[a != b], b[a != b]
             first = np.unique(np.concatenate([np.unique(c, return_index=True)[1] for c in (a, b)]))
-            chosen.append(best[first])
+            chosen.append((x[best[first]], y[best[first]]))
             sets.unite(a[first], b[first])
-        x, y = (c[np.concatenate(chosen)] for c in (x, y))
+
+    chosen: list = []
+
+    def found(x, y, far):
+        if not forest:
+            chosen.append((x, y))
+            return
+        close = far <= near
+        chosen.append((x[close], y[close]))
+        sets.unite(node[x[close]], node[y[close]])
+        out.append((x[~close], y[~close], far[~close]))
+        if sum(len(c[0]) for c in out) > HELD:
+            spanned()
+
+    if forest and side is not None:  # what a tile's own group connects need not be connected again
+        scan(True, lambda x, y, far: sets.unite(node[x], node[y]))
+    scan(False, found)
+    if out:
+        spanned()
+    x, y = (np.concatenate(c) for c in zip(*chosen, strict=True)) if chosen else (np.empty(0, np.int64),) * 2
     return order[x], order[y]
 
 
@@ -411,7 +424,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
         again = trees.join(tops, "root", "left_semi").select("u").unionByName(tops.withColumnRenamed("root", "u"))
         known = components(edges.select("u", "v")).select("u", F.col("root").alias("node"))
         members = classes.join(again.join(known, "u", "left"), F.col("k") == F.col("u")).withColumn("node", F.coalesce("node", "k"))
-        rest = pairs_of(stored(members), similarity, tile, radius, near, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
+        rest = pairs_of(stored(members), similarity, min(tile, SMALL_TILE), radius, near, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
         edges = edges.unionByName(verified(stored(rest), ids, width, similarity).where("same"))
     roots = components(edges.select(F.col("ui").alias("u"), F.col("vi").alias("v"))).withColumnRenamed("u", "id")
     return classes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
