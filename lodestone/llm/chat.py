@@ -103,7 +103,7 @@ def _conversations(batches) -> Iterator[tuple[int | None, list[tuple[str, str]],
                 turns, size = [], 0
             current, begun = conv_id, True
             turns.append((role or "", text or ""))
-            size += len(text or "")
+            size += len(role or "") + len(text or "")
     if begun:
         yield current, turns, True
 

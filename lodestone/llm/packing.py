@@ -132,14 +132,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def check_settings(path: str, data: dict) -> None:
+    """Raises an error unless a tokenizers file is plain byte-level BPE."""
+    pre, model = data.get("pre_tokenizer") or {}, data["model"]
+    wrong = [
+        name
+        for name, bad in {
+            "normalizer": data.get("normalizer") is not None, "truncation or padding": bool(data.get("truncation") or data.get("padding")),
+            "pre-tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True),
+            "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "added tokens": any(t.get(k) for t in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word")),
+            "merges": len({tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]}) != len({"".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]}),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path}: not plain byte-level BPE: {', '.join(wrong)}")
+
+
 def load_encoding(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers file, as an encoder by ranks.
 
     It gives the ids that the tokenizers library gives, special tokens in a text
-    included, at a fraction of the time; that its merges are in rank order is checked.
+    included, at a fraction of the time. Files with settings under which that would not
+    hold, or with merges out of the order of the ids, are refused.
     """
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    check_settings(path, data)
     # Files write printable bytes as themselves and the others as the next free characters.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -75,6 +76,55 @@ def test_pieces():
         assert "".join(pieces(t)) == t
 
 
+def test_packing_ids_on_random_strings(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder, r = Tokenizer.from_file(path), packing.PieceEncoder(path), random.Random(9)
+    alphabet = ["a", "B", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "1", "23", "é", "中", "🙂", "-", "...", "<|endoftext|>", "\r\n", "\x1c", "\u2028"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    data = json.load(open(path, encoding="utf-8"))
+    (tmp_path / "t.json").write_text(json.dumps(data | {"normalizer": {"type": "NFC"}}))
+    with pytest.raises(ValueError, match="normalizer"):
+        packing.load_encoding(str(tmp_path / "t.json"))
+
+
+#: A row of every awkward kind: clashing names, a very long text, repeated rows, nulls.
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, score double, part long, cell long, fingerprint string, bits long, key string, n_words long, sequence_id long, kept boolean, root long, k long, held_out boolean, predicted int"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    long = " ".join(f"w{i % 977}" for i in range(120_000))
+    texts = [(1, long), (2, "short text of some words here"), (2, "short text of some words here"), (3, None), (None, "no id"), (4, "")]
+    return spark.createDataFrame([(i, t, "en", None, 1, 0.5, 9, 9, "x", 9, "x", 9, 9, True, 9, 9, True, 1) for i, t in texts], AWKWARD)
+
+
+def test_awkward_rows(spark, awkward):
+    """Clashing column names, a text of 120,000 words, repeated rows and nulls in every operator."""
+    n = awkward.count()
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y"), (None, 1, "z"), (2, None, "z")], "doc_id long, toxic int, text string")
+    ranks, plain = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    assert toxicity.toxicity(awkward, labels).count() == n
+    digests = bpe.digest_documents(awkward, ranks, public_tokenizers.PATTERN).collect()
+    text = {r.doc_id: r.text for r in awkward.collect()}
+    assert all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() for r in digests) and len(digests) == n
+    judged = {r.doc_id: r for r in quality.quality_rules(awkward).collect()}
+    assert judged[1].n_words == 120_000 and judged[3].n_words == 0 and judged[3].base_failed
+    for dedup in (fmindex.substring_dedup, suffixsort.suffix_dedup):
+        found = {r.doc_id: r for r in dedup(awkward, part_bytes=10_000).collect()}
+        assert len(found) == 5 and found[2].n_removed == found[3].n_units == 0
+    found = simhash.near_duplicates(awkward).collect()
+    assert len(found) == n and {r.component_id for r in found if r.doc_id in (3, 4)} == {3}
+    assert langid.identify(awkward).count() == n
+    packed = packing.pack_documents(awkward, plain).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048 and packed.length.sum() / (packed.sequence_id.nunique() * 2048) > 0.9
+    docs = awkward
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+
+
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
