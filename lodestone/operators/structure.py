@@ -138,6 +138,164 @@ def token_chunks(docs: DataFrame, budget: int = 400) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk string, tokens int")
 
 
+_CUT = re.compile(r"(#{1,3}\s|<!--\s*llm-wiki:page=\d)")
+
+
+def split_markdown(text: str, budget: int) -> list[str]:
+    """Markdown in pieces of a token budget: cut before headings of the first three levels and
+    page markers, packed greedily; a section over the budget is cut by paragraphs."""
+    if not text.strip():
+        return []
+    if estimate(text) <= budget:
+        return [text]
+    sections: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if _CUT.match(line) and any(x.strip() for x in sections[-1]):
+            sections.append([])
+        sections[-1].append(line)
+    out, held = [], ""
+    for section in ("\n".join(x) for x in sections if any(y.strip() for y in x)):
+        both = f"{held}\n\n{section}" if held else section
+        if estimate(both) <= budget:
+            held = both
+            continue
+        out += [held] if held else []
+        held = section if estimate(section) <= budget else ""
+        out += [] if held else split_by_budget(section, budget)
+    return [*out, held] if held else out
+
+
+def markdown_chunks(docs: DataFrame, budget: int = 400) -> DataFrame:
+    """doc_id, chunk_no, chunk, tokens of Markdown texts; one document at a time."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, c, estimate(c)) for i, t in zip(b.doc_id, b.text, strict=True) for n, c in enumerate(split_markdown(t or "", budget))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk", "tokens"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk string, tokens int")
+
+
+def normal_markdown(text: str, longest: int = 1200) -> str:
+    """Markdown in its stored form: no byte order mark, plain line ends, composed characters, no
+    control characters, no blanks at line ends, at most two blank lines in a row, and long
+    lines outside fences cut at a blank."""
+    text = unicodedata.normalize("NFC", text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+    text = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", text)
+    out, fenced, blanks = [], False, 0
+    for line in text.split("\n"):
+        fenced ^= bool(_FENCE.match(line))
+        line = line.rstrip(" \t") if fenced else line.rstrip()
+        blanks = 0 if line.strip() else blanks + 1
+        if blanks:
+            out += [""] * (blanks <= 2)
+            continue
+        while not fenced and len(line) > longest:
+            at = line.rfind(" ", 0, longest + 1)
+            at = at if at >= longest * 6 // 10 else longest
+            out.append(line[:at].rstrip())
+            line = line[at:].lstrip()
+        out += [line] if line else []
+    return "\n".join(out).strip() + "\n"
+
+
+def normalized(docs: DataFrame) -> DataFrame:
+    """doc_id, body: texts in their stored form (Arrow batches); null texts are empty."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "body": [normal_markdown(t or "") for t in b.text]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, body string")
+
+
+_FENCE = re.compile(r"\s*(```+|~~~+)")
+_PAGE, _MARK = re.compile(r"<!--\s*llm-wiki:page=(\d+)\s*-->$"), re.compile(r"<!--\s*llm-wiki:block=")
+_HEAD, _LIST, _QUOTE = re.compile(r"#{1,6}\s"), re.compile(r"\s*(?:[-*+]\s|\d+[.)、]\s)"), re.compile(r"\s*>")
+_HTML, _RULE = re.compile(r"\s*<(?:!--|[/A-Za-z])"), re.compile(r"\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$")
+
+
+def _is_table(lines: list[str], i: int) -> bool:
+    return "|" in lines[i] and i + 1 < len(lines) and bool(_RULE.match(lines[i + 1]))
+
+
+def _kind(lines: list[str], i: int) -> str:
+    line = lines[i]
+    if _is_table(lines, i):
+        return "table" if not _FENCE.match(line) and not _HEAD.match(line) else ("code" if _FENCE.match(line) else "heading")
+    for kind, rule in (("code", _FENCE), ("heading", _HEAD), ("list", _LIST), ("quote", _QUOTE), ("html", _HTML)):
+        if rule.match(line):
+            return kind
+    return "paragraph"
+
+
+def _end(lines: list[str], start: int, kind: str) -> int:
+    """Behind the last line of the block that starts here."""
+    i, n = start + 1, len(lines)
+    if kind == "code":
+        mark = _FENCE.match(lines[start])[1]
+        closing = re.compile(rf"\s*{re.escape(mark[0])}{{{len(mark)},}}\s*$")
+        while i < n and not closing.match(lines[i]):
+            i += 1
+        return min(i + 1, n)
+    if kind == "table":
+        i += 1
+        while i < n and "|" in lines[i]:
+            i += 1
+    elif kind == "quote":
+        while i < n and _QUOTE.match(lines[i]):
+            i += 1
+    elif kind in ("list", "paragraph"):
+        while i < n and lines[i].strip() and not _PAGE.match(lines[i].strip()):
+            other = _kind(lines, i)
+            more = (other == "list" or re.match(r"\s{2,}\S", lines[i])) and other not in ("heading", "code", "quote", "table") if kind == "list" else other in ("paragraph", "html") and not _MARK.match(lines[i].strip())
+            if not more:
+                break
+            i += 1
+    return i
+
+
+def block_rows(text: str) -> list[tuple]:
+    """(number, kind, first and last line in the marked text and in the given one, page) of
+    each block of a Markdown text. Marks of blocks that it has already are dropped."""
+    lines = text.removesuffix("\n").split("\n")
+    out, i, written, page = [], 0, 0, 1
+    while i < len(lines):
+        line = lines[i].strip()
+        if not line or (marker := _PAGE.match(line)):
+            page = int(marker[1]) if line else page
+            written, i = written + 1, i + 1
+        elif _MARK.match(line):
+            i += 1
+        else:
+            kind = _kind(lines, i)
+            end = _end(lines, i, kind)
+            out.append((len(out) + 1, kind, written + 2, written + 1 + end - i, i + 1, end, page))
+            written, i = written + 1 + end - i, end
+    return out
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block_id, kind, start_line, end_line, source_start, source_end, page, one row a
+    block; one document at a time, since where a block ends depends on what it is."""
+    columns = ["doc_id", "block_id", "kind", "start_line", "end_line", "source_start", "source_end", "page"]
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, f"b{n:06d}", *rest) for i, t in zip(b.doc_id, b.text, strict=True) for n, *rest in block_rows(t or "")]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, block_id string, kind string, start_line int, end_line int, source_start int, source_end int, page int")
+
+
+def representative_sections(found: DataFrame, most: int = 16) -> DataFrame:
+    """doc_id, section_id: the first sections of the two upper levels, and the last one."""
+    order, back = Window.partitionBy("doc_id").orderBy("section_id"), Window.partitionBy("doc_id").orderBy(F.desc("section_id"))
+    upper = found.where("level <= 2").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    last = found.withColumn("n", F.row_number().over(back)).where("n = 1")
+    return upper.select("doc_id", "section_id").unionByName(last.select("doc_id", "section_id")).distinct()
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility normalization, which Spark has no function for (Arrow batches)."""
 

@@ -69,6 +69,27 @@ def token_chunks(spark, d):
     return structure.token_chunks(table(spark, d, "documents"))
 
 
+@query("markdown_chunks")
+def markdown_chunks(spark, d):
+    return structure.markdown_chunks(as_markdown(table(spark, d, "documents")))
+
+
+@query("markdown_blocks")
+def markdown_blocks(spark, d):
+    return structure.blocks(as_markdown(table(spark, d, "documents")))
+
+
+@query("normalized_texts")
+def normalized_texts(spark, d):
+    return structure.normalized(as_markdown(table(spark, d, "documents")))
+
+
+@query("representative_sections", f"""WITH {SECTIONS} SELECT doc_id, section_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) AS n FROM secs WHERE level <= 2) WHERE n <= 16
+    UNION SELECT doc_id, max(section_id) FROM secs GROUP BY 1""")
+def representative_sections(spark, d):
+    return structure.representative_sections(structure.sections(as_markdown(table(spark, d, "documents"))))
+
+
 @query("web_pages")
 def web_pages(spark, d):
     return structure.web_pages(table(spark, d, "pages"))

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import names
-from lodestone.operators import transcripts
+from lodestone.operators import structure, transcripts
 from lodestone.sources import manifests
 from lodestone.streaming import streams
 
@@ -29,6 +29,20 @@ def test_names(spark):
     assert found[:2] == ["wiki/entities/a.md", "wiki/concepts/a-b.md"] and found[2].startswith("wiki/synthesis/synthesis-")
 
 
+def test_markdown_blocks_chunks_and_normal_form():
+    text = "# T\n\npara one\nmore\n- a\n  b\n- c\n> q\n> r\n| a | b |\n| --- | --- |\n| 1 | 2 |\n<!-- llm-wiki:page=3 -->\n<!-- llm-wiki:block=b000009 -->\n````\n```\n# no\n````\n<div>\nlast\n~~~\nopen\n"
+    found = structure.block_rows(text)
+    assert [(n, k, a, b, p) for n, k, _, _, a, b, p in found] == [
+        (1, "heading", 1, 1, 1), (2, "paragraph", 3, 4, 1), (3, "list", 5, 7, 1), (4, "quote", 8, 9, 1), (5, "table", 10, 12, 1), (6, "code", 15, 18, 3), (7, "html", 19, 19, 3), (8, "paragraph", 20, 20, 3), (9, "code", 21, 22, 3),
+    ]
+    assert [(a, b) for _, _, a, b, *_ in found][:3] == [(2, 2), (5, 6), (8, 10)]
+    parts = structure.split_markdown("intro\n\n# A\n" + "x" * 80 + "\n# B\n" + "y" * 400, 30)
+    assert parts[0] == "intro\n\n\n# A\n" + "x" * 80 and all(structure.estimate(p) <= 30 for p in parts) and "".join(parts).count("y") == 400
+    assert structure.split_markdown(" \n", 5) == [] and structure.split_markdown("ab", 5) == ["ab"]
+    normal = structure.normal_markdown("\ufeffa  \r\n\r\n\r\n\r\nb\x07\n```\ncode \t\n```\n" + "w " * 700 + "e\u0301")
+    assert normal.startswith("a\n\n\nb\n```\ncode\n```\nw w") and normal.endswith("\u00e9\n") and max(map(len, normal.split("\n"))) <= 1200
+
+
 def test_untimed_paragraphs():
     sentence = "这是一个完整的句子，" * 8 + "结束。"
     found = transcripts.untimed_paragraphs(sentence * 12)
