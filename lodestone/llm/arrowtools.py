@@ -51,6 +51,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable, te
     read = [*columns, *(c for c in carry if c not in columns)]
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # what a worker frees goes back to the machine
         f = make()
         for batch in batches:
             for part in groups(batch, at):

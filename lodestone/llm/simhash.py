@@ -373,6 +373,7 @@ def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) ->
     texts = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, text string", make).dropDuplicates(["k"])
 
     def judge(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             same = []
             for a, b in zip(batch.column(4), batch.column(5), strict=True):
@@ -433,5 +434,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of `similar` documents, the one of the least doc_id.
     Rows that share a doc_id stay or go together; null and empty texts are one group."""
-    keep = similar(docs, **options).where("id = root").select(F.col("id").alias("kept_id"))
+    with small_batches(docs.sparkSession, 1000):  # its jobs on texts run before it returns
+        found = similar(docs, **options)
+    keep = found.where("id = root").select(F.col("id").alias("kept_id"))
     return docs.join(keep, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept_id"), "left_semi")
