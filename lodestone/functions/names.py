@@ -83,11 +83,15 @@ def public_address(address: Column) -> Column:
     return F.when(number.isNotNull(), ~blocked).otherwise(F.coalesce(six, F.lit(False)))
 
 
+#: Folders that no inbox may overlap.
+PROTECTED = ["raw", "wiki", ".llm-wiki"]
+
+
 def inbox_path_ok(path: Column, config_folder: str) -> Column:
     """Whether a folder may be an inbox: no step up, no overlap with protected folders."""
     clean = F.regexp_replace(T.vault_path(path), "/$", "")
     ok = ~clean.isin("", ".") & ~F.array_contains(F.split(clean, "/"), "..")
-    for root in ("raw", "wiki", ".llm-wiki", config_folder):
+    for root in (*PROTECTED, config_folder):
         ok = ok & (clean != root) & ~clean.startswith(f"{root}/") & ~F.lit(root).startswith(F.concat(clean, F.lit("/")))
     return ok
 

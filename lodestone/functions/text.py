@@ -42,10 +42,14 @@ def wiki_links(content: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda x: F.trim(x) != ""), lambda x: page_key(F.trim(x))))
 
 
+#: Fixed value: the configuration file, which no plan may write.
+CONFIG_FILE = "llm-wiki.config.json"
+
+
 def writable_path(path: Column) -> Column:
     """Under wiki/ after normalization, without a step up, and no configuration."""
     low = F.lower(vault_path(path))
-    return low.startswith("wiki/") & ~low.contains("../") & (low != "llm-wiki.config.json")
+    return low.startswith("wiki/") & ~low.contains("../") & (low != CONFIG_FILE)
 
 
 def staged_path(path: Column, index_path: str = "wiki/index.md", log_path: str = "wiki/log.md") -> Column:

@@ -138,6 +138,7 @@ def token_chunks(docs: DataFrame, budget: int = 400) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk string, tokens int")
 
 
+#: Fixed value: where Markdown is cut first.
 _CUT = re.compile(r"(#{1,3}\s|<!--\s*llm-wiki:page=\d)")
 
 
@@ -209,6 +210,7 @@ def normalized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, body string")
 
 
+#: How lines of stored Markdown are told apart.
 _FENCE = re.compile(r"\s*(```+|~~~+)")
 _PAGE, _MARK = re.compile(r"<!--\s*llm-wiki:page=(\d+)\s*-->$"), re.compile(r"<!--\s*llm-wiki:block=")
 _HEAD, _LIST, _QUOTE = re.compile(r"#{1,6}\s"), re.compile(r"\s*(?:[-*+]\s|\d+[.)、]\s)"), re.compile(r"\s*>")

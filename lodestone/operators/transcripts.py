@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators.timeline import join_text
 
+#: Characters of a paragraph, at most and before a sentence end closes it, and
+#: what ends a sentence.
 LONGEST, CLOSES = 480, 260
 _STOP = re.compile(r"[。！？!?；;][”’」』】)\]]*")
 _ENDS = re.compile(r"[。！？!?；;][”’」』】)\]]?$")

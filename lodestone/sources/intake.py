@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 
-#: Extensions of media files.
+#: Extensions of media files; below, the types and first bytes of all kinds.
 AUDIO = ["wav", "mp3", "m4a", "mpga", "mpeg", "ogg", "oga", "flac"]
 VIDEO = ["mp4", "mov", "webm", "mkv", "avi"]
 #: Bytes that a document and a medium may have.
