@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, quality, ranked, simhash, suffixsort, toxicity
+from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, phrases, quality, ranked, simhash, suffixsort, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_quality_rules, op5_fm_dedup, op6_chat_format, op7_suffix_dedup, op8_simhash, op9_language_id, op10_packing, op12_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_quality_rules, op5_fm_dedup, op6_chat_format, op7_suffix_dedup, op8_simhash, op9_language_id, op10_packing, op11_phrases, op12_ranked_search)}
 
 #: DuckDB SQL for the operators that SQL can express exactly.
 SQL: dict[str, str] = {
@@ -155,4 +159,23 @@ SQL: dict[str, str] = {
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM r WHERE score > 0 QUALIFY rank <= 10
     """,
+    "op11_phrases": """
+        WITH p AS (
+            SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+        ), starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+        g AS (SELECT lang, array_to_string(ws[i:i + k], ' ') AS phrase, k + 1 AS size, count(*) AS f FROM starts, (SELECT unnest(range(0, 4)) AS k) WHERE i + k <= len(ws) GROUP BY ALL HAVING f >= 30),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+        c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM g WHERE size > 1),
+        cut AS (
+            SELECT c.lang, c.phrase, c.size, a, k, x.f AS l, y.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+            FROM c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+        ), w AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (
+            SELECT * FROM w WHERE NOT EXISTS (
+                SELECT 1 FROM g b WHERE b.lang = w.lang AND b.size > w.size AND 100 * b.f >= 80 * w.a AND contains(' ' || b.phrase || ' ', ' ' || w.phrase || ' '))
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
 }
