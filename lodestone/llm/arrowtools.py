@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\v\f\r"
 #: Rows handed to a row function at once; long texts make smaller groups.
 GROUP_BYTES = 4 << 20
+#: Bytes of a batch of rows that Spark hands to a task.
+BATCH_BYTES = 8 << 20
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -62,16 +63,14 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable, te
     return df.select(*read).mapInArrow(run, schema)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Within it, jobs hand at most `rows` rows of long texts to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bounded_batches(spark: SparkSession) -> None:
+    """Jobs hand at most BATCH_BYTES to Python at once, unless the session says otherwise.
+
+    It holds for all jobs of the session from then on, so pipelines that run side by side
+    find the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def stored(df: DataFrame) -> DataFrame:

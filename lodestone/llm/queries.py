@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, phrases, quality, ranked, simhash, suffixsort, toxicity
+from lodestone.llm import bpe, chat, fmindex, jaccard, langid, mtree, packing, phrases, quality, ranked, simhash, suffixsort, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_quality_rules, op5_fm_dedup, op6_chat_format, op7_suffix_dedup, op8_simhash, op9_language_id, op10_packing, op11_phrases, op12_ranked_search)}
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_quality_rules, op5_fm_dedup, op6_chat_format, op7_suffix_dedup, op8_simhash, op9_language_id, op10_packing, op11_phrases, op12_ranked_search, op13_jaccard_join)}
 
 #: DuckDB SQL for the operators that SQL can express exactly.
 SQL: dict[str, str] = {
@@ -178,4 +182,15 @@ SQL: dict[str, str] = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
     """,
+    "op13_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT rid, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM d
+        ), t AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM s),
+        links AS (SELECT a.rid AS u, b.rid AS v FROM t a JOIN t b USING (g) GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT rid AS a, rid AS b FROM s UNION SELECT a, v FROM reach JOIN links ON b = u)
+        SELECT x.doc_id, CAST(len(x.g) AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id
+        FROM s x JOIN reach ON x.rid = a JOIN s y ON y.rid = b GROUP BY x.rid, x.doc_id, x.g
+    """,
 }

@@ -14,8 +14,6 @@ part but never name a component unless nothing else does. Repeated rows are copi
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,21 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import anchors
-from lodestone.llm.arrowtools import map_texts, small_batches, stored
+from lodestone.llm.arrowtools import map_texts, stored
 from lodestone.llm.components import components
+from lodestone.llm.shinglesets import NO_ID, Bounds, Sets, connected
 
 SEED = 42
 BLOCK = 512
-NO_ID = -(1 << 63)
-#: Words of 64 bits in a document's fingerprint where near copies are looked for; pairs
-#: compared at once; what rounding may add to a bound.
-WIDE, SLAB, SLACK = 4, 1 << 14, 1e-9
+#: Words of 64 bits in a document's fingerprint where near copies are looked for.
+WIDE = 4
 #: Sets of fewer shingles are always verified: their bits are too few votes to trust.
 SMALL = 32
-#: Ids that are broadcast at most; bytes of tokens packed at once; tokens a cell.
-FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
-#: Pairs held before those that span them are chosen; rows of a tile where all pairs are wanted.
-HELD, SMALL_TILE = 1 << 18, 2048
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -67,34 +60,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_texts(docs, ["doc_id", "text"], "doc_id long, bits long", make)
 
 
-class Sets:
-    """Disjoint sets over 0..n-1, united many pairs at a time; a set's root is its least member."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, x):
-        while True:
-            up = self.parent[x]
-            if (up == self.parent[up]).all():
-                return up
-            self.parent[x] = self.parent[up]
-
-    def unite(self, x, y):
-        while len(x):
-            rx, ry = self.root(x), self.root(y)
-            differ = rx != ry
-            x, y, rx, ry = x[differ], y[differ], rx[differ], ry[differ]
-            np.minimum.at(self.parent, np.maximum(rx, ry), np.minimum(rx, ry))
-
-    def star(self) -> tuple[np.ndarray, np.ndarray]:
-        """(members other than roots, their roots)."""
-        every = np.arange(len(self.parent))
-        top = self.root(every)
-        member = np.flatnonzero(top != every)
-        return member, top[member]
-
-
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star (member, least member) of the links within `a`, or of those
     between `a` and `b` where `b` is given."""
@@ -159,18 +124,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile: int
     return found.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The distinct 64-bit hashes of the shingles of `width` words, in order; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], stops[:-1]])
-    n = max(1, len(words) - width + 1)
-    prefix_hash = anchors.Prefix(np.frombuffer(b" ".join(words), np.uint8)).hash
-    return np.unique(anchors.mix(prefix_hash(starts[:n], stops[-n:] - 1)))
-
-
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """A fingerprint of 64 * WIDE bits: a bit is 1 if set in over half the shingles' hashes."""
     total = np.zeros(64 * WIDE, np.int64)
@@ -188,253 +141,26 @@ def wide_radius(similarity: float, deviations: float) -> int:
     return int(64 * WIDE * apart + deviations * np.sqrt(64 * WIDE * apart * (1 - apart)))
 
 
-def set_key(hashes: np.ndarray) -> int:
-    """Names a set of shingles, as a signed integer."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first hashes of a set in the order (count among the common, hash): so many that
-    two sets of at least this Jaccard similarity have one of them in common."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    listed, count = common
-    rank = np.zeros(n, np.int64)
-    if len(listed):
-        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
-        rank = np.where(listed[at] == hashes, count[at], 0)
-    return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
-
-
-def candidates(value, node, size, bits, side, similarity: float, radius: int, near: int, forest: bool):
-    """x, y: pairs of rows of equal `value` (of unequal `side` where it is given) and unequal
-    `node` whose sets can have this similarity by their sizes and fingerprints.
-
-    Rows of a value are sorted by size and compared with those behind them, many at once, by
-    exclusive-or and bit counts. With `forest`, only pairs that span what all pairs connect:
-    those within `near` bits as they are met, then the nearest of each tree, HELD at a time.
-    """
-    order = np.lexsort((node, size, value))
-    value, node, size, bits = value[order], node[order], size[order], bits[order]
-    side = None if side is None else side[order]
-    sets, out = Sets(int(node.max(initial=-1)) + 1), []
-    heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
-    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(value))))
-
-    def scan(wanted, take):
-        """Offers the pairs that fit, of equal or unequal side, by their distance in the order."""
-        live, d = np.arange(len(value)), 1
-        while len(live):
-            live = live[live + d < len(value)]
-            live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
-            if d % 64 == 0 and len(live):  # values whose sets are all connected are done
-                top = sets.root(node)
-                done = np.minimum.reduceat(top, heads) == np.maximum.reduceat(top, heads)
-                live = live[~done[group[live]]]
-            pick = live if side is None else live[(side[live] == side[live + d]) == wanted]
-            pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
-            for i in range(0, len(pick), SLAB):
-                x = pick[i : i + SLAB]
-                far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1, dtype=np.int64)
-                fits = (far <= radius) | (size[x] < SMALL)
-                take(x[fits], x[fits] + d, far[fits])
-            d += 1
-
-    def spanned():
-        """Of the pairs held those that span what they connect, the nearest first; others go."""
-        x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
-        out.clear()
-        best = np.argsort(far, kind="stable")
-        while len(best):
-            a, b = sets.root(node[x[best]]), sets.root(node[y[best]])
-            best, a, b = best[a != b], a[a != b], b[a != b]
-            first = np.unique(np.concatenate([np.unique(c, return_index=True)[1] for c in (a, b)]))
-            chosen.append((x[best[first]], y[best[first]]))
-            sets.unite(a[first], b[first])
-
-    chosen: list = []
-
-    def found(x, y, far):
-        if not forest:
-            chosen.append((x, y))
-            return
-        close = far <= near
-        chosen.append((x[close], y[close]))
-        sets.unite(node[x[close]], node[y[close]])
-        out.append((x[~close], y[~close], far[~close]))
-        if sum(len(c[0]) for c in out) > HELD:
-            spanned()
-
-    if forest and side is not None:  # what a tile's own group connects need not be connected again
-        scan(True, lambda x, y, far: sets.unite(node[x], node[y]))
-    scan(False, found)
-    if out:
-        spanned()
-    x, y = (np.concatenate(c) for c in zip(*chosen, strict=True)) if chosen else (np.empty(0, np.int64),) * 2
-    return order[x], order[y]
-
-
-def common_shingles(docs: DataFrame, width: int, documents: int = 8192, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample of the documents, in order, and how often they do.
-
-    They only order the shingles of a set; any choice gives the same result."""
-    share = max(1, docs.count() // documents)
-
-    def make():
-        return lambda texts: {"h": pa.array(np.concatenate([np.empty(0, np.uint64), *(shingles(t, width) for t in texts)]).view(np.int64))}
-
-    sample = map_texts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), ["text"], "h long", make)
-    rows = sample.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).collect()
-    listed, count = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
-    order = np.argsort(listed)
-    return listed[order], count[order]
-
-
-def recurring(classes: DataFrame) -> DataFrame:
-    """value, k: the prefix shingles that more than one set has, with each set that has them.
-
-    Tokens travel packed, a row for each batch and cell of values. A batch sends one token of
-    a value to the value's cell and those it sees again, which are known to recur, anywhere;
-    so a value that a third of all sets have does not fill its cell.
-    """
-    total = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    cells = max(1, total // 8 // CELL_TOKENS)
-
-    def pack(batches):
-        for batch in batches:
-            sizes = np.array([len(p) // 8 for p in batch.column(1).to_pylist()], np.int64)
-            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(sizes) * 8 // PACK_BYTES)) + 1):
-                if not len(rows):
-                    continue
-                part = batch.slice(int(rows[0]), len(rows))
-                value = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8")
-                k = np.repeat(part.column(0).to_numpy(), sizes[rows])
-                order = np.argsort(value, kind="stable")
-                value, k = value[order], k[order]
-                same = value[1:] == value[:-1] if len(value) else np.empty(0, bool)
-                again, first = np.append(False, same)[: len(value)], np.append(same, False)[: len(value)] & ~np.append(False, same)[: len(value)]
-                known = (again | first).astype(np.uint8)
-                spread = np.where(again, anchors.mix(k.view(np.uint64)), anchors.mix(value))
-                cell = ((spread >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-                by = np.argsort(cell, kind="stable")
-                cuts = np.searchsorted(cell[by], np.arange(cells + 1)) if cells <= len(value) else np.append(np.flatnonzero(np.append(True, np.diff(cell[by]) != 0)[: len(by)]), len(by))
-                out = [(int(cell[by[a]]), int(b - a), np.ascontiguousarray(value[by[a:b]]).tobytes() + k[by[a:b]].tobytes() + known[by[a:b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
-                c, n, blob = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["cell", "n", "blob"])
-
-    def find(rows: pa.Table) -> pa.Table:
-        got = list(zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist(), strict=True))
-        value, k, known = (np.concatenate([np.frombuffer(blob, t, n, at * n) for n, blob in got]) for t, at in (("<u8", 0), ("<i8", 8), ("u1", 16)))
-        order = np.argsort(value, kind="stable")
-        value, k, known = value[order], k[order], known[order].astype(bool)
-        same = value[1:] == value[:-1]
-        kept = known | np.append(False, same) | np.append(same, False)
-        # A token that is known to recur stands for its value; others of the value are here or known.
-        return pa.table({"value": value[kept].view(np.int64), "k": k[kept]})
-
-    return classes.select("k", "prefix").mapInArrow(pack, "cell long, n int, blob binary").groupBy("cell").applyInArrow(find, "value long, k long")
-
-
-def pairs_of(classes: DataFrame, similarity: float, tile: int, radius: int, near: int, forest: bool) -> DataFrame:
-    """u, v (keys), ui, vi (ids): the candidate pairs of sets of unequal `node`, each once."""
-    tokens = stored(recurring(classes))
-    # Mean cells stay well below a tile, so that only common shingles are dealt in tiles.
-    lead = int(max(0, np.ceil(np.log2(max(1, tokens.count()) * 4 / tile))))
-    cell = F.xxhash64("value").bitwiseAND(F.lit((1 << lead) - 1))
-    rows = tokens.join(classes.select("k", "id", "size", "bits", "node"), "k").withColumn("cell", cell)
-    sizes = tokens.select(cell.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = rows.join(sizes, "cell", "left").withColumn("own", F.pmod(F.xxhash64("k"), F.coalesce("tiles", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    tiles = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "k", "id", "size", "bits", "node")
-
-    def compare(key, group):
-        _, i, j = (k.as_py() for k in key)
-        k, ids = group.column("k").to_numpy(), group.column("id").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, WIDE)
-        node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
-        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, None if i == j else group.column("own").to_numpy(), similarity, radius, near, forest)
-        x, y = np.where(k[x] < k[y], x, y), np.where(k[x] < k[y], y, x)
-        return pa.table({"u": k[x], "v": k[y], "ui": ids[x], "vi": ids[y]})
-
-    return tiles.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, ui long, vi long").distinct()
-
-
-def verified(pairs: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
-    """`pairs` with a column `same`: whether the Jaccard similarity, counted over the two
-    sets of shingles, is at least `similarity`. Texts come to the pairs that need them."""
-    wanted = stored(pairs.select(F.explode(F.array("ui", "vi")).alias("doc_id")).distinct())
-    # A small list of ids is broadcast, up to a fixed size, so that only texts in question move.
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
-
-    def make():
-        return lambda doc_ids, texts: {"k": pa.array([set_key(shingles(t, width)) for t in texts], pa.int64()), "text": pa.array([t or "" for t in texts], pa.string())}
-
-    texts = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, text string", make).dropDuplicates(["k"])
-
-    def judge(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
-        for batch in batches:
-            same = []
-            for a, b in zip(batch.column(4), batch.column(5), strict=True):
-                a, b = shingles(a.as_py(), width), shingles(b.as_py(), width)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                same.append(both >= similarity * (len(a) + len(b) - both) - SLACK)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["u", "v", "ui", "vi", "same"])
-
-    both = pairs.join(texts.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
-    both = both.join(texts.select(F.col("k").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "ui", "vi", "a", "b")
-    with small_batches(ids.sparkSession, 256):  # two whole texts a row
-        return stored(both.mapInArrow(judge, "u long, v long, ui long, vi long, same boolean"))
-
-
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 16_384, radius: int | None = None, near: int | None = None) -> DataFrame:
     """id, root: for each distinct set of shingles its least doc_id, and the least doc_id
     of those connected to it by Jaccard similarities of `similarity` or more.
 
-    Two such sets share one of the first fifth of their shingles in any fixed order (rare
-    ones first here). Sets meet by these, and their wide fingerprints are compared in tiles;
-    pairs within `radius` bits are verified on the sets themselves, so no false link is made.
-    A pair is missed where its fingerprints differ by five standard deviations more than
-    the mean at this similarity; sets of fewer than SMALL shingles are always verified.
-    Pairs that span all others are verified first; where one of them proves false, so are
-    all pairs of what it spanned that true ones leave apart. Null doc_ids count as the smallest id.
+    Sets meet by shared shingles (`shinglesets`), and their wide fingerprints are compared in
+    tiles; pairs within `radius` bits are verified on the sets themselves, so no false link is
+    made. A pair is missed where its fingerprints differ by five standard deviations more than
+    the mean at this similarity; sets of fewer than SMALL shingles are always verified, and
+    radius = 64 * WIDE looks at every pair. Null doc_ids count as the smallest id.
     """
     radius = wide_radius(similarity, 5.0) if radius is None else radius
     near = wide_radius(similarity, 0.0) if near is None else near
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    common = ids.sparkSession.sparkContext.broadcast(common_shingles(ids, width))
-
-    def make():
-        def f(doc_ids, texts):
-            found = [shingles(t, width) for t in texts]
-            return {"id": pa.array(doc_ids, pa.int64()), "k": pa.array([set_key(h) for h in found], pa.int64()), "size": pa.array([len(h) for h in found], pa.int32()),
-                    "bits": pa.array(map(wide_fingerprint, found), pa.binary()), "prefix": pa.array([prefix(h, common.value, similarity).tobytes() for h in found], pa.binary())}
-
-        return f
-
-    found = map_texts(ids, ["doc_id", "text"], "id long, k long, size int, bits binary, prefix binary", make)
-    # Rows of one key are alike in all but the id.
-    classes = stored(found.groupBy("k").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    judged = verified(stored(pairs_of(classes.withColumn("node", F.col("k")), similarity, tile, radius, near, True)), ids, width, similarity)
-    edges, false = judged.where("same"), judged.where("NOT same")
-    if not false.isEmpty():
-        # What a false pair connected is paired again: all pairs of sets not yet connected.
-        trees = components(judged.select("u", "v"))
-        tops = trees.join(false.select("u").unionByName(false.select(F.col("v").alias("u"))), "u", "left_semi").select("root").distinct()
-        again = trees.join(tops, "root", "left_semi").select("u").unionByName(tops.withColumnRenamed("root", "u"))
-        known = components(edges.select("u", "v")).select("u", F.col("root").alias("node"))
-        members = classes.join(again.join(known, "u", "left"), F.col("k") == F.col("u")).withColumn("node", F.coalesce("node", "k"))
-        rest = pairs_of(stored(members), similarity, min(tile, SMALL_TILE), radius, near, False).join(false.select("u", "v"), ["u", "v"], "left_anti")
-        edges = edges.unionByName(verified(stored(rest), ids, width, similarity).where("same"))
-    roots = components(edges.select(F.col("ui").alias("u"), F.col("vi").alias("v"))).withColumnRenamed("u", "id")
-    return classes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    bounds = Bounds(WIDE, wide_fingerprint, lambda a, b: np.where(np.minimum(a, b) < SMALL, 64 * WIDE, radius), lambda a, b: near)
+    found = stored(connected(docs, bounds, width, similarity, tile))
+    names = found.groupBy("root").agg(F.min("id").alias("name"))
+    return found.join(names, "root").groupBy("id").agg(F.min("name").alias("root"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of `similar` documents, the one of the least doc_id.
     Rows that share a doc_id stay or go together; null and empty texts are one group."""
-    with small_batches(docs.sparkSession, 1000):  # its jobs on texts run before it returns
-        found = similar(docs, **options)
-    keep = found.where("id = root").select(F.col("id").alias("kept_id"))
+    keep = similar(docs, **options).where("id = root").select(F.col("id").alias("kept_id"))
     return docs.join(keep, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept_id"), "left_semi")
