@@ -6,12 +6,12 @@ first words where it has several and further down the path where it has one. Whe
 is full, whole subtrees leave as sorted runs, the largest first. Runs go to the partition
 of their path's prefix, where they are merged by one sort and one sum.
 
-Three passes count words, pairs, then triples and quadruples together (a triple is a prefix
-of its quadruples, so one path a position is enough). A phrase can be frequent only if all
-its parts are: each pass leaves out paths with a word or a pair that a bit filter, filled
+Three passes count words, pairs by one hash each, and paths of two to four words (a path's
+prefixes come with it, so one path a position is enough). A phrase can be frequent only if
+all its parts are: each pass leaves out paths with a word or a pair that a bit filter, filled
 with the frequent ones of the pass before, doesn't hold. The filters have a fixed size; what
-they let through wrongly is counted like the rest and falls below `least` afterwards. So
-counts are exact, and what is shuffled is about as much as can matter.
+they let through wrongly is counted like the rest and falls below `least` in the last pass.
+So counts are exact, and what is shuffled is about as much as can matter.
 
 Words travel as 64-bit hashes; the text of a word comes back from the table of frequent
 words, so a phrase of rare words never needs one. Everything is per lang; a null lang is
@@ -25,6 +25,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,13 +190,24 @@ def _by_lang(batch: pa.RecordBatch):
     return found.items()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte a count; those that don't fit are 0 there and follow in full."""
+    return np.where(counts < 256, counts, 0).astype("u1").tobytes() + counts[counts >= 256].astype("<i8").tobytes()
+
+
+def _unpacked(blob: bytes, n: int, start: int) -> np.ndarray:
+    counts = np.frombuffer(blob, "u1", n, start).astype(np.int64)
+    counts[counts == 0] = np.frombuffer(blob, "<i8", -1, start + n)
+    return counts
+
+
 def _runs(lang: str, columns: list[np.ndarray], counts: np.ndarray, prefix: int, parts: int):
     """lang, part, n, blob: a sorted run of paths (hashes, word by word) cut by its prefix's partition."""
     part = (path_hash(columns[:prefix]) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, columns, counts = part[order], [c[order] for c in columns], counts[order].astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
-    blobs = [b"".join([*(c[a:b].tobytes() for c in columns), counts[a:b].tobytes()]) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    blobs = [b"".join([*(c[a:b].tobytes() for c in columns), _packed(counts[a:b])]) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
     sizes = np.diff([*cuts, len(part)]) if cuts else []
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(blobs), pa.string()), pa.array(part[cuts], pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["lang", "part", "n", "blob"])
 
@@ -222,7 +234,7 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
                 ranges = [at[a:b] for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * (len(cuts) + 1), pa.string()), pa.array([-1, *part[cuts].tolist()], pa.int32()), pa.array([int(c[at].sum()), *map(len, ranges)], pa.int64()),
-                     pa.array([b"", *(b" ".join([words.names[i] for i in r.tolist()]) for r in ranges)], pa.binary()), pa.array([b"", *(c[r].tobytes() for r in ranges)], pa.binary())],
+                     pa.array([b"", *(b" ".join([words.names[i] for i in r.tolist()]) for r in ranges)], pa.binary()), pa.array([b"", *(_packed(c[r]) for r in ranges)], pa.binary())],
                     names=["lang", "part", "n", "words", "counts"],
                 )
 
@@ -243,27 +255,33 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def frequent_words(counted: DataFrame, least: int) -> DataFrame:
-    """lang, word, path, x, f of the words that occur at least `least` times."""
+    """lang, word, path, x, f of the words that occur at least `least` times; f of a null word
+    is the number of all words."""
 
     def merge(rows: pa.Table) -> pa.Table:
+        lang = rows.column("lang")[:1]
+        if rows.column("part")[0].as_py() < 0:
+            return pa.table({"lang": lang, "word": pa.array([None], pa.string()), "path": pa.array([None], pa.binary()), "x": pa.array([None], pa.int64()), "f": pa.array([pc.sum(rows.column("n")).as_py()])})
         total: dict[bytes, int] = {}
         get = total.get
         for words, counts in zip(rows.column("words").to_pylist(), rows.column("counts").to_pylist(), strict=True):
-            for w, n in zip(words.split(b" "), np.frombuffer(counts, np.int64).tolist(), strict=True):
+            names = words.split(b" ")
+            for w, n in zip(names, _unpacked(counts, len(names), 0).tolist(), strict=True):
                 total[w] = get(w, 0) + n
         often = [w for w, n in total.items() if n >= least]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, often), np.uint64, len(often))
         return pa.table(
-            {"lang": pa.array([rows.column("lang")[0].as_py()] * len(often), pa.string()), "word": pa.array([w.decode() for w in often], pa.string()), "path": pa.array([h.tobytes() for h in hashes], pa.binary()),
+            {"lang": pa.array(lang.to_pylist() * len(often), pa.string()), "word": pa.array([w.decode() for w in often], pa.string()), "path": pa.array([h.tobytes() for h in hashes], pa.binary()),
              "x": pa.array(path_hash([hashes]).view(np.int64)), "f": pa.array([total[w] for w in often], pa.int64())}
         )
 
-    return counted.where("part >= 0").groupBy("lang", "part").applyInArrow(merge, "lang string, word string, path binary, x long, f long")
+    return counted.groupBy("lang", "part").applyInArrow(merge, "lang string, word string, path binary, x long, f long")
 
 
-def _count_paths(docs: DataFrame, length: int, prefix: int, parts: int, paths_of) -> DataFrame:
-    """Runs of the paths that `paths_of(ids, hashes)` finds in texts: (high, low), the path's
-    packed first and last words, two of each; `length` words a path at most."""
+def _count_paths(docs: DataFrame, prefix: int, parts: int, paths_of, as_pairs: bool = False) -> DataFrame:
+    """Runs of the paths that `paths_of(ids, hashes)` finds in texts as (high, low): the packed
+    ids of the path's first two words and of the two that follow, 0 for none. With `as_pairs`,
+    a path of two words travels as one hash."""
 
     def count(batches):
         words = Words()
@@ -272,11 +290,11 @@ def _count_paths(docs: DataFrame, length: int, prefix: int, parts: int, paths_of
         def run(lang, keep):
             paths, counts = tries[lang].spill(keep)
             if paths:
-                low = np.fromiter((p & (1 << 2 * ID_BITS) - 1 for p in paths), np.int64, len(paths))
                 high = np.fromiter((p >> 2 * ID_BITS for p in paths), np.int64, len(paths))
-                ids = [high >> ID_BITS, high & _MASK, low >> ID_BITS, low & _MASK][LONGEST - length :]
+                low = np.fromiter((p & (1 << 2 * ID_BITS) - 1 for p in paths), np.int64, len(paths))
                 known = hashes.array()
-                yield _runs(lang, [known[i] for i in ids], np.array(counts), prefix, parts)
+                columns = [known[i] for i in (high >> ID_BITS, high & _MASK, low >> ID_BITS, low & _MASK)]
+                yield _runs(lang, [path_hash(columns[:2])] if as_pairs else columns, np.array(counts), prefix, parts)
 
         for batch in batches:
             for group in groups(batch, 1, GROUP_BYTES):
@@ -284,10 +302,9 @@ def _count_paths(docs: DataFrame, length: int, prefix: int, parts: int, paths_of
                     trie = tries.setdefault(lang, Trie(LONGEST))
                     ids = words.sequence(texts)
                     high, low = paths_of(ids, hashes.array())
-                    order = np.lexsort((low, high))
+                    order = np.lexsort((low, high)) if low.any() else np.argsort(high, kind="stable")
                     high, low = high[order], low[order]
-                    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)]
-                    at = np.flatnonzero(new)
+                    at = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)])
                     trie.add([(h << 2 * ID_BITS) | l for h, l in zip(high[at].tolist(), low[at].tolist(), strict=True)], np.diff(at, append=len(high)).tolist())
                 over = sum(t.size for t in tries.values()) - PATHS
                 while over > 0:
@@ -305,58 +322,68 @@ def _count_paths(docs: DataFrame, length: int, prefix: int, parts: int, paths_of
     return docs.mapInArrow(count, _RUN)
 
 
-def _frequent_paths(runs: DataFrame, length: int, shortest: int, least: int) -> DataFrame:
-    """lang, path (8 bytes a word), x (its hash), f: merged runs' paths of `shortest` to `length` words."""
+def _merged(rows: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """All runs of a partition in one order: columns of hashes, and counts."""
+    blobs = list(zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist(), strict=True))
+    columns = [np.concatenate([np.frombuffer(b, "<u8", n, 8 * n * i) for n, b in blobs]) for i in range(width)]
+    counts = np.concatenate([_unpacked(b, n, 8 * n * width) for n, b in blobs])
+    order = np.lexsort(columns[::-1])
+    return [c[order] for c in columns], counts[order]
+
+
+def _frequent_pairs(runs: DataFrame, least: int) -> DataFrame:
+    """x: the hashes of pairs that occur at least `least` times."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        blobs = list(zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist(), strict=True))
-        columns = [np.concatenate([np.frombuffer(b, "<u8", n, 8 * n * i) for n, b in blobs]) for i in range(length)]
-        counts = np.concatenate([np.frombuffer(b, "<i8", n, 8 * n * length) for n, b in blobs])
-        order = np.lexsort(columns[::-1])
-        columns, counts = [c[order] for c in columns], counts[order]
-        paths, often, x = [], [], []
-        differs = np.append(True, np.zeros(max(0, len(counts) - 1), bool))[: len(counts)]
-        for k in range(1, length + 1):
+        (x,), counts = _merged(rows, 1)
+        at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+        return pa.table({"x": x[at][np.add.reduceat(counts, at) >= least].view(np.int64)})
+
+    return runs.groupBy("lang", "part").applyInArrow(merge, "x long")
+
+
+def _frequent_paths(runs: DataFrame, least: int) -> DataFrame:
+    """lang, path (8 bytes a word), f: paths of two to LONGEST words in merged runs."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        columns, counts = _merged(rows, LONGEST)
+        paths, often = [], []
+        differs = np.append(True, columns[0][1:] != columns[0][:-1])
+        for k in range(2, LONGEST + 1):
             differs[1:] |= columns[k - 1][1:] != columns[k - 1][:-1]
-            if k < shortest or not len(counts):
-                continue
             at = np.flatnonzero(differs)
             total = np.add.reduceat(counts, at)
             keep = (total >= least) & (columns[k - 1][at] != 0)
-            at, total = at[keep], total[keep]
-            names = np.ascontiguousarray(np.stack([c[at] for c in columns[:k]], axis=1))
-            paths += [names[i].tobytes() for i in range(len(at))]
-            often.append(total)
-            x.append(path_hash([c[at] for c in columns[:k]]).view(np.int64))
-        f, x = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (often, x))
-        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(f), pa.string()), "path": pa.array(paths, pa.binary()), "x": pa.array(x), "f": pa.array(f)})
+            names = np.ascontiguousarray(np.stack([c[at[keep]] for c in columns[:k]], axis=1))
+            paths += [row.tobytes() for row in names]
+            often.append(total[keep])
+        f = np.concatenate(often)
+        return pa.table({"lang": pa.array(rows.column("lang")[:1].to_pylist() * len(f), pa.string()), "path": pa.array(paths, pa.binary()), "f": pa.array(f)})
 
-    return runs.groupBy("lang", "part").applyInArrow(merge, "lang string, path binary, x long, f long")
+    return runs.groupBy("lang", "part").applyInArrow(merge, "lang string, path binary, f long")
 
 
 def _pair_paths(allowed):
-    """Pairs of words that the filter of words holds, packed low."""
+    """Pairs of words that the filter of words holds."""
 
     def f(ids, hashes):
         ids = np.where(allowed.value.holds(path_hash([hashes]))[ids], ids, 0)
-        ids[ids < 0] = 0
-        both = (ids[:-1] > 0) & (ids[1:] > 0)
-        low = (ids[:-1] << ID_BITS | ids[1:])[both]
-        return np.zeros(len(low), np.int64), low
+        high = (ids[:-1] << ID_BITS | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
+        return high, np.zeros(len(high), np.int64)
 
     return f
 
 
 def _long_paths(allowed):
-    """Triples, or quadruples where the fourth word may follow, whose pairs the filter holds."""
+    """Paths of two words whose pair the filter holds, with the words that follow while it holds their pairs."""
 
     def f(ids, hashes):
         pair = (ids[:-1] > 0) & (ids[1:] > 0)
         pair[pair] = allowed.value.holds(path_hash([hashes[ids[:-1][pair]], hashes[ids[1:][pair]]]))
-        start = np.flatnonzero(pair[:-1] & pair[1:]) if len(pair) > 1 else np.empty(0, np.int64)
-        after = np.append(pair[2:], [False, False])[start]
-        fourth = np.where(after, np.append(ids, 0)[start + 3], 0)
-        return ids[start] << ID_BITS | ids[start + 1], ids[start + 2] << ID_BITS | fourth
+        start, ids, pair = np.flatnonzero(pair), np.append(ids, [0, 0]), np.append(pair, [False, False])
+        third = np.where(pair[start + 1], ids[start + 2], 0)
+        fourth = np.where(pair[start + 1] & pair[start + 2], ids[start + 3], 0)
+        return ids[start] << ID_BITS | ids[start + 1], third << ID_BITS | fourth
 
     return f
 
@@ -374,16 +401,13 @@ def phrases(docs: DataFrame, least: int = 30, first: int = 2000, covered: int =
     parts = max(1, words_about // 6 // PART_WORDS)
     spark = docs.sparkSession
 
-    counted = stored(word_counts(docs, parts))
-    sizes = counted.where("part < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = stored(frequent_words(counted, least))
-    word_filter = bit_filter(words)
-    pairs = stored(_frequent_paths(_count_paths(docs, 2, 2, parts, _pair_paths(spark.sparkContext.broadcast(word_filter))), 2, 2, least))
-    pair_filter = bit_filter(pairs)
-    longer = stored(_frequent_paths(_count_paths(docs, 4, 3, parts, _long_paths(spark.sparkContext.broadcast(pair_filter))), 4, 3, least))
+    counted = stored(frequent_words(word_counts(docs, parts), least))
+    sizes, words = counted.where("word is null").select("lang", F.col("f").alias("n")), counted.where("word is not null")
+    held = spark.sparkContext.broadcast(bit_filter(words))
+    held = spark.sparkContext.broadcast(bit_filter(_frequent_pairs(_count_paths(docs, 1, parts, _pair_paths(held), as_pairs=True), least)))
+    found = stored(_frequent_paths(_count_paths(docs, 2, parts, _long_paths(held)), least))
 
-    found = pairs.unionByName(longer)
-    known = found.unionByName(words.select("lang", "path", "x", "f"))
+    known = found.unionByName(words.select("lang", "path", "f"))
     cuts = found.select("lang", "path", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), (F.length("path") / 8).cast("int") - 1)).alias("k"))
     cuts = cuts.withColumns({"left": F.expr("substring(path, 1, 8 * k)"), "right": F.expr("substring(path, 8 * k + 1)")})
     cuts = cuts.join(known.select("lang", F.col("path").alias("left"), F.col("f").alias("l")), ["lang", "left"])
@@ -392,7 +416,7 @@ def phrases(docs: DataFrame, least: int = 30, first: int = 2000, covered: int =
     score = F.expr("cast((2000000 * cast(a as decimal(20, 0))) div (l + r) as bigint)")
     weakest = cuts.withColumn("score", score).groupBy("lang", "path").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
-    inner = longer.select("lang", "f", F.explode(F.array(F.expr("substring(path, 1, length(path) - 8)"), F.expr("substring(path, 9)"))).alias("path"))
+    inner = found.where("length(path) > 16").select("lang", "f", F.explode(F.array(F.expr("substring(path, 1, length(path) - 8)"), F.expr("substring(path, 9)"))).alias("path"))
     inner = inner.groupBy("lang", "path").agg(F.max("f").alias("most"))
     kept = weakest.join(inner, ["lang", "path"], "left").where(F.expr(f"most is null or 100 * cast(most as decimal(20, 0)) < {int(covered)} * cast(a as decimal(20, 0))"))
 
