@@ -92,7 +92,7 @@ class Shard:
         docs, term, tf = docs[order], term[order], tf[order].astype(np.int64)
         scores = weights[term] * saturation(tf, self.m[docs])
         cuts = np.flatnonzero(np.append(True, np.diff(term) != 0)[: len(term)])
-        ends = np.append(cuts[1:], len(term))
+        ends = np.append(cuts[1:], len(term))[: len(cuts)]
         self.lists = {int(term[a]): Postings(docs[a:b], tf[a:b], scores[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)}
 
     def scored(self, term: int, blocks) -> tuple[np.ndarray, np.ndarray]:

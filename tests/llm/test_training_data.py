@@ -16,7 +16,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, quality, queries, repeats, simhash, suffixsort, toxicity
+from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, quality, queries, repeats, shinglesets, simhash, suffixsort, toxicity
 from lodestone.llm.components import components
 from lodestone.llm.pieces import pieces
 
@@ -349,8 +349,8 @@ def test_similar_at_the_threshold(spark, monkeypatch):
     left = sorted(i for i, top in wanted.items() if i == top)
     assert sorted(x.doc_id for x in simhash.one_of_each(frame).collect()) == left
     assert sorted(x.doc_id for x in simhash.one_of_each(frame, tile=4).collect()) == left
-    monkeypatch.setattr(simhash, "FEW_IDS", 0)
-    monkeypatch.setattr(simhash, "CELL_TOKENS", 100)
+    monkeypatch.setattr(shinglesets, "FEW_IDS", 0)
+    monkeypatch.setattr(shinglesets, "CELL_TOKENS", 100)
     # Where every pair that may be near is taken for one, the false ones are found and made good.
     assert sorted(x.doc_id for x in simhash.one_of_each(frame, radius=256, near=256).collect()) == left
 
@@ -574,3 +574,4 @@ def test_pipeline(spark, tmp_path):
         counts.append(docs.count())
     assert counts[0] == 200 and counts[0] >= counts[1] > counts[2] == counts[3] > 150
     assert docs.agg({"length": "sum"}).first()[0] > 0
+    assert sorted(map(tuple, corpus_pipeline.run(spark, d).select(sorted(docs.columns)).collect())) == sorted(map(tuple, docs.select(sorted(docs.columns)).collect()))
