@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +40,8 @@ SLAB, SLACK = 1 << 14, 1e-9
 FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
 #: Pairs held before those that span them are chosen; rows of a tile where all pairs are wanted.
 HELD, SMALL_TILE = 1 << 18, 2048
-#: Shingles of the rows that are multiplied at once.
-BLOCK_TOKENS = 1 << 19
+#: Bytes of the texts whose sets are multiplied at once.
+SLAB_BYTES = 4 << 20
 
 
 class Bounds(NamedTuple):
@@ -83,15 +83,24 @@ class Sets:
         return member, top[member]
 
 
+def words_of(text: str | None) -> bytes:
+    """A text's lower-cased words, joined by single spaces."""
+    return b" ".join((text or "").encode().lower().split())
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The distinct 64-bit hashes of the shingles of `width` words, in order; none without words."""
-    words = (text or "").encode().lower().split()
+    return shingles_of(words_of(text), width)
+
+
+def shingles_of(words: bytes, width: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    data = np.frombuffer(words, np.uint8)
+    stops = np.append(np.flatnonzero(data == 32), len(data)) + 1
     starts = np.concatenate([[0], stops[:-1]])
-    n = max(1, len(words) - width + 1)
-    prefix_hash = anchors.Prefix(np.frombuffer(b" ".join(words), np.uint8)).hash
+    n = max(1, len(stops) - width + 1)
+    prefix_hash = anchors.Prefix(data).hash
     return np.unique(anchors.mix(prefix_hash(starts[:n], stops[-n:] - 1)))
 
 
@@ -288,39 +297,41 @@ def overlaps(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray
 
 def verified(pairs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
     """`pairs` with a column `same`: whether the Jaccard similarity, counted over the two
-    sets of shingles, is at least `similarity`. Sets are made where their texts are, and come
-    to the pairs that need them as packed hashes."""
+    sets of shingles, is at least `similarity`. The words of a set come to the pairs that need
+    them compressed, which is a quarter of its hashes; sets are made a slab of pairs at a time."""
     wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct().join(classes.select("k", F.col("id").alias("doc_id")), "k").select("doc_id").distinct())
     # A small list of ids is broadcast, up to a fixed size, so that only texts in question are read on.
     wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
 
     def make():
         def f(doc_ids, texts):
-            found = [shingles(t, width) for t in texts]
-            return {"k": pa.array(map(set_key, found), pa.int64()), "hashes": pa.array([h.tobytes() for h in found], pa.binary())}
+            found, pack = [words_of(t) for t in texts], zstandard.ZstdCompressor(1).compress
+            return {"k": pa.array([set_key(shingles_of(w, width)) for w in found], pa.int64()), "words": pa.array(map(pack, found), pa.binary())}
 
         return f
 
-    sets = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, hashes binary", make).dropDuplicates(["k"])
+    sets = map_texts(ids.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], "k long, words binary", make).dropDuplicates(["k"])
 
     def judge(batches):
         pa.set_memory_pool(pa.system_memory_pool())
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            size = np.add(*(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3))) // 8
+            bytes_ = sum(np.array([zstandard.frame_content_size(x.as_py()) for x in batch.column(i)], np.int64) for i in (2, 3))
             same = []
-            for part in np.split(np.arange(len(u)), np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_TOKENS)) + 1):
+            for part in np.split(np.arange(len(u)), np.flatnonzero(np.diff(np.cumsum(bytes_) // SLAB_BYTES)) + 1):
                 if not len(part):
                     continue
                 keys, first, at = np.unique(np.concatenate([u[part], v[part]]), return_index=True, return_inverse=True)
-                rows = [np.frombuffer(batch.column(2 + int(f >= len(part)))[int(part[f % len(part)])].as_py(), "<u8") for f in first]
+                rows = [shingles_of(unpack(batch.column(2 + int(f >= len(part)))[int(part[f % len(part)])].as_py()), width) for f in first]
                 x, y = at[: len(part)], at[len(part) :]
-                both, total = overlaps(rows, x, y), size[part]
-                same.append(both >= similarity * (total - both) - SLACK)
+                size = np.array([len(r) for r in rows])
+                both = overlaps(rows, x, y)
+                same.append(both >= similarity * (size[x] + size[y] - both) - SLACK)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(same) if same else [], pa.bool_())], names=["u", "v", "same"])
 
-    both = pairs.join(sets.select(F.col("k").alias("u"), F.col("hashes").alias("a")), "u")
-    both = both.join(sets.select(F.col("k").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
+    both = pairs.join(sets.select(F.col("k").alias("u"), F.col("words").alias("a")), "u")
+    both = both.join(sets.select(F.col("k").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
     return stored(both.mapInArrow(judge, "u long, v long, same boolean"))
 
 

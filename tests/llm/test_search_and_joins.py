@@ -183,7 +183,7 @@ def test_jaccard_join(spark, near, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == wanted
     monkeypatch.setattr(shinglesets, "FEW_IDS", 0)
     monkeypatch.setattr(shinglesets, "CELL_TOKENS", 100)
-    monkeypatch.setattr(shinglesets, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(shinglesets, "SLAB_BYTES", 3000)
     # Bounds that turn nothing away: false entries are counted and made good.
     monkeypatch.setattr(jaccard, "bounds", lambda s: shinglesets.Bounds(jaccard.WORDS, jaccard.parities, lambda a, b: np.full(len(a), 512), lambda a, b: np.full(len(a), 512)))
     assert sorted(map(tuple, jaccard.joined(docs, tile=16).collect()), key=repr) == wanted
