@@ -132,11 +132,3 @@ def recency(day: Column, today: Column) -> Column:
     """today, yesterday, week or older; older also for dates that cannot be read."""
     days = F.datediff(today, day)
     return F.when(days.isNull() | (days >= 7), "older").when(days <= 0, "today").when(days == 1, "yesterday").otherwise("week")
-
-
-def decode_text(content: Column) -> Column:
-    """Bytes as text by their byte order mark, else as strict UTF-8; null where they are not."""
-    head = F.hex(F.substring(content, 1, 3))
-    rest = lambda n: F.substring(content, n, 1 << 30)
-    utf8 = lambda c: F.try_validate_utf8(c.cast("string"))
-    return F.when(head == "EFBBBF", utf8(rest(4))).when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE")).otherwise(utf8(content))

@@ -137,3 +137,8 @@ def ingest_query(content: Column) -> Column:
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1)), F.lit("")), line)
     code = F.slice(F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"`([^`\n]{2,80})`"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""), 1, 12)
     return F.array_join(F.filter(F.array_distinct(F.concat(F.array(F.substring(title, 1, 240)), code)), lambda x: x != ""), " ")
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")

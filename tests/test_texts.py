@@ -23,7 +23,7 @@ def test_names(spark):
     assert each(spark, names.relative_image, ["![[a.png]]", "![x](b.png)", "![x](https://a/b.png)", "![x](/a.png)"]) == [True, True, False, False]
     assert each(spark, names.summary_redacted, ["Token: abc at https://x.org/a?q=1  end"]) == ["Token=[REDACTED] at https://x.org/a end"]
     assert each(spark, names.resume_token_ok, ["ok", "", None, "Bearer x", "a" * 2049]) == [True, False, False, False, False]
-    assert each(spark, names.decode_text, [b"\xef\xbb\xbfa", b"\xff\xfea\x00", b"\xfe\xff\x00a", b"\xff", "é".encode()], "binary") == ["a", "a", "a", None, "é"]
+    assert each(spark, decoding.decode_text, [b"\xef\xbb\xbfa", b"\xff\xfea\x00", b"\xfe\xff\x00a", b"\xff", "é".encode()], "binary") == ["a", "a", "a", None, "é"]
     kinds = spark.createDataFrame([("entity", "wiki/entities/a.md", "T", "c"), ("concept", "wiki/entities/A b.md", "T", "c"), ("synthesis", None, "  ", "?")], "k string, r string, t string, c string")
     found = [r[0] for r in kinds.select(names.knowledge_path(*(F.col(c) for c in "krtc"))).collect()]
     assert found[:2] == ["wiki/entities/a.md", "wiki/concepts/a-b.md"] and found[2].startswith("wiki/synthesis/synthesis-")
