@@ -3,18 +3,20 @@
 The incidence of sets and shingles is multiplied with its transpose in blocks, and only
 where an entry can reach the similarity:
 
-1. Columns. Two sets of at least this similarity share one of the first columns of each in
-   any fixed order, as many as the set's size leaves open (rare ones come first here). Only
-   these columns are multiplied, each in the cell of its hash; a cell of more rows than a
-   tile is dealt out in tiles, and every pair of its tiles is a block of its own.
+1. Columns. Two sets of at least this similarity share `least_shared` of the first columns
+   of the smaller in any fixed order (rare ones come first here), as many as its size leaves
+   open and EXTRA of it more. Only columns that recur among these are multiplied, and only of
+   rows that have enough of them to link with anything.
 2. Bounds. In a block, entries are met diagonal by diagonal over rows sorted by size. They
    are discarded where the sizes differ too much, or where the rows' bits (a short image of
    each set) differ in more places than the caller's `Bounds` allow for these sizes.
 3. Counts. Overlaps of the entries that remain are accumulated over all columns of the two
    sets, a row of the block at a time, so no false link is made.
 
-Blocks give entries that span what they connect, never all pairs of a group. Where an entry
-proves false, all entries of what it spanned that true ones leave apart are counted too.
+First, blocks give entries that span what they connect, never all pairs of a group; a block
+holds the rows of some columns, each once. What true entries connect is a node from then on,
+and a second pass gives all entries between unequal nodes. There, rows of a column's largest
+node meet only the rows of other nodes, so a large group that is connected costs little.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from lodestone.llm.components import components
 NO_ID = -(1 << 63)
 #: Pairs compared at once; what rounding may add to a bound.
 SLAB, SLACK = 1 << 14, 1e-9
+#: Share of a set's size by which its first columns are more than one shared column needs.
+EXTRA = 0.06
 #: Ids that are broadcast at most; bytes of tokens packed at once; tokens a cell.
 FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
-#: Pairs held before those that span them are chosen; rows of a tile where all pairs are wanted.
-HELD, SMALL_TILE = 1 << 18, 2048
+#: Pairs held before those that span them are chosen; rows of a column that are compared one by one with all others.
+HELD, LARGE = 1 << 18, 64
 #: Bytes of the texts whose sets are multiplied at once.
 SLAB_BYTES = 4 << 20
 
@@ -109,9 +113,14 @@ def set_key(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def least_shared(size: int) -> int:
+    """How many of the first columns of two linked sets are shared, for the smaller's size."""
+    return 1 + int(EXTRA * size)
+
+
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The first hashes of a set in the order (count among the common, hash): so many that
-    two sets of at least this Jaccard similarity have one of them in common."""
+    two sets of at least this Jaccard similarity share `least_shared` of them or more."""
     n = len(hashes)
     if not n:
         return hashes
@@ -120,7 +129,7 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     if len(listed):
         at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
         rank = np.where(listed[at] == hashes, count[at], 0)
-    return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
+    return hashes[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + least_shared(n)]]
 
 
 def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds, forest: bool):
@@ -138,9 +147,9 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
     heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
     group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(value))))
 
-    def scan(wanted, take):
-        """Offers the pairs that fit, of equal or unequal side, by their distance in the order."""
-        live, d = np.arange(len(value)), 1
+    def scan(only, take):
+        """Offers the pairs that fit, of unequal side, by their distance in the order."""
+        live, d = np.arange(len(value)) if only is None else np.flatnonzero(only), 1
         while len(live):
             live = live[live + d < len(value)]
             live = live[(value[live] == value[live + d]) & (size[live] >= similarity * size[live + d] - SLACK)]
@@ -148,7 +157,7 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
                 top = sets.root(node)
                 done = np.minimum.reduceat(top, heads) == np.maximum.reduceat(top, heads)
                 live = live[~done[group[live]]]
-            pick = live if side is None else live[(side[live] == side[live + d]) == wanted]
+            pick = live if side is None else live[side[live] != side[live + d]]
             pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
             for i in range(0, len(pick), SLAB):
                 x = pick[i : i + SLAB]
@@ -182,9 +191,21 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
         if sum(len(c[0]) for c in out) > HELD:
             spanned()
 
-    if forest and side is not None:  # what a tile's own group connects need not be connected again
-        scan(True, lambda x, y, far: sets.unite(node[x], node[y]))
-    scan(False, found)
+    if side is not None:
+        long = np.diff(np.append(heads, len(value))) > LARGE
+        for at in np.flatnonzero(long).tolist():
+            rows = np.arange(heads[at], heads[at + 1] if at + 1 < len(heads) else len(value))
+            one, two = rows[side[rows] == side[rows[0]]], rows[side[rows] != side[rows[0]]]
+            few, many = sorted((one, two), key=len)
+            for x in few.tolist():
+                y = many[(node[many] != node[x]) & (np.minimum(size[many], size[x]) >= similarity * np.maximum(size[many], size[x]) - SLACK)]
+                far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                fits = far <= bounds.most(np.full(len(y), size[x]), size[y])
+                chosen.append((np.full(np.count_nonzero(fits), x), y[fits]))
+        short = ~long[group]
+    else:
+        short = None
+    scan(short, found)
     if out:
         spanned()
     x, y = (np.concatenate(c) for c in zip(*chosen, strict=True)) if chosen else (np.empty(0, np.int64),) * 2
@@ -252,29 +273,60 @@ def recurring(classes: DataFrame) -> DataFrame:
     return classes.select("k", "prefix").mapInArrow(pack, "cell long, n int, blob binary").groupBy("cell").applyInArrow(find, "value long, k long")
 
 
-def pairs_of(classes: DataFrame, similarity: float, tile: int, bounds: Bounds, forest: bool) -> DataFrame:
-    """u, v (keys): the candidate pairs of sets of unequal `node`, each once. Without a column
-    `node` each set is a node of its own."""
-    nodes = ["node"] if "node" in classes.columns else []
+def tokens_of(classes: DataFrame, similarity: float) -> DataFrame:
+    """value, k, size: the recurring prefix shingles of the sets that have enough of them."""
     tokens = stored(recurring(classes))
-    # Mean cells stay well below a tile, so that only common shingles are dealt in tiles.
+    enough = F.col("n") >= 1 + F.floor(F.lit(EXTRA * similarity) * F.col("size") - SLACK)
+    rich = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(classes.select("k", "size"), "k").where(enough).select("k", "size")
+    return stored(tokens.join(rich, "k"))
+
+
+def _celled(tokens: DataFrame, tile: int) -> DataFrame:
+    """Tokens with their cell. Mean cells stay well below a tile, so that only common shingles are dealt in tiles."""
     lead = int(max(0, np.ceil(np.log2(max(1, tokens.count()) * 4 / tile))))
-    cell = F.xxhash64("value").bitwiseAND(F.lit((1 << lead) - 1))
-    rows = tokens.join(classes.select("k", "size", "bits", *nodes), "k").withColumn("cell", cell)
-    sizes = tokens.select(cell.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = rows.join(sizes, "cell", "left").withColumn("own", F.pmod(F.xxhash64("k"), F.coalesce("tiles", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    tiles = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "k", "size", "bits", *nodes)
+    return tokens.withColumn("cell", F.xxhash64("value").bitwiseAND(F.lit((1 << lead) - 1)))
+
 
+def _compared(similarity: float, bounds: Bounds, forest: bool):
     def compare(key, group):
-        _, i, j = (k.as_py() for k in key)
+        kind, i, j = (k.as_py() for k in key[1:])
         k = group.column("k").to_numpy()
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, bounds.words)
-        node = np.unique(group.column("node").to_numpy() if nodes else k, return_inverse=True)[1]
-        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, None if i == j else group.column("own").to_numpy(), similarity, bounds, forest)
+        node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
+        side = None if forest or (kind and i == j) else group.column("own").to_numpy() if kind else group.column("minor").to_numpy(zero_copy_only=False)
+        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, side, similarity, bounds, forest)
         return pa.table({"u": np.minimum(k[x], k[y]), "v": np.maximum(k[x], k[y])})
 
-    return tiles.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    return compare
+
+
+def spanning_pairs(tokens: DataFrame, classes: DataFrame, similarity: float, tile: int, bounds: Bounds) -> DataFrame:
+    """u, v (keys): pairs that span what the candidate pairs within each tile connect. A common
+    shingle's rows are split among tiles; other shingles split them in other ways."""
+    rows = _celled(tokens, tile)
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("tiles > 1")
+    own = F.pmod(F.xxhash64("k", "cell"), F.coalesce("tiles", F.lit(1))).cast("int")
+    dealt = rows.join(classes.select("k", "bits"), "k").join(sizes, "cell", "left").select("cell", F.lit(0).alias("kind"), own.alias("i"), F.lit(0).alias("j"), "value", "k", "size", "bits", F.col("k").alias("node"))
+    return dealt.groupBy("cell", "kind", "i", "j").applyInArrow(_compared(similarity, bounds, True), "u long, v long").distinct()
+
+
+def pairs_between(tokens: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float, tile: int, bounds: Bounds) -> DataFrame:
+    """u, v (keys): all candidate pairs of sets of unequal nodes (u, node), each once."""
+    rows = tokens.join(nodes.withColumnRenamed("u", "k"), "k", "left").withColumn("node", F.coalesce("node", "k"))
+    counts = rows.groupBy("value", "node").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("value").agg(F.max_by("node", F.struct("n", "node")).alias("major"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("value", "major")
+    rows = stored(rows.join(most, "value").select("value", "k", "size", "node", (F.col("node") != F.col("major")).alias("minor")))
+    rows = _celled(rows, tile)
+    share = lambda minor: F.ceil(F.count(F.when(F.col("minor") == minor, 1)) / tile).cast("int")
+    sizes = rows.groupBy("cell").agg(share(False).alias("majors"), share(True).alias("minors"))
+    dealt = rows.join(sizes, "cell").join(classes.select("k", "bits"), "k").withColumn("own", F.pmod(F.xxhash64("k"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    columns = ["value", "k", "size", "bits", "node", "minor", "own"]
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    across = F.when(F.col("minor"), upto("majors", lambda i: place(0, i, F.col("own")))).otherwise(upto("minors", lambda j: place(0, F.col("own"), j)))
+    among = F.when(F.col("minor"), upto("minors", lambda x: place(1, F.least("own", x), F.greatest("own", x)))).otherwise(F.array().cast("array<struct<kind int, i int, j int>>"))
+    dealt = dealt.withColumn("at", F.explode(F.concat(across, among))).select("cell", "at.*", *columns)
+    return dealt.groupBy("cell", "kind", "i", "j").applyInArrow(_compared(similarity, bounds, False), "u long, v long").distinct()
 
 
 def overlaps(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -360,16 +412,13 @@ def connected(docs: DataFrame, bounds: Bounds, width: int, similarity: float, ti
     bounded_batches(docs.sparkSession)
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     classes = stored(distinct_sets(ids, width, similarity, bounds))
-    judged = verified(stored(pairs_of(classes, similarity, tile, bounds, True)), classes, ids, width, similarity)
-    edges, false = judged.where("same").select("u", "v"), judged.where("NOT same").select("u", "v")
-    if not false.isEmpty():
-        # What a false pair connected is paired again: all pairs of sets not yet connected.
-        trees = components(judged.select("u", "v"))
-        tops = trees.join(false.select("u").unionByName(false.select(F.col("v").alias("u"))), "u", "left_semi").select("root").distinct()
-        again = trees.join(tops, "root", "left_semi").select("u").unionByName(tops.withColumnRenamed("root", "u"))
-        known = components(edges).select("u", F.col("root").alias("node"))
-        members = classes.join(again.join(known, "u", "left"), F.col("k") == F.col("u")).withColumn("node", F.coalesce("node", "k"))
-        rest = pairs_of(stored(members), similarity, min(tile, SMALL_TILE), bounds, False).join(false, ["u", "v"], "left_anti")
-        edges = edges.unionByName(verified(stored(rest), classes, ids, width, similarity).where("same").select("u", "v"))
+    tokens = tokens_of(classes, similarity)
+    first = stored(spanning_pairs(tokens, classes, similarity, tile, bounds))
+    judged = verified(first, classes, ids, width, similarity)
+    edges = judged.where("same").select("u", "v")
+    nodes = stored(components(edges).select("u", F.col("root").alias("node")))
+    rest = stored(pairs_between(tokens, nodes, classes, similarity, tile, bounds).join(first, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        edges = edges.unionByName(verified(rest, classes, ids, width, similarity).where("same").select("u", "v"))
     roots = components(edges).withColumnRenamed("u", "k")
     return classes.select("k", "id", "name").join(roots, "k", "left").select("k", "id", "name", F.coalesce("root", "k").alias("root"))

@@ -155,8 +155,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
     near = wide_radius(similarity, 0.0) if near is None else near
     bounds = Bounds(WIDE, wide_fingerprint, lambda a, b: np.where(np.minimum(a, b) < SMALL, 64 * WIDE, radius), lambda a, b: near)
     found = stored(connected(docs, bounds, width, similarity, tile))
-    names = found.groupBy("root").agg(F.min("id").alias("name"))
-    return found.join(names, "root").groupBy("id").agg(F.min("name").alias("root"))
+    names = found.groupBy("root").agg(F.min("id").alias("least"))
+    return found.join(names, "root").groupBy("id").agg(F.min("least").alias("root"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
