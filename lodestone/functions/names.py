@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,18 +71,64 @@ def ipv4_number(address: Column) -> Column:
     return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p))
 
 
+#: IPv6 networks that are not public, and their prefix lengths.
+IPV6_BLOCKS = ["::/128", "::1/128", "::ffff:0:0/96", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32"]
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def ipv6_numbers(address: Column) -> Column:
+    """An IPv6 address as two longs, `hi` and `lo`; null where it is none. A zone is no part of
+    it, and the last two groups may be an IPv4 address."""
+    none = F.array().cast("array<string>")
+    groups = lambda text: F.when(text == "", none).otherwise(F.split(text, ":", -1))
+    number = lambda words, start: reduce(Column.bitwiseOR, [F.shiftleft(F.try_element_at(words, F.lit(start + i + 1)), 48 - 16 * i) for i in range(4)])
+
+    def hexed(low):
+        tail = ipv4_number(F.regexp_extract(low, r"^.*:([0-9]+\.[0-9.]+)$", 1))
+        return F.concat(F.regexp_extract(low, r"^(.*:)[0-9.]+$", 1), _bound(tail, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535)))))))
+
+    def spread(sides):
+        """All eight groups of the one or two sides of a double colon; null where they are none."""
+        two = F.size(sides) == 2
+        both = F.struct(groups(sides[0]).alias("l"), F.when(two, groups(F.try_element_at(sides, F.lit(2)))).otherwise(none).alias("r"))
+        fits = lambda x: (F.when(two, F.size(x["l"]) + F.size(x["r"]) <= 7).otherwise((F.size(sides) == 1) & (F.size(x["l"]) == 8)))
+        return _bound(both, lambda x: F.when(fits(x), F.concat(x["l"], F.array_repeat(F.lit("0"), 8 - F.size(x["l"]) - F.size(x["r"])), x["r"])))
+
+    low = F.lower(F.regexp_replace(address, r"%[0-9a-zA-Z.:-]+$", ""))
+    plain = _bound(low, lambda x: F.when(x.contains("."), hexed(x)).otherwise(x))
+    words = _bound(plain, lambda x: F.when(x.contains(":"), _bound(F.split(x, "::", -1), spread)))
+    checked = _bound(words, lambda w: F.when(F.forall(w, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(w, lambda g: F.conv(g, 16, 10).cast("long"))))
+    return _bound(checked, lambda w: F.when(w.isNotNull(), F.struct(number(w, 0).alias("hi"), number(w, 4).alias("lo"))))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def in_network(numbers: Column, network: str) -> Column:
+    """Whether an address (hi, lo) lies in an IPv6 network such as fc00::/7."""
+    net = ipaddress.IPv6Network(network)
+    base, mask = int(net.network_address), int(net.netmask)
+    half = lambda value, at: F.lit(_signed(value >> at & (1 << 64) - 1)).cast("long")
+    return (numbers["hi"].bitwiseAND(half(mask, 64)) == half(base, 64)) & (numbers["lo"].bitwiseAND(half(mask, 0)) == half(base, 0))
+
+
 def public_address(address: Column) -> Column:
-    """Whether an address is an IPv4 address outside the blocks that are not public, or an
-    IPv6 one outside theirs (told by the prefix of its lower-case text)."""
-    number = ipv4_number(address)
-    blocked = F.lit(False)
+    """Whether an address is an IPv4 or IPv6 address outside the blocks that are not public;
+    false for what is neither."""
+    ranges = []
     for block in IPV4_BLOCKS:
         base, prefix = block.split("/")
         first = sum(int(p) << (24 - 8 * i) for i, p in enumerate(base.split(".")))
-        blocked = blocked | number.between(first, first + (1 << (32 - int(prefix))) - 1)
-    low = F.lower(address)
-    six = low.rlike(r"^[0-9a-f:.]*:[0-9a-f:.]*$") & ~low.rlike(r"^(::1?|::ffff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:0?db8:.*)$")
-    return F.when(number.isNotNull(), ~blocked).otherwise(F.coalesce(six, F.lit(False)))
+        ranges.append((first, first + (1 << (32 - int(prefix))) - 1))
+    open_four = lambda n: ~reduce(Column.__or__, [n.between(*r) for r in ranges])
+    open_six = lambda n: ~reduce(Column.__or__, [in_network(n, block) for block in IPV6_BLOCKS])
+    four, six = _bound(ipv4_number(address), open_four), _bound(ipv6_numbers(address), open_six)
+    return F.coalesce(F.when(address.contains(":"), six).otherwise(four), F.lit(False))
 
 
 #: Folders that no inbox may overlap.

@@ -77,12 +77,16 @@ def inferred_tldr(body: Column, limit: int = 120) -> Column:
 
 
 def clean_url(url: Column, secret: str = SECRET_PARTS) -> Column:
-    """http(s) only, without credentials, values of parameters whose name has a secret part
-    redacted; else null. A parameter that repeats is redacted each time."""
-    bare = F.regexp_replace(url, r"^(?i)(https?://)[^/?#@]*@", "$1")
+    """http(s) only, without credentials, values of parameters whose decoded name has a secret
+    part redacted; else null. A parameter that repeats is redacted each time."""
+    bare = F.regexp_replace(url, r"^(?i)(https?://)[^/?#]*@", "$1")
     bare = F.regexp_replace(bare, r"^([A-Za-z]+://[^/?#]+)([?#]|$)", "$1/$2")
-    redacted = F.regexp_replace(bare, f"(?i)([?&][^=&#]*(?:{secret})[^=&#]*)(=[^&#]*)?", "$1=%5BREDACTED%5D")
-    return F.when(url.rlike(r"^(?i)https?://[^/?#]+"), redacted)
+    query = F.regexp_extract(bare, r"^[^?#]*\?([^#]*)", 1)
+    name = lambda p: F.regexp_extract(p, r"^[^=]*", 0)
+    hidden = lambda p: F.coalesce(F.try_url_decode(name(p)), name(p)).rlike(f"(?i)({secret})")
+    redacted = F.array_join(F.transform(F.split(query, "&", -1), lambda p: F.when(hidden(p), F.concat(name(p), F.lit("=%5BREDACTED%5D"))).otherwise(p)), "&")
+    whole = F.concat(F.regexp_extract(bare, r"^[^?#]*\?", 0), redacted, F.regexp_extract(bare, r"#.*$", 0))
+    return F.when(url.rlike(r"^(?i)https?://[^/?#]+"), F.when(query == "", bare).otherwise(whole))
 
 
 def page_url(url: Column) -> Column:

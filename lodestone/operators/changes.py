@@ -21,7 +21,7 @@ def plan_checks(ops: DataFrame, current: DataFrame) -> DataFrame:
     breaks against the current pages (path, content, hash).
 
     Content must parse as a page, state the fields of its type, and link only to pages that
-    exist or are planned. An update without an expected hash takes the current one. Of
+    exist or are planned. An update without an expected hash, or with an empty one, takes the current one. Of
     operations on one path all but the first are refused.
     """
     ops = ops.withColumn("path", T.vault_path(F.col("path")))
@@ -36,7 +36,7 @@ def plan_checks(ops: DataFrame, current: DataFrame) -> DataFrame:
         F.when(blank, "blank_content"),
         F.when(create & F.col("now").isNotNull(), "already_exists"),
         F.when(update & F.col("now").isNull(), "missing_page"),
-        F.when(update & (F.col("now") != F.col("expected_hash")), "stale_hash"),
+        F.when(update & (F.col("expected_hash") != "") & (F.col("now") != F.col("expected_hash")), "stale_hash"),
         F.when(F.col("turn") > 1, "repeated_path"),
     )
     direct = joined.select("ord", "path", F.explode(F.array_compact(codes)).alias("code"))

@@ -146,12 +146,12 @@ def root_view(cards: DataFrame, budget: int = 12_000, each: int = 5) -> DataFram
 
 def root_document(cards: DataFrame, pages: DataFrame, budget: int = 12_000, each: int = 5) -> DataFrame:
     """document: the root view as one JSON text with revision, mode, counts of types and tags
-    and its cards. The cards fit the budget or are a few of each type, so they fit a row; of
-    the tags all are counted and the commonest thousand are listed."""
+    and its cards. The cards fit the budget or are a few of each type, so they fit a row; all
+    tags are listed with their counts, as many as the corpus has."""
     view = root_view(cards, budget, each).select("mode", "path").join(cards.select("path", "card"), "path")
     listed = view.groupBy("mode").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "card"))), lambda x: x["card"]).alias("cards"))
     types = type_counts(pages).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("typeCounts"))
-    tags = tag_counts(pages).orderBy(F.desc("n"), "tag").limit(1000).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tagCounts"))
+    tags = tag_counts(pages).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tagCounts"))
     rows = listed.crossJoin(F.broadcast(types)).crossJoin(F.broadcast(tags)).crossJoin(F.broadcast(revision(pages)))  # one row each
     head = F.to_json(F.struct("revision", "mode", "typeCounts", "tagCounts"))
     return rows.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"pages":['), F.array_join("cards", ","), F.lit("]}")).alias("document"))

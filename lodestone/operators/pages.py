@@ -27,7 +27,10 @@ _FIELD = "struct<list boolean, items array<string>>"
 
 _KEY = re.compile(r"([^\s#:-][^:\n]*):(?:[ \t]+(.*)|[ \t]*)$")
 _ITEM = re.compile(r"\s*-(\s*)(.*)$")
-_PART = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^,]+")
+_QUOTED = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'"
+_PART = re.compile(rf"\s*({_QUOTED}|[^,\"'\s][^,]*|)\s*(?:,|$)")
+_SCALAR = re.compile(rf"({_QUOTED})\s*(?:#.*)?$")
+_COMMENT = re.compile(r"(?:^|\s+)#.*$")
 
 
 def _unquote(x: str) -> str:
@@ -36,6 +39,30 @@ def _unquote(x: str) -> str:
     return x[1:-1].replace("''", "'") if len(x) > 1 and x[0] == x[-1] == "'" else x
 
 
+def _scalar(x: str) -> str | None:
+    """A plain or quoted scalar without a comment behind it; null where text follows a quote."""
+    if x[:1] in ("'", '"'):
+        found = _SCALAR.match(x)
+        return _unquote(found[1]) if found else None
+    return _COMMENT.sub("", x)
+
+
+def _inline(x: str) -> list[str] | None:
+    """The items of an inline list; null where it doesn't end or an item is in no subset."""
+    found = re.match(rf"\[((?:{_QUOTED}|[^\]\"'])*)\]\s*(?:#.*)?$", x)
+    if not found:
+        return None
+    items, at = [], 0
+    while at < len(found[1]):
+        part = _PART.match(found[1], at)
+        if not part:
+            return None
+        if part[1].strip():
+            items.append(_unquote(part[1].strip()))
+        at = max(part.end(), at + 1)
+    return items
+
+
 def read_block(block: str) -> tuple[dict | None, bool]:
     """(name -> None or (is a list, texts), repaired) of a front matter block; no fields where
     it is not in the subset."""
@@ -52,23 +79,30 @@ def read_block(block: str) -> tuple[dict | None, bool]:
             if not fields[name][0] or name in inline:
                 return None, repaired
             repaired |= not item[1] and bool(item[2])
-            fields[name][1].append(_unquote(item[2]))
+            text = _scalar(item[2])
+            if text is None:
+                return None, repaired
+            fields[name][1].append(text)
             continue
         key = _KEY.match(line)
         if not key or (name := _unquote(key[1].strip())) in fields:
             return None, repaired
         value = (key[2] or "").strip()
         if value.startswith("["):
-            if not value.endswith("]"):
+            items = _inline(value)
+            if items is None:
                 return None, repaired
-            fields[name] = (True, [_unquote(x.strip()) for x in _PART.findall(value[1:-1]) if x.strip()])
+            fields[name] = (True, items)
             inline.add(name)
-        elif value in ("", "~", "null"):
+        elif value[:1] not in ("'", '"') and _COMMENT.sub("", value) in ("", "~", "null"):
             fields[name] = None
         elif value[0] in "{|>&*":
             return None, repaired
         else:
-            fields[name] = (False, [_unquote(value)])
+            text = _scalar(value)
+            if text is None:
+                return None, repaired
+            fields[name] = (False, [text])
     return fields or None, repaired
 
 

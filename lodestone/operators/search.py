@@ -6,6 +6,8 @@ rows, so no all-pairs table is made.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +15,18 @@ from lodestone.functions import text as T
 from lodestone.operators import index
 from lodestone.operators.structure import nfkc
 
-#: Queries or candidates that may be asked at once; more are asked in blocks by the caller.
-MAX_QUERIES = 10_000
+#: Queries or candidates that meet the pages at once; more go in as many blocks.
+BLOCK_QUERIES = 10_000
 
 
-def _asked(rows: DataFrame, *columns: Column | str) -> DataFrame:
-    """The stated rows as one array in one row."""
-    if rows.count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} are asked at once")
-    return F.broadcast(rows.agg(F.collect_list(F.struct(*columns)).alias("asked")))  # at most MAX_QUERIES short texts
+def _met(pages: DataFrame, rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """Pages with the stated rows as one array, `asked`, once for each block of about
+    BLOCK_QUERIES; a block of short texts is what is broadcast at a time."""
+    blocks = max(1, -(-rows.count() // BLOCK_QUERIES))
+    struct = F.struct(*columns)
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(blocks))
+    parts = [F.broadcast(rows.where(place == i).agg(F.collect_list(struct).alias("asked"))) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [pages.crossJoin(part) for part in parts])
 
 
 def _texts(pages: DataFrame) -> DataFrame:
@@ -35,12 +40,11 @@ def score_pages(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """query_id, path, score, strong: per term 12 in title or alias, 6 in a tag, 4 in the
     tldr, and up to 5 occurrences in the body. `queries` is a stated query set (query_id,
     query); strong tells of a hit in title, alias or tag."""
-    asked = _asked(queries, "query_id", T.query_terms(F.col("query")).alias("terms"))
     hit = lambda c, x, n: F.when(F.col(c).contains(x), n).otherwise(0)
     one = lambda acc, x: acc + hit("t", x, 12) + hit("g", x, 6) + hit("s", x, 4) + F.least(T.occurrences(F.col("b"), x), F.lit(5))
     named = lambda terms: F.exists(terms, lambda x: F.col("t").contains(x) | F.col("g").contains(x))
     scored = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.aggregate(q["terms"], F.lit(0).cast("long"), one).alias("score"), named(q["terms"]).alias("strong")))
-    rows = _texts(pages).crossJoin(asked).select("path", "type", "tags", F.explode(F.filter(scored, lambda x: x["score"] > 0)).alias("x"))
+    rows = _met(_texts(pages), queries, "query_id", T.query_terms(F.col("query")).alias("terms")).select("path", "type", "tags", F.explode(F.filter(scored, lambda x: x["score"] > 0)).alias("x"))
     return rows.select("x.query_id", "path", "x.score", "x.strong", "type", "tags")
 
 
@@ -71,9 +75,9 @@ def strong_matches(queries: DataFrame, pages: DataFrame, least: int = 12, most:
 
 
 def _scored(texts: DataFrame, text: Column, queries: DataFrame, mode: str, *keep: str) -> DataFrame:
-    asked = _asked(queries, "query_id", F.coalesce("query", F.lit("")).alias("query"), T.search_terms(F.col("query")).alias("terms"))
     scored = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), T.search_score(F.col("x"), q["query"], q["terms"], mode).alias("score")))
-    rows = texts.withColumn("x", text).crossJoin(asked).select(*keep, F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("s"))
+    asked = _met(texts.withColumn("x", text), queries, "query_id", F.coalesce("query", F.lit("")).alias("query"), T.search_terms(F.col("query")).alias("terms"))
+    rows = asked.select(*keep, F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("s"))
     return rows.select(*keep, "s.query_id", "s.score")
 
 
@@ -120,22 +124,24 @@ def candidate_terms(text: Column) -> Column:
 
 def candidate_matches(candidates: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
     """candidate_id, rank, path, score, exact: knowledge pages for candidates (candidate_id,
-    type, title).
+    type, title, and queries, an array of further texts that are searched for, where there is
+    one).
 
     100 where an identity of the page equals the candidate's, 5 for the same type, and per
     term 12 in title, alias or file name, 6 in a tag, 4 in the tldr. Exact ones are kept, and others
     with more than the type's points. Exact first, then by score, same type and path.
     Exact pairs meet by a join on the identity, terms as a stated set.
     """
-    wanted = candidates.select("candidate_id", F.col("type").alias("wanted"), index.concept_identity(F.col("title")).alias("identity"), candidate_terms(F.col("title")).alias("terms"))
+    searched = F.concat_ws(" ", "title", "queries") if "queries" in candidates.columns else F.col("title")
+    wanted = candidates.select("candidate_id", F.col("type").alias("wanted"), index.concept_identity(F.col("title")).alias("identity"), candidate_terms(searched).alias("terms"))
     pages = pages.where(F.col("type").isin(index.KNOWLEDGE))
     base = F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.md$", "")
     exact = wanted.select("candidate_id", "identity").join(index.identities(pages), "identity").select("candidate_id", "path").distinct()
-    asked = _asked(wanted, "candidate_id", "terms")
     hit = lambda c, x, n: F.when(F.col(c).contains(x), n).otherwise(0)
     one = lambda acc, x: acc + hit("t", x, 12) + hit("g", x, 6) + hit("s", x, 4)
     scored = F.transform("asked", lambda q: F.struct(q["candidate_id"].alias("candidate_id"), F.aggregate(q["terms"], F.lit(0).cast("long"), one).alias("terms")))
-    hits = _texts(pages).withColumn("t", F.concat_ws(" ", "t", F.lower(base))).crossJoin(asked).select("path", F.explode(F.filter(scored, lambda x: x["terms"] > 0)).alias("x")).select("path", "x.candidate_id", F.col("x.terms").alias("points"))
+    hits = _texts(pages).withColumn("t", F.concat_ws(" ", "t", F.lower(base)))
+    hits = _met(hits, wanted, "candidate_id", "terms").select("path", F.explode(F.filter(scored, lambda x: x["terms"] > 0)).alias("x")).select("path", "x.candidate_id", F.col("x.terms").alias("points"))
     both = hits.join(exact.withColumn("exact", F.lit(True)), ["candidate_id", "path"], "full").join(pages.select("path", "type"), "path").join(candidates.select("candidate_id", F.col("type").alias("wanted")), "candidate_id")
     same = F.col("wanted").eqNullSafe(F.col("type"))
     both = both.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("same", same)

@@ -212,7 +212,7 @@ def normalized(docs: DataFrame) -> DataFrame:
 
 #: How lines of stored Markdown are told apart.
 _FENCE = re.compile(r"\s*(```+|~~~+)")
-_PAGE, _MARK = re.compile(r"<!--\s*llm-wiki:page=(\d+)\s*-->$"), re.compile(r"<!--\s*llm-wiki:block=")
+_PAGE, _MARK = re.compile(r"<!--\s*llm-wiki:page=(\d+)(?:\s+source=\w+)?\s*-->$"), re.compile(r"<!--\s*llm-wiki:block=")
 _HEAD, _LIST, _QUOTE = re.compile(r"#{1,6}\s"), re.compile(r"\s*(?:[-*+]\s|\d+[.)、]\s)"), re.compile(r"\s*>")
 _HTML, _RULE = re.compile(r"\s*<(?:!--|[/A-Za-z])"), re.compile(r"\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$")
 

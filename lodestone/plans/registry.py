@@ -240,16 +240,16 @@ def section_search(spark, d):
     return search.section_search(asked, structure.sections(as_markdown(table(spark, d, "documents"))))
 
 
-@query("candidate_matches", _with(IDENTS, rf"""c AS (SELECT n_nationkey AS candidate_id, 'entity' AS wanted, n_name AS title FROM nation UNION ALL SELECT 1000 + p_partkey, 'concept', p_name FROM part WHERE p_partkey <= 20),
-    k AS (SELECT *, regexp_replace(lower(title), '[{SPACE}·・,，.。:：;；''"“”‘’()（）\[\]【】/_-]', '', 'g') AS identity, list_distinct(list_filter(regexp_split_to_array(lower(title), '[\s,，.。:：;；/|()（）\[\]【】_-]+'), lambda x: length(x) >= 2)) AS terms FROM c),
+@query("candidate_matches", _with(IDENTS, rf"""c AS (SELECT n_nationkey AS candidate_id, 'entity' AS wanted, n_name AS title, ' asia europe' AS more FROM nation UNION ALL SELECT 1000 + p_partkey, 'concept', p_name, '' FROM part),
+    k AS (SELECT *, regexp_replace(lower(title), '[{SPACE}·・,，.。:：;；''"“”‘’()（）\[\]【】/_-]', '', 'g') AS identity, list_distinct(list_filter(regexp_split_to_array(lower(title || more), '[\s,，.。:：;；/|()（）\[\]【】_-]+'), lambda x: length(x) >= 2)) AS terms FROM c),
     p AS (SELECT path, type, lower(title || ' ' || array_to_string(aliases, ' ') || ' ' || string_split(path, '/')[-1]) AS t, lower(array_to_string(tags, ' ')) AS g, lower(tldr) AS s FROM wiki WHERE type IN ('entity', 'concept', 'synthesis')),
     m AS (SELECT candidate_id, path, wanted = type AS same, EXISTS (SELECT 1 FROM idents i WHERE i.path = p.path AND i.identity = k.identity) AS exact,
         coalesce(list_sum(list_transform(terms, lambda x: CASE WHEN contains(t, x) THEN 12 ELSE 0 END + CASE WHEN contains(g, x) THEN 6 ELSE 0 END + CASE WHEN contains(s, x) THEN 4 ELSE 0 END)), 0) AS points FROM k, p),
     z AS (SELECT *, CAST(points + CASE WHEN exact THEN 100 ELSE 0 END + CASE WHEN same THEN 5 ELSE 0 END AS BIGINT) AS score FROM m)""",
     then="SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY exact DESC, score DESC, same DESC, path) AS INTEGER) AS rank, path, score, exact FROM z WHERE exact OR score > CASE WHEN same THEN 5 ELSE 0 END QUALIFY rank <= 3"))
 def candidate_matches(spark, d):
-    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("candidate_id"), F.lit("entity").alias("type"), F.col("n_name").alias("title"))
-    parts = table(spark, d, "part").where("p_partkey <= 20").select((F.col("p_partkey") + 1000).alias("candidate_id"), F.lit("concept").alias("type"), F.col("p_name").alias("title"))
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("candidate_id"), F.lit("entity").alias("type"), F.col("n_name").alias("title"), F.array(F.lit("asia"), F.lit("europe")).alias("queries"))
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 1000).alias("candidate_id"), F.lit("concept").alias("type"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("queries"))
     return search.candidate_matches(wanted.unionByName(parts), wiki_pages(spark, d))
 
 
@@ -337,14 +337,27 @@ def backlink_neighbors(spark, d):
     return graph.neighbours(wiki.select("path"), index.resolved_links(index.page_links(wiki), wiki), "backlinks", depth=1)
 
 
-@query("neighbor_routes", _with(LINKS, RESOLVED, _neighbour_sql("outgoing"), "r1 AS (SELECT n.start, n.path, 'outgoing: ' || n.start || ' > ' || n.path AS route FROM near n JOIN e ON e.a = n.start AND e.b = n.path), r2 AS (SELECT n.start, n.path, 'outgoing: ' || n.start || ' > ' || f.b || ' > ' || n.path AS route FROM near n JOIN e f ON f.a = n.start JOIN e g ON g.a = f.b AND g.b = n.path WHERE f.b <> n.path)",
-    then="SELECT start, path, hop, string_agg(route, '; ' ORDER BY route) AS routes FROM near JOIN (SELECT * FROM r1 UNION SELECT * FROM r2) USING (start, path) GROUP BY 1, 2, 3"))
+def _routes_sql(direction: str) -> str:
+    steps = {"outgoing": "SELECT a, b, 'outgoing' AS way FROM along", "both": "SELECT a, b, 'outgoing' AS way FROM along UNION ALL SELECT b, a, 'backlink' FROM along"}[direction]
+    return f"""steps AS ({steps}), r1 AS (SELECT n.start, n.path, s.way || ': ' || n.start || ' > ' || n.path AS route FROM near n JOIN steps s ON s.a = n.start AND s.b = n.path),
+    r2 AS (SELECT n.start, n.path, g.way || ': ' || n.start || ' > ' || f.b || ' > ' || n.path AS route FROM near n JOIN e f ON f.a = n.start JOIN steps g ON g.a = f.b AND g.b = n.path WHERE f.b <> n.path)"""
+
+
+@query("neighbor_routes", _with(LINKS, RESOLVED, _neighbour_sql("outgoing"), _routes_sql("outgoing"), then="SELECT start, path, hop, string_agg(route, '; ' ORDER BY route) AS routes FROM near JOIN (SELECT * FROM r1 UNION SELECT * FROM r2) USING (start, path) GROUP BY 1, 2, 3"))
 def neighbor_routes(spark, d):
     wiki = wiki_pages(spark, d)
     links = index.resolved_links(index.page_links(wiki), wiki)
     return graph.routes(wiki.select("path"), links, "outgoing").select("start", "path", "hop", F.array_join("routes", "; ").alias("routes"))
 
 
+@query("neighbor_routes_both", _with(LINKS, RESOLVED, _neighbour_sql("both"), _routes_sql("both"), then="SELECT start, path, hop, count(*) AS n_routes, sha256(string_agg(route, '; ' ORDER BY route)) AS routes FROM near JOIN (SELECT * FROM r1 UNION SELECT * FROM r2) USING (start, path) GROUP BY 1, 2, 3"))
+def neighbor_routes_both(spark, d):
+    wiki = wiki_pages(spark, d)
+    links = stored(index.resolved_links(index.page_links(wiki), wiki).select("from_path", "to_path"))
+    found = graph.routes(wiki.select("path"), links, "both")
+    return found.select("start", "path", "hop", F.size("routes").cast("long").alias("n_routes"), F.sha2(F.array_join("routes", "; "), 256).alias("routes"))
+
+
 @query("link_targets", _with(LINKS, then="SELECT from_path, ordinal, to_path, to_path IN (SELECT path FROM wiki) AS exists FROM links"))
 def link_targets(spark, d):
     wiki = wiki_pages(spark, d)
@@ -412,17 +425,24 @@ def intake_dedup(spark, d):
     return intake.intake(docs, spark.createDataFrame([], "hash string, source_id long"))
 
 
-CLEAN = r"regexp_replace(regexp_replace(regexp_replace(url, '^(?i)(https?://)[^/?#@]*@', '\\1'), '^([A-Za-z]+://[^/?#]+)([?#]|$)', '\\1/\\2'), '(?i)([?&][^=&#]*(?:token|key|signature|authorization|auth|credential|secret)[^=&#]*)(=[^&#]*)?', '\\1=%5BREDACTED%5D', 'g')".replace("\\\\", "\\")
+BARE = r"regexp_replace(regexp_replace(url, '^(?i)(https?://)[^/?#]*@', '\1'), '^([A-Za-z]+://[^/?#]+)([?#]|$)', '\1/\2')"
+SECRET = "list_transform(string_split(regexp_extract(b, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: CASE WHEN regexp_matches(url_decode(regexp_extract(p, '^[^=]*')), '(?i)(token|key|signature|authorization|auth|credential|secret)') THEN regexp_extract(p, '^[^=]*') || '=%5BREDACTED%5D' ELSE p END)"
 #: Addresses of pages with a query and, for every fifth, credentials; the names vary by page.
-NAMES = ["page", "X-Amz-Credential", "authorization", "lang", "token", "monkey", "sig"]
+NAMES = ["page", "X-Amz-Credential", "authorization", "lang", "%74oken", "monkey", "sig"]
+#: Every seventh address is one of a video host, or nearly.
+HOSTS = ["www.bilibili.com", "v.douyin.com", "notdouyin.com", "bilibili.com.example.org"]
 
 
-@query("url_hygiene", rf"""WITH u AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '://', '://me:pw@') ELSE url END || '?a=1&' || {NAMES}[page_id % 7 + 1] || '=v%20x' AS url FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://[^/?#]+') THEN {CLEAN} END AS url,
-    regexp_matches(url, '^(?i)https?://[^/?#@\s]+([/?#]|$)') AS acceptable, CASE WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#@\s]+([/?#]|$)') THEN 'rejected' ELSE 'web' END AS route FROM u""")
+@query("url_hygiene", rf"""WITH u AS (SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN regexp_replace(h, '://', '://me:p@w@') ELSE h END) || '?a=1&' || {NAMES}[page_id % 7 + 1] || '=v%20x' AS url
+        FROM (SELECT page_id, CASE WHEN page_id % 7 = 6 THEN regexp_replace(url, '://[^/?#]+', '://' || {HOSTS}[page_id // 7 % 4 + 1]) ELSE url END AS h FROM pages)),
+    c AS (SELECT *, {BARE} AS b, regexp_matches(url, '^(?i)https?://[^/?#@\s]+([/?#]|$)') AS ok FROM u)
+    SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://[^/?#]+') THEN CASE WHEN regexp_extract(b, '^[^?#]*\?([^#]*)', 1) = '' THEN b ELSE regexp_extract(b, '^[^?#]*\?') || array_to_string({SECRET}, '&') || regexp_extract(b, '#.*$') END END AS url, ok AS acceptable,
+    CASE WHEN NOT ok THEN 'rejected' WHEN page_id % 7 = 6 AND page_id // 7 % 4 < 2 THEN 'video' ELSE 'web' END AS route FROM c""")
 def url_hygiene(spark, d):
     k = F.col("page_id")
-    url = F.when(k % 5 == 0, F.regexp_replace("url", "://", "://me:pw@")).otherwise(F.col("url"))
+    host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.floor(k / 7) % 4 + 1).cast("int"))
+    url = F.when(k % 7 == 6, F.regexp_replace(F.col("url"), F.lit("://[^/?#]+"), F.concat(F.lit("://"), host))).otherwise(F.col("url"))
+    url = F.when(k % 5 == 0, F.regexp_replace(url, "://", "://me:p@w@")).otherwise(url)
     name = F.element_at(F.array(*map(F.lit, NAMES)), (k % 7 + 1).cast("int"))
     return intake.url_hygiene(table(spark, d, "pages").withColumn("url", F.concat(url, F.lit("?a=1&"), name, F.lit("=v%20x"))))
 

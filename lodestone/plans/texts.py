@@ -37,6 +37,19 @@ def public_addresses(spark, d):
     return rows.select("o_orderkey", "address", names.public_address(F.col("address")).alias("public"))
 
 
+#: IPv6 addresses in several spellings, and whether they are public.
+SIX = [("0:0:0:0:0:0:0:1", False), ("::1", False), ("::", False), ("0:0:0:0:0:ffff:a00:1", False), ("::ffff:8.8.8.8", False), ("2606:4700::{0}", True), ("FC00:0:0:0::{0}", False), ("fdff:{0}::", False), ("fe00::{0}", True), ("fe80::{0}%eth0", False),
+       ("febf:{0}::1", False), ("fec0::{0}", True), ("ff02::{0}", False), ("2001:db8:{0}::", False), ("2001:0DB8::1:{0}", False), ("2001:db9::{0}", True), ("64:ff9b::1.2.3.{0}", None), (":::{0}", False), ("face:", False), ("1:2:3:4:5:6:7:8:{0}", False), ("1:2:3:4:5:6:7::", True), ("1::2::{0}", False), ("12345::{0}", False), ("", False)]
+
+
+@query("public_addresses_v6", f"""SELECT o_orderkey, replace([{", ".join(repr(a) for a, _ in SIX)}][o_orderkey % {len(SIX)} + 1], '{{0}}', CAST(o_orderkey % 300 AS VARCHAR)) AS address,
+    coalesce([{", ".join("NULL" if p is None else str(p).lower() for _, p in SIX)}][o_orderkey % {len(SIX)} + 1], o_orderkey % 300 < 256) AS public FROM orders""")
+def public_addresses_v6(spark, d):
+    k = F.col("o_orderkey")
+    address = F.replace(F.element_at(F.array(*[F.lit(a) for a, _ in SIX]), (k % len(SIX) + 1).cast("int")), F.lit("{0}"), (k % 300).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", address.alias("address")).select("o_orderkey", "address", names.public_address(F.col("address")).alias("public"))
+
+
 @query("published_names", r"""WITH b AS (SELECT doc_id, text, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(nfc_normalize(substring(text, 1, 70)), '\.[^.]+$', ''), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')), '[\x00-\x1F<>:"/\\|?*]', '-', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g')) AS n FROM documents)
     SELECT doc_id, CASE WHEN n = '' THEN 'document' ELSE substring(n, 1, 100) END || '--' || substring(sha256(text), 1, 8) || CASE WHEN doc_id % 3 = 0 THEN '--r' || CAST(doc_id % 3 + 2 AS VARCHAR) ELSE '' END || '.md' AS name FROM b""")
 def published_names(spark, d):

@@ -15,8 +15,9 @@ VIDEO = ["mp4", "mov", "webm", "mkv", "avi"]
 MAX_DOCUMENT, MAX_MEDIA = 50 << 20, 500 << 20
 
 
-def detect(name: Column, content: Column) -> Column:
-    """kind, extension, mime and error of a file, from its first 64 bytes and its name."""
+def detect(name: Column, content: Column, caption_mime: str = "application/json") -> Column:
+    """kind, extension, mime and error of a file, from its first 64 bytes and its name. Caption
+    packages are JSON; `caption_mime` is the type that their store knows them by."""
     head = F.hex(F.substring(content, 1, 64))
     last = F.lower(F.element_at(F.split(name, r"\."), -1))
     at = lambda start, text: F.substring(head, 2 * start + 1, 2 * len(text)) == text.encode().hex().upper()
@@ -29,7 +30,7 @@ def detect(name: Column, content: Column) -> Column:
         .when(last == "pdf", failed("UNSUPPORTED_FORMAT"))
         .when(last.isin("md", "markdown"), found("markdown", "md", "text/markdown"))
         .when(last == "txt", found("text", "txt", "text/plain"))
-        .when(last == "bili-caption", found("video", "bili-caption", "application/vnd.t-wiki.bilibili-caption+json"))
+        .when(last == "bili-caption", found("video", "bili-caption", caption_mime))
         .when(at(0, "RIFF") & at(8, "WAVE"), found("audio", "wav", "audio/wav"))
         .when(at(0, "RIFF") & at(8, "AVI "), found("video", "avi", "video/x-msvideo"))
         .when(at(0, "ID3") | head.rlike("^FF[EF]"), found("audio", "mp3", "audio/mpeg"))

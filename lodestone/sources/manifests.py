@@ -29,7 +29,7 @@ def upgraded(manifests: DataFrame) -> DataFrame:
     """Manifests in their present form: version 3, a kind, who acquired them, and a schema
     version for each revision's artifact."""
     revisions = F.transform("revisions", lambda r: r.withField("artifactSchemaVersion", F.coalesce(r["artifactSchemaVersion"], F.lit(1))))
-    kind = F.coalesce("kind", F.when(F.lower("name").endswith(".pdf"), "pdf").when(F.lower("name").rlike(r"\\.(md|markdown)$"), "markdown").when(F.lower("name").endswith(".txt"), "text").otherwise("unknown"))
+    kind = F.coalesce("kind", F.when(F.lower("name").endswith(".pdf"), "pdf").when(F.lower("name").rlike(r"\.(md|markdown)$"), "markdown").when(F.lower("name").endswith(".txt"), "text").otherwise("unknown"))
     return manifests.withColumns({"schemaVersion": F.lit(3), "kind": kind, "acquiredBy": F.coalesce("acquiredBy", F.lit("manual")), "revisions": revisions})
 
 

@@ -37,21 +37,25 @@ def session_stream(events: DataFrame, gap: str = "10 minutes", late: str = "1 ho
 
 
 def new_contents(documents: DataFrame, late: str = "1 day") -> DataFrame:
-    """Documents whose content hash was not seen within the horizon (needs a ts column)."""
-    hashed = documents.withColumn("hash", F.sha2("text", 256)).withWatermark("ts", late)
-    return hashed.dropDuplicatesWithinWatermark(["hash"])
+    """Documents whose content hash was not seen within the horizon (needs doc_id and ts). A
+    null text has no content and no hash; each document without text comes through."""
+    hash_ = F.sha2("text", 256)
+    hashed = documents.withColumns({"hash": hash_, "content_key": F.coalesce(hash_, F.concat(F.lit("none-"), F.col("doc_id").cast("string")))}).withWatermark("ts", late)
+    return hashed.dropDuplicatesWithinWatermark(["content_key"]).drop("content_key")
 
 
 def intake_batches(documents: DataFrame, table_path: str, checkpoint: str):
     """Writes the documents whose content the table does not hold yet, batch by batch.
 
     A batch writes its own folder and compares with the folders of other batches only, so a
-    batch that is replayed after a failure replaces what it wrote.
+    batch that is replayed after a failure replaces what it wrote. Only the column of hashes is
+    read of what is there. Null texts have no hash, are no duplicates and are all written.
     """
 
     def write(batch: DataFrame, number: int):
         spark = batch.sparkSession
-        fresh = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["hash"])
+        hashed = batch.withColumn("hash", F.sha2("text", 256))
+        fresh = hashed.where("hash IS NOT NULL").dropDuplicates(["hash"]).unionByName(hashed.where("hash IS NULL"))
         path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if files.exists(path):
@@ -83,27 +87,37 @@ def settled_files(listings: DataFrame) -> DataFrame:
     return rows.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime long", "size long, mtime long, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def index_updates(events: DataFrame, cards_path: str, checkpoint: str):
-    """Keeps a table of page links (from_path, to_path) up to date with a stream of file
-    events (seq, path, content; null content: deleted).
+def index_updates(events: DataFrame, table_path: str, checkpoint: str):
+    """Keeps a table of page links up to date with a stream of file events (seq, path, content;
+    null content: deleted); `current_links` reads it.
 
-    Each batch takes the last event of a path and replaces that page's links. Backlink counts
-    follow from the table, so no other page is touched. A batch that is replayed gives the
-    same table, since it starts from the version that the batch before left.
+    A batch takes the last event of each path and writes those pages' links alone, as a folder
+    of its own; what is there is neither read nor written again. A batch that is replayed
+    replaces its folder.
     """
 
     def write(batch: DataFrame, number: int):
-        spark = batch.sparkSession
-        last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "seq").alias("e")).select("path", F.col("e.content").alias("content"))
-        fresh = index.page_links(last.where("content IS NOT NULL")).select("from_path", "to_path")
-        if number > 0:
-            old = spark.read.parquet(f"{cards_path}/version={number - 1}")
-            fresh = old.join(last.select(T.page_key(F.col("path")).alias("from_path")), "from_path", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{cards_path}/version={number}")
+        last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "seq").alias("e"), F.max("seq").alias("seq")).select("path", "seq", F.col("e.content").alias("content"))
+        links = index.page_links(last.where("content IS NOT NULL")).groupBy("from_path").agg(F.array_sort(F.collect_set("to_path")).alias("links"))
+        rows = last.select(T.page_key(F.col("path")).alias("from_path"), "seq", F.col("content").isNull().alias("gone")).join(links, "from_path", "left")
+        rows.select("from_path", "seq", "gone", F.coalesce("links", F.array().cast("array<string>")).alias("links")).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def current_links(spark, table_path: str) -> DataFrame:
+    """from_path, to_path: the links of each page's last event in an `index_updates` table."""
+    last = spark.read.parquet(table_path).groupBy("from_path").agg(F.max_by(F.struct("gone", "links"), F.struct("batch", "seq")).alias("e"))
+    return last.where("NOT e.gone").select("from_path", F.explode("e.links").alias("to_path"))
+
+
+def compacted(spark, table_path: str, target: str) -> None:
+    """Writes an `index_updates` table anew with the last row of each page that is there, as
+    its batch -1, for a stream to go on with."""
+    last = spark.read.parquet(table_path).groupBy("from_path").agg(F.max_by(F.struct("seq", "gone", "links"), F.struct("batch", "seq")).alias("e"))
+    last.where("NOT e.gone").select("from_path", "e.*").write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def run_stream(events: DataFrame, keep: int = 50) -> DataFrame:
     """run_id, state, iterations, n_activities: snapshots of runs (run_id, seq, type,
     iteration, tool_call_id) as they go on; text events change nothing and the first event
@@ -117,7 +131,7 @@ def run_stream(events: DataFrame, keep: int = 50) -> DataFrame:
                 if row.type == "text" or status in media.ENDS.values():
                     continue
                 status = media.ENDS.get(row.type, "waiting" if row.type == "plan_ready" else status)
-                iterations = max(iterations, int(row.iteration or 0))
+                iterations = max(iterations, 0 if pd.isna(row.iteration) else int(row.iteration))
                 if row.type.startswith("tool_"):
                     held = [*held, str(row.tool_call_id)][-keep:]
         state.update((status, iterations, ",".join(held)))
