@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>\n"
-#: Characters of rendered turns that are encoded at once. A longer conversation is cut
-#: between turns, where a mark makes the encodings independent.
+#: Characters of rendered turns that the encoder takes at a time. It goes on behind a turn
+#: mark, where no token can reach over, so ids and offsets are those of encoding all at once.
 SPAN_CHARS = 1 << 20
 _MARKED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -35,15 +35,20 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<", "\\l")
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the first line end, so its own are escaped, too."""
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return _MARKED.sub(lambda m: "<" if m[1] == "l" else m[1], text)
+    return _MARKED.sub(lambda m: {"l": "<", "n": "\n"}.get(m[1], m[1]), text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the sorted spans of its assistant texts."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{TURN}{escape(role)}\n", escape(text)
+        head, body = f"{TURN}{escape_role(role)}\n", escape(text)
         parts += [head, body, END]
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
@@ -52,11 +57,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns that a formatted conversation was made of.
-
-    A role cannot hold a mark but may hold a line end; the role ends at the first one,
-    so line ends in roles are kept as the text's. Roles here have none.
-    """
+    """The turns that a formatted conversation was made of."""
     out = []
     for part in formatted.split(TURN)[1:]:
         role, _, text = part.removesuffix(END).partition("\n")
@@ -127,23 +128,28 @@ def _tokenizer(path: str):
 
 
 def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
-    """conv_id, part, formatted, ids and loss_mask (one flag per id), one row per
-    conversation, or per part of SPAN_CHARS of a conversation longer than that."""
+    """conv_id, formatted, ids and loss_mask (one flag per id), one row per conversation."""
 
     def run(batches):
         tokenizer = _tokenizer(tokenizer_path)
-        part = 0
+        texts, ids, masks = [], [], []
         for conv_id, turns, last in _conversations(batches):
             formatted, spans = render(turns)
             encoding = tokenizer.encode(formatted, add_special_tokens=False)
-            mask = align(np.array(encoding.offsets, np.int64).reshape(-1, 2), spans)
+            texts.append(formatted)
+            ids.append(np.array(encoding.ids, np.int32))
+            masks.append(align(np.array(encoding.offsets, np.int64).reshape(-1, 2), spans))
+            if not last:
+                continue
+            flat, mask = np.concatenate(ids), np.concatenate(masks)
+            ends = pa.array([0, len(flat)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv_id], pa.int64()), pa.array([part], pa.int32()), pa.array([formatted]), pa.array([encoding.ids], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.bool_()))],
-                names=["conv_id", "part", "formatted", "ids", "loss_mask"],
+                [pa.array([conv_id], pa.int64()), pa.array(["".join(texts)]), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(mask))],
+                names=["conv_id", "formatted", "ids", "loss_mask"],
             )
-            part = 0 if last else part + 1
+            texts, ids, masks = [], [], []
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, part int, formatted string, ids array<int>, loss_mask array<boolean>")
+    return _sorted(conversations).mapInArrow(run, "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>")
 
 
 def digest_conversations(conversations: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -217,6 +217,14 @@ def test_wavelet_and_segments():
             if most:
                 groups[tuple(x[i : i + most])].add(int(lower[b + i]))
     assert all(len(g) == 1 for g in groups.values())
+    # Long intervals: many equal contents, so places move over whole blocks of common prefixes.
+    same = np.tile(np.array([1, 2, 3, 4, 5, 0]), 300)
+    begin, sizes = np.arange(300) * 6, np.full(300, 5)
+    longest, lower = fmindex.FmIndex(same, 5).statistics(same, begin, sizes)
+    assert (longest.reshape(-1, 6) == [5, 4, 3, 2, 1, 0]).all() and len(set(lower.reshape(-1, 6)[:, 0])) == 1
+    big = np.random.default_rng(3).integers(1, 1 << 16, 200_000)
+    big[79::80] = 0
+    assert fmindex.FmIndex(big, 80).nbytes() < 5 * len(big)
     texts = ["q" * 50, None, "lorem ipsum " * 9000]  # longer than one slice
     s = repeats.Segments(repeats.Bytes(100), texts)
     assert s.runs[s.text == 2].sum() == len(texts[2]) - 99
@@ -426,7 +434,7 @@ def test_host_verdicts_against_brute_force(spark):
     assert all(r.kept == (not r.base_failed) for r in alone)
 
 
-def test_chat(spark):
+def test_chat(spark, monkeypatch):
     rows = [(1, 1, "assistant", "a\\l<|end|> é"), (1, 0, "user", None), (2, 0, "assistant", ""), (2, 1, "assistant", "x"), (2, 2, "assistant", "y"), (None, 0, None, "t"), (3, 0, "user", "<|turn|>assistant\n"), (3, 1, "assistant", "\\"), (3, 1, "assistant", "\\")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -441,6 +449,19 @@ def test_chat(spark):
     full = chat.format_conversations(table, path).where("conv_id = 1").first()
     assert chat.parse(full.formatted) == [("user", ""), ("assistant", "a\\l<|end|> é")] and len(full.ids) == len(full.loss_mask)
     assert chat.digest_conversations(table.where("false"), path).count() == 0
+    odd = [("user\nx", "a\nb"), ("assistant", "\\n<"), ("", "")]
+    assert chat.parse(chat.render(odd)[0]) == odd
+    clash = table.selectExpr("conv_id", "turn", "role", "text", "text AS formatted", "1 AS ids", "2 AS loss_mask", "'x' AS n_turns")
+    assert chat.digest_conversations(clash, path).count() == 4
+    # Cut at every turn mark or not at all: the ids, masks and texts are those of one encoding.
+    whole = {r.conv_id: r for r in chat.format_conversations(table, path).collect()}
+    monkeypatch.setattr(chat, "SPAN_CHARS", 1)
+    cut = {r.conv_id: r for r in chat.format_conversations(table, path).collect()}
+    assert cut == whole and len(cut) == 4
+    monkeypatch.undo()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    assert all(tokenizer.encode(r.formatted, add_special_tokens=False).ids == list(r.ids) for r in whole.values())
     big = spark.createDataFrame([(9, i, "assistant", "z" * 1000) for i in range(1500)], "conv_id long, turn long, role string, text string")
     assert chat.digest_conversations(big, path).first().loss_chars == 1_500_000
 
