@@ -106,16 +106,16 @@ def swap_counts(texts: DataFrame) -> DataFrame:
     return map_texts(texts, ["text"], "gone int, new int, n long", make).groupBy("gone", "new").agg(F.sum("n").alias("n"))
 
 
-def telling_words(rows: DataFrame, good: int, bad: int, features: int = 5_000, min_rows: int = 4, least_z: float = 4.0) -> DataFrame:
+def telling_words(rows: DataFrame, good: int, bad: int, min_rows: int = 4, least_z: float = 4.0) -> DataFrame:
     """word: those whose rates under both labels (`good` and `bad` rows) differ by `least_z`
-    standard errors or more, most certain first, at most `features`."""
+    standard errors or more, as many as the sampled rows have."""
     n = good + bad
     hits = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("hits"), F.sum("toxic").alias("toxic"))
     share = F.col("hits") / n
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / bad + 1 / good))
     certainty = F.abs(F.col("toxic") / bad - (F.col("hits") - F.col("toxic")) / good) / error
     told = hits.where(F.col("hits") >= min(min_rows, max(1, n // 50))).withColumn("certainty", certainty)
-    return told.where(F.col("certainty") >= min(least_z, n**0.5 / 2)).orderBy(F.desc("certainty"), "word").limit(features).select("word")
+    return told.where(F.col("certainty") >= min(least_z, n**0.5 / 2)).select("word")
 
 
 class Model(dict):
@@ -164,15 +164,15 @@ def fit(rows: list[tuple[int, list[int]]], vocabulary: list[int], swapped: list[
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, features: int = 5_000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, **options) -> Model:
     """The model of a bounded sample of labelled rows; `options` go to `fit`."""
     texts = training_texts(docs, labels, sample_rows)
     rows = stored(word_rows(texts))
     sizes = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return fit([], [], [])
-    vocabulary = [r["word"] for r in telling_words(rows, sizes[False], sizes[True], features).collect()]
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))  # at most `features` words
+    vocabulary = [r["word"] for r in telling_words(rows, sizes[False], sizes[True]).collect()]
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))  # words of sample_rows rows
 
     def cut(batches):
         for batch in batches:
