@@ -1,9 +1,11 @@
 """Substring dedup by a compressed FM-index per shard.
 
 A shard's distinct contents are joined, each behind a separator, and indexed: the
-Burrows-Wheeler transform in a wavelet tree (a few packed bits a word, with counts per 64
-bits) and the lengths of common prefixes of neighbouring suffixes in a byte or two each.
-The suffix array that these are made from is dropped.
+Burrows-Wheeler transform in a wavelet tree (a few packed bits a word; counts are 16 bits
+per 64, on top of one full count per 65,536), and the lengths of common prefixes of
+neighbouring suffixes in a byte each, or four where contents are longer than 255 words, with
+their minima per 32. That is under five bytes a word for 65,536 different words; the suffix
+array that these are made from is dropped.
 
 Contents are then streamed against the index, each once from right to left: a backward
 search step extends the match by the word before it; where fewer than two places are left
@@ -21,27 +23,39 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm import repeats
 
+#: Common prefixes whose least is kept together.
+BLOCK = 32
+
 
 class WaveletTree:
     """Rank over an integer sequence: one packed bit vector per level (level order)."""
 
+    #: A full count for each 2^SPAN words of 64 bits, whose own counts fit 16 bits.
+    SPAN = 10
+
     def __init__(self, values: np.ndarray, bits: int):
         self.bits, self.n = bits, len(values)
-        self.words, self.ranks, self.zeros = [], [], []
+        self.words, self.base, self.ranks, self.zeros = [], [], [], []
         for level in range(bits - 1, -1, -1):
             bit = ((values >> level) & 1).astype(bool)
             padded = np.zeros((self.n // 64 + 1) * 64, bool)
             padded[: self.n] = bit
             words = np.packbits(padded, bitorder="little").view("<u8")
+            before = np.r_[0, np.cumsum(np.bitwise_count(words).astype(np.int64))]
+            base = before[:: 1 << self.SPAN]
             self.words.append(words)
-            self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words).astype(np.int64))])
+            self.base.append(base)
+            self.ranks.append((before - np.repeat(base, 1 << self.SPAN)[: len(before)]).astype(np.uint16))
             self.zeros.append(int(self.n - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ranks[level][word] + np.bitwise_count(self.words[level][word] & mask)
+        return self.base[level][word >> self.SPAN] + self.ranks[level][word] + np.bitwise_count(self.words[level][word] & mask)
+
+    def nbytes(self) -> int:
+        return sum(a.nbytes for part in (self.words, self.base, self.ranks) for a in part)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each symbol before `start` and before `at`."""
@@ -99,33 +113,60 @@ class FmIndex:
                 break
             common[same] += 1
         self.common = common
-        # least[j][i]: the least of common[i .. i + 2^j - 1]
-        self.least = [common]
-        while 2 << (len(self.least) - 1) <= self.n + 1:
+        # least[j][i]: the least common prefix in blocks i .. i + 2^j - 1
+        padded = np.zeros(-(-len(common) // BLOCK) * BLOCK, kind)
+        padded[: len(common)] = common
+        self.least = [padded.reshape(-1, BLOCK).min(axis=1)]
+        while 2 << (len(self.least) - 1) <= len(self.least[0]):
             half = 1 << (len(self.least) - 1)
             self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
 
+    def nbytes(self) -> int:
+        return self.tree.nbytes() + self.common.nbytes + self.first.nbytes + sum(a.nbytes for a in self.least)
+
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the matches with a symbol put before them."""
         a, b = self.tree.rank(symbol, high, low)
         return self.first[symbol] + a, self.first[symbol] + b
 
+    def _reach(self, at: np.ndarray, length: np.ndarray, step: int) -> np.ndarray:
+        """Moves each place by `step` (1 or -1) while its common prefix has `length` (1 or
+        more): word by word within its block, over whole blocks by their minima, and word by
+        word in the block that it ends in."""
+        at, last = at.copy(), BLOCK - 1 if step < 0 else 0
+
+        def walk(live, over):
+            """Word by word; with `over`, those that come to the next block, which are left there."""
+            out = []
+            while len(live):
+                at[live] += step
+                live = live[self.common[at[live]] >= length[live]]
+                if over:
+                    edge = at[live] % BLOCK == last
+                    out.append(live[edge])
+                    live = live[~edge]
+            return np.concatenate(out) if out else live
+
+        far = walk(np.flatnonzero(self.common[at] >= length), True)
+        if len(far):
+            block, need = at[far] // BLOCK, length[far]
+            for j in range(len(self.least) - 1, -1, -1):
+                table, jump = self.least[j], 1 << j
+                start = block - jump + 1 if step < 0 else block
+                on = (start >= 0) & (start < len(table)) & (table[np.clip(start, 0, len(table) - 1)] >= need)
+                block = np.where(on, block + step * jump, block)
+            at[far] = block * BLOCK + last
+            walk(far[self.common[at[far]] >= need], False)
+        return at
+
     def widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of all suffixes that share `length` symbols with these."""
-        low, high = low.copy(), high.copy()
-        for j in range(len(self.least) - 1, -1, -1):
-            step, table = 1 << j, self.least[j]
-            down = low - step + 1
-            down_on = (down >= 0) & (table[np.maximum(down, 0)] >= length)
-            low = np.where(down_on, low - step, low)
-            up_on = (high < len(table)) & (table[np.minimum(high, len(table) - 1)] >= length)
-            high = np.where(up_on, high + step, high)
-        return low, high
+        """The intervals of all suffixes that share `length` symbols (1 or more) with these."""
+        return self._reach(low, length, -1), self._reach(high, length, 1)
 
     def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, with the lengths of their matches."""
         length = np.maximum(self.common[low], self.common[high]).astype(np.int64)
-        low, high = self.widen(low, high, length)
+        low, high = self.widen(low, high, np.maximum(length, 1))
         return np.where(length > 0, low, 0), np.where(length > 0, high, self.n), length
 
     def statistics(self, values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
