@@ -4,7 +4,8 @@ A shard's distinct contents are joined, each behind a separator, and indexed: th
 Burrows-Wheeler transform in a wavelet tree (a few packed bits a word; counts are 16 bits
 per 64, on top of one full count per 65,536), and the lengths of common prefixes of
 neighbouring suffixes in a byte each, or four where contents are longer than 255 words, with
-their minima per 32. That is under five bytes a word for 65,536 different words; the suffix
+their minima per 32: under five bytes a word where there are 65,536 different ones, beside a
+count for each of these. The suffix
 array that these are made from is dropped.
 
 Contents are then streamed against the index, each once from right to left: a backward
