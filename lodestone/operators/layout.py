@@ -101,9 +101,9 @@ def without_margins(found: DataFrame, ratio: float = 0.6) -> DataFrame:
     return judged.where(~(repeated & (F.col("top") | F.col("bottom")))).select(found.columns)
 
 
-def reading_order(found: DataFrame, page_width: float) -> DataFrame:
-    """doc_id, page, line_no (from 1), text, two_columns, level: columns are read left
-    then right between spanning lines; level is the heading level, 0 for text."""
+def reading_order(found: DataFrame, page_width: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page, line_no (from 1), text, two_columns, level, then `keep`: columns are read
+    left then right between spanning lines; level is the heading level, 0 for text."""
     centre = page_width / 2
     side = F.when(F.col("max_x") < centre * 1.05, 0).when(F.col("x") > centre * 0.95, 1).otherwise(2)
     page = Window.partitionBy(*PAGE)
@@ -119,4 +119,61 @@ def reading_order(found: DataFrame, page_width: float) -> DataFrame:
         .when((F.col("font_size") >= 1.35 * F.col("usual")) | F.col("text").rlike(CHAPTER), 2).otherwise(0)
     )
     order = page.orderBy(flat, F.desc("y"), "x")
-    return judged.select(*PAGE, F.row_number().over(order).alias("line_no"), "text", "two_columns", level.alias("level"))
+    return judged.select(*PAGE, F.row_number().over(order).alias("line_no"), "text", "two_columns", level.alias("level"), *keep)
+
+
+#: Pages and items of text that a document may have; what a list line begins with and a sentence ends with.
+MAX_PAGES, MAX_ITEMS = 1000, 2_000_000
+BULLET, NUMBER, SENTENCE_END = r"^\s*(?:[•●▪◦‣]|[-*+]|\d+[.)、])\s*", r"^\s*\d+[.)、]", r"[。！？.!?；;：:]$"
+#: Fixed value: a gap of more than this share of the larger type parts two paragraphs.
+GAP = 1.65
+
+
+def over_caps(items: DataFrame, pages: int = MAX_PAGES, most: int = MAX_ITEMS) -> DataFrame:
+    """doc_id, code: documents with too many pages (PAGE_LIMIT) or, if not, items (ITEM_LIMIT)."""
+    sizes = items.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("n"))
+    code = F.when(F.col("pages") > pages, "PAGE_LIMIT").when(F.col("n") > most, "ITEM_LIMIT")
+    return sizes.select("doc_id", code.alias("code")).where("code IS NOT NULL")
+
+
+def within_caps(items: DataFrame, pages: int = MAX_PAGES, most: int = MAX_ITEMS) -> DataFrame:
+    """Items of documents that are not over the caps, so that no window meets more."""
+    return items.join(over_caps(items, pages, most).select("doc_id"), "doc_id", "left_anti")
+
+
+def blocks(ordered: DataFrame) -> DataFrame:
+    """doc_id, page, block (from 1), kind (heading, list or text), markdown of lines in reading
+    order (with y, font_size and, where there is one, forced_break).
+
+    Headings and list lines are blocks of their own. Lines of text go on as one paragraph
+    until the next line on the page, of any kind, is far away; one that ends a sentence at a
+    forced break ends the paragraph, too. Lines are joined by a space where a letter or digit
+    meets another.
+    """
+    page = Window.partitionBy(*PAGE).orderBy("line_no")
+    listed = F.col("text").rlike(BULLET)
+    kind = F.when(F.col("level") > 0, "heading").when(listed, "list").otherwise("text")
+    gap = F.abs(F.col("y") - F.lead("y").over(page)) > F.greatest("font_size", F.lead("font_size").over(page)) * GAP
+    ends = F.coalesce(gap, F.lit(True))
+    if "forced_break" in ordered.columns:
+        ends = ends | (F.coalesce("forced_break", F.lit(False)) & F.col("text").rlike(SENTENCE_END))
+    rows = ordered.withColumns({"kind": kind, "ends": ends})
+    before = F.lag(F.struct("kind", "ends", "text")).over(page)
+    rows = rows.withColumn("before", before)
+    follows = F.coalesce((F.col("kind") == "text") & (F.col("before.kind") == "text") & ~F.col("before.ends"), F.lit(False))
+    rows = rows.withColumn("block", F.sum((~follows).cast("int")).over(page).cast("int"))
+    glue = F.when(follows & F.col("before.text").rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]"), " ").otherwise("")
+    bare = F.regexp_replace("text", BULLET, "")
+    part = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(F.col("kind") == "list", F.concat(F.when(F.col("text").rlike(NUMBER), "1. ").otherwise("- "), bare)).otherwise(F.concat(glue, "text"))
+    parts = rows.select(*PAGE, "block", "kind", "line_no", part.alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy(*PAGE, "block").agg(F.first("kind").alias("kind"), F.trim(text).alias("markdown"))
+
+
+def page_markdown(found: DataFrame) -> DataFrame:
+    """doc_id, page, markdown of blocks: a blank line between, none between two list lines."""
+    page = Window.partitionBy(*PAGE).orderBy("block")
+    tight = (F.col("kind") == "list") & F.coalesce(F.lead("kind").over(page) == "list", F.lit(False))
+    rows = found.withColumn("part", F.concat("markdown", F.when(tight, "\n").otherwise("\n\n")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "")
+    return rows.groupBy(*PAGE).agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("markdown"))

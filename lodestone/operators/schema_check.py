@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.json_text import strict_json
 from lodestone.storage import stored
 
 RULE = (
@@ -105,13 +106,13 @@ def _violations() -> Column:
 def violations(rows: DataFrame, schema: dict, root: str = "input") -> DataFrame:
     """id, path, code of what is wrong with rows (id, json) by a schema.
 
-    A text that is no JSON has the one violation invalid_json; a null text is one, too. Rows
+    A text that isn't one JSON value has the one violation invalid_json; a null text is one, too. Rows
     that are repeated are judged each time; an empty table gives no rows. Of two values of one
     key in an object, the text is invalid.
     """
     spark = rows.sparkSession
     table = F.broadcast(spark.createDataFrame(rules(schema), RULE))
-    parsed = stored(rows.select("id", F.lit(root).alias("path"), F.try_parse_json("json").alias("v")))
+    parsed = stored(rows.select("id", F.lit(root).alias("path"), strict_json(F.col("json")).alias("v")))
     found = [parsed.where("v IS NULL").select("id", "path", F.lit("invalid_json").alias("code"))]
     level = parsed.where("v IS NOT NULL").withColumn("rule", F.lit(0))
     for at in range(depth(schema)):

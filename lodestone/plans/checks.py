@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import decoding
+from lodestone.functions import decoding, json_text
 from lodestone.operators import artifacts, candidates, pages, schema_check
 from lodestone.plans.register import query
 from lodestone.sources import captions, inbox
@@ -62,6 +62,21 @@ def nested_violations(spark, d):
     return schema_check.violations(rows.select(key.alias("id"), json.alias("json")), ORDER_SCHEMA)
 
 
+@query("json_objects", """WITH o AS (SELECT o_orderkey AS k, '{"k": ' || o_orderkey || ', "t": "a }{ \\" ' || o_orderpriority || '", "n": {"x": []}}' AS j FROM orders)
+    SELECT k, CASE WHEN k % 6 IN (4, 5) THEN NULL ELSE k END AS found, CASE k % 6 WHEN 0 THEN 'fenced' WHEN 1 THEN 'braces' WHEN 2 THEN 'balanced' WHEN 3 THEN 'balanced' END AS source, CASE WHEN k % 6 IN (4, 5) THEN NULL WHEN k % 6 = 0 THEN sha256(j || chr(10)) ELSE sha256(j) END AS hash FROM o""")
+def json_objects(spark, d):
+    """Orders as objects in texts: fenced, with words around, with braces behind, behind a
+    fence of something else, cut off, or none."""
+    k = F.col("o_orderkey")
+    j = F.concat(F.lit('{"k": '), k.cast("string"), F.lit(', "t": "a }{ \\" '), "o_orderpriority", F.lit('", "n": {"x": []}}'))
+    text = (
+        F.when(k % 6 == 0, F.concat(F.lit("Here:\n```JSON\n"), j, F.lit("\n```\n{}"))).when(k % 6 == 1, F.concat(F.lit("It is "), j, F.lit(" so."))).when(k % 6 == 2, F.concat(F.lit("First "), j, F.lit(" then {that}.")))
+        .when(k % 6 == 3, F.concat(F.lit("```\ncode\n``` "), j)).when(k % 6 == 4, F.concat(F.lit("cut "), F.substring(j, 1, 12))).otherwise("nothing")
+    )
+    rows = table(spark, d, "orders").select(k.alias("k"), json_text.json_object(text).alias("j"))
+    return rows.select("k", F.try_variant_get(F.try_parse_json("j.json"), "$.k", "long").alias("found"), "j.source", F.sha2("j.json", 256).alias("hash"))
+
+
 def _caption_files(spark, d) -> DataFrame:
     """Conversations as caption packages, a segment a turn; blank ones, times that are no
     numbers, and files that are no package come by the ids."""

@@ -29,6 +29,39 @@ def layout_lines(spark, d):
     return layout.reading_order(layout.without_margins(layout.lines(layout.items_of(table(spark, d, "documents")))), 640.0)
 
 
+BLOCKS = LAYOUT[: LAYOUT.rindex("SELECT doc_id, CAST(page")].rstrip() + r""",
+    o AS (SELECT doc_id, page, text, font, CASE WHEN k < 0 THEN 830 ELSE 800 - 14 * k END AS y, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two_columns THEN band ELSE 0 END, CASE WHEN two_columns THEN side ELSE 0 END, k) AS n,
+        CASE WHEN length(text) > 100 THEN 0 WHEN font >= 1.7 * usual THEN 1 WHEN font >= 1.35 * usual THEN 2 ELSE 0 END AS level, regexp_matches(text, '^\s*(?:[•●▪◦‣]|[-*+]|\d+[.)、])\s*') AS listed FROM q),
+    e AS (SELECT *, CASE WHEN level > 0 THEN 'heading' WHEN listed THEN 'list' ELSE 'text' END AS kind, coalesce(abs(y - lead(y) OVER w) > 1.65 * greatest(font, lead(font) OVER w), true) AS ends FROM o WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)),
+    f AS (SELECT *, coalesce(kind = 'text' AND lag(kind) OVER w = 'text' AND NOT lag(ends) OVER w, false) AS follows, lag(text) OVER w AS last FROM e WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)),
+    g AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY n) AS block FROM f),
+    blocks AS (SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(block AS INTEGER) AS block, first(kind) AS kind, trim(string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text
+        WHEN 'list' THEN CASE WHEN regexp_matches(text, '^\s*\d+[.)、]') THEN '1. ' ELSE '- ' END || regexp_replace(text, '^\s*(?:[•●▪◦‣]|[-*+]|\d+[.)、])\s*', '')
+        ELSE CASE WHEN follows AND regexp_matches(last, '[A-Za-z0-9]$') AND regexp_matches(text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || text END, '' ORDER BY n)) AS markdown FROM g GROUP BY doc_id, page, block)"""
+
+
+def _blocks(spark, d) -> DataFrame:
+    items = layout.within_caps(layout.items_of(table(spark, d, "documents")))
+    return layout.blocks(layout.reading_order(layout.without_margins(layout.lines(items)), 640.0, ("y", "font_size")))
+
+
+@query("layout_blocks", BLOCKS + " SELECT * FROM blocks")
+def layout_blocks(spark, d):
+    return _blocks(spark, d)
+
+
+@query("page_markdown", BLOCKS + r""", t AS (SELECT *, kind = 'list' AND lead(kind) OVER (PARTITION BY doc_id, page ORDER BY block) = 'list' AS tight FROM blocks)
+    SELECT doc_id, page, sha256(regexp_replace(string_agg(markdown || CASE WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY block), '^\s+|\s+$', '', 'g')) AS hash FROM t GROUP BY 1, 2""")
+def page_markdown(spark, d):
+    return layout.page_markdown(_blocks(spark, d)).select("doc_id", "page", F.sha2("markdown", 256).alias("hash"))
+
+
+@query("layout_rejects", """WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)
+    SELECT doc_id, CASE WHEN (n + 239) // 240 > 4 THEN 'PAGE_LIMIT' ELSE 'ITEM_LIMIT' END AS code FROM n WHERE n > 960 OR n + (n + 239) // 240 > 500""")
+def layout_rejects(spark, d):
+    return layout.over_caps(layout.items_of(table(spark, d, "documents")), pages=4, most=500)
+
+
 def _transcripts(spark, d) -> tuple[DataFrame, DataFrame]:
     """Conversations as transcribed chunks of three turns; each chunk begins with the end
     of the one before, and every fourth medium has no times."""

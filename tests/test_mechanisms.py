@@ -9,9 +9,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import decoding, names, text
-from lodestone.operators import artifacts, candidates, changes, graph, pages, ranking, schema_check, structure
-from lodestone.sources import captions, inbox, manifests
+from lodestone.functions import decoding, json_text, names, text
+from lodestone.operators import artifacts, candidates, changes, graph, layout, pages, ranking, schema_check, structure
+from lodestone.sources import captions, inbox, manifests, published
 from lodestone.streaming import checkpoints, streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -254,3 +254,34 @@ def test_streams_with_nulls(spark, tmp_path):
     assert [tuple(r) for r in streams.current_links(spark, table).collect()] == [("wiki/a", "wiki/d")]
     streams.compacted(spark, table, str(tmp_path / "compact"))
     assert [tuple(r) for r in streams.current_links(spark, str(tmp_path / "compact")).collect()] == [("wiki/a", "wiki/d")]
+
+
+def test_json_in_text(spark):
+    texts = ['x {"a":1} y', '```json\n{"a":2}\n```', 'say {"a":"}{\\"x"} and {b} end', '{"a": {"b": "c\\\\"}} } tail', "none", '{"a":1', '} {"q":1}', None, '```\nnope\n``` {"z":1}', '{"a":1} {"b":2}']
+    found = each(spark, json_text.json_object, texts)
+    assert [x and (x.json.strip(), x.source) for x in found] == [
+        ('{"a":1}', "braces"), ('{"a":2}', "fenced"), ('{"a":"}{\\"x"}', "balanced"), ('{"a": {"b": "c\\\\"}}', "balanced"), None, None, ('{"q":1}', "braces"), None, ('{"z":1}', "balanced"), ('{"a":1}', "balanced")]
+    assert each(spark, lambda x: json_text.strict_json(x).isNotNull(), ["1", "1 2", "1,2", "[1] x", '{"a":[]}', "", "null"]) == [True, False, False, False, True, False, True]
+
+
+def test_published_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert published.current(spark, path) is None and published.published(spark, path) is None
+    published.publish(spark.range(3), {"revision": "a"}, path, "one")
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        published.publish(broken, {"revision": "b"}, path, "two")
+    data, metadata = published.published(spark, path)
+    assert data.count() == 3 and metadata == {"revision": "a"}
+    published.publish(spark.range(7), {"revision": "c"}, path, "three")
+    data, metadata = published.published(spark, path)
+    assert data.count() == 7 and metadata == {"revision": "c"} and published.superseded(spark, path) == ["one", "two"]
+
+
+def test_layout_blocks(spark):
+    lines = [("Title", 800, 20, 1, False), ("one", 790, 10, 0, False), ("two", 778, 10, 0, False), ("三", 766, 10, 0, False), ("far", 740, 10, 0, False), ("end.", 728, 10, 0, True), ("next", 716, 10, 0, False), ("- a", 704, 10, 0, False), ("2) b", 692, 10, 0, False), ("tail", 680, 10, 0, False)]
+    rows = [(1, 1, i, t, False, level, float(y), float(f), forced) for i, (t, y, f, level, forced) in enumerate(lines, 1)]
+    ordered = spark.createDataFrame(rows, "doc_id int, page int, line_no int, text string, two_columns boolean, level int, y double, font_size double, forced_break boolean")
+    found = layout.blocks(ordered)
+    assert [(r.kind, r.markdown) for r in found.orderBy("block").collect()] == [("heading", "# Title"), ("text", "one two三"), ("text", "far" " " "end."), ("text", "next"), ("list", "- a"), ("list", "1. b"), ("text", "tail")]
+    assert layout.page_markdown(found).first().markdown == "# Title\n\none two三\n\nfar end.\n\nnext\n\n- a\n1. b\n\ntail"
