@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import changes, graph, index, pages, search, structure, timeline
-from lodestone.plans import checks, reports, texts  # noqa: F401  they register their queries
+from lodestone.plans import checks, ingests, reports, texts  # noqa: F401  they register their queries
 from lodestone.plans.register import QUERIES, SQL, query  # noqa: F401
 from lodestone.sources import intake
 from lodestone.sources.derived import DUCK_PAGES, EVENT_PHASES, as_markdown, progress_events, segments_of, table, wiki_files, wiki_pages
