@@ -2,10 +2,9 @@
 
 The work is that of `shinglesets`: equal sets are one row, rows meet in blocks of the
 columns that two linked sets must share, and overlaps are counted over all columns of the
-entries that remain. Here the bits of a row are the parities of its shingles in 64 * WORDS
-classes of columns. Two sets differ in one shingle at least for each class whose parities
-differ, so a pair with more differing bits than its sizes allow cannot link: the bound loses
-no link, and the result is exact.
+entries that remain. Here the bits of a row are the parities of its shingles alone: a pair
+with more differing ones than its sizes allow cannot link, so the bound loses no link, and
+the result is exact.
 
 Words are maximal runs other than ASCII white space, only A-Z are lower-cased, and shingles
 are told apart by 64-bit hashes. A text of fewer words than a shingle is one shingle; null
@@ -16,29 +15,18 @@ nothing else does. An empty table gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrowtools import map_texts, stored
-from lodestone.llm.shinglesets import SLACK, Bounds, connected, set_key, shingles
-
-#: Words of 64 bits in a row's parities.
-WORDS = 8
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """For each class of columns, whether the set has an odd number of them."""
-    count = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS)
-    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+from lodestone.llm.shinglesets import PARITY_WORDS, Bounds, connected, most_different, parities, set_key, shingles
 
 
 def bounds(similarity: float) -> Bounds:
-    """Two sets of sizes a and b that link have at most (1 - s) / (1 + s) * (a + b) shingles
-    that only one of them has."""
-    share = (1 - similarity) / (1 + similarity)
-    return Bounds(WORDS, parities, lambda a, b: share * (a.astype(np.int64) + b) + SLACK, lambda a, b: share * (a.astype(np.int64) + b) / 2)
+    """Parities alone; a pair of half the difference that is allowed is taken for close."""
+    most = most_different(similarity)
+    return Bounds(PARITY_WORDS, parities, most, lambda a, b: most(a, b) / 2)
 
 
 def joined(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 16_384) -> DataFrame:

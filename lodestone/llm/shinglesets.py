@@ -8,8 +8,9 @@ where an entry can reach the similarity:
    open and EXTRA of it more. Only columns that recur among these are multiplied, and only of
    rows that have enough of them to link with anything.
 2. Bounds. In a block, entries are met diagonal by diagonal over rows sorted by size. They
-   are discarded where the sizes differ too much, or where the rows' bits (a short image of
-   each set) differ in more places than the caller's `Bounds` allow for these sizes.
+   are discarded where the sizes differ too much, where the parities of the rows' columns
+   show that the sets do, or where other bits, a short image of each set, differ in more places
+   than the caller's `Bounds` allow for these sizes.
 3. Counts. Overlaps of the entries that remain are accumulated over all columns of the two
    sets, a row of the block at a time, so no false link is made.
 
@@ -48,16 +49,41 @@ HELD, LARGE = 1 << 18, 64
 SLAB_BYTES = 4 << 20
 
 
+#: Words of 64 bits in a set's parities.
+PARITY_WORDS = 8
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each class of columns, whether the set has an odd number of them. Two sets differ in
+    one shingle at least for each class whose parities differ."""
+    count = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_different(similarity: float) -> Callable:
+    """(sizes, sizes) -> how many shingles two sets of this similarity have that only one of them has."""
+    share = (1 - similarity) / (1 + similarity)
+    return lambda a, b: share * (a.astype(np.int64) + b) + SLACK
+
+
 class Bounds(NamedTuple):
     """What two sets' bits may differ by: `image` makes the bits of a set's hashes, `most`
     (sizes, sizes) gives the greatest difference that is looked at, and `close` the one that
-    is taken for a link before it is counted. `words` is the number of 64-bit words."""
+    is taken for a link before it is counted. The first of the `words` words of 64 bits are the
+    set's parities, which `most_different` bounds; `most` and `close` are about the others, or
+    about the parities where there are no others."""
 
     words: int
     image: Callable
     most: Callable
     close: Callable
 
+    def apart(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differing parities, and differing bits that `most` is about, of rows of bits."""
+        differ = np.bitwise_count(x ^ y)
+        odd = differ[:, :PARITY_WORDS].sum(axis=1, dtype=np.int64)
+        return odd, differ[:, PARITY_WORDS:].sum(axis=1, dtype=np.int64) if self.words > PARITY_WORDS else odd
+
 
 class Sets:
     """Disjoint sets over 0..n-1, united many pairs at a time; a set's root is its least member."""
@@ -143,7 +169,7 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
     order = np.lexsort((node, size, value))
     value, node, size, bits = value[order], node[order], size[order], bits[order]
     side = None if side is None else side[order]
-    sets, out = Sets(int(node.max(initial=-1)) + 1), []
+    sets, out, differ = Sets(int(node.max(initial=-1)) + 1), [], most_different(similarity)
     heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
     group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(value))))
 
@@ -161,8 +187,8 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
             pick = pick[sets.root(node[pick]) != sets.root(node[pick + d])]
             for i in range(0, len(pick), SLAB):
                 x = pick[i : i + SLAB]
-                far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1, dtype=np.int64)
-                fits = far <= bounds.most(size[x], size[x + d])
+                odd, far = bounds.apart(bits[x], bits[x + d])
+                fits = (odd <= differ(size[x], size[x + d])) & (far <= bounds.most(size[x], size[x + d]))
                 take(x[fits], x[fits] + d, far[fits])
             d += 1
 
@@ -199,8 +225,9 @@ def candidates(value, node, size, bits, side, similarity: float, bounds: Bounds,
             few, many = sorted((one, two), key=len)
             for x in few.tolist():
                 y = many[(node[many] != node[x]) & (np.minimum(size[many], size[x]) >= similarity * np.maximum(size[many], size[x]) - SLACK)]
-                far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                fits = far <= bounds.most(np.full(len(y), size[x]), size[y])
+                odd, far = bounds.apart(bits[y], bits[x])
+                own = np.full(len(y), size[x])
+                fits = (odd <= differ(own, size[y])) & (far <= bounds.most(own, size[y]))
                 chosen.append((np.full(np.count_nonzero(fits), x), y[fits]))
         short = ~long[group]
     else:

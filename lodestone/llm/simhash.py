@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import anchors
 from lodestone.llm.arrowtools import map_texts, stored
 from lodestone.llm.components import components
-from lodestone.llm.shinglesets import NO_ID, Bounds, Sets, connected
+from lodestone.llm.shinglesets import NO_ID, PARITY_WORDS, Bounds, Sets, connected, parities
 
 SEED = 42
 BLOCK = 512
@@ -146,14 +146,15 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
     of those connected to it by Jaccard similarities of `similarity` or more.
 
     Sets meet by shared shingles (`shinglesets`), and their wide fingerprints are compared in
-    tiles; pairs within `radius` bits are verified on the sets themselves, so no false link is
-    made. A pair is missed where its fingerprints differ by five standard deviations more than
+    tiles, beside parities that rule out without loss; pairs within `radius` bits are verified
+    on the sets themselves, so no false link is made. A pair is missed where its fingerprints differ by five standard deviations more than
     the mean at this similarity; sets of fewer than SMALL shingles are always verified, and
     radius = 64 * WIDE looks at every pair. Null doc_ids count as the smallest id.
     """
     radius = wide_radius(similarity, 5.0) if radius is None else radius
     near = wide_radius(similarity, 0.0) if near is None else near
-    bounds = Bounds(WIDE, wide_fingerprint, lambda a, b: np.where(np.minimum(a, b) < SMALL, 64 * WIDE, radius), lambda a, b: near)
+    image = lambda hashes: parities(hashes) + wide_fingerprint(hashes)
+    bounds = Bounds(PARITY_WORDS + WIDE, image, lambda a, b: np.where(np.minimum(a, b) < SMALL, 64 * WIDE, radius), lambda a, b: near)
     found = stored(connected(docs, bounds, width, similarity, tile))
     names = found.groupBy("root").agg(F.min("id").alias("least"))
     return found.join(names, "root").groupBy("id").agg(F.min("least").alias("root"))

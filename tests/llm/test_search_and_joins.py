@@ -185,7 +185,8 @@ def test_jaccard_join(spark, near, monkeypatch):
     monkeypatch.setattr(shinglesets, "CELL_TOKENS", 100)
     monkeypatch.setattr(shinglesets, "SLAB_BYTES", 3000)
     # Bounds that turn nothing away: false entries are counted and made good.
-    monkeypatch.setattr(jaccard, "bounds", lambda s: shinglesets.Bounds(jaccard.WORDS, jaccard.parities, lambda a, b: np.full(len(a), 512), lambda a, b: np.full(len(a), 512)))
+    monkeypatch.setattr(shinglesets, "most_different", lambda s: lambda a, b: np.full(len(a), 512))
+    monkeypatch.setattr(jaccard, "bounds", lambda s: shinglesets.Bounds(shinglesets.PARITY_WORDS, shinglesets.parities, lambda a, b: np.full(len(a), 512), lambda a, b: np.full(len(a), 512)))
     assert sorted(map(tuple, jaccard.joined(docs, tile=16).collect()), key=repr) == wanted
     assert jaccard.joined(docs.where("false")).count() == 0
 
@@ -195,7 +196,7 @@ def test_parities_bound_the_difference():
     for n in (1, 30, 700):
         a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n * 9 // 10], r.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
-        bits = np.bitwise_count(np.frombuffer(jaccard.parities(a), np.uint8) ^ np.frombuffer(jaccard.parities(b), np.uint8)).sum()
+        bits = np.bitwise_count(np.frombuffer(shinglesets.parities(a), np.uint8) ^ np.frombuffer(shinglesets.parities(b), np.uint8)).sum()
         assert bits <= len(np.setxor1d(a, b))
     rows = [np.array([1, 5, 9], np.uint64), np.array([5, 9, 11, 12], np.uint64), np.array([], np.uint64)]
     assert shinglesets.overlaps(rows, np.array([0, 1, 0, 1]), np.array([1, 0, 2, 1])).tolist() == [2, 2, 0, 4]
