@@ -107,22 +107,30 @@ def read_block(block: str) -> tuple[dict | None, bool]:
 
 
 def front_matter(content: Column) -> Column:
-    """fields, body and repaired of a page's content. Fields is null where there is no block
-    or it does not parse; a list item without the blank behind its dash is read and counts as
-    repaired. Blocks are read in Arrow batches: as one expression they would be too large for
-    the optimizer."""
+    """fields, body and repaired of a page's content, and whether it has a `block`. Fields is
+    null where there is no block or it does not parse; a list item without the blank behind its
+    dash is read and counts as repaired.
 
-    def read(contents: pd.Series) -> pd.DataFrame:
+    Where the block ends is found by an expression, so only blocks go to Python, in Arrow
+    batches, and flat lists come back; as one expression the reading of a block would be too
+    large for the optimizer."""
+
+    def read(blocks: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in contents:
-            found = _BLOCK.match(text) if text is not None else None
-            fields, repaired = read_block(found[1].replace("\r\n", "\n")) if found else (None, False)
-            fields = None if fields is None else {k: v and {"list": v[0], "items": v[1]} for k, v in fields.items()}
-            rows.append((fields, text[found.end() :] if found else text, repaired, bool(found and found[1])))
-        return pd.DataFrame(rows, columns=["fields", "body", "repaired", "block"])
-
-    read.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(read, f"fields map<string,{_FIELD}>, body string, repaired boolean, block boolean")(content)
+        for block in blocks:
+            fields, repaired = read_block(block.replace("\r\n", "\n")) if block else (None, False)
+            names = None if fields is None else list(fields)
+            rows.append((names, names and [v and v[0] for v in fields.values()], names and [v and v[1] for v in fields.values()], repaired))
+        return pd.DataFrame(rows, columns=["names", "list", "items", "repaired"])
+
+    read.__annotations__ = {"blocks": pd.Series, "return": pd.DataFrame}
+    whole = F.regexp_extract(content, _BLOCK_TEXT, 0)
+    found = F.pandas_udf(read, "names array<string>, list array<boolean>, items array<array<string>>, repaired boolean")(F.regexp_extract(content, _BLOCK_TEXT, 1))
+    values = F.transform(F.arrays_zip(found["list"], found["items"]), lambda x: F.when(x["list"].isNotNull(), F.struct(x["list"].alias("list"), x["items"].alias("items"))))
+    body = F.substring(content, F.length(whole) + 1, F.lit(1 << 30))
+    return F.struct(
+        F.map_from_arrays(found["names"], values).alias("fields"), body.alias("body"), found["repaired"].alias("repaired"), F.coalesce(F.regexp_extract(content, _BLOCK_TEXT, 1) != "", F.lit(False)).alias("block")
+    )
 
 
 def scalar(fields: Column, name: str) -> Column:
