@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.ranking import numbered
 from lodestone.operators.structure import concept_identity
 from lodestone.storage import stored
 
@@ -139,7 +140,8 @@ def root_view(cards: DataFrame, budget: int = 12_000, each: int = 5) -> DataFram
     sizes = cards.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("wide"), F.coalesce(F.sum(F.length("card") - wide), F.lit(0)).alias("narrow"), F.count(F.lit(1)).alias("n"))
     total = F.col("wide") + F.ceil((F.col("narrow") + F.greatest(F.col("n") - 1, F.lit(0)) + 2) / 4)
     mode = sizes.select(F.when(total <= budget, "complete").otherwise("layered").alias("mode"), total.cast("long").alias("complete_tokens"))
-    ranked = cards.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("path")))
+    # A type may hold most pages, so no task ranks a whole one.
+    ranked = numbered(cards.select("path", "type", "tokens"), ["type"], ["path"], "rank").withColumn("rank", F.col("rank").cast("int"))
     chosen = ranked.crossJoin(F.broadcast(mode)).where((F.col("mode") == "complete") | (F.col("rank") <= each))  # one row
     return chosen.select("mode", "complete_tokens", "path", "type", "rank", "tokens")
 
@@ -160,9 +162,8 @@ def root_document(cards: DataFrame, pages: DataFrame, budget: int = 12_000, each
 def visible_index(pages: DataFrame, most: int = 180) -> DataFrame:
     """type, position, line: the published list of pages, a line each, by title within the
     type; a type without pages has one empty line."""
-    order = Window.partitionBy("type").orderBy("title", "path")
     line = F.concat(F.lit("- [["), "path", F.lit("|"), "title", F.lit("]] — "), T.compact_tldr(F.col("tldr"), most))
-    rows = pages.select("type", F.row_number().over(order).alias("position"), line.alias("line"))
+    rows = numbered(pages.select("type", "title", "path", line.alias("line")), ["type"], ["title", "path"], "position").select("type", F.col("position").cast("int").alias("position"), "line")
     every = pages.sparkSession.createDataFrame([(t,) for t in TYPES], "type string")
     return every.join(rows, "type", "left").select("type", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("line", F.lit("")).alias("line"))
 

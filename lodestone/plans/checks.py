@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import decoding, json_text
 from lodestone.operators import artifacts, candidates, pages, schema_check
 from lodestone.plans.register import query
-from lodestone.sources import captions, inbox
+from lodestone.sources import captions, inbox, intake, manifests
 from lodestone.sources.derived import table
 from lodestone.storage import stored
 from lodestone.streaming import checkpoints
@@ -359,3 +359,42 @@ def raw_checks(spark, d):
     judged = artifacts.verify_revisions(c["revisions"], c["files"], c["maps"], c["assets"], c["objects"])
     found = artifacts.verification(c["manifests"], c["revisions"], judged, c["files"], bad_manifests, bad_objects)
     return found.select("subject", "ok", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("verified_originals", """SELECT 's' || doc_id AS source_id, CASE WHEN doc_id % 11 = 3 THEN 'OBJECT_MISSING' ELSE 'OBJECT_HASH_MISMATCH' END AS code FROM documents WHERE doc_id % 11 = 3 OR doc_id % 7 = 2""")
+def verified_originals(spark, d):
+    """Documents as stored originals: some are gone, some hold other bytes than the manifest says."""
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("o/"), k.cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    stored_ = rows.select(F.when(k % 11 == 3, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"), F.when(k % 7 == 2, F.sha2(F.concat("hash", F.lit("!")), 256)).otherwise(F.col("hash")).alias("hash"))
+    return intake.verify_originals(stored_, rows.select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), "path", "hash"))
+
+
+@query("object_paths", "SELECT DISTINCT 'objects/sha256/' || substring(sha256(text), 1, 2) || '/' || sha256(text) || '.' || CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'txt' END AS path FROM documents WHERE text IS NOT NULL")
+def object_paths(spark, d):
+    """Where a content-addressed store keeps the documents; equal ones of a kind lie in one place."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select(intake.object_path(F.sha2("text", 256), F.when(F.col("doc_id") % 2 == 0, "md").otherwise("txt")).alias("path")).distinct()
+
+
+@query("import_order", "SELECT doc_id AS id, row_number() OVER (ORDER BY importedAt DESC, doc_id) AS place FROM (SELECT doc_id, '2024-01-' || lpad(CAST(doc_id * 7 % 28 + 1 AS VARCHAR), 2, '0') AS importedAt FROM documents)")
+def import_order(spark, d):
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") * 7 % 28 + 1).cast("string"), 2, "0"))
+    return manifests.by_import_time(table(spark, d, "documents").select(F.col("doc_id").alias("id"), day.alias("importedAt"))).select("id", "place")
+
+
+@query("reusable_parses", """WITH w AS (SELECT o_orderkey AS k, o_custkey % 50 AS key FROM orders), v AS (SELECT key, max(k) AS revision FROM w WHERE k % 3 = 0 GROUP BY key) SELECT k, revision FROM w LEFT JOIN v USING (key)""")
+def reusable_parses(spark, d):
+    """Orders as work whose key is a customer's; verified revisions are every third order's."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("parse_key"))
+    reuse, parse = manifests.reusable(rows, rows.select("parse_key", F.col("k").alias("revision"), (F.col("k") % 3 == 0).alias("verified")))
+    return reuse.select("k", "revision").unionByName(parse.select("k", F.lit(None).cast("long").alias("revision")))
+
+
+@query("live_checkpoints", """SELECT event_id AS job_id FROM events WHERE event_id % 5 <> 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-02 12:00:00'""")
+def live_checkpoints(spark, d):
+    """Events as checkpoints of a day; the sources of every fifth have changed since."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(k.alias("job_id"), k.alias("source_id"), F.sha2(k.cast("string"), 256).alias("source_hash"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).cast("timestamp").alias("expires_at"))
+    now = table(spark, d, "events").select(k.alias("source_id"), F.sha2(F.when(k % 5 == 1, F.concat(k.cast("string"), F.lit("!"))).otherwise(k.cast("string")), 256).alias("hash"))
+    return manifests.live_checkpoints(rows, now, F.lit("2024-01-02 12:00:00").cast("timestamp")).select("job_id")

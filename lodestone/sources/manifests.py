@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import numbered
+
 MANIFEST = "schemaVersion int, id string, sourceHash string, importedAt string, kind string, acquiredBy string, name string, uri string, currentRevision int, revisions array<struct<revision:int,rawPath:string,contentHash:string,artifactSchemaVersion:int>>, _corrupt string"
 #: What an interrupted attempt becomes, by the state it was left in.
 RECOVERED = {"parsing": "failed", "planning": "failed", "awaiting_review": "failed", "waiting_remote": "resumable"}
@@ -35,7 +37,7 @@ def upgraded(manifests: DataFrame) -> DataFrame:
 
 def by_import_time(manifests: DataFrame) -> DataFrame:
     """Manifests with their place, the last imported first."""
-    return manifests.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importedAt"), "id")))
+    return numbered(manifests, [], [F.desc("importedAt"), F.col("id")], "place")
 
 
 def current_revisions(manifests: DataFrame) -> DataFrame:
