@@ -63,7 +63,7 @@ def nested_violations(spark, d):
 
 
 @query("json_objects", """WITH o AS (SELECT o_orderkey AS k, '{"k": ' || o_orderkey || ', "t": "a }{ \\" ' || o_orderpriority || '", "n": {"x": []}}' AS j FROM orders)
-    SELECT k, CASE WHEN k % 6 IN (4, 5) THEN NULL ELSE k END AS found, CASE k % 6 WHEN 0 THEN 'fenced' WHEN 1 THEN 'braces' WHEN 2 THEN 'balanced' WHEN 3 THEN 'balanced' END AS source, CASE WHEN k % 6 IN (4, 5) THEN NULL WHEN k % 6 = 0 THEN sha256(j || chr(10)) ELSE sha256(j) END AS hash FROM o""")
+    SELECT k, CASE WHEN k % 6 IN (4, 5) THEN NULL ELSE CAST(k AS VARCHAR) END AS found, CASE k % 6 WHEN 0 THEN 'fenced' WHEN 1 THEN 'braces' WHEN 2 THEN 'balanced' WHEN 3 THEN 'balanced' END AS source, CASE WHEN k % 6 IN (4, 5) THEN NULL WHEN k % 6 = 0 THEN sha256(j || chr(10)) ELSE sha256(j) END AS hash FROM o""")
 def json_objects(spark, d):
     """Orders as objects in texts: fenced, with words around, with braces behind, behind a
     fence of something else, cut off, or none."""
@@ -74,7 +74,7 @@ def json_objects(spark, d):
         .when(k % 6 == 3, F.concat(F.lit("```\ncode\n``` "), j)).when(k % 6 == 4, F.concat(F.lit("cut "), F.substring(j, 1, 12))).otherwise("nothing")
     )
     rows = table(spark, d, "orders").select(k.alias("k"), json_text.json_object(text).alias("j"))
-    return rows.select("k", F.try_variant_get(F.try_parse_json("j.json"), "$.k", "long").alias("found"), "j.source", F.sha2("j.json", 256).alias("hash"))
+    return rows.select("k", F.try_variant_get(F.try_parse_json("j.json"), "$.k", "long").cast("string").alias("found"), "j.source", F.sha2("j.json", 256).alias("hash"))
 
 
 def _caption_files(spark, d) -> DataFrame:
@@ -383,12 +383,12 @@ def import_order(spark, d):
     return manifests.by_import_time(table(spark, d, "documents").select(F.col("doc_id").alias("id"), day.alias("importedAt"))).select("id", "place")
 
 
-@query("reusable_parses", """WITH w AS (SELECT o_orderkey AS k, o_custkey % 50 AS key FROM orders), v AS (SELECT key, max(k) AS revision FROM w WHERE k % 3 = 0 GROUP BY key) SELECT k, revision FROM w LEFT JOIN v USING (key)""")
+@query("reusable_parses", """WITH w AS (SELECT o_orderkey AS k, o_custkey % 50 AS key FROM orders), v AS (SELECT key, max(k) AS revision FROM w WHERE k % 3 = 0 GROUP BY key) SELECT k, coalesce(revision, -1) AS revision FROM w LEFT JOIN v USING (key)""")
 def reusable_parses(spark, d):
     """Orders as work whose key is a customer's; verified revisions are every third order's."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("parse_key"))
     reuse, parse = manifests.reusable(rows, rows.select("parse_key", F.col("k").alias("revision"), (F.col("k") % 3 == 0).alias("verified")))
-    return reuse.select("k", "revision").unionByName(parse.select("k", F.lit(None).cast("long").alias("revision")))
+    return reuse.select("k", "revision").unionByName(parse.select("k", F.lit(-1).cast("long").alias("revision")))
 
 
 @query("live_checkpoints", """SELECT event_id AS job_id FROM events WHERE event_id % 5 <> 1 AND ts + INTERVAL 24 HOURS > TIMESTAMP '2024-01-02 12:00:00'""")
