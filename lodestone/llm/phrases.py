@@ -34,8 +34,8 @@ from lodestone.llm.anchors import mix
 from lodestone.llm.arrowtools import GROUP_BYTES, groups, stored
 
 LONGEST = 4
-#: Bits of a word's id within a task, and of a bit filter's slots; bits of a filter a row.
-ID_BITS, FILTER_BITS, CHUNK_BITS = 21, 26, 16
+#: Bits of a word's id within a task (two fit a long, whatever one text holds), and of a bit filter's slots; bits of a filter a row.
+ID_BITS, FILTER_BITS, CHUNK_BITS = 31, 26, 16
 #: Paths of a container that bursts and of a trie that spills; words known to a task at most.
 BURST, PATHS, WORDS = 1 << 14, 600_000, 400_000
 #: Words of the corpus for each prefix partition.
