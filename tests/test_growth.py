@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import graph
 
 
@@ -38,3 +40,20 @@ def test_routes_over_wide_pages_travel_as_numbers(spark):
     assert found == wanted
     routes = sum(len(r) for _, r in wanted.values())
     assert written < 2 * 400 * routes, (written, routes)  # a route shows two names of 400 characters or three
+
+
+def test_proposals_without_a_candidate_are_spread(spark):
+    was = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = spark.range(1000).selectExpr("id AS ord", "concat('o', id) AS from_candidate", "CAST(NULL AS STRING) AS to_candidate", "CAST(NULL AS STRING) AS to_path", "'component' AS relation", "0.9D AS confidence")
+        candidates = spark.range(1000).selectExpr("concat('o', id) AS candidate_id", "'created' AS decision", "concat('wiki/a/', id) AS target_path")
+        found = graph.resolve_proposals(made, candidates, spark.createDataFrame([("wiki/a/1",)], "path string"))
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        rows = found.collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == len(rows) == 1000 and max(sizes) < 500
+    assert all(r.from_ok and r.to_path is None and not r.one_target for r in rows)
