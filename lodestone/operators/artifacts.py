@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import structure
+from lodestone.operators.ranking import left_spread
 
 #: Ids of assets, the extension of each type, and how placeholders and marks look.
 ASSET_ID = "^[a-zA-Z0-9_-]+$"
@@ -147,7 +148,8 @@ def verify_revisions(revisions: DataFrame, files: DataFrame, maps: DataFrame, as
     flawed = held.withColumn("asset_code", code).groupBy("source_id", "revision").agg(F.min("asset_code").alias("asset_code"))
 
     block = F.regexp_extract("artifact", r"^---\n([\s\S]*?)\n---\n?", 1)
-    rows = revisions.join(f, "raw_path", "left").join(m, "map_path", "left").join(flawed, ["source_id", "revision"], "left")
+    # Most revisions have no map.
+    rows = left_spread(revisions.join(f, "raw_path", "left"), m, "map_path", "source_id").join(flawed, ["source_id", "revision"], "left")
     rows = rows.withColumns({"has_block": F.col("artifact").rlike(r"^---\n([\s\S]*?)\n---\n?") & (block != ""), "block": block, "body": F.regexp_replace("artifact", r"^---\n([\s\S]*?)\n---\n?", "")})
     rows = rows.withColumns({"marks": marks(F.col("body")), "lines": F.split(F.regexp_replace("body", r"\n$", ""), "\n")})
     pages = F.transform(F.filter("marks", lambda s: s["page"].isNotNull()), lambda s: s["page"])
