@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import anchors
 from lodestone.llm.arrowtools import map_texts, stored
 from lodestone.llm.components import components
-from lodestone.llm.shinglesets import NO_ID, PARITY_WORDS, Bounds, Sets, connected, parities
+from lodestone.llm.shinglesets import NO_ID, PARITY_WORDS, Bounds, Sets, connected, parities, set_key, shingles
 
 SEED = 42
 BLOCK = 512
@@ -116,12 +116,17 @@ def links(distinct: DataFrame, n: int, radius: int, tile: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, tile: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every document."""
     found = stored(fingerprints(docs, width))
+    return found.join(named_groups(found, radius, tile), "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def named_groups(found: DataFrame, radius: int, tile: int) -> DataFrame:
+    """bits, component_id: the distinct fingerprints of rows (doc_id, bits), each with the least
+    doc_id of those that links within the radius connect it to."""
     classes = stored(found.groupBy("bits").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("bits"), classes.count(), radius, tile))
     rooted = classes.join(roots, classes.bits == roots.u, "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("bits", "component_id")
-    return found.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(names, "root").select("bits", "component_id")
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -151,13 +156,18 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
     the mean at this similarity; sets of fewer than SMALL shingles are always verified, and
     radius = 64 * WIDE looks at every pair. Null doc_ids count as the smallest id.
     """
+    found, names = _similar_sets(docs, width, similarity, tile, radius, near)
+    return found.join(names, "root").groupBy("id").agg(F.min("least").alias("root"))
+
+
+def _similar_sets(docs: DataFrame, width: int, similarity: float, tile: int, radius: int | None, near: int | None) -> tuple[DataFrame, DataFrame]:
+    """The groups of `similar`: k, id, root (keys) of the distinct sets, and least, the least id of each root."""
     radius = wide_radius(similarity, 5.0) if radius is None else radius
     near = wide_radius(similarity, 0.0) if near is None else near
     image = lambda hashes: parities(hashes) + wide_fingerprint(hashes)
     bounds = Bounds(PARITY_WORDS + WIDE, image, lambda a, b: np.where(np.minimum(a, b) < SMALL, 64 * WIDE, radius), lambda a, b: near)
     found = stored(connected(docs, bounds, width, similarity, tile))
-    names = found.groupBy("root").agg(F.min("id").alias("least"))
-    return found.join(names, "root").groupBy("id").agg(F.min("least").alias("root"))
+    return found, found.groupBy("root").agg(F.min("id").alias("least"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -165,3 +175,30 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id stay or go together; null and empty texts are one group."""
     keep = similar(docs, **options).where("id = root").select(F.col("id").alias("kept_id"))
     return docs.join(keep, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept_id"), "left_semi")
+
+
+def first_of_copies(docs: DataFrame, radius: int = 3, width: int = 5, similarity: float = 0.8, tile: int = 4096, set_tile: int = 16_384) -> DataFrame:
+    """One document of each group of near copies, the one of the least doc_id.
+
+    The groups are those of `near_duplicates`: the tiled comparison of all fingerprints, which
+    loses no link within `radius` bits. Groups with texts that `similar` connects as well are
+    one. Rows that share a doc_id stay or go together; null and empty texts are one group, and
+    null doc_ids count as the smallest id.
+    """
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+
+    def make():
+        def f(doc_ids, texts):
+            return {"doc_id": pa.array(doc_ids, pa.int64()), "bits": pa.array(map(fingerprint, texts), pa.int64()), "k": pa.array([set_key(shingles(t, width)) for t in texts], pa.int64())}
+
+        return f
+
+    # Copies are one row from here on.
+    classes = stored(map_texts(ids, ["doc_id", "text"], "doc_id long, bits long, k long", make).groupBy("bits", "k").agg(F.min("doc_id").alias("doc_id")))
+    found, names = _similar_sets(ids, width, similarity, set_tile, None, None)
+    sets = found.join(names, "root").select("k", "least")
+    # A group is named by its least doc_id, so the groups that a text lies in are an edge between documents.
+    both = stored(classes.join(named_groups(classes, radius, tile), "bits").join(sets, "k").select(F.col("component_id").alias("u"), F.col("least").alias("v")).distinct())
+    roots = components(both)
+    keep = both.select("u").distinct().join(roots, "u", "left").select(F.coalesce("root", "u").alias("kept_id")).distinct()
+    return docs.join(keep, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept_id"), "left_semi")

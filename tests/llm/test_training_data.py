@@ -364,6 +364,24 @@ def test_similar_at_the_threshold(spark, monkeypatch):
     assert sorted(x.doc_id for x in simhash.one_of_each(frame, radius=256, near=256).collect()) == left
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """What fingerprints within three bits link and what similar sets link is one group, also along
+    a chain of both; texts that are only alike in words stay."""
+    r = random.Random(29)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    head, tail, alone = some(3) * 300, some(60), some(200)
+    texts = {1: head + tail, 2: head + some(60), 3: head[:3] * 2 + tail, 4: alone, 5: alone + some(12), 6: sorted(alone), 7: some(200)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()] + [(8, ""), (9, None), (None, " ".join(texts[7]))]
+    assert np.bitwise_count(np.uint64(slow_fingerprint(rows[0][1]) ^ slow_fingerprint(rows[1][1]))) <= 3
+    assert len(shingle_set(rows[0][1]) & shingle_set(rows[1][1])) < 0.5 * len(shingle_set(rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'x' AS source", "1L AS n_chars")
+    wanted = brute_components(dict(rows[:7]))[0]
+    assert wanted[3] == 1 and wanted[2] == 2 and wanted[5] == 4
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "4", "6", "8", "None"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 0), 101: 100}
