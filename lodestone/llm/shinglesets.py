@@ -322,7 +322,12 @@ def _compared(similarity: float, bounds: Bounds, forest: bool):
         node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
         side = None if forest or (kind and i == j) else group.column("own").to_numpy() if kind else group.column("minor").to_numpy(zero_copy_only=False)
         x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, side, similarity, bounds, forest)
-        return pa.table({"u": np.minimum(k[x], k[y]), "v": np.maximum(k[x], k[y])})
+        # Two rows meet at each value that they share, and are a pair once.
+        u, v = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+        return pa.table({"u": u[first], "v": v[first]})
 
     return compare
 

@@ -10,13 +10,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import bpe, chat, fmindex, langid, mtree, packing, quality, queries, repeats, shinglesets, simhash, suffixsort, toxicity
+from lodestone.llm import bpe, chat, fmindex, jaccard, langid, mtree, packing, quality, queries, repeats, shinglesets, simhash, suffixsort, toxicity
 from lodestone.llm.components import components
 from lodestone.llm.pieces import pieces
 
@@ -382,6 +383,17 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "4", "6", "8", "None"]
 
 
+def test_pairs_are_made_once():
+    """A pair of rows that share many values is one row of its tile."""
+    b = jaccard.bounds(0.8)
+    hashes = np.arange(1, 101, dtype=np.uint64) << np.uint64(20)
+    bits = [b.image(s) for s in (hashes, hashes[:95], hashes[:90])]
+    rows = [(v, k, n, bits[k], k, k > 0, 0) for v in range(40) for k, n in enumerate((100, 95, 90))]
+    group = pa.table({n: pa.array(c, t) for n, c, t in zip(("value", "k", "size", "bits", "node", "minor", "own"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int32()), strict=True)})
+    made = shinglesets._compared(0.8, b, False)((pa.scalar(0), pa.scalar(1), pa.scalar(0), pa.scalar(0)), group)
+    assert sorted(zip(made["u"].to_pylist(), made["v"].to_pylist(), strict=True)) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 0), 101: 100}
