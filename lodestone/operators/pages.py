@@ -7,8 +7,9 @@ dashed lists. A block that holds anything else does not parse.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,51 +64,66 @@ def _inline(x: str) -> list[str] | None:
     return items
 
 
+def _read_line(line: str) -> tuple | None:
+    """What a line is by itself: (None, dash without a blank, text) of a list item, or (name, is
+    an inline list, value) of a field, where the value is None, (is a list, texts) or _BAD. No
+    tuple for blank lines and comments; the name is _BAD where a line is neither."""
+    line = line.rstrip()
+    if not line or line.lstrip().startswith("#"):
+        return None
+    item = _ITEM.match(line)
+    if item:
+        return None, not item[1] and bool(item[2]), _scalar(item[2])
+    key = _KEY.match(line)
+    if not key:
+        return _BAD, False, None
+    name, value = _unquote(key[1].strip()), (key[2] or "").strip()
+    if value.startswith("["):
+        items = _inline(value)
+        return name, True, _BAD if items is None else (True, tuple(items))
+    if value[:1] not in ("'", '"') and _COMMENT.sub("", value) in ("", "~", "null"):
+        return name, False, None
+    text = None if value[0] in "{|>&*" else _scalar(value)
+    return name, False, _BAD if text is None else (False, (text,))
+
+
+#: Stands for what is in no subset; most short lines are those of other pages, so they are read once.
+_BAD = object()
+_short_line = lru_cache(4096)(_read_line)
+
+
 def read_block(block: str) -> tuple[dict | None, bool]:
     """(name -> None or (is a list, texts), repaired) of a front matter block; no fields where
     it is not in the subset."""
     fields: dict = {}
     repaired, name, inline = False, None, set()
     for line in block.split("\n"):
-        line = line.rstrip()
-        if not line or line.lstrip().startswith("#"):
+        found = _short_line(line) if len(line) <= 64 else _read_line(line)
+        if found is None:
             continue
-        item = _ITEM.match(line)
-        if item and name is not None:
+        if found[0] is None:
+            if name is None:
+                return None, repaired
             if fields[name] is None:
                 fields[name] = (True, [])
             if not fields[name][0] or name in inline:
                 return None, repaired
-            repaired |= not item[1] and bool(item[2])
-            text = _scalar(item[2])
-            if text is None:
+            repaired |= found[1]
+            if found[2] is None:
                 return None, repaired
-            fields[name][1].append(text)
+            fields[name][1].append(found[2])
             continue
-        key = _KEY.match(line)
-        if not key or (name := _unquote(key[1].strip())) in fields:
+        name = found[0]
+        if name is _BAD or name in fields or found[2] is _BAD:
             return None, repaired
-        value = (key[2] or "").strip()
-        if value.startswith("["):
-            items = _inline(value)
-            if items is None:
-                return None, repaired
-            fields[name] = (True, items)
+        fields[name] = found[2] and (found[2][0], list(found[2][1]))
+        if found[1]:
             inline.add(name)
-        elif value[:1] not in ("'", '"') and _COMMENT.sub("", value) in ("", "~", "null"):
-            fields[name] = None
-        elif value[0] in "{|>&*":
-            return None, repaired
-        else:
-            text = _scalar(value)
-            if text is None:
-                return None, repaired
-            fields[name] = (False, [text])
     return fields or None, repaired
 
 
-def front_matter(content: Column) -> Column:
-    """fields, body and repaired of a page's content, and whether it has a `block`. Fields is
+def with_front_matter(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with a struct: fields, body and repaired of a page's content, and whether it has a `block`. Fields is
     null where there is no block or it does not parse; a list item without the blank behind its
     dash is read and counts as repaired.
 
@@ -115,22 +131,31 @@ def front_matter(content: Column) -> Column:
     batches, and flat lists come back; as one expression the reading of a block would be too
     large for the optimizer."""
 
-    def read(blocks: pd.Series) -> pd.DataFrame:
-        rows = []
-        for block in blocks:
+    def read(blocks: pa.Array) -> pa.Array:
+        names, lists, items, repairs = [], [], [], []
+        for block in blocks.to_pylist():
             fields, repaired = read_block(block.replace("\r\n", "\n")) if block else (None, False)
-            names = None if fields is None else list(fields)
-            rows.append((names, names and [v and v[0] for v in fields.values()], names and [v and v[1] for v in fields.values()], repaired))
-        return pd.DataFrame(rows, columns=["names", "list", "items", "repaired"])
-
-    read.__annotations__ = {"blocks": pd.Series, "return": pd.DataFrame}
+            names.append(None if fields is None else list(fields))
+            lists.append(None if fields is None else [v and v[0] for v in fields.values()])
+            items.append(None if fields is None else [v and v[1] for v in fields.values()])
+            repairs.append(repaired)
+        texts = pa.list_(pa.string())
+        columns = [pa.array(names, texts), pa.array(lists, pa.list_(pa.bool_())), pa.array(items, pa.list_(texts)), pa.array(repairs, pa.bool_())]
+        return pa.StructArray.from_arrays(columns, names=["names", "list", "items", "repaired"])
+
+    read.__annotations__ = {"blocks": pa.Array, "return": pa.Array}
+    # As a deterministic function it would be run again for each filter that is pushed below what it
+    # gives; as another one, it is a column of its own, which is read more than once.
+    content, found = F.col("content"), F.col("_found")
     whole = F.regexp_extract(content, _BLOCK_TEXT, 0)
-    found = F.pandas_udf(read, "names array<string>, list array<boolean>, items array<array<string>>, repaired boolean")(F.regexp_extract(content, _BLOCK_TEXT, 1))
+    reader = F.arrow_udf(read, "names array<string>, list array<boolean>, items array<array<string>>, repaired boolean").asNondeterministic()
+    read_rows = rows.withColumn("_found", reader(F.regexp_extract(content, _BLOCK_TEXT, 1)))
     values = F.transform(F.arrays_zip(found["list"], found["items"]), lambda x: F.when(x["list"].isNotNull(), F.struct(x["list"].alias("list"), x["items"].alias("items"))))
     body = F.substring(content, F.length(whole) + 1, F.lit(1 << 30))
-    return F.struct(
+    made = F.struct(
         F.map_from_arrays(found["names"], values).alias("fields"), body.alias("body"), found["repaired"].alias("repaired"), F.coalesce(F.regexp_extract(content, _BLOCK_TEXT, 1) != "", F.lit(False)).alias("block")
     )
+    return read_rows.withColumn(name, made).drop("_found")
 
 
 def scalar(fields: Column, name: str) -> Column:
@@ -165,7 +190,7 @@ def parse_pages(files: DataFrame) -> DataFrame:
     Files without front matter, with front matter outside the subset or with an unknown
     type give no row. `fields` maps names to texts (lists to their JSON).
     """
-    rows = files.select(T.vault_path(F.col("path")).alias("path"), "content", front_matter(F.col("content")).alias("read"))
+    rows = with_front_matter(files.select(T.vault_path(F.col("path")).alias("path"), "content"), "read")
     rows = rows.select("path", "content", F.col("read.fields").alias("fm"), F.col("read.body").alias("body"))
     rows = rows.where(F.col("fm").isNotNull() & F.coalesce(scalar(F.col("fm"), "type").isin(TYPES), F.lit(False)))
     fm, none = F.col("fm"), F.lit("")
@@ -210,7 +235,7 @@ def canonical_pages(files: DataFrame, date: str) -> DataFrame:
 
     Where there is none or it does not parse, the content stays and a warning says so.
     """
-    rows = files.select("path", "content", front_matter(F.col("content")).alias("read"))
+    rows = with_front_matter(files.select("path", "content"), "read")
     rows = rows.select("path", "content", F.col("read.fields").alias("fm"), F.col("read.body").alias("body"), F.col("read.repaired").alias("repaired"), F.col("read.block").alias("block"))
     fm, none = F.col("fm"), F.lit("")
     get = lambda n: F.coalesce(scalar(fm, n), scalar(fm, LEGACY[n])) if n in LEGACY else scalar(fm, n)

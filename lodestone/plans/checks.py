@@ -236,7 +236,7 @@ def draft_status(spark, d):
 def draft_issues(spark, d):
     texts, expected = _drafts(spark, d)
     good = candidates.draft_status(candidates.marked_drafts(texts), expected).where("status = 'ok'")
-    read = good.withColumn("m", pages.front_matter(F.col("content"))).select("batch_id", "candidate_id", F.lit("synthesis").alias("type"), "content", "m.fields", "m.body")
+    read = pages.with_front_matter(good, "m").select("batch_id", "candidate_id", F.lit("synthesis").alias("type"), "content", "m.fields", "m.body")
     return candidates.draft_issues(read)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, search
+from lodestone.operators import graph, pages, search
 
 
 def stages(spark, since=-1):
@@ -74,3 +74,10 @@ def test_equal_candidates_are_ranked_once(spark):
     assert all(found[i] == [(p, 129, True) for p in concepts({1})] for i in found if i % 4 < 2)
     assert all(found[i] == [(p, 129, True) for p in concepts({2})] for i in found if i % 4 == 2)
     assert records < 400 * 20, records  # candidates times pages: 24,000
+
+
+def test_front_matter_is_read_once(spark):
+    files = spark.createDataFrame([("wiki/a.md", "---\ntype: entity\ntitle: A\n---\nb"), ("wiki/b.md", "---\ntype: other\n---\nb")], "path string, content string")
+    found = pages.parse_pages(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+    assert [(r.path, r.title) for r in found.collect()] == [("wiki/a.md", "A")]
