@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.timeline import join_text
+from lodestone.storage import bounded_batches
 
 #: Characters of a paragraph, at most and before a sentence end closes it, and
 #: what ends a sentence.
@@ -130,6 +131,8 @@ def adapt_responses(responses: DataFrame) -> DataFrame:
     result to three levels. Seconds become milliseconds unless a field says so or the times
     are too large to be seconds. A response without segments gives its plain text."""
 
+    bounded_batches(responses.sparkSession)
+
     def unwrap(bodies: pd.Series) -> pd.Series:
         return bodies.map(_unwrapped, na_action="ignore")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.decoding import decode_text
 from lodestone.sources.intake import MAX_DOCUMENT
+from lodestone.storage import bounded_batches
 
 #: What a file may end as.
 IMPORTED, DUPLICATE, FAILED = "imported", "duplicate", "failed"
@@ -33,6 +34,7 @@ def judged(files: DataFrame, known: DataFrame, max_bytes: int = MAX_DOCUMENT) ->
     one in `original`; of files with the same bytes the least path is imported. Files that are
     too large or are no text have failed, with a reason; so has one without content.
     """
+    bounded_batches(files.sparkSession)
     rows = files.where(accepted()).select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
     read = rows.select("path", "length", F.sha2("content", 256).alias("hash"), decode_text(F.col("content")).alias("text"))
     reason = F.when(F.coalesce("length", F.lit(0)) > max_bytes, "SOURCE_TOO_LARGE").when(F.col("hash").isNull(), "SOURCE_UNREADABLE").when(F.col("text").isNull(), "UNSUPPORTED_ENCODING")

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, pages, search
+from lodestone.operators import graph, pages, search, transcripts
+from lodestone.sources import inbox
 
 
 def stages(spark, since=-1):
@@ -81,3 +83,14 @@ def test_front_matter_is_read_once(spark):
     found = pages.parse_pages(files)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
     assert [(r.path, r.title) for r in found.collect()] == [("wiki/a.md", "A")]
+
+
+def test_files_and_responses_come_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    files = spark.range(40, numPartitions=1).selectExpr("concat('in/', id, '.md') AS path", "1000000L AS length", "encode(repeat(cast(id % 10 AS string), 1000000), 'UTF-8') AS content")
+    known = spark.createDataFrame([], "hash string, source_id string")
+    for make in (lambda: inbox.judged(files, known), lambda: transcripts.adapt_responses(files.selectExpr("path AS media_id", "decode(content, 'UTF-8') AS body"))):
+        spark.conf.unset(key)
+        make()
+        sizes = files.select("content").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) <= 16 and sum(r.n for r in sizes) == 40
