@@ -47,6 +47,8 @@ FEW_IDS, PACK_BYTES, CELL_TOKENS = 500_000, 4 << 20, 1 << 16
 HELD, LARGE = 1 << 18, 64
 #: Bytes of the texts whose sets are multiplied at once.
 SLAB_BYTES = 4 << 20
+#: Least values of a set that travel with its rows, to tell which of the values that two sets share comes first.
+FIRST = 16
 
 
 #: Words of 64 bits in a set's parities.
@@ -314,6 +316,19 @@ def _celled(tokens: DataFrame, tile: int) -> DataFrame:
     return tokens.withColumn("cell", F.xxhash64("value").bitwiseAND(F.lit((1 << lead) - 1)))
 
 
+def first_shared(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether a pair is to be named where it meets at `value`: at the least of the values that
+    both rows' lists of their first values have, or at each value if the lists have none in common."""
+    out = np.empty(len(value), bool)
+    most = np.iinfo(a.dtype).max
+    for i in range(0, len(value), SLAB):
+        at = slice(i, i + SLAB)
+        same = (a[at, :, None] == b[at, None, :]).any(axis=2)
+        least = np.where(same, a[at], most).min(axis=1)
+        out[at] = ~same.any(axis=1) | (least == value[at])
+    return out
+
+
 def _compared(similarity: float, bounds: Bounds, forest: bool):
     def compare(key, group):
         kind, i, j = (k.as_py() for k in key[1:])
@@ -321,8 +336,13 @@ def _compared(similarity: float, bounds: Bounds, forest: bool):
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, bounds.words)
         node = np.unique(group.column("node").to_numpy(), return_inverse=True)[1]
         side = None if forest or (kind and i == j) else group.column("own").to_numpy() if kind else group.column("minor").to_numpy(zero_copy_only=False)
-        x, y = candidates(group.column("value").to_numpy(), node, group.column("size").to_numpy(), bits, side, similarity, bounds, forest)
-        # Two rows meet at each value that they share, and are a pair once.
+        value = group.column("value").to_numpy()
+        x, y = candidates(value, node, group.column("size").to_numpy(), bits, side, similarity, bounds, forest)
+        # Two rows meet at each value that they share, in many tiles, and are a pair once.
+        if "first" in group.column_names:
+            first = pa.concat_arrays(group.column("first").chunks).flatten().to_numpy().reshape(-1, FIRST)
+            kept = np.concatenate([np.empty(0, bool), *(first_shared(first[x[i : i + SLAB]], first[y[i : i + SLAB]], value[x[i : i + SLAB]]) for i in range(0, len(x), SLAB))])
+            x, y = x[kept], y[kept]
         u, v = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
         order = np.lexsort((v, u))
         u, v = u[order], v[order]
@@ -343,7 +363,10 @@ def spanning_pairs(tokens: DataFrame, classes: DataFrame, similarity: float, til
 
 
 def pairs_between(tokens: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float, tile: int, bounds: Bounds) -> DataFrame:
-    """u, v (keys): all candidate pairs of sets of unequal nodes (u, node), each once."""
+    """u, v (keys): all candidate pairs of sets of unequal nodes (u, node), each once.
+
+    Sets just below the similarity meet at hundreds of values, each in a tile of its own; so rows
+    carry the first of their values, and a pair leaves the tile of the first that is shared."""
     rows = tokens.join(nodes.withColumnRenamed("u", "k"), "k", "left").withColumn("node", F.coalesce("node", "k"))
     counts = rows.groupBy("value", "node").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("value").agg(F.max_by("node", F.struct("n", "node")).alias("major"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("value", "major")
@@ -351,8 +374,10 @@ def pairs_between(tokens: DataFrame, nodes: DataFrame, classes: DataFrame, simil
     rows = _celled(rows, tile)
     share = lambda minor: F.ceil(F.count(F.when(F.col("minor") == minor, 1)) / tile).cast("int")
     sizes = rows.groupBy("cell").agg(share(False).alias("majors"), share(True).alias("minors"))
-    dealt = rows.join(sizes, "cell").join(classes.select("k", "bits"), "k").withColumn("own", F.pmod(F.xxhash64("k"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
-    columns = ["value", "k", "size", "bits", "node", "minor", "own"]
+    own = F.array_sort(F.collect_list("value"))
+    first = rows.groupBy("k").agg(F.slice(F.concat(own, F.array_repeat(F.element_at(own, 1), FIRST)), 1, FIRST).alias("first"))
+    dealt = rows.join(sizes, "cell").join(classes.select("k", "bits").join(first, "k"), "k").withColumn("own", F.pmod(F.xxhash64("k"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    columns = ["value", "k", "size", "bits", "node", "minor", "own", "first"]
     place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     across = F.when(F.col("minor"), upto("majors", lambda i: place(0, i, F.col("own")))).otherwise(upto("minors", lambda j: place(0, F.col("own"), j)))

@@ -394,6 +394,52 @@ def test_pairs_are_made_once():
     assert sorted(zip(made["u"].to_pylist(), made["v"].to_pylist(), strict=True)) == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_pairs_leave_one_tile(spark):
+    """A pair that meets in many tiles leaves one of them; where the lists of first values have
+    none in common, it leaves all, so none is lost."""
+    a = np.array([[1, 5, 9, 9], [1, 2, 3, 4], [7, 8, 9, 10]])
+    b = np.array([[5, 9, 11, 12], [1, 2, 3, 4], [1, 2, 3, 4]])
+    assert [shinglesets.first_shared(a, b, np.full(3, v)).tolist() for v in (5, 9, 1)] == [[True, False, True], [False, False, True], [False, True, True]]
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(1200)]
+    texts = [" ".join(w if r.random() > 0.03 else word() for w in base) for _ in range(12)]  # about 0.75 alike
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = jaccard.bounds(0.8)
+    classes = shinglesets.stored(shinglesets.distinct_sets(docs, 5, 0.8, b))
+    tokens = shinglesets.tokens_of(classes, 0.8)
+    nodes = spark.createDataFrame([], "u long, node long")
+    made = []
+
+    def counted(similarity, bounds, forest, of=shinglesets._compared):
+        compare = of(similarity, bounds, forest)
+
+        def f(key, group):
+            out = compare(key, group)
+            seen.add(out.num_rows)
+            return out
+
+        return f
+
+    seen = spark.sparkContext.accumulator(0)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shinglesets, "_compared", counted)
+        made = shinglesets.pairs_between(tokens, nodes, classes, 0.8, 64, b).collect()
+    bits = {x.k: (x.size, np.frombuffer(x.bits, "<u8")) for x in classes.collect()}
+    fits = {(u, v) for u in bits for v in bits if u < v and np.bitwise_count(bits[u][1] ^ bits[v][1]).sum() <= (bits[u][0] + bits[v][0]) * 0.2 / 1.8 + 1e-9 and min(bits[u][0], bits[v][0]) >= 0.8 * max(bits[u][0], bits[v][0])}
+    assert {(x.u, x.v) for x in made} == fits and len(fits) > 30
+    assert seen.value < 2 * len(fits)
+
+
+def test_components_of_few_edges_leave_few_files(spark, monkeypatch):
+    """A round has tasks by its edges, not by the session's partitions."""
+    parts = []
+    monkeypatch.setattr("lodestone.llm.components.stored", lambda df, f=simhash.stored: (parts.append((out := f(df)).rdd.getNumPartitions()), out)[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.root for r in components(edges).collect()} == {0}
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 0), 101: 100}
