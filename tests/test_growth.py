@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, pages, search, transcripts
+from lodestone.operators import graph, index, pages, schema_check, search, transcripts
 from lodestone.sources import inbox
 
 
@@ -94,3 +94,14 @@ def test_files_and_responses_come_to_python_in_small_batches(spark):
         make()
         sizes = files.select("content").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
         assert max(r.n for r in sizes) <= 16 and sum(r.n for r in sizes) == 40
+
+
+def test_nested_rows_are_judged_where_they_stand(spark):
+    """Rows are parsed, judged and turned to violations in one stage; values are neither shuffled nor stored."""
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {"b": {"type": "integer"}}}}}}
+    rows = spark.createDataFrame([(1, '{"a":[{"b":1},{"b":"x"},{}]}'), (2, '{"a":null}')], "id int, json string")
+    before = last_stage(spark)
+    found = schema_check.violations(rows, schema)
+    assert last_stage(spark) == before
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "input.a[1].b", "not_integer"), (2, "input.a", "not_array")]
