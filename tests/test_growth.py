@@ -105,3 +105,31 @@ def test_nested_rows_are_judged_where_they_stand(spark):
     assert last_stage(spark) == before
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, "input.a[1].b", "not_integer"), (2, "input.a", "not_array")]
+
+
+def test_lines_of_a_type_stay_spread(spark):
+    """The published list meets no type in a join: its lines stay in the parts that numbered them."""
+    rows = [(f"wiki/concepts/p{i:05}", "concept", f"t{i:05}", "") for i in range(4000)] + [("wiki/x", None, "none", ""), ("wiki/y", "odd", "odd", "")]
+    found = index.visible_index(spark.createDataFrame(rows, "path string, type string, title string, tldr string")).collect()
+    assert [x.position for x in sorted(found) if x.type == "concept"] == list(range(1, 4001))
+    assert sorted((x.type, x.position, x.line) for x in found if x.type != "concept") == [(t, 0, "") for t in ("entity", "output", "source", "synthesis")]
+    plan = index.visible_index(spark.createDataFrame(rows, "path string, type string, title string, tldr string"))._jdf.queryExecution().executedPlan().toString()
+    # The one that is left is the numbers' own, of parts and groups.
+    assert plan.count("LeftOuter") == 1
+
+
+def test_cards_of_the_root_view_are_made_once(spark):
+    """Making a card is the cost of the root view, so each is made once, and sizes and ranks are of what is kept."""
+    made = spark.sparkContext.accumulator(0)
+
+    def card(x):
+        made.add(1)
+        return f'{{"path":"{x}"}}'
+
+    rows = spark.createDataFrame([(f"wiki/p{i:04}", "concept" if i % 7 else "entity", 9) for i in range(400)], "path string, type string, tokens int")
+    cards = rows.withColumn("card", F.udf(card, "string")("path"))
+    view = sorted(map(tuple, index.root_view(cards, budget=500, each=2).collect()), key=lambda x: (x[3], x[4]))
+    assert made.value == 400
+    total = view[0][1]
+    assert total > 500 and view == [("layered", total, f"wiki/p{i:04}", t, n, 9) for t, i, n in (("concept", 1, 1), ("concept", 2, 2), ("entity", 0, 1), ("entity", 7, 2))]
+    assert {x.mode for x in index.root_view(cards, budget=50_000).collect()} == {"complete"}
