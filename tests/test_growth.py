@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, index, layout, pages, schema_check, search, transcripts
+from lodestone.operators import candidates, graph, index, layout, pages, schema_check, search, transcripts
 from lodestone.sources import inbox
 
 
@@ -151,3 +151,21 @@ def test_pages_travel_whole(spark):
     over = {i for i, t in texts if len((t or "").split()) + -(-len((t or "").split()) // 240) > 500}
     assert {r.doc_id for r in few.collect()} == {i for i, t in texts if t} - over
     assert {(r.doc_id, r.code) for r in layout.over_caps(layout.pages_of(docs), 4, 500).collect()} == {(i, "PAGE_LIMIT" if len(t.split()) > 960 else "ITEM_LIMIT") for i, t in texts if i in over}
+
+
+def test_ids_are_settled_by_numbers_alone(spark, monkeypatch):
+    """Rows meet what their request skips once, however long requests displace each other, and rows equal in order share no id."""
+    monkeypatch.setattr(candidates, "BLOCK", 4, raising=False)
+    rng = random.Random(3)
+    asks = ["a"] * 6 + ["a-2", "a-3", "a-7", "a-2-2", "a-2-2-2", "a-2-2-3", "a-3-2", "a-99999999999999999", "a-1", "b-4", " ", None]
+    rows = [(run, i // 2, rng.choice(asks), rng.choice(["x", "y"])) for run in ("r", "s", "t") for i in range(150)] + [("u", i, "b" if i % 9 else f"b-{i + 2}", "x") for i in range(60)]
+    found = sorted(map(tuple, candidates.unique_ids(spark.createDataFrame(rows, "run_id string, ord int, wanted string, type string")).collect()))
+    wanted = []
+    for run in ("r", "s", "t", "u"):
+        seen = set()
+        for place, (_, i, ask, kind) in enumerate(sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3])), 1):
+            base = (ask or "").strip() or f"{kind}-{place}"
+            name = next(n for n in [base, *(f"{base}-{k}" for k in range(2, 400))] if n not in seen)
+            seen.add(name)
+            wanted.append((run, i, name))
+    assert found == sorted(wanted) and len({(r, n) for r, _, n in found}) == len(rows)
