@@ -169,3 +169,23 @@ def test_ids_are_settled_by_numbers_alone(spark, monkeypatch):
             seen.add(name)
             wanted.append((run, i, name))
     assert found == sorted(wanted) and len({(r, n) for r, _, n in found}) == len(rows)
+
+
+def test_backlinks_are_sorted_once_and_stay_dealt(spark):
+    """Steps meet one sort and no hash table of themselves, in as many tasks as the session has partitions."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    links = spark.range(6000).selectExpr("concat('wiki/p', lpad(cast(id DIV 2 AS string), 5, '0')) AS from_path", "concat('wiki/p', lpad(cast(id DIV 2 % 7 AS string), 5, '0')) AS to_path")
+    starts = spark.range(9).selectExpr("concat('wiki/p', lpad(cast(id AS string), 5, '0')) AS path")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        found = graph.neighbours(starts, links, "backlinks", depth=1)
+        before = last_stage(spark)
+        rows = found.collect()
+        tasks = max((s.numTasks() for s in stages(spark, before) if s.shuffleReadRecords() > 5000), default=0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    wanted = {(f"wiki/p{a:05}", f"wiki/p{b:05}", 1) for a in range(7) for b in [x for x in range(a, 3000, 7) if x != a][:20]}
+    assert {tuple(r) for r in rows} == wanted and len(rows) == len(wanted)
+    plan = graph.neighbours(starts, links, "backlinks", depth=1)._jdf.queryExecution().executedPlan().toString()
+    assert tasks == 24 and "WindowGroupLimit" in plan
+    assert plan.count("HashAggregate(") == 2, plan  # the starts' own
