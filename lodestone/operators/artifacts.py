@@ -151,7 +151,7 @@ def verify_revisions(revisions: DataFrame, files: DataFrame, maps: DataFrame, as
     # Most revisions have no map.
     rows = left_spread(revisions.join(f, "raw_path", "left"), m, "map_path", "source_id").join(flawed, ["source_id", "revision"], "left")
     rows = rows.withColumns({"has_block": F.col("artifact").rlike(r"^---\n([\s\S]*?)\n---\n?") & (block != ""), "block": block, "body": F.regexp_replace("artifact", r"^---\n([\s\S]*?)\n---\n?", "")})
-    rows = rows.withColumns({"marks": marks(F.col("body")), "lines": F.split(F.regexp_replace("body", r"\n$", ""), "\n")})
+    rows = rows.withColumns({"marks": marks(F.col("body")), "lines": F.split(F.regexp_replace("body", r"\n\z", ""), "\n")})
     pages = F.transform(F.filter("marks", lambda s: s["page"].isNotNull()), lambda s: s["page"])
     blocks = F.transform(F.filter("marks", lambda s: s["block"].isNotNull()), lambda s: s["block"])
     entries = F.transform("map.entries", lambda e: e["block_id"])

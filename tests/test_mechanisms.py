@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import decoding, json_text, names, text
 from lodestone.operators import artifacts, candidates, changes, graph, layout, pages, ranking, schema_check, structure
+from lodestone.plans import checks
 from lodestone.sources import captions, inbox, manifests, published
 from lodestone.streaming import checkpoints, streams
 
@@ -285,3 +286,14 @@ def test_layout_blocks(spark):
     found = layout.blocks(ordered)
     assert [(r.kind, r.markdown) for r in found.orderBy("block").collect()] == [("heading", "# Title"), ("text", "one two三"), ("text", "far" " " "end."), ("text", "next"), ("list", "- a"), ("list", "1. b"), ("text", "tail")]
     assert layout.page_markdown(found).first().markdown == "# Title\n\none two三\n\nfar end.\n\nnext\n\n- a\n1. b\n\ntail"
+
+
+def test_raw_files_without_text(spark, tmp_path):
+    """A null or empty text leaves an empty last line, which counts as one."""
+    docs = spark.range(164).selectExpr("id AS doc_id", "CASE WHEN id < 82 THEN '' END AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    flaw = lambda k: (checks.RAW_FLAWS[k % 41:] or [None])[0]
+    found = {r.source_id: r.code for r in checks.raw_revisions(spark, str(tmp_path)).collect()}
+    assert found == {f"d{k}": flaw(k) for k in range(164)}
+    ok = {r.subject: r.ok for r in checks.raw_checks(spark, str(tmp_path)).collect()}
+    assert all(ok[f"d{k}"] == (not flaw(k) and (k % 43 == 5 or k % 47 != 6) and k % 53 != 7) for k in range(164))
