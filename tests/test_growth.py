@@ -196,3 +196,24 @@ def test_items_without_a_place_are_lines(spark):
     items = spark.createDataFrame(rows, "doc_id long, page int, text string, x double, y double, width double, font_size double")
     found = layout.reading_order(layout.lines(items), 100.0, ("y", "font_size"))
     assert [(r.text, r.y, r.font_size) for r in found.orderBy("line_no").collect()] == [("far", 90.0, 10.0), ("low", 10.0, None)]
+
+
+def test_steps_of_routes_are_made_once(spark):
+    """Links are read for the names and for the steps, and no more; steps are shuffled as numbers from one place."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    rng = random.Random(6)
+    names = [f"wiki/p{i:04}" for i in range(400)]
+    edges = sorted({(a, names[0]) for a in names[1:90]} | {tuple(rng.sample(names, 2)) for _ in range(2000)})
+    links = spark.createDataFrame(edges, "from_path string, to_path string").select(F.udf(seen, "string")("from_path").alias("from_path"), "to_path")
+    starts = spark.createDataFrame([(n,) for n in names], "path string")
+    before = last_stage(spark)
+    graph.routes(starts, links, "both").collect()
+    written = sum(s.shuffleWriteRecords() for s in stages(spark, before))
+    # Each reading judges a link and takes its end: twice. It was 22,858 times, with 50,738 rows shuffled.
+    assert read.value <= 4 * len(edges), (read.value, len(edges))
+    assert written < 20 * len(edges), (written, len(edges))
