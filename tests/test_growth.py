@@ -217,3 +217,28 @@ def test_steps_of_routes_are_made_once(spark):
     # Each reading judges a link and takes its end: twice. It was 22,858 times, with 50,738 rows shuffled.
     assert read.value <= 4 * len(edges), (read.value, len(edges))
     assert written < 20 * len(edges), (written, len(edges))
+
+
+def test_proposals_that_fail_alone_meet_no_join(spark):
+    """Of proposals whose edges are asked for, those that fail by themselves travel nowhere, and the rest are dealt by page once."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    was = {k: spark.conf.get(k, None) for k in keys}
+    made = spark.range(3000).selectExpr("id AS ord", "concat('o', id % 300) AS from_candidate", "CASE WHEN id % 10 = 1 THEN 'o1' END AS to_candidate", "concat('[[wiki/a/', id % 7, ']]') AS to_path",
+                                        "CASE WHEN id % 10 = 2 THEN 'mentions' ELSE 'component' END AS relation", "CASE WHEN id % 10 = 3 THEN 0.1D WHEN id % 10 = 4 THEN double('NaN') WHEN id % 10 <> 5 THEN 0.8D END AS confidence")
+    candidates = spark.range(300).selectExpr("concat('o', id) AS candidate_id", "CASE WHEN id % 10 = 6 THEN 'rejected' ELSE 'created' END AS decision", "CASE WHEN id % 10 <> 7 THEN concat('wiki/b/', id) END AS target_path")
+    known = spark.range(7).selectExpr("concat('wiki/a/', id) AS path")
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        judged = graph.judge_proposals(graph.resolve_proposals(made, candidates, known))
+        before = last_stage(spark)
+        found = graph.link_plan(judged).collect()
+        written = sum(s.shuffleWriteRecords() for s in stages(spark, before))
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    good = [i for i in range(3000) if i % 10 in (0, 8, 9)]
+    assert {(r.from_path, r.to_path) for r in found} == {(f"wiki/b/{i % 300}", f"wiki/a/{x}") for i in good for x in sorted({j % 7 for j in good if j % 300 == i % 300})[:5]}
+    assert {r.reason: r.n for r in graph.drop_counts(judged).collect()} == {"invalid_target_shape": 300, "invalid_relation": 300, "low_confidence": 900, "invalid_from": 600, "duplicate": 270, "outgoing_limit": 180}
+    # It was 11,324: all proposals went to the joins.
+    assert written < 8000, written
