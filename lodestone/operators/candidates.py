@@ -99,10 +99,12 @@ def _reached(numbers: pd.Series, before: pd.Series, taken: pd.Series) -> pd.Seri
 def marked_drafts(texts: DataFrame, mark: str = "llm-wiki") -> DataFrame:
     """batch_id, candidate_id, place (from 1), content of the drafts in texts (batch_id, text):
     what stands between `<!-- mark:draft=ID -->` and the next `<!-- mark:end-draft -->`."""
-    draft = rf"<!--\s*{mark}:draft=([^>]+?)\s*-->[{T.SPACE}]*([\s\S]*?)[{T.SPACE}]*<!--\s*{mark}:end-draft\s*-->"
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(draft), F.lit(1)).alias("id"), F.regexp_extract_all("text", F.lit(draft), F.lit(2)).alias("content"))
-    rows = texts.select("batch_id", F.posexplode(both).alias("at", "d"))
-    return rows.select("batch_id", T.trimmed(F.col("d.id")).alias("candidate_id"), (F.col("at") + 1).alias("place"), F.col("d.content").alias("content"))
+    head, end = rf"<!--\s*{mark}:draft=([^>]+?)\s*-->", rf"<!--\s*{mark}:end-draft\s*-->"
+    # A text is gone through once; the parts of a draft are told from it alone.
+    rows = texts.select("batch_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{head}[\s\S]*?{end}"), F.lit(0))).alias("at", "draft"))
+    start, n = F.length(F.regexp_extract("draft", f"^{head}", 0)), F.length("draft")
+    content = F.substring("draft", start + 1, n - start - F.length(F.regexp_extract("draft", rf"{end}\z", 0)))
+    return rows.select("batch_id", T.trimmed(F.regexp_extract("draft", f"^{head}", 1)).alias("candidate_id"), (F.col("at") + 1).alias("place"), F.btrim(content, F.lit(T.SPACE_CHARS)).alias("content"))
 
 
 def draft_status(drafts: DataFrame, expected: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def draft_issues(drafts: DataFrame) -> DataFrame:
     field = lambda name: F.try_element_at("fields", F.lit(name))
     is_list = lambda name: F.coalesce(field(name)["list"], F.lit(False))
     issue = lambda code, when, detail=None: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(detail).cast("string").alias("detail")))
-    empty = T.trimmed(F.coalesce("content", F.lit(""))) == ""
+    empty = T.blank(F.coalesce("content", F.lit("")))
     bad = F.col("fields").isNull()
     absent = lambda name: ~F.map_contains_key("fields", name) | F.coalesce(~is_list(name) & (F.array_join(field(name)["items"], "") == ""), F.lit(False))
     kind = F.when(field("type").isNotNull() & ~is_list("type"), field("type")["items"][0])
@@ -136,6 +138,6 @@ def draft_issues(drafts: DataFrame) -> DataFrame:
     rules += [issue("missing_field", absent(name), name) for name in REQUIRED]
     rules += [issue("not_a_list", ~is_list(name), name) for name in LISTS]
     rules += [issue("not_a_list", (F.col("type") == kind_) & ~is_list(name), name) for kind_, names in MORE_LISTS.items() for name in names]
-    rules.append(issue("empty_body", T.trimmed(F.regexp_replace("body", r"^((?:[\s\S]*?\n)?)#[ \t]+[^\n]*", "$1")) == ""))
+    rules.append(issue("empty_body", T.blank(F.regexp_replace("body", r"^((?:[\s\S]*?\n)?)#[ \t]+[^\n]*", "$1"))))
     found = F.when(empty, F.array(issue("empty_page", F.lit(True)))).when(bad, F.array(issue("invalid_page", F.lit(True)))).otherwise(F.array_compact(F.array(*rules)))
     return drafts.select("batch_id", "candidate_id", F.explode(found).alias("i")).select("batch_id", "candidate_id", "i.*")

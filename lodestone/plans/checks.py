@@ -211,7 +211,8 @@ def _drafts(spark, d) -> tuple[DataFrame, DataFrame]:
     content = F.when(k % 10 == 9, "no block").otherwise(head)
     one = F.concat(F.lit("<!-- llm-wiki:draft="), id_, F.lit(" -->\n"), content, F.when(k % 19 == 5, "").otherwise("\n<!-- llm-wiki:end-draft -->\n"))
     text = F.when(k % 13 == 2, "").when(k % 23 == 7, F.concat(one, one)).otherwise(one)
-    rows = table(spark, d, "orders")
+    # Texts are many times their keys, so keys are dealt before: files of few bytes would give few tasks.
+    rows = table(spark, d, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     texts = rows.select(F.concat(batch, F.lit("-"), k.cast("string")).alias("batch_id"), text.alias("text"))
     return texts, rows.select(F.concat(batch, F.lit("-"), k.cast("string")).alias("batch_id"), F.concat(F.lit("o"), k.cast("string")).alias("candidate_id"))
 

@@ -1,12 +1,14 @@
 """What travels between tasks, and how evenly, on small made tables."""
 
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import candidates, graph, index, layout, pages, schema_check, search, transcripts
+from lodestone.plans import checks
 from lodestone.sources import inbox
 
 
@@ -242,3 +244,19 @@ def test_proposals_that_fail_alone_meet_no_join(spark):
     assert {r.reason: r.n for r in graph.drop_counts(judged).collect()} == {"invalid_target_shape": 300, "invalid_relation": 300, "low_confidence": 900, "invalid_from": 600, "duplicate": 270, "outgoing_limit": 180}
     # It was 11,324: all proposals went to the joins.
     assert written < 8000, written
+
+
+def test_drafts_are_read_once_in_all_parts(spark):
+    """A text is gone through once for its drafts, and texts made of few keys are dealt before they are made."""
+    space = " \t\n\u00a0\u2003\u3000\ufeff"
+    texts = [f"<!-- llm-wiki:draft={i} -->{a}{b}{c}<!--llm-wiki:end-draft-->" for i in ("a", " b ", "c-1") for a in ("", space) for b in ("", "x", f"x{space}y <!-- z -->", "<!-- llm-wiki:draft=d -->x") for c in ("", space)]
+    texts += [f"{texts[0]}{texts[5]} {texts[7]}", "<!-- llm-wiki:draft=a -->x", "<!-- llm-wiki:end-draft -->", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "batch_id int, text string")
+    found = candidates.marked_drafts(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    one = re.compile(r"<!--\s*llm-wiki:draft=([^>]+?)\s*-->([\s\S]*?)<!--\s*llm-wiki:end-draft\s*-->")
+    wanted = [(i, m[1].strip(), n, m[2].strip(space)) for i, t in enumerate(texts) for n, m in enumerate(one.finditer(t or ""), 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and len(wanted) > 50
+    before = last_stage(spark)
+    checks.draft_issues(spark, "/root/testdata/sf0.001").collect()
+    assert max(s.numTasks() for s in stages(spark, before) if s.shuffleReadRecords() and s.shuffleWriteRecords()) >= 4
